@@ -13,7 +13,19 @@ PY_WHITESPACE = "".join(
 
 def rx(pattern: str, ignore_case: bool = False) -> str:
     """Give a pattern Python's meaning in Java: ``.`` stops only at a newline, classes are Unicode."""
-    return ("(?diU)" if ignore_case else "(?dU)") + pattern
+    # a quote is written as its code, so that the pattern fits into a raw SQL literal
+    return ("(?diU)" if ignore_case else "(?dU)") + pattern.replace("'", r"\x27")
+
+
+def sql_string(text: str) -> str:
+    """A SQL literal, the same under every escape setting; quotes become regular-expression or JSON escapes."""
+    if "'" in text:
+        raise ValueError("write a quote as \\x27 in patterns and as \\u0027 in JSON")
+    return f"r'{text}'"
+
+
+# the same set as a SQL expression
+SQL_WHITESPACE = f"decode(X'{PY_WHITESPACE.encode().hex()}', 'utf-8')"
 
 
 def strip(c: Column) -> Column:
@@ -61,7 +73,8 @@ def comma_list(c: Column) -> Column:
 
 
 def contains_any(c: Column, words) -> Column:
-    found = F.lit(False)
-    for n, word in enumerate(words):
-        found = c.contains(word) if n == 0 else found | c.contains(word)
+    first, *others = words
+    found = c.contains(first)
+    for word in others:
+        found = found | c.contains(word)
     return found

@@ -11,6 +11,8 @@ How the expression is laid out, since it runs once per line:
   on lines that pass it;
 * a hit is a small (rule, line) struct; messages and severities are filled in for hits alone, from
   one constant array.
+
+The expression is put together as SQL text: rules are SQL predicates, and a pack is parsed at once.
 """
 
 from __future__ import annotations
@@ -20,17 +22,19 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.functions.text import contains_any, rstrip, split_lines, strip
-from codesieve.functions.paths import base_name
+from codesieve.functions.text import SQL_WHITESPACE as WS
+from codesieve.functions.text import split_lines, sql_string
 from codesieve.operators.syntax import syntax_facts
-from codesieve.rules import DIALECTS, File, Line, Rule, rules as pack
+from codesieve.rules import DIALECTS, Rule, has
+from codesieve.rules import rules as pack
 
 ISSUE_SCHEMA = (
     "rule_id string, phase string, category string, type string, severity string, description string, "
     "line_no int, code string, tool string, confidence string, rule string"
 )
 ISSUES_TYPE = f"array<struct<{', '.join(f.replace(' ', ': ', 1) for f in ISSUE_SCHEMA.split(', '))}>>"
-_HITS_TYPE = "array<struct<rule: int, line_no: int, text: string, n: int>>"
+_NO_RULES = "cast(array() as array<int>)"
+_NO_HITS = "cast(array() as array<struct<rule: int, line_no: int, text: string, n: int>>)"
 
 # Base names and keywords that mark YAML as Ansible.
 ANSIBLE_NAMES = ["playbook.yml", "playbook.yaml", "site.yml", "site.yaml", "main.yml", "main.yaml"]
@@ -41,121 +45,120 @@ ANSIBLE_KEYWORDS = [
 ANSIBLE_MIN_KEYWORDS = 3
 
 
-def is_ansible(path: Column, content: Column) -> Column:
-    hits = sum((content.contains(k).cast("int") for k in ANSIBLE_KEYWORDS[1:]), content.contains(ANSIBLE_KEYWORDS[0]).cast("int"))
-    return F.lower(base_name(path)).isin(ANSIBLE_NAMES) | (hits >= ANSIBLE_MIN_KEYWORDS)
+def is_ansible(path: str = "path", content: str = "content") -> Column:
+    """Test on two columns: a playbook's base name, or enough Ansible keywords in the text."""
+    names = ", ".join(sql_string(n) for n in ANSIBLE_NAMES)
+    keywords = " + ".join(f"cast(contains({content}, {sql_string(k)}) as int)" for k in ANSIBLE_KEYWORDS)
+    return F.expr(f"lower(substring_index({path}, '/', -1)) IN ({names}) OR {keywords} >= {ANSIBLE_MIN_KEYWORDS}")
 
 
-def dialect(language: Column, path: Column, content: Column) -> Column:
+def dialect() -> Column:
     """The rule set of a file: its language, with YAML split into plain and Ansible."""
+    language = F.col("language")
     return (
         F.when(language.isin("javascript", "typescript"), "js")
         .when(language.isin("python", "java", "sql"), language)
-        .when((language == "yaml") & is_ansible(path, content), "ansible")
+        .when((language == "yaml") & is_ansible(), "ansible")
         .when(language == "yaml", "yaml")
         .otherwise("other")
     )
 
 
-def _hit(rule: int, line_no: Column, text: Column, n: Column) -> Column:
-    return F.struct(F.lit(rule).alias("rule"), line_no.cast("int").alias("line_no"), text.alias("text"), n.alias("n"))
+Numbered = list[tuple[int, Rule]]
 
 
-def _no_hits() -> Column:
-    return F.array().cast(_HITS_TYPE)
+def _hit(rule: int, line_no: str, text: str, n: str) -> str:
+    return f"named_struct('rule', {rule}, 'line_no', cast({line_no} as int), 'text', {text}, 'n', cast({n} as int))"
 
 
-def _line_hits(numbered: list[tuple[int, Rule]], content: Column, lines: Column) -> Column:
-    """Hits of all line rules, as one expression over the array of lines."""
-    groups: dict[tuple[str, ...], list[tuple[int, Rule]]] = {}
+def _matching_rules(numbered: Numbered) -> str:
+    """Array of the rules that match ``line``, with nulls for the others; one test per group of ``needs``."""
+    groups: dict[tuple[str, ...], Numbered] = {}
     for index, rule in numbered:
         groups.setdefault(rule.needs, []).append((index, rule))
-
-    def of_line(text: Column, position: Column) -> Column:
-        line = Line(text, position + 1, File(content, lines))
-        parts = []
-        for needs, members in groups.items():
-            found = F.array(*[F.when(rule.when(line), F.lit(index)) for index, rule in members])
-            for literal in needs:
-                found = F.when(text.contains(literal), found)
-            parts.append(F.coalesce(found, F.array().cast("array<int>")) if needs else found)
-        matched = F.array_compact(F.concat(*parts) if len(parts) > 1 else parts[0])
-        return F.transform(matched, lambda rule: F.struct(
-            rule.alias("rule"), (position + 1).alias("line_no"), text.alias("text"), F.length(text).alias("n")))
-
-    return F.flatten(F.transform(lines, of_line)) if numbered else _no_hits()
+    parts = []
+    for needs, members in groups.items():
+        found = "array(" + ", ".join(
+            f"CASE WHEN {rule.when} THEN {index} END" if rule.when else str(index) for index, rule in members) + ")"
+        if needs:
+            test = " AND ".join(has(literal) for literal in needs)
+            found = f"CASE WHEN {test} THEN {found} ELSE {_NO_RULES} END"
+        parts.append(found)
+    if not parts:
+        return _NO_RULES
+    return f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]
+
+
+def _by_dialect(numbered: Numbered, compile, nothing: str) -> str:
+    """CASE over the dialects that some of the rules are limited to."""
+    arms = []
+    for name in DIALECTS:
+        chosen = [(n, r) for n, r in numbered if name in r.dialects]
+        if chosen:
+            arms.append(f"WHEN dialect = '{name}' THEN {compile(chosen)}")
+    return f"CASE {' '.join(arms)} ELSE {nothing} END" if arms else nothing
+
+
+def _line_hits(numbered: Numbered) -> str:
+    """Hits of all line rules, as one expression over the array of lines."""
+    everywhere = _matching_rules([(n, r) for n, r in numbered if not r.dialects])
+    somewhere = _by_dialect(numbered, _matching_rules, _NO_RULES)
+    # rules at equal places stay in the order of their ids
+    return f"""flatten(transform(lines, (line, pos) -> transform(
+        array_sort(array_compact(concat({everywhere}, {somewhere}))),
+        rule -> named_struct('rule', rule, 'line_no', pos + 1, 'text', line, 'n', length(line)))))"""
 
 
-def _file_hits(numbered: list[tuple[int, Rule]], content: Column, lines: Column) -> Column:
-    file = File(content, lines)
-    found = [
-        F.when(rule.when(file), _hit(index, F.lit(1), F.lit(""),
-                                     rule.count(file) if rule.count else F.lit(None).cast("int")))
-        for index, rule in numbered
-    ]
-    return F.array_compact(F.array(*found)) if found else _no_hits()
+def _file_hits(numbered: Numbered) -> str:
+    found = [f"CASE WHEN {rule.when} THEN {_hit(index, '1', sql_string(''), rule.count)} END" for index, rule in numbered]
+    return f"array_compact(array({', '.join(found)}))"
 
 
-def _syntax_hits(by_type: dict[str, int], facts: Column, lines: Column, per_node: bool) -> Column:
+def _syntax_hits(numbered: Numbered, per_node: bool) -> str:
     """Hits from parser facts: argument counts, long lines that carry code, syntax errors."""
+    by_type = {rule.type: index for index, rule in numbered}
     parts = []
     if "too_many_arguments" in by_type:
-        parts.append(F.transform(
-            F.filter(facts["functions"], lambda f: f.n_args > 7),
-            lambda f: _hit(by_type["too_many_arguments"], f.line_no, F.lit(""), f.n_args)))
+        hit = _hit(by_type["too_many_arguments"], "f.line_no", "''", "f.n_args")
+        parts.append(f"transform(filter(facts.functions, f -> f.n_args > 7), f -> {hit})")
     if "long_line" in by_type:
-        def length(node_line):
-            return F.length(F.try_element_at(lines, node_line.line_no))
-
-        long = F.filter(facts["node_lines"], lambda n: length(n) > 120)
+        length = "length(try_element_at(lines, n.line_no))"
+        long = f"filter(facts.node_lines, n -> {length} > 120)"
         if per_node:
-            long = F.flatten(F.transform(long, lambda n: F.array_repeat(n, n.nodes)))
-        parts.append(F.transform(long, lambda n: _hit(by_type["long_line"], n.line_no, F.lit(""), length(n))))
+            long = f"flatten(transform({long}, n -> array_repeat(n, n.nodes)))"
+        parts.append(f"transform({long}, n -> {_hit(by_type['long_line'], 'n.line_no', sql_string(''), length)})")
     if "syntax_error" in by_type:
-        error = facts["syntax_error"]
-        parts.append(F.when(error.isNotNull(), F.array(_hit(
-            by_type["syntax_error"], error["line_no"], error["message"], F.lit(None).cast("int")))).otherwise(_no_hits()))
-    parts = [F.coalesce(p.cast(_HITS_TYPE), _no_hits()) for p in parts]
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+        hit = _hit(by_type["syntax_error"], "facts.syntax_error.line_no", "facts.syntax_error.message", "null")
+        parts.append(f"CASE WHEN facts.syntax_error IS NOT NULL THEN array({hit}) END")
+    return "concat(" + ", ".join(f"coalesce({p}, {_NO_HITS})" for p in parts) + f", {_NO_HITS})"
 
 
-def _attributes(selected: list[Rule]) -> Column:
-    """Issue attributes of the selected rules as one constant array."""
-    rows = [
+def _issues(hits: str, selected: list[Rule]) -> str:
+    """Hits to issues: attributes come from a constant array of the selected rules."""
+    rows = json.dumps([
         {"rule_id": r.id, "phase": r.phase, "category": r.category, "type": r.type, "severity": r.severity,
          "message": r.message, "tool": r.tool, "quote": r.quote}
         for r in selected
-    ]
-    return F.from_json(
-        F.lit(json.dumps(rows)),
-        "array<struct<rule_id: string, phase: string, category: string, type: string, severity: string, "
-        "message: string, tool: string, quote: string>>")
-
-
-def _issue(hit: Column, attributes: Column) -> Column:
-    rule = F.element_at(attributes, hit.rule + 1)
-    quote = rule["quote"]
-    message = rule["message"]
-    none = F.lit(None).cast("string")
-    return F.struct(
-        rule["rule_id"].alias("rule_id"),
-        rule["phase"].alias("phase"),
-        rule["category"].alias("category"),
-        rule["type"].alias("type"),
-        rule["severity"].alias("severity"),
-        F.when(message.contains("{n}"), F.replace(message, F.lit("{n}"), hit.n.cast("string")))
-        .when(message.contains("{text}"), F.replace(message, F.lit("{text}"), hit.text))
-        .otherwise(message).alias("description"),
-        hit.line_no.alias("line_no"),
-        F.when(quote == "strip", strip(hit.text))
-        .when(quote == "rstrip", rstrip(hit.text))
-        .when(quote == "head", F.left(strip(hit.text), F.lit(100)))
-        .when(quote == "ellipsis", F.concat(F.left(strip(hit.text), F.lit(100)), F.lit("...")))
-        .when(quote == "empty", F.lit("")).alias("code"),
-        rule["tool"].alias("tool"),
-        none.alias("confidence"),
-        none.alias("rule"),
-    )
+    ]).replace("'", r"\u0027")
+    fields = "rule_id: string, phase: string, category: string, type: string, severity: string, message: string, tool: string, quote: string"
+    attributes = f"from_json({sql_string(rows)}, 'array<struct<{fields}>>')"
+    return f"""transform(
+        transform({hits}, h -> named_struct('h', h, 'r', element_at({attributes}, h.rule + 1))),
+        x -> named_struct(
+            'rule_id', x.r.rule_id, 'phase', x.r.phase, 'category', x.r.category, 'type', x.r.type,
+            'severity', x.r.severity,
+            'description', CASE
+                WHEN contains(x.r.message, '{{n}}') THEN replace(x.r.message, '{{n}}', cast(x.h.n as string))
+                WHEN contains(x.r.message, '{{text}}') THEN replace(x.r.message, '{{text}}', x.h.text)
+                ELSE x.r.message END,
+            'line_no', x.h.line_no,
+            'code', CASE x.r.quote
+                WHEN 'strip' THEN btrim(x.h.text, {WS})
+                WHEN 'rstrip' THEN rtrim({WS}, x.h.text)
+                WHEN 'head' THEN left(btrim(x.h.text, {WS}), 100)
+                WHEN 'ellipsis' THEN concat(left(btrim(x.h.text, {WS}), 100), '...')
+                WHEN 'empty' THEN '' END,
+            'tool', x.r.tool, 'confidence', cast(null as string), 'rule', cast(null as string)))"""
 
 
 def with_issues(
@@ -165,58 +168,41 @@ def with_issues(
     analysis_type: str = "full",
     per_node_long_lines: bool = False,
 ) -> DataFrame:
-    """Add ``lines``, ``dialect``, ``facts`` (core) and ``issues`` to ``files(repo, path, language, content)``.
+    """Add ``lines``, ``dialect``, ``facts`` and ``issues`` to ``files(repo, path, language, content)``.
 
     Rows with null content have no issues, except for the quick profile's unreadable-file issue.
-    ``per_node_long_lines`` repeats a long Python line once per syntax node on it.
+    ``per_node_long_lines`` repeats a long Python line once per syntax node on it. Packs without
+    language rules get no dialect and no parser facts.
     """
-    selected = pack(profile, categories, analysis_type)
-    core = profile not in ("web", "interactive", "quick")
+    numbered = list(enumerate(pack(profile, categories, analysis_type)))
     out = files
-    if core:
-        out = out.withColumn("dialect", dialect(F.col("language"), F.col("path"), F.col("content")))
+    if profile not in ("web", "interactive", "quick"):
+        out = out.withColumn("dialect", dialect())
         out = out.withColumn("facts", syntax_facts(F.when(F.col("dialect") == "python", F.col("content"))))
     # split after the Python stage: rows waiting for it then carry the text only once
     out = out.withColumn("lines", split_lines(F.col("content")))
-    content, lines = F.col("content"), F.col("lines")
-
-    if not selected:
+    if not numbered:
         return out.withColumn("issues", F.array().cast(ISSUES_TYPE))
 
-    def of(dialect_name: str) -> Column:
-        chosen = [(n, r) for n, r in enumerate(selected) if r.runs_on(dialect_name)]
-        parts = [_line_hits([(n, r) for n, r in chosen if r.scope == "line"], content, lines).cast(_HITS_TYPE)]
-        whole_file = [(n, r) for n, r in chosen if r.scope == "file"]
-        if whole_file:
-            parts.append(_file_hits(whole_file, content, lines).cast(_HITS_TYPE))
-        syntax = {r.type: n for n, r in chosen if r.scope == "syntax"}
-        if syntax:
-            parts.append(_syntax_hits(syntax, F.col("facts"), lines, per_node_long_lines))
-        return F.concat(*parts) if len(parts) > 1 else parts[0]
-
-    if core:
-        hits = None
-        for name in DIALECTS:
-            if name == "other":
-                hits = hits.otherwise(of(name))
-            else:
-                test = F.col("dialect") == name
-                hits = F.when(test, of(name)) if hits is None else hits.when(test, of(name))
-    else:
-        hits = of("other")
-    unreadable = [n for n, r in enumerate(selected) if r.scope == "unreadable"]
-    empty = _no_hits()
-    if unreadable:
-        empty = F.array(_hit(unreadable[0], F.lit(0), F.lit(None).cast("string"), F.lit(None).cast("int"))).cast(_HITS_TYPE)
-    hits = F.when(content.isNull(), empty).otherwise(hits)
-    attributes = _attributes(selected)
-    return out.withColumn("issues", F.transform(hits, lambda h: _issue(h, attributes)))
+    def scoped(scope):
+        return [(n, r) for n, r in numbered if r.scope == scope]
+
+    parts = [_line_hits(scoped("line"))]
+    if scoped("file"):
+        parts.append(_by_dialect(scoped("file"), _file_hits, _NO_HITS))
+    if scoped("syntax"):
+        parts.append(f"CASE WHEN dialect = 'python' THEN {_syntax_hits(scoped('syntax'), per_node_long_lines)} ELSE {_NO_HITS} END")
+    unreadable = [f"array({_hit(n, '0', 'cast(null as string)', 'null')})" for n, _ in scoped("unreadable")]
+    hits = f"CASE WHEN content IS NULL THEN {unreadable[0] if unreadable else _NO_HITS} ELSE concat({', '.join(parts)}) END"
+    return out.withColumn("issues", F.expr(_issues(hits, [r for _, r in numbered])))
 
 
 def issues(scanned: DataFrame, *keep: str) -> DataFrame:
     """One row per issue: the file's keys and the issue's columns."""
     keys = list(keep) or ["repo", "path", "language"]
-    return scanned.select(*keys, F.explode("issues").alias("i")).select(*keys, "i.*")
+    # the outer form keeps the optimizer from testing the size of the array, which would run the scan twice
+    rows = scanned.select(*keys, F.explode_outer("issues").alias("i")).filter(F.col("i").isNotNull())
+    return rows.select(*keys, "i.*")
 
 
 def numbered_lines(files: DataFrame) -> DataFrame:

@@ -5,25 +5,15 @@ Fixed values throughout this file: patterns, keyword lists, types, severities an
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from codesieve.functions.text import SQL_WHITESPACE as WS
+from codesieve.functions.text import rx, sql_string
+from codesieve.rules.registry import Rule, has, has_any_case, matches, register
 
-from codesieve.functions.text import contains_any, lstrip, rstrip, rx
-from codesieve.rules.registry import File, Line, Rule, register
 
-
-def _rule(id, phase, type, severity, message, when, *, tool="pattern_analysis", category=None, **kw):
+def _rule(id, phase, type, severity, message, when="", *, tool="pattern_analysis", category=None, **kw):
     register(Rule(id, "core", phase, category or phase, type, severity, message, tool, when, **kw))
 
 
-def _pattern(pattern, ignore_case=False):
-    return lambda line: line.matches(pattern, ignore_case)
-
-
-def _always(line: Line):
-    """For rules that their ``needs`` literals decide alone."""
-    return F.lit(True)
-
-
 # --- security, every language -------------------------------------------------------------------
 for _id, _type, _severity, _message, _regex in [
     ("R01", "hardcoded_password", "high", "Hardcoded password found", r"""password\s*=\s*['"][^'"]+['"]"""),
@@ -31,7 +21,7 @@ for _id, _type, _severity, _message, _regex in [
     ("R03", "hardcoded_secret", "high", "Hardcoded secret found", r"""secret\s*=\s*['"][^'"]+['"]"""),
     ("R04", "hardcoded_token", "medium", "Hardcoded token found", r"""token\s*=\s*['"][^'"]+['"]"""),
 ]:
-    _rule(_id, "security", _type, _severity, _message, _pattern(_regex, True), needs=("=",))
+    _rule(_id, "security", _type, _severity, _message, matches(_regex, True), needs=("=",))
 
 # --- security, by language ----------------------------------------------------------------------
 for _id, _type, _severity, _message, _regex, _dialect, _needs in [
@@ -53,104 +43,94 @@ for _id, _type, _severity, _message, _regex, _dialect, _needs in [
     ("R15", "sql_injection", "high", "Potential SQL injection via string formatting",
      r"""execute\s*\(\s*['"][^'"]*%[^'"]*['"]""", "sql", "%"),
 ]:
-    _rule(_id, "security", _type, _severity, _message, _pattern(_regex, True), dialects=(_dialect,), needs=(_needs,))
+    _rule(_id, "security", _type, _severity, _message, matches(_regex, True), dialects=(_dialect,), needs=(_needs,))
 
 # --- quality, Python (from parser facts, see operators.syntax) -----------------------------------
-_rule("R16", "quality", "too_many_arguments", "medium", "Function has {n} arguments (max recommended: 7)", None,
+_rule("R16", "quality", "too_many_arguments", "medium", "Function has {n} arguments (max recommended: 7)",
       tool="ast_analysis", dialects=("python",), scope="syntax", quote="none")
-_rule("R17", "quality", "long_line", "low", "Line length {n} exceeds 120 characters", None,
+_rule("R17", "quality", "long_line", "low", "Line length {n} exceeds 120 characters",
       tool="ast_analysis", dialects=("python",), scope="syntax", quote="none")
-_rule("R18", "quality", "syntax_error", "high", "Syntax error: {text}", None,
+_rule("R18", "quality", "syntax_error", "high", "Syntax error: {text}",
       tool="ast_analysis", dialects=("python",), scope="syntax", quote="none")
 
 # --- quality, JavaScript and TypeScript ----------------------------------------------------------
 _rule("R19", "quality", "console_statement", "low", "Console statement found (should be removed in production)",
-      _pattern(r"console\.(log|debug|info|warn|error)"), dialects=("js",), needs=("console.",))
+      matches(r"console\.(log|debug|info|warn|error)"), dialects=("js",), needs=("console.",))
 _rule("R20", "quality", "var_usage", "medium", "Use of var (prefer let/const)",
-      _pattern(r"\bvar\s+\w+"), dialects=("js",), needs=("var",))
+      matches(r"\bvar\s+\w+"), dialects=("js",), needs=("var",))
 _rule("R21", "quality", "loose_equality", "medium", "Use of == (prefer === for strict equality)",
-      _pattern(r"[^=!]==[^=]"), dialects=("js",), needs=("==",))
+      matches(r"[^=!]==[^=]"), dialects=("js",), needs=("==",))
 
 # --- quality, Java ---------------------------------------------------------------------------------
 _rule("R22", "quality", "system_out_println", "low", "System.out.println found (use logging instead)",
-      _always, dialects=("java",), needs=("System.out.println",))
+      dialects=("java",), needs=("System.out.println",))
 _rule("R23", "quality", "empty_catch", "high", "Empty catch block (should handle or log exception)",
-      _pattern(r"catch\s*\([^)]+\)\s*\{\s*\}"), dialects=("java",), needs=("catch",))
+      matches(r"catch\s*\([^)]+\)\s*\{\s*\}"), dialects=("java",), needs=("catch",))
 
 # --- performance -------------------------------------------------------------------------------------
 _rule("R24", "performance", "string_concatenation_in_loop", "medium",
       "String concatenation in loop (consider using join() or list)",
-      lambda l: contains_any(l.text, ["for ", "while "]), dialects=("python",), needs=("+=",))
+      has("for ", "while "), dialects=("python",), needs=("+=",))
 _rule("R25", "performance", "list_comprehension_opportunity", "low",
       "Consider using list comprehension for better performance",
-      _pattern(r"for\s+\w+\s+in\s+.*:\s*\w+\.append\("), dialects=("python",), needs=(".append(",))
+      matches(r"for\s+\w+\s+in\s+.*:\s*\w+\.append\("), dialects=("python",), needs=(".append(",))
 _rule("R26", "performance", "dom_query_in_loop", "medium", "DOM query in loop (cache the result outside loop)",
-      lambda l: contains_any(l.text, ["for", "while"])
-      & contains_any(l.text, ["document.getElementById", "document.querySelector"]),
+      has("for", "while") + " AND " + has("document.getElementById", "document.querySelector"),
       dialects=("js",), needs=("document.",))
 _rule("R27", "performance", "inefficient_array_search", "low",
       "Consider using .includes() instead of .indexOf() for existence check",
-      _pattern(r"\.indexOf\(.*\)\s*[><!]=?\s*-?1"), dialects=("js",), needs=(".indexOf(",))
+      matches(r"\.indexOf\(.*\)\s*[><!]=?\s*-?1"), dialects=("js",), needs=(".indexOf(",))
 
 # --- security, YAML and Ansible ------------------------------------------------------------------------
 _YAML = ("yaml", "ansible")
 _ANSIBLE = ("ansible",)
 
 _rule("R28", "security", "hardcoded_secret", "high", "Hardcoded secret or credential detected",
-      _pattern(r"""(password|secret|key|token|api_key):\s*["']?[a-zA-Z0-9_\-+=\/]{8,}["']?""", True),
+      matches(r"""(password|secret|key|token|api_key):\s*["']?[a-zA-Z0-9_\-+=\/]{8,}["']?""", True),
       tool="yaml_security_analysis", dialects=_YAML, needs=(":",))
 _rule("R29", "security", "url_with_credentials", "high", "URL contains embedded credentials",
-      _pattern(r"https?://[^:]+:[^@]+@"), tool="yaml_security_analysis", dialects=_YAML, needs=("://",))
+      matches(r"https?://[^:]+:[^@]+@"), tool="yaml_security_analysis", dialects=_YAML, needs=("://",))
 
 _SECURITY_TOOL = "ansible_security_analysis"
+_MODE = r"""mode:\s*["']?(\d+)["']?"""
 _rule("R30", "security", "ansible_shell_injection", "high", "Potential shell injection via unescaped user input",
-      lambda l: contains_any(l.text, ["shell:", "command:"])
-      & contains_any(l.lower, ["user_input", "ansible_user", "item"]),
+      has("shell:", "command:") + " AND " + has_any_case("user_input", "ansible_user", "item"),
       tool=_SECURITY_TOOL, dialects=_ANSIBLE, needs=("{{",))
 _rule("R31", "security", "ansible_unsafe_sudo", "medium", "Use become instead of sudo in shell commands",
-      lambda l: l.matches(r"(shell|command):.*sudo") & ~l.file.content.contains("become:"),
+      matches(r"(shell|command):.*sudo") + " AND NOT contains(content, 'become:')",
       tool=_SECURITY_TOOL, dialects=_ANSIBLE, needs=("sudo",))
 _rule("R32", "security", "ansible_world_writable", "medium",
       "File/directory is world-writable, consider restricting permissions",
       # the first mode on the line counts
-      lambda l: F.regexp_extract(l.text, rx(r"""mode:\s*["']?(\d+)["']?"""), 1).rlike("^..7$"),
+      f"""regexp_extract(line, {sql_string(rx(_MODE))}, 1) rlike '^..7$'""",
       tool=_SECURITY_TOOL, dialects=_ANSIBLE, needs=("mode:",))
 _rule("R33", "security", "ansible_unquoted_src", "medium",
       "Use quote filter for dynamic file paths to prevent injection",
-      lambda l: l.has("{{") & ~l.matches(r"\|\s*quote"), tool=_SECURITY_TOOL, dialects=_ANSIBLE, needs=("src:",))
+      has("{{") + " AND NOT " + matches(r"\|\s*quote"), tool=_SECURITY_TOOL, dialects=_ANSIBLE, needs=("src:",))
 _rule("R34", "security", "ansible_debug_sensitive", "medium", "Debug statement might expose sensitive information",
-      lambda l: contains_any(l.text, ["var:", "msg:"])
-      & contains_any(l.lower, ["password", "secret", "key", "token"]),
+      has("var:", "msg:") + " AND " + has_any_case("password", "secret", "key", "token"),
       tool=_SECURITY_TOOL, dialects=_ANSIBLE, needs=("debug:",))
 
 
-def _lacks_no_log(line: Line):
-    """No ``no_log:`` near the first place in the file where the line's text occurs.
-
-    Near is the rest of that line before the text, the text, and 200 characters after it.
-    """
-    content = line.file.content
-    before = F.position(line.text, content) - 1
-    same_line = F.substring_index(F.left(content, before), "\n", -1)
-    after = F.substring(content, before + 1, F.length(line.text) + 200)
-    return ~F.concat(same_line, after).contains("no_log:")
-
-
+# No "no_log:" near the first place in the file where the line's text occurs: the rest of that line
+# before the text, the text itself, and 200 characters after it.
+_LACKS_NO_LOG = r"""NOT contains(concat(
+    substring_index(left(content, position(line, content) - 1), decode(X'0A', 'utf-8'), -1),
+    substring(content, position(line, content), length(line) + 200)), 'no_log:')"""
 _rule("R35", "security", "ansible_missing_no_log", "high", "Tasks with passwords should use no_log: true",
       # "user:" is part of "mysql_user:" and "postgresql_user:"
-      lambda l: l.has("user:") & _lacks_no_log(l),
+      has("user:") + " AND " + _LACKS_NO_LOG,
       tool=_SECURITY_TOOL, dialects=_ANSIBLE, needs=("password",))
 
 # --- quality, YAML and Ansible -----------------------------------------------------------------------------
 _rule("R36", "quality", "yaml_tabs", "medium", "YAML files should use spaces, not tabs for indentation",
-      _always, tool="yaml_analysis", dialects=_YAML, needs=("\t",), quote="rstrip")
+      tool="yaml_analysis", dialects=_YAML, needs=("\t",), quote="rstrip")
 _rule("R37", "quality", "trailing_whitespace", "low", "Remove trailing whitespace",
-      lambda l: (rstrip(l.text) != l.text) & (lstrip(l.text) != ""),
+      f"rtrim({WS}, line) != line AND ltrim({WS}, line) != ''",
       tool="yaml_analysis", dialects=_YAML, quote="rstrip")
 _rule("R38", "quality", "inconsistent_indentation", "medium",
       "YAML indentation should be consistent (multiples of 2 spaces)",
-      lambda l: l.text.startswith(" ") & (lstrip(l.text) != "")
-      & ((F.length(l.text) - F.length(lstrip(l.text))) % 2 != 0),
+      f"startswith(line, ' ') AND ltrim({WS}, line) != '' AND (length(line) - length(ltrim({WS}, line))) % 2 != 0",
       tool="yaml_analysis", dialects=_YAML, quote="rstrip")
 
 for _id, _literal, _message in [
@@ -159,44 +139,39 @@ for _id, _literal, _message in [
     ("R41", "sudo_user:", "Use become_user instead of sudo_user"),
     ("R42", "always_run:", "Use check_mode instead of always_run"),
 ]:
-    _rule(_id, "quality", "ansible_deprecated_syntax", "medium", _message, _always,
+    _rule(_id, "quality", "ansible_deprecated_syntax", "medium", _message,
           tool="ansible_analysis", dialects=_ANSIBLE, needs=(_literal,))
 _rule("R43", "quality", "ansible_unquoted_variables", "medium",
       "Variables should be quoted to prevent YAML parsing issues",
-      lambda l: l.has("}}") & l.matches(r":\s*\{\{.*\}\}") & ~l.matches(r""":\s*["']\{\{.*\}\}["']"""),
+      has("}}") + " AND " + matches(r":\s*\{\{.*\}\}") + " AND NOT " + matches(r""":\s*["']\{\{.*\}\}["']"""),
       tool="ansible_analysis", dialects=_ANSIBLE, needs=("{{",))
 # A security issue found by the quality phase: it is in the summary but lowers neither score.
 _rule("R44", "quality", "ansible_hardcoded_secret", "high", "Avoid hardcoding secrets, use vault or variables",
-      _pattern(r"""(password|secret|key|token):\s*["']?[a-zA-Z0-9]+["']?""", True), category="security",
+      matches(r"""(password|secret|key|token):\s*["']?[a-zA-Z0-9]+["']?""", True), category="security",
       tool="ansible_analysis", dialects=_ANSIBLE, needs=(":",))
 
 
-def _task_count(file: File):
-    return F.size(F.split(file.content, "- name:", -1)) - 1
-
+_TASKS = "cast(size(split(content, '- name:', -1)) - 1 as int)"
 
 _rule("R45", "quality", "ansible_missing_tasks", "high", "Playbook should have either tasks or roles section",
-      lambda f: f.content.contains("hosts:") & ~contains_any(f.content, ["tasks:", "roles:"]),
+      has("hosts:", column="content") + " AND NOT " + has("tasks:", "roles:", column="content"),
       tool="ansible_analysis", dialects=_ANSIBLE, scope="file", quote="empty")
 _rule("R46", "quality", "ansible_complex_playbook", "medium", "Playbook has {n} tasks, consider breaking into roles",
-      lambda f: _task_count(f) > 50, count=_task_count,
+      f"{_TASKS} > 50", count=_TASKS,
       tool="ansible_analysis", dialects=_ANSIBLE, scope="file", quote="empty")
 _rule("R47", "quality", "ansible_missing_documentation", "low",
       "Consider adding comments or description for better maintainability",
-      lambda f: f.content.contains("- name:") & ~contains_any(f.content, ["description:", "# "]),
+      has("- name:", column="content") + " AND NOT " + has("description:", "# ", column="content"),
       tool="ansible_analysis", dialects=_ANSIBLE, scope="file", quote="empty")
 
 # --- performance, Ansible ---------------------------------------------------------------------------------------
 _rule("R48", "performance", "ansible_inefficient_module", "medium",
       "Consider using specific Ansible modules instead of shell/command",
-      lambda l: contains_any(l.text, ["shell:", "command:"])
-      & contains_any(l.lower, ["apt ", "yum ", "pip ", "git clone", "systemctl"]),
+      has("shell:", "command:") + " AND " + has_any_case("apt ", "yum ", "pip ", "git clone", "systemctl"),
       tool="ansible_analysis", dialects=_ANSIBLE, needs=(":",))
 _rule("R49", "performance", "ansible_missing_when", "low",
       "Consider adding when conditions to skip unnecessary tasks",
       # look ahead five lines; tasks at the very end of the file are let off
-      lambda l: (l.number < F.size(l.file.lines) - 5)
-      & ~F.exists(F.slice(l.file.lines, l.number + 1, 5), lambda ahead: ahead.contains("when:")),
+      "pos + 1 < size(lines) - 5 AND NOT exists(slice(lines, pos + 2, 5), ahead -> contains(ahead, 'when:'))",
       tool="ansible_analysis", dialects=_ANSIBLE, needs=("register:",))
-_rule("R50", "performance", "ansible_deprecated_loop", "medium", "with_items is deprecated, use loop instead",
-      _always, tool="ansible_analysis", dialects=_ANSIBLE, needs=("with_items:",))
+_rule("R50", "performance", "ansible_deprecated_loop", "medium", "with_items is deprecated, use loop instead", tool="ansible_analysis", dialects=_ANSIBLE, needs=("with_items:",))

@@ -5,22 +5,26 @@ Fixed values throughout this file: keywords, types, severities and messages.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from codesieve.functions.text import contains_any, lstrip
-from codesieve.rules.registry import Rule, register
+from codesieve.functions.text import SQL_WHITESPACE as WS
+from codesieve.functions.text import sql_string
+from codesieve.rules.registry import Rule, has, has_any_case, register
 
 _LONG = "Line length {n} exceeds 120 characters"
 _ENUMERATE = "Consider using enumerate() instead of range(len())"
 _EVAL_EXEC = "Dangerous eval/exec usage"
 
 
+_LONGER = "length(line) > 120"
+_NOT_COMMENT = f"NOT startswith(ltrim({WS}, line), '#')"
+_QUOTE = "(contains(line, '\"') OR contains(line, decode(X'27', 'utf-8')))"
+
+
 def _rule(id, profile, category, type, severity, message, when, needs=(), quote="none"):
     register(Rule(id, profile, category, category, type, severity, message, None, when, needs=needs, quote=quote))
 
 
-def _long(line):
-    return F.length(line.text) > 120
+def _starts(word):
+    return f"startswith(ltrim({WS}, line), {sql_string(word)})"
 
 
 # --- web -----------------------------------------------------------------------------------------
@@ -31,8 +35,7 @@ for _id, _word, _message in [
     ("R54", "access_token", "Hardcoded access token detected"),
 ]:
     _rule(_id, "web", "security", "hardcoded_credential", "high", _message,
-          lambda l, w=_word: contains_any(l.text, ['"', "'"]) & l.lower.contains(w)
-          & ~lstrip(l.text).startswith("#") & ~l.lower.contains("input("),
+          f"{has_any_case(_word)} AND {_QUOTE} AND {_NOT_COMMENT} AND NOT {has_any_case('input(')}",
           needs=("=",), quote="head")
 for _id, _call, _message in [
     ("R55", "eval(", "Use of eval() function - potential code injection risk"),
@@ -41,32 +44,32 @@ for _id, _call, _message in [
     ("R58", "shell_exec(", "Use of shell_exec() function - potential command injection risk"),
 ]:
     _rule(_id, "web", "security", "dangerous_function", "high", _message,
-          lambda l: ~lstrip(l.text).startswith("#"), needs=(_call,), quote="head")
-_rule("R59", "web", "quality", "line_length", "low", _LONG, _long, quote="ellipsis")
+          _NOT_COMMENT, needs=(_call,), quote="head")
+_rule("R59", "web", "quality", "line_length", "low", _LONG, _LONGER, quote="ellipsis")
 _rule("R60", "web", "quality", "todo_comment", "low", "TODO/FIXME comment found",
-      lambda l: contains_any(F.upper(l.text), ["TODO", "FIXME", "HACK"]), quote="head")
+      has("TODO", "FIXME", "HACK", column="upper(line)"), quote="head")
 _rule("R61", "web", "performance", "inefficient_loop", "medium", _ENUMERATE,
-      lambda l: l.has("for"), needs=("range(len(",), quote="head")
+      has("for"), needs=("range(len(",), quote="head")
 
 # --- interactive -----------------------------------------------------------------------------------
 _rule("R62", "interactive", "security", "hardcoded_credential", "high", "Possible hardcoded credential",
-      lambda l: contains_any(l.lower, ["password", "secret", "key"]), needs=("=",))
+      has_any_case("password", "secret", "key"), needs=("=",))
 _rule("R63", "interactive", "security", "code_injection", "high", _EVAL_EXEC,
-      lambda l: contains_any(l.text, ["eval(", "exec("]), needs=("(",))
-_rule("R64", "interactive", "quality", "line_length", "low", _LONG, _long)
+      has("eval(", "exec("), needs=("(",))
+_rule("R64", "interactive", "quality", "line_length", "low", _LONG, _LONGER)
 _rule("R65", "interactive", "performance", "inefficient_loop", "medium", _ENUMERATE,
-      lambda l: l.has("for") & l.has("in"), needs=("range(len(",))
+      has("for") + " AND " + has("in"), needs=("range(len(",))
 
 # --- quick -------------------------------------------------------------------------------------------
 _rule("R66", "quick", "security", "hardcoded_credential", "high", "Possible hardcoded password",
-      lambda l: l.lower.contains("password"), needs=("=",))
+      has_any_case("password"), needs=("=",))
 _rule("R67", "quick", "security", "sql_injection", "high", "Potential SQL injection vulnerability",
-      lambda l: contains_any(l.text, ["+", "format"]) & l.lower.contains("sql"))
+      has("+", "format") + " AND " + has_any_case("sql"))
 _rule("R68", "quick", "security", "code_injection", "high", _EVAL_EXEC,
-      lambda l: contains_any(l.text, ["eval(", "exec("]), needs=("(",))
-_rule("R69", "quick", "quality", "line_length", "low", _LONG, _long)
+      has("eval(", "exec("), needs=("(",))
+_rule("R69", "quick", "quality", "line_length", "low", _LONG, _LONGER)
 _rule("R70", "quick", "quality", "todo_comment", "low", "TODO/FIXME comment found",
-      lambda l: lstrip(l.text).startswith("TODO") | lstrip(l.text).startswith("FIXME"))
+      f"({_starts('TODO')} OR {_starts('FIXME')})")
 # A file whose text could not be read; raised by the scan itself.
 register(Rule("R71", "quick", "quality", "quality", "file_error", "medium",
-              "Could not analyze file: content is not readable", None, None, scope="unreadable", quote="none"))
+              "Could not analyze file: content is not readable", None, scope="unreadable", quote="none"))

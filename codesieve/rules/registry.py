@@ -1,23 +1,23 @@
 """What a rule is, and how to add one.
 
-A rule is data (id, category, severity, message ...) plus ``when``, a function from a :class:`Line`
-or :class:`File` to a boolean Column. Rules are compiled into one expression by
-:mod:`codesieve.operators.scan`, so adding a rule adds no pass over the data::
+A rule is data: id, category, severity, message, and ``when``, a Spark SQL predicate. Predicates see
 
-    register(Rule("X01", "core", "quality", "quality", "long_method_chain", "low",
-                  "Long method chain", "pattern_analysis",
-                  lambda l: l.matches(r"(\\.\\w+\\(\\)){6,}"), dialects=("java",), needs=(".",)))
+* ``line``     the text of the line, and ``pos``, its place counted from 0 (line rules),
+* ``content``  the text of the file, and ``lines``, all its lines.
+
+Rules are compiled into one expression by :mod:`codesieve.operators.scan`, so adding a rule adds no
+pass over the data::
+
+    register(Rule("X01", "core", "quality", "quality", "long_call_chain", "low", "Long call chain",
+                  "pattern_analysis", matches(r"(\\.\\w+\\(\\)){6,}"), dialects=("java",), needs=(".",)))
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from codesieve.functions.text import rx
+from codesieve.functions.text import rx, sql_string
 
 PROFILES = ("core", "web", "interactive", "quick")
 CATEGORIES = ("security", "quality", "performance")
@@ -26,31 +26,19 @@ CATEGORIES = ("security", "quality", "performance")
 DIALECTS = ("python", "js", "java", "sql", "yaml", "ansible", "other")
 
 
-@dataclass(frozen=True)
-class File:
-    """Columns of the file a rule looks at."""
+def matches(pattern: str, ignore_case: bool = False, column: str = "line") -> str:
+    """Predicate: the regular expression, with Python's meaning, is found in the column."""
+    return f"{column} rlike {sql_string(rx(pattern, ignore_case))}"
 
-    content: Column
-    lines: Column
 
+def has(*words: str, column: str = "line") -> str:
+    """Predicate: the column contains one of the words."""
+    return "(" + " OR ".join(f"contains({column}, {sql_string(w)})" for w in words) + ")"
 
-@dataclass(frozen=True)
-class Line:
-    """Columns of the line a rule looks at; ``number`` counts from 1."""
 
-    text: Column
-    number: Column
-    file: File
-
-    @property
-    def lower(self) -> Column:
-        return F.lower(self.text)
-
-    def has(self, literal: str) -> Column:
-        return self.text.contains(literal)
-
-    def matches(self, pattern: str, ignore_case: bool = False) -> Column:
-        return self.text.rlike(rx(pattern, ignore_case))
+def has_any_case(*words: str) -> str:
+    """Predicate: the lower-cased line contains one of the words."""
+    return has(*words, column="lower(line)")
 
 
 @dataclass(frozen=True)
@@ -61,23 +49,22 @@ class Rule:
     category: str
     type: str
     severity: str
+    #: ``{n}`` becomes the line's length or ``count``, ``{text}`` the text of the hit
     message: str
     tool: str | None
-    when: Callable[[Line | File], Column] | None
+    #: SQL predicate; empty where ``needs`` decides alone
+    when: str = ""
     #: dialects the rule runs on; empty means all
     dialects: tuple[str, ...] = ()
     #: literals that every hit line contains; tested before ``when``
     needs: tuple[str, ...] = ()
-    #: "line", "file" or "syntax" (facts of the Python parser)
+    #: "line", "file", "syntax" (facts of the Python parser) or "unreadable"
     scope: str = "line"
-    #: which number replaces ``{n}`` in the message, for file rules
-    count: Callable[[File], Column] | None = None
+    #: SQL of the number in the message of a file rule
+    count: str = "cast(null as int)"
     #: how the line is quoted: strip, rstrip, head (100 characters), ellipsis, empty, none
     quote: str = "strip"
 
-    def runs_on(self, dialect: str) -> bool:
-        return not self.dialects or dialect in self.dialects
-
 
 _RULES: dict[str, Rule] = {}
 
