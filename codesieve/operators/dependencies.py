@@ -80,11 +80,7 @@ def pipfile(files: DataFrame) -> DataFrame:
     names = F.transform(entries, lambda l: F.btrim(strip(F.substring_index(l, "=", 1)), F.lit("\"'")))
     header = strip(F.substring_index("piece", "\n", 1))
     scope = F.when(header == "[packages]", "direct").when(header == "[dev-packages]", "dev")
-    return (
-        pieces.select("repo", "manifest", scope.alias("scope"), names.alias("packages"))
-        .filter(F.col("scope").isNotNull())
-        .select("repo", "manifest", "scope", F.explode("packages").alias("package"))
-    )
+    return _rows(pieces.filter(scope.isNotNull()), scope, names)
 
 
 def _keys(table) -> list[str]:

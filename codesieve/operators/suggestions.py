@@ -40,8 +40,11 @@ def with_suggestions(results: DataFrame) -> DataFrame:
 
 def suggestion_rows(results: DataFrame, type: str | None = None, priority: str | None = None) -> DataFrame:
     """One row per suggestion; ``order`` is its place in the file."""
-    out = results.select("repo", "path", F.posexplode("suggestions").alias("order", "s")).select(
-        "repo", "path", "order", "s.*")
+    # outer, for the same reason as in scan.issues
+    out = (
+        results.select("repo", "path", F.posexplode_outer("suggestions").alias("order", "s"))
+        .filter(F.col("s").isNotNull()).select("repo", "path", "order", "s.*")
+    )
     if type is not None:
         out = out.filter(F.col("type") == type)
     if priority is not None:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from codesieve.functions.levels import indicator, one_decimal
 from codesieve.functions.paths import base_name
-from codesieve.operators.rollups import language_names, repository_rollup
+from codesieve.operators.rollups import issues_by_category, language_names, repository_rollup
+from codesieve.operators.scan import issues
 from codesieve.operators.scores import PROFILE_POINTS, profile_scores
 from codesieve.operators.topn import first_issues
 
@@ -17,8 +18,7 @@ SHOWN = {"core": 10, "web": 10, "interactive": 5, "quick": 5}
 
 def category_sections(results: DataFrame, shown: int) -> DataFrame:
     """Per repository and category: how many issues, the first ones, and how many more there are."""
-    counts = results.select("repo", F.explode("issues").alias("i")).groupBy("repo", F.col("i.category").alias("category")).agg(
-        F.count("*").alias("issues"))
+    counts = issues_by_category(issues(results, "repo"))
     line = F.concat(F.lit("["), F.upper("severity"), F.lit("] "), base_name(F.col("path")), F.lit(":"), F.col("line_no"),
                     F.lit(" - "), F.col("description"))
     tops = first_issues(results, shown).groupBy("repo", "category").agg(

@@ -45,10 +45,9 @@ def ansible_lint_issues(reports: DataFrame) -> DataFrame:
 
     The findings come from the security phase but are quality issues, so they lower neither score.
     """
-    base = reports.withColumn("is_json", F.try_parse_json("report").isNotNull()).withColumn(
-        "entries", F.when(F.col("is_json"), F.from_json("report", _ANSIBLE_LINT)))
+    base = reports.withColumn("is_json", F.try_parse_json("report").isNotNull())
     e = F.col("e")
-    entries = base.select("repo", "path", F.explode("entries").alias("e")).select("repo", "path", *_columns(
+    entries = base.filter("is_json").select("repo", "path", F.explode(F.from_json("report", _ANSIBLE_LINT)).alias("e")).select("repo", "path", *_columns(
         phase=F.lit("security"),
         category=F.lit("quality"),
         type=F.concat(F.lit("ansible_lint_"), F.coalesce(e.tag, F.lit("unknown"))),

@@ -207,9 +207,9 @@ def _(spark, sf):
 @query("python_syntax", with_ctes(CORE, """
     SELECT repo, path, 'function' AS kind, CAST(prose_lines + at_line AS INT) AS line_no, name, NULL AS module, n_args, points
       FROM texts JOIN py_functions USING (py_snippet)
-    UNION ALL SELECT repo, path, 'class', prose_lines + at_line, name, NULL, NULL, NULL FROM texts JOIN py_classes USING (py_snippet)
-    UNION ALL SELECT repo, path, 'import', prose_lines + at_line, name, module, NULL, NULL FROM texts JOIN py_imports USING (py_snippet)
-    UNION ALL SELECT repo, path, 'syntax_error', prose_lines + at_line,
+    UNION ALL SELECT repo, path, 'class', CAST(prose_lines + at_line AS INT), name, NULL, NULL, NULL FROM texts JOIN py_classes USING (py_snippet)
+    UNION ALL SELECT repo, path, 'import', CAST(prose_lines + at_line AS INT), name, module, NULL, NULL FROM texts JOIN py_imports USING (py_snippet)
+    UNION ALL SELECT repo, path, 'syntax_error', CAST(prose_lines + at_line AS INT),
       'invalid syntax (<unknown>, line ' || (prose_lines + at_line) || ')', NULL, NULL, NULL
       FROM texts JOIN py_errors USING (py_snippet)"""))
 def _(spark, sf):
