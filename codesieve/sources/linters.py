@@ -86,12 +86,12 @@ def yamllint_issues(reports: DataFrame) -> DataFrame:
         phase=F.lit("quality"),
         category=F.lit("quality"),
         type=F.concat(F.lit("yaml_lint_"), F.coalesce(r["type"], F.lit("unknown"))),
-        severity=yamllint_severity(F.coalesce(r.level, F.lit("warning"))),
-        description=F.coalesce(r.desc, F.lit("YAML lint issue")),
-        line_no=F.coalesce(r.line, F.lit(0)),
+        severity=yamllint_severity(F.coalesce(r["level"], F.lit("warning"))),
+        description=F.coalesce(r["desc"], F.lit("YAML lint issue")),
+        line_no=F.coalesce(r["line"], F.lit(0)),
         code=F.lit(""),
         tool=F.lit("yamllint"),
-        rule=F.coalesce(r.rule, F.lit("")),
+        rule=F.coalesce(r["rule"], F.lit("")),
     ))
 
 

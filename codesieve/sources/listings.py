@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codesieve.operators.topn import first_per_group
+
 # The fields of each record.
 REPOSITORY = """id bigint, name string, full_name string, description string, language string, default_branch string,
     private boolean, fork boolean, archived boolean, disabled boolean, size bigint, stargazers_count bigint,
@@ -68,6 +70,14 @@ def _or(column: str, text: str) -> Column:
     return F.coalesce(F.when(F.col(column) != "", F.col(column)), F.lit(text))
 
 
+def first_of_owner(records: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` newest records of each owner, numbered in ``rank``; ``more`` counts those left out."""
+    owned = records.withColumn("owner", F.substring_index("full_name", "/", 1))
+    counts = owned.groupBy("owner").agg(F.greatest(F.count("*") - n, F.lit(0)).alias("more"))
+    first = first_per_group(owned, ["owner"], [F.col("updated_at").desc(), "full_name"], n, spread=["full_name"])
+    return first.join(counts, "owner")
+
+
 def detail(records: DataFrame) -> DataFrame:
     """Repository details with the licence name and owner login lifted out."""
     return (

@@ -24,6 +24,11 @@ def _array(values) -> F.Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def _fixed(files: DataFrame) -> DataFrame:
+    """The same rows behind a generator, so that a filter on a derived column does not repeat its derivation."""
+    return files.select(F.inline(F.array(F.struct(*files.columns))))
+
+
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``files(repo, path, size, raw)``: every document and page as a source file.
 
@@ -52,7 +57,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(site, F.concat(F.lit("play_"), "doc_id", F.lit("/site"), "ext")).otherwise(
         F.concat(F.lit("doc_"), "doc_id", "ext"))
     pages = table(spark, sf_dir, "pages")
-    return from_table(docs, F.col("source"), F.concat(folder, name), content).unionByName(from_table(
+    return _fixed(from_table(docs, F.col("source"), F.concat(folder, name), content)).unionByName(from_table(
         pages, F.regexp_extract("url", "https?://([^/]+)", 1),
         F.concat(F.lit("page_"), "page_id", F.lit(".html")), F.col("html")))
 
@@ -95,7 +100,7 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("module x\nrequire (\n  in/block v1\n)\n"), joined("\n", each("require example.com/", " v1"))))
         .otherwise(F.col("text"))
     )
-    return from_table(docs, F.col("repo"), F.col("path"), content)
+    return _fixed(from_table(docs, F.col("repo"), F.col("path"), content))
 
 
 REPO_LANGUAGES = ["python", "JavaScript", "Java", "go", "C++", None, "rust", "COBOL"]
