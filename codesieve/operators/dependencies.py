@@ -39,48 +39,67 @@ def root_manifests(files: DataFrame) -> DataFrame:
     return files.filter(F.col("path").isin(ROOT_MANIFESTS))
 
 
-def _named(files: DataFrame, names: list[str]) -> DataFrame:
-    return files.filter(base_name(F.col("path")).isin(names)).select("repo", F.col("path").alias("manifest"), "content")
+_PACKAGES = "array<struct<scope: string, package: string>>"
 
 
-def _rows(manifests: DataFrame, scope: Column, packages: Column) -> DataFrame:
-    return manifests.select("repo", "manifest", scope.alias("scope"), F.explode(packages).alias("package"))
+def _scoped(scope, packages: Column) -> Column:
+    label = F.lit(scope) if isinstance(scope, str) else scope
+    return F.transform(packages, lambda p: F.struct(label.alias("scope"), p.alias("package"))).cast(_PACKAGES)
 
 
-def requirements(files: DataFrame, strict: bool = False) -> DataFrame:
+def _none() -> Column:
+    return F.array().cast(_PACKAGES)
+
+
+def requirements_packages(content: Column, strict: bool = False) -> Column:
     """pip requirement files. ``strict`` also cuts ``~=``, extras and markers off the name."""
     stop = "[><=!~;\\[ ]" if strict else "[><=!]"
-    lines = F.transform(split_lines(F.col("content")), strip)
+    lines = F.transform(split_lines(content), strip)
     kept = F.filter(lines, lambda l: (l != "") & ~l.startswith("#") & ~l.startswith("-"))
-    names = F.filter(F.transform(kept, lambda l: strip(F.split(l, stop)[0])), lambda n: n != "")
-    return _rows(_named(files, REQUIREMENTS), F.lit("direct"), names)
+    names = F.transform(kept, lambda l: strip(F.split(l, stop)[0]))
+    return _scoped("direct", F.filter(names, lambda n: n != ""))
 
 
-def package_json(files: DataFrame) -> DataFrame:
-    """Keys of the three dependency objects; a file that is not JSON gives nothing."""
+def package_json_packages(content: Column) -> Column:
+    """Keys of the three dependency objects; a text that is not JSON gives nothing."""
     sections = {"direct": "$.dependencies", "dev": "$.devDependencies", "optional": "$.optionalDependencies"}
-    scoped = F.array(*[
-        F.struct(F.lit(scope).alias("scope"), F.json_object_keys(F.get_json_object("content", where)).alias("packages"))
+    found = F.concat(*[
+        F.coalesce(_scoped(scope, F.json_object_keys(F.get_json_object(content, where))), _none())
         for scope, where in sections.items()])
-    manifests = _named(files, PACKAGE_JSON).filter(F.try_parse_json("content").isNotNull())
-    return manifests.select("repo", "manifest", F.explode(scoped).alias("s")).select(
-        "repo", "manifest", "s.scope", F.explode("s.packages").alias("package"))
+    return F.when(F.try_parse_json(content).isNotNull(), found)
 
 
-def pipfile(files: DataFrame) -> DataFrame:
+def pipfile_packages(content: Column) -> Column:
     """Keys of ``[packages]`` and ``[dev-packages]``.
 
     The text is cut in front of every section header, so a line finds its section in its own piece
     and nothing has to be carried from row to row.
     """
-    pieces = _named(files, PIPFILE).select(
-        "repo", "manifest", F.explode(F.split("content", rx(r"\n(?=[^\S\n]*\[)"), -1)).alias("piece"))
-    lines = F.transform(split_lines(F.col("piece")), strip)
-    entries = F.filter(lines, lambda l: l.contains("=") & ~l.startswith("#") & ~l.startswith("["))
-    names = F.transform(entries, lambda l: F.btrim(strip(F.substring_index(l, "=", 1)), F.lit("\"'")))
-    header = strip(F.substring_index("piece", "\n", 1))
-    scope = F.when(header == "[packages]", "direct").when(header == "[dev-packages]", "dev")
-    return _rows(pieces.filter(scope.isNotNull()), scope, names)
+
+    def of_piece(piece):
+        header = strip(F.substring_index(piece, "\n", 1))
+        lines = F.transform(split_lines(piece), strip)
+        entries = F.filter(lines, lambda l: l.contains("=") & ~l.startswith("#") & ~l.startswith("["))
+        names = F.transform(entries, lambda l: F.btrim(strip(F.substring_index(l, "=", 1)), F.lit("\"'")))
+        return (
+            F.when(header == "[packages]", _scoped("direct", names))
+            .when(header == "[dev-packages]", _scoped("dev", names))
+            .otherwise(_none())
+        )
+
+    return F.flatten(F.transform(F.split(content, rx(r"\n(?=[^\S\n]*\[)"), -1), of_piece))
+
+
+def go_mod_packages(content: Column, strict: bool = False) -> Column:
+    """``require module`` statements. ``strict`` also reads the lines of ``require ( ... )`` blocks."""
+    single = F.filter(
+        F.regexp_extract_all(content, F.lit(rx(r"require\s+([^\s]+)")), F.lit(1)), lambda m: ~m.startswith("("))
+    if not strict:
+        return _scoped("direct", single)
+    blocks = F.regexp_extract_all(content, F.lit(rx(r"require\s*\(([^)]*)\)")), F.lit(1))
+    lines = F.transform(F.flatten(F.transform(blocks, split_lines)), strip)
+    entries = F.filter(lines, lambda l: (l != "") & ~l.startswith("//"))
+    return _scoped("direct", F.concat(single, F.transform(entries, lambda l: F.split(l, rx(r"\s"))[0])))
 
 
 def _keys(table) -> list[str]:
@@ -118,40 +137,35 @@ def _toml_batch(kinds: pa.Array, texts: pa.Array) -> pa.Array:
 _toml_batch.__annotations__ = {"kinds": pa.Array, "texts": pa.Array, "return": pa.Array}
 
 
-def toml_manifests(files: DataFrame) -> DataFrame:
+def toml_packages(base: Column, content: Column) -> Column:
     """Poetry and Cargo manifests, read by the standard TOML parser in Arrow batches."""
     sections = F.arrow_udf(_toml_batch, "struct<direct: array<string>, dev: array<string>>")
-    kind = F.when(base_name(F.col("manifest")).isin(CARGO), "cargo").otherwise("poetry")
-    parsed = _named(files, POETRY + CARGO).withColumn("s", sections(kind, F.col("content")))
-    scoped = F.array(*[
-        F.struct(F.lit(scope).alias("scope"), F.col(f"s.{scope}").alias("packages")) for scope in ("direct", "dev")])
-    return parsed.select("repo", "manifest", F.explode(scoped).alias("g")).select(
-        "repo", "manifest", "g.scope", F.explode("g.packages").alias("package"))
+    kind = F.when(base.isin(CARGO), "cargo").otherwise("poetry")
+    # texts of other manifests never leave the JVM
+    found = sections(kind, F.when(base.isin(POETRY + CARGO), content))
+    return F.concat(_scoped("direct", found["direct"]), _scoped("dev", found["dev"]))
 
 
-def go_mod(files: DataFrame, strict: bool = False) -> DataFrame:
-    """``require module`` statements. ``strict`` also reads the lines of ``require ( ... )`` blocks."""
-    single = F.filter(
-        F.regexp_extract_all("content", F.lit(rx(r"require\s+([^\s]+)")), F.lit(1)), lambda m: ~m.startswith("("))
-    found = _rows(_named(files, GO), F.lit("direct"), single)
-    if not strict:
-        return found
-    blocks = F.regexp_extract_all("content", F.lit(rx(r"require\s*\(([^)]*)\)")), F.lit(1))
-    lines = F.transform(F.flatten(F.transform(blocks, split_lines)), strip)
-    entries = F.filter(lines, lambda l: (l != "") & ~l.startswith("//"))
-    return found.unionByName(_rows(
-        _named(files, GO), F.lit("direct"), F.transform(entries, lambda l: F.split(l, rx(r"\s"))[0])))
-
-
-def declared(files: DataFrame, strict: bool = False) -> DataFrame:
-    """Every dependency of every known manifest, duplicates kept."""
-    return (
-        requirements(files, strict)
-        .unionByName(package_json(files))
-        .unionByName(pipfile(files))
-        .unionByName(toml_manifests(files))
-        .unionByName(go_mod(files, strict))
-    )
+def declared(files: DataFrame, strict: bool = False, names: list[str] | None = None) -> DataFrame:
+    """Every dependency of every known manifest (or of those called ``names``), duplicates kept.
+
+    One pass: the reader is chosen by the manifest's base name, on its own row.
+    """
+    base, content = base_name(F.col("path")), F.col("content")
+    readers = {
+        "requirements": (REQUIREMENTS, requirements_packages(content, strict)),
+        "package_json": (PACKAGE_JSON, package_json_packages(content)),
+        "pipfile": (PIPFILE, pipfile_packages(content)),
+        "go": (GO, go_mod_packages(content, strict)),
+        "toml": (POETRY + CARGO, toml_packages(base, content)),
+    }
+    known = [n for listed, _ in readers.values() for n in listed]
+    packages = None
+    for listed, found in readers.values():
+        packages = F.when(base.isin(listed), found) if packages is None else packages.when(base.isin(listed), found)
+    chosen = files.filter(base.isin(known if names is None else names))
+    return chosen.select("repo", F.col("path").alias("manifest"), F.explode(packages).alias("p")).select(
+        "repo", "manifest", "p.scope", "p.package")
 
 
 def repository_dependencies(files: DataFrame, strict: bool = False) -> DataFrame:

@@ -16,92 +16,82 @@ JAVA_IMPORT = r"import\s+(static\s+)?([a-zA-Z_][a-zA-Z0-9_.]*(?:\.\*)?);"
 GO_SINGLE = r'import\s+"([^"]+)"'
 GO_BLOCK = r"import\s*\(([^)]*)\)"
 
-_COLUMNS = ["repo", "path", "language", "type", "module", "name", "alias", "line_no"]
+_ARRAY = "array<struct<type: string, module: string, name: string, alias: string, line_no: int>>"
 
 
 def _all(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(text, F.lit(rx(pattern)), F.lit(group))
 
 
-def _record(type: Column, module: Column, name: Column | None = None) -> Column:
+def _record(type: Column, module: Column, line_no: Column, name: Column | None = None) -> Column:
     none = F.lit(None).cast("string")
-    return F.struct(type.alias("type"), module.alias("module"), (none if name is None else name).alias("name"))
+    return F.struct(type.alias("type"), module.alias("module"), (none if name is None else name).alias("name"),
+                    none.alias("alias"), line_no.cast("int").alias("line_no"))
 
 
-def _lines_with(files: DataFrame, languages: list[str], words: list[str]) -> DataFrame:
-    """Numbered lines of some languages that contain one of the words; the others are dropped at once."""
-    test = F.lit(False)
-    for word in words:
-        test = test | F.col("line").contains(word)
-    return (
-        files.filter(F.col("language").isin(languages))
-        .select("repo", "path", "language", F.posexplode(split_lines(F.col("content"))).alias("pos", "line"))
-        .filter(test)
-        .select("repo", "path", "language", (F.col("pos") + 1).alias("line_no"), "line")
-    )
+def _from_lines(content: Column, found) -> Column:
+    """``found(line, line_no)`` over all lines, as one array; it is null for lines without an import."""
+    per_line = F.transform(split_lines(content), lambda line, pos: found(line, pos + 1))
+    return F.flatten(F.filter(per_line, lambda rows: rows.isNotNull()))
 
 
-def _explode(lines: DataFrame, found: Column) -> DataFrame:
-    none = F.lit(None).cast("string")
-    return lines.select("repo", "path", "language", "line_no", F.explode(found).alias("r")).select(
-        "repo", "path", "language", "r.type", "r.module", "r.name", none.alias("alias"), "line_no")
-
+def python_records(content: Column) -> Column:
+    return syntax_facts(content)["imports"]
 
-def python_imports(files: DataFrame) -> DataFrame:
-    parsed = files.filter("language = 'python'").select(
-        "repo", "path", "language", F.explode(syntax_facts(F.col("content"))["imports"]).alias("r"))
-    return parsed.select("repo", "path", "language", "r.type", "r.module", "r.name", "r.alias", "r.line_no")
 
-
-def js_imports(files: DataFrame) -> DataFrame:
+def js_records(content: Column) -> Column:
     """ES imports, bare imports and ``const x = require(...)``; a bare import gives its whole module."""
-    line = F.col("line")
 
-    def named(pattern):
-        pairs = F.arrays_zip(_all(line, pattern, 1).alias("name"), _all(line, pattern, 2).alias("module"))
-        return F.transform(pairs, lambda p: _record(F.lit("import"), p.module, p["name"]))
+    def found(line, line_no):
+        def named(pattern):
+            pairs = F.arrays_zip(_all(line, pattern, 1).alias("name"), _all(line, pattern, 2).alias("module"))
+            return F.transform(pairs, lambda p: _record(F.lit("import"), p.module, line_no, p["name"]))
 
-    bare = F.transform(_all(line, JS_BARE, 1), lambda m: _record(F.lit("import"), m))
-    found = F.concat(
-        F.when(line.contains("import"), F.concat(named(JS_FROM), bare)).otherwise(F.array().cast(_ARRAY)),
-        F.when(line.contains("require"), named(JS_REQUIRE)).otherwise(F.array().cast(_ARRAY)),
-    )
-    return _explode(_lines_with(files, ["javascript", "typescript"], ["import", "require"]), found)
+        bare = F.transform(_all(line, JS_BARE, 1), lambda m: _record(F.lit("import"), m, line_no))
+        return F.when(line.contains("import") | line.contains("require"), F.concat(named(JS_FROM), bare, named(JS_REQUIRE)))
 
+    return _from_lines(content, found)
 
-_ARRAY = "array<struct<type: string, module: string, name: string>>"
 
+def java_records(content: Column) -> Column:
+    def found(line, line_no):
+        pairs = F.arrays_zip(_all(line, JAVA_IMPORT, 1).alias("static"), _all(line, JAVA_IMPORT, 2).alias("module"))
+        return F.when(line.contains("import"), F.transform(pairs, lambda p: _record(
+            F.when(p["static"] != "", "static_import").otherwise("import"), p.module, line_no)))
 
-def java_imports(files: DataFrame) -> DataFrame:
-    line = F.col("line")
-    pairs = F.arrays_zip(_all(line, JAVA_IMPORT, 1).alias("static"), _all(line, JAVA_IMPORT, 2).alias("module"))
-    found = F.transform(pairs, lambda p: _record(
-        F.when(p["static"] != "", "static_import").otherwise("import"), p.module))
-    return _explode(_lines_with(files, ["java"], ["import"]), found)
+    return _from_lines(content, found)
 
 
-def go_imports(files: DataFrame) -> DataFrame:
+def go_records(content: Column) -> Column:
     """Single imports by line; block imports have line 0."""
-    single = _explode(
-        _lines_with(files, ["go"], ["import"]),
-        F.transform(_all(F.col("line"), GO_SINGLE, 1), lambda m: _record(F.lit("import"), m)))
-    entries = F.transform(
-        F.flatten(F.transform(_all(F.col("content"), GO_BLOCK, 1), lambda block: split_lines(block))), strip)
+    single = _from_lines(content, lambda line, line_no: F.when(line.contains("import"), F.transform(
+        _all(line, GO_SINGLE, 1), lambda m: _record(F.lit("import"), m, line_no))))
+    entries = F.transform(F.flatten(F.transform(_all(content, GO_BLOCK, 1), split_lines)), strip)
     quoted = F.filter(entries, lambda e: (e != "") & e.startswith('"') & e.endswith('"'))
-    none = F.lit(None).cast("string")
-    block = (
-        files.filter((F.col("language") == "go") & F.col("content").contains("import"))
-        .select("repo", "path", "language", F.explode(quoted).alias("entry"))
-        .select("repo", "path", "language", F.lit("import").alias("type"),
-                F.btrim("entry", F.lit('"')).alias("module"), none.alias("name"), none.alias("alias"),
-                F.lit(0).alias("line_no"))
-    )
-    return single.unionByName(block)
-
-
-def extract_imports(files: DataFrame) -> DataFrame:
-    """All imports of ``files(repo, path, language, content)``."""
-    return (
-        python_imports(files).unionByName(js_imports(files)).unionByName(java_imports(files)).unionByName(go_imports(files))
-        .select(*_COLUMNS)
-    )
+    block = F.transform(quoted, lambda e: _record(F.lit("import"), F.btrim(e, F.lit('"')), F.lit(0)))
+    return F.concat(single, block)
+
+
+RECORDS = {
+    ("python",): python_records,
+    ("javascript", "typescript"): js_records,
+    ("java",): java_records,
+    ("go",): go_records,
+}
+
+
+def extract_imports(files: DataFrame, *languages: str) -> DataFrame:
+    """Imports of ``files(repo, path, language, content)``, of all known languages or the given ones.
+
+    One pass: each file's imports are found on its own row, by the extractor of its language.
+    """
+    records = None
+    for names, extract in RECORDS.items():
+        if languages and not set(names) & set(languages):
+            continue
+        test = F.col("language").isin(list(names))
+        # the parser gets nulls for other languages
+        found = extract(F.when(test, F.col("content"))) if extract is python_records else extract(F.col("content"))
+        found = found.cast(_ARRAY)
+        records = F.when(test, found) if records is None else records.when(test, found)
+    return files.select("repo", "path", "language", F.explode(records).alias("r")).select("repo", "path", "language", "r.*")

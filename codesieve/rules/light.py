@@ -47,7 +47,7 @@ for _id, _call, _message in [
           _NOT_COMMENT, needs=(_call,), quote="head")
 _rule("R59", "web", "quality", "line_length", "low", _LONG, _LONGER, quote="ellipsis")
 _rule("R60", "web", "quality", "todo_comment", "low", "TODO/FIXME comment found",
-      has("TODO", "FIXME", "HACK", column="upper(line)"), quote="head")
+      has_any_case("TODO", "FIXME", "HACK", fold="upper"), quote="head")
 _rule("R61", "web", "performance", "inefficient_loop", "medium", _ENUMERATE,
       has("for"), needs=("range(len(",), quote="head")
 

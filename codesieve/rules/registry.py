@@ -36,9 +36,9 @@ def has(*words: str, column: str = "line") -> str:
     return "(" + " OR ".join(f"contains({column}, {sql_string(w)})" for w in words) + ")"
 
 
-def has_any_case(*words: str) -> str:
-    """Predicate: the lower-cased line contains one of the words."""
-    return has(*words, column="lower(line)")
+def has_any_case(*words: str, fold: str = "lower") -> str:
+    """Predicate: the line contains one of the words once its case is folded; it is folded only once."""
+    return f"exists(array({fold}(line)), folded -> {has(*words, column='folded')})"
 
 
 @dataclass(frozen=True)

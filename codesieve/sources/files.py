@@ -36,6 +36,12 @@ def from_table(df: DataFrame, repo: Column, path: Column, raw: Column) -> DataFr
         repo.alias("repo"), path.alias("path"), F.octet_length(binary).cast("long").alias("size"), binary.alias("raw"))
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Deal out a table that comes in fewer pieces than there are cores; a large one is left as it is."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def discover(files: DataFrame, patterns=None, directories=None) -> DataFrame:
     """Drop excluded files, by path alone."""
     return files.filter(~is_excluded(F.col("path"), patterns, directories))

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesieve.sources.files import from_table
+from codesieve.sources.files import from_table, spread
 from workload.snippets import EXTENSIONS, FOLDERS, SITE, SNIPPETS
 
 MANIFESTS = [
@@ -16,8 +16,25 @@ MANIFESTS = [
 ]
 
 
+# columns the derivations use; giving them saves a look into the files
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "supplier": "s_suppkey bigint, s_name string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+              "o_orderpriority string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts, dealt out to all cores where its file is a single piece."""
+    return spread(table(spark, sf_dir, name))
 
 
 def _array(values) -> F.Column:
@@ -40,7 +57,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ext = F.element_at(_array(EXTENSIONS), (F.col("doc_id") % 12 + 1).cast("int"))
     snippets = F.from_json(F.lit(json.dumps(SNIPPETS)), "map<string, array<string>>")
     docs = (
-        table(spark, sf_dir, "documents")
+        texts(spark, sf_dir, "documents")
         .select("doc_id", "source", "text", ext.alias("ext"), step.alias("step"))
         .withColumn("choices", F.element_at(snippets, F.col("ext")))
         .withColumn("k", (F.col("step") % F.size("choices")).cast("int"))
@@ -56,7 +73,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         site = site | ((F.col("ext") == e) & (F.col("k") == k))
     name = F.when(site, F.concat(F.lit("play_"), "doc_id", F.lit("/site"), "ext")).otherwise(
         F.concat(F.lit("doc_"), "doc_id", "ext"))
-    pages = table(spark, sf_dir, "pages")
+    pages = texts(spark, sf_dir, "pages")
     return _fixed(from_table(docs, F.col("source"), F.concat(folder, name), content)).unionByName(from_table(
         pages, F.regexp_extract("url", "https?://([^/]+)", 1),
         F.concat(F.lit("page_"), "page_id", F.lit(".html")), F.col("html")))
@@ -65,7 +82,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``files``: ten documents make a repository with ten manifests, their words are its packages."""
     words = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)))
-    docs = table(spark, sf_dir, "documents").select(
+    docs = texts(spark, sf_dir, "documents").select(
         F.concat(F.lit("org/r"), F.floor(F.col("doc_id") / 10)).alias("repo"),
         F.element_at(_array(MANIFESTS), (F.col("doc_id") % 10 + 1).cast("int")).alias("path"),
         "text", words.alias("w"))
@@ -219,7 +236,7 @@ def linter_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Its lines become findings; some fields are left out, some reports and lines are not JSON.
     """
-    docs = table(spark, sf_dir, "documents").select(
+    docs = texts(spark, sf_dir, "documents").select(
         "doc_id", "source", F.concat(F.lit("doc_"), "doc_id").alias("path"), F.split("text", "\n").alias("lines"))
     lines = F.filter("lines", lambda l: l != "")
     level = F.element_at(_array(["very_high", "HIGH", "medium", "low", "info", "odd"]), (F.col("doc_id") % 6 + 1).cast("int"))

@@ -63,12 +63,10 @@ def _(spark, sf):
     return imports.extract_imports(_source(spark, sf))
 
 
-for _language, _function in {
-    "py": imports.python_imports, "js": imports.js_imports, "java": imports.java_imports, "go": imports.go_imports,
-}.items():
+for _language, _names in {"py": ["python"], "js": ["javascript", "typescript"], "java": ["java"], "go": ["go"]}.items():
     @query(f"{_language}_imports", with_ctes(CORE + _IMPORTS, f"SELECT {_FIELDS} FROM {_language}"))
-    def _(spark, sf, function=_function):
-        return function(_source(spark, sf))
+    def _(spark, sf, names=_names):
+        return imports.extract_imports(_source(spark, sf), *names)
 
 
 # --- dependencies --------------------------------------------------------------------------------------
@@ -107,17 +105,17 @@ def _(spark, sf):
     return dependencies.root_manifests(corpus.manifests(spark, sf)).select("repo", "path")
 
 
-for _name, _function, _from, _where in [
-    ("requirements_packages", dependencies.requirements, "requirement", "true"),
-    ("package_json_packages", dependencies.package_json, "keyed", "manifest = 'package.json'"),
-    ("pipfile_packages", dependencies.pipfile, "keyed", "manifest = 'Pipfile'"),
-    ("toml_packages", dependencies.toml_manifests, "keyed", "manifest IN ('Cargo.toml', 'pyproject.toml')"),
-    ("go_mod_packages", dependencies.go_mod, "go_required", "true"),
-    ("declared_packages", dependencies.declared, "declared", "true"),
+for _name, _listed, _from, _where in [
+    ("requirements_packages", dependencies.REQUIREMENTS, "requirement", "true"),
+    ("package_json_packages", dependencies.PACKAGE_JSON, "keyed", "manifest = 'package.json'"),
+    ("pipfile_packages", dependencies.PIPFILE, "keyed", "manifest = 'Pipfile'"),
+    ("toml_packages", dependencies.POETRY + dependencies.CARGO, "keyed", "manifest IN ('Cargo.toml', 'pyproject.toml')"),
+    ("go_mod_packages", dependencies.GO, "go_required", "true"),
+    ("declared_packages", None, "declared", "true"),
 ]:
     @query(_name, with_ctes(_MANIFEST, f"SELECT repo, manifest, scope, package FROM {_from} WHERE {_where}"))
-    def _(spark, sf, function=_function):
-        return function(_manifests(spark, sf))
+    def _(spark, sf, names=_listed):
+        return dependencies.declared(_manifests(spark, sf), names=names)
 
 
 @query("strict_requirements", with_ctes(MANIFEST_FILES + _REQUIREMENTS, f"""
@@ -125,13 +123,13 @@ for _name, _function, _from, _where in [
     WHERE line <> '' AND NOT starts_with(line, '#') AND NOT starts_with(line, '-')
       AND trim(regexp_split_to_array(line, '[><=!~;\\[ ]')[1], {WS}) <> ''"""))
 def _(spark, sf):
-    return dependencies.requirements(_manifests(spark, sf), strict=True)
+    return dependencies.declared(_manifests(spark, sf), True, dependencies.REQUIREMENTS)
 
 
 @query("strict_go_mod", with_ctes(_MANIFEST, """
     SELECT * FROM go_required UNION ALL SELECT repo, path, 'direct', 'in/block' FROM manifests WHERE path = 'go.mod'"""))
 def _(spark, sf):
-    return dependencies.go_mod(_manifests(spark, sf), strict=True)
+    return dependencies.declared(_manifests(spark, sf), True, dependencies.GO)
 
 
 @query("repository_dependencies", with_ctes(_MANIFEST, "SELECT repo, scope, package FROM distinct_packages"))
@@ -459,12 +457,12 @@ def _(spark, sf):
 
 @query("scores_with_findings", with_ctes(CORE + SCORES + _LINT + """,
     matched AS (SELECT repo, path || '.py' AS name, severity FROM bandit),
-    points AS (SELECT repo, name, sum(CASE severity WHEN 'high' THEN 20 WHEN 'medium' THEN 10 ELSE 5 END) AS p FROM matched GROUP BY ALL),
+    extra_points AS (SELECT repo, name, sum(CASE severity WHEN 'high' THEN 20 WHEN 'medium' THEN 10 ELSE 5 END) AS p FROM matched GROUP BY ALL),
     own AS (SELECT repo, path, sum(CASE WHEN category = 'security' AND phase = 'security' THEN CASE severity WHEN 'high' THEN 20
       WHEN 'medium' THEN 10 ELSE 5 END ELSE 0 END) AS p FROM named_issues GROUP BY ALL)""", """
     SELECT s.repo, s.path, CAST(greatest(0, 100 - coalesce(o.p, 0) - coalesce(f.p, 0)) AS DOUBLE) AS security_score
     FROM scores s LEFT JOIN own o ON o.repo = s.repo AND o.path = s.path
-    LEFT JOIN points f ON f.repo = s.repo AND f.name = list_extract(string_split(s.path, '/'), -1)"""))
+    LEFT JOIN extra_points f ON f.repo = s.repo AND f.name = list_extract(string_split(s.path, '/'), -1)"""))
 def _(spark, sf):
     files = corpus.source_files(spark, sf)
     paths = files.select("repo", "path", F.substring_index("path", "/", -1).alias("name"))
