@@ -40,7 +40,7 @@ def main() -> None:
 
     size = source_files(spark, sf_dir).agg(
         F.count("*").alias("files"), F.sum("size").alias("bytes"),
-        F.sum(F.length("raw") - F.length(F.replace(F.col("raw").cast("string"), F.lit("\n"), F.lit(""))) + 1).alias("lines"),
+        F.sum(F.size(F.split(F.col("raw").cast("string"), "\n", -1))).alias("lines"),
     ).first()
     seconds = warm["repository_rollup"]
     print(json.dumps({

@@ -74,13 +74,13 @@ def with_metrics(scanned: DataFrame) -> DataFrame:
         )
 
     points = F.aggregate(facts["functions"], F.lit(0), lambda acc, f: acc + f.decision_points)
-    return (
-        scanned.withColumn("lines_of_code", F.size(lines).cast("long"))
-        .withColumn("blank_lines", blank_lines(lines).cast("long"))
-        .withColumn("comment_lines", comment_lines(lines, language).cast("long"))
-        .withColumn("cyclomatic_complexity", python_or_js(points, JS_DECISIONS))
-        .withColumn("functions", python_or_js(F.size(facts["functions"]), JS_FUNCTIONS))
-        .withColumn("classes", python_or_js(F.size(facts["classes"]), JS_CLASSES))
-        .withColumn("file_size", F.col("size"))
-        .withColumn("file_hash", F.col("hash"))
-    )
+    return scanned.withColumns({
+        "lines_of_code": F.size(lines).cast("long"),
+        "blank_lines": blank_lines(lines).cast("long"),
+        "comment_lines": comment_lines(lines, language).cast("long"),
+        "cyclomatic_complexity": python_or_js(points, JS_DECISIONS),
+        "functions": python_or_js(F.size(facts["functions"]), JS_FUNCTIONS),
+        "classes": python_or_js(F.size(facts["classes"]), JS_CLASSES),
+        "file_size": F.col("size"),
+        "file_hash": F.col("hash"),
+    })

@@ -79,12 +79,12 @@ def repository_rollup(results: DataFrame) -> DataFrame:
         *[total(f"n_{s}").alias(f"{s}_issues") for s in _SEVERITIES],
         language_counts(F.col("language")).alias("languages"),
     )
-    return (
-        out.withColumn("most_common_language", most_common(F.col("languages")))
-        .withColumn("has_security_issues", F.col("security_issues") > 0)
-        .withColumn("requires_attention", (F.col("high_issues") > 0) | (F.col("security_issues") > 5))
-        .withColumn("recommendation", recommendation(F.col("high_issues"), F.col("total_issues")))
-    )
+    return out.withColumns({
+        "most_common_language": most_common(F.col("languages")),
+        "has_security_issues": F.col("security_issues") > 0,
+        "requires_attention": (F.col("high_issues") > 0) | (F.col("security_issues") > 5),
+        "recommendation": recommendation(F.col("high_issues"), F.col("total_issues")),
+    })
 
 
 def summary(rollup: DataFrame, dependencies: DataFrame | None = None) -> DataFrame:

@@ -51,11 +51,11 @@ def performance_score(issues: Column) -> Column:
 def with_scores(results: DataFrame) -> DataFrame:
     """Add the three file scores. A file without issues keeps its row and scores 100."""
     issues = F.col("issues")
-    return (
-        results.withColumn("security_score", security_score(issues))
-        .withColumn("quality_score", quality_score(issues, F.col("cyclomatic_complexity"), F.col("lines_of_code")))
-        .withColumn("performance_score", performance_score(issues))
-    )
+    return results.withColumns({
+        "security_score": security_score(issues),
+        "quality_score": quality_score(issues, F.col("cyclomatic_complexity"), F.col("lines_of_code")),
+        "performance_score": performance_score(issues),
+    })
 
 
 def repository_scores(results: DataFrame) -> DataFrame:

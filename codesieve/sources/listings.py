@@ -34,8 +34,9 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def parse_records(df: DataFrame, json: str, schema: str) -> DataFrame:
     """The same records from a JSON text column; other columns are kept in front."""
     others = [c for c in df.columns if c != json]
-    return df.withColumn("record", F.from_json(json, schema)).filter(F.col("record").isNotNull()).select(
-        *others, "record.*")
+    # behind a generator the text is parsed once, not once per field that is used
+    parsed = df.select(*others, F.explode(F.array(F.from_json(json, schema))).alias("record"))
+    return parsed.filter(F.col("record").isNotNull()).select(*others, "record.*")
 
 
 def listing(records: DataFrame, include_forks: bool = False, include_private: bool = False) -> DataFrame:

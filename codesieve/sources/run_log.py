@@ -18,7 +18,9 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_log(df: DataFrame, json: str) -> DataFrame:
     """Events from a JSON text column."""
-    return _typed(df.select(F.from_json(json, LOG).alias("e")).filter("e.logger is not null").select("e.*"))
+    # behind a generator the text is parsed once, not once per field that is used
+    parsed = df.select(F.explode(F.array(F.from_json(json, LOG))).alias("e"))
+    return _typed(parsed.filter("e.logger is not null").select("e.*"))
 
 
 def _typed(events: DataFrame) -> DataFrame:

@@ -228,7 +228,7 @@ def log_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO").alias("level"),
         F.concat(F.lit("scan."), F.col("user_id") % 50).alias("logger"),
         message.alias("message"), F.lit("analyzer").alias("module"), F.col("event_id").cast("int").alias("line"))
-    return table(spark, sf_dir, "events").select(F.to_json(record).alias("record"))
+    return texts(spark, sf_dir, "events").select(F.to_json(record).alias("record"))
 
 
 def linter_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
