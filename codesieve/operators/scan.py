@@ -222,21 +222,16 @@ def scan_with_rule_table(
     every task. A larger one is joined by shuffle, with the lines of each language spread over
     ``salts`` groups so that a common language does not end up in one task.
     """
-    keyed = rule_table.withColumnRenamed("language", "rule_language")
-    small = len(keyed.limit(broadcast_limit + 1).select("rule_id").take(broadcast_limit + 1)) <= broadcast_limit
-    # every-language rules get one copy per language of the corpus, so that the join stays an equi-join
-    languages = lines.select("language").distinct().select(F.coalesce("language", F.lit("")).alias("line_language"))
-    specific = keyed.filter(F.col("rule_language").isNotNull()).withColumn("line_language", F.col("rule_language"))
-    common = keyed.filter(F.col("rule_language").isNull()).withColumn("one", F.lit(1)).join(
-        languages.withColumn("one", F.lit(1)), "one").drop("one")
-    all_rules = specific.unionByName(common).drop("rule_language")
-    left = lines.withColumn("line_language", F.coalesce("language", F.lit("")))
-    on = ["line_language"]
+    every = F.lit("*")
+    keyed = rule_table.withColumn("key", F.coalesce("language", every)).drop("language")
+    small = keyed.limit(broadcast_limit + 1).count() <= broadcast_limit
+    # a line looks for the rules of its language and for those of every language: an equi-join
+    left = lines.withColumn("key", F.explode(F.array_compact(F.array("language", every))))
+    on = ["key"]
     if small:
-        all_rules = F.broadcast(all_rules)
+        keyed = F.broadcast(keyed)
     else:
         left = left.withColumn("salt", F.pmod(F.xxhash64("repo", "path", "line_no"), F.lit(salts)).cast("int"))
-        all_rules = all_rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        keyed = keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         on.append("salt")
-    joined = left.join(all_rules, on)
-    return joined.filter(F.expr("line rlike pattern")).drop(*on)
+    return left.join(keyed, on).filter(F.expr("line rlike pattern")).drop(*on)
