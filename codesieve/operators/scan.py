@@ -103,10 +103,14 @@ def _line_hits(numbered: Numbered) -> str:
     """Hits of all line rules, as one expression over the array of lines."""
     everywhere = _matching_rules([(n, r) for n, r in numbered if not r.dialects])
     somewhere = _by_dialect(numbered, _matching_rules, _NO_RULES)
-    # rules at equal places stay in the order of their ids
-    return f"""flatten(transform(lines, (line, pos) -> transform(
-        array_sort(array_compact(concat({everywhere}, {somewhere}))),
-        rule -> named_struct('rule', rule, 'line_no', pos + 1, 'text', line, 'n', length(line)))))"""
+    # most lines match nothing and are dropped before anything is built for them
+    return f"""flatten(transform(
+        filter(
+            transform(lines, (line, pos) -> named_struct(
+                'line', line, 'pos', pos, 'rules', array_compact(concat({everywhere}, {somewhere})))),
+            x -> size(x.rules) > 0),
+        x -> transform(array_sort(x.rules), rule -> named_struct(
+            'rule', rule, 'line_no', x.pos + 1, 'text', x.line, 'n', length(x.line)))))"""
 
 
 def _file_hits(numbered: Numbered) -> str:

@@ -49,10 +49,12 @@ def top_security(results: DataFrame, n: int = TOP_ISSUES) -> DataFrame:
     return first_issues(results, n, keep=lambda i: (i.severity == "high") & (i.category == "security"))
 
 
-def top_suggestions(results: DataFrame, n: int = TOP_SUGGESTIONS, type: str | None = None) -> DataFrame:
-    """First ``n`` suggestions per repository and priority."""
-    return first_per_group(
-        suggestion_rows(results, type), ["repo", "priority"], ["path", "order"], n, spread=["path"])
+def top_suggestions(
+    results: DataFrame, n: int = TOP_SUGGESTIONS, type: str | None = None, by_priority: bool = True
+) -> DataFrame:
+    """First ``n`` suggestions per repository and priority, or per repository alone."""
+    keys = ["repo", "priority"] if by_priority else ["repo"]
+    return first_per_group(suggestion_rows(results, type), keys, ["path", "order"], n, spread=["path"])
 
 
 def review_digest(results: DataFrame, areas: list[str] | None = None) -> DataFrame:

@@ -42,10 +42,11 @@ def review(
     """
     prepared = prepared_files(files, patterns, directories, max_size)
     scanned = with_issues(prepared, profile, analysis_type=analysis_type, per_node_long_lines=per_node_long_lines)
+    # the texts end here, so a join with findings moves issues and metrics only
+    measured = with_metrics(scanned).select("repo", "path", "language", "analyzed", "issues", *METRICS)
     if findings is not None:
-        scanned = add_findings(scanned, findings)
-    results = with_suggestions(with_scores(with_metrics(scanned)))
-    return results.select("repo", "path", "language", "analyzed", "issues", *METRICS, "suggestions", *SCORES)
+        measured = add_findings(measured, findings)
+    return with_suggestions(with_scores(measured)).select(*measured.columns, "suggestions", *SCORES)
 
 
 def manifest_files(files: DataFrame) -> DataFrame:

@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesieve.functions.paths import MAX_FILE_SIZE, has_code_extension, is_binary, is_excluded, is_hidden, is_supported
 from codesieve.functions.text import decode_text
 
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:/+"
+
 
 def read_checkouts(spark: SparkSession, root: str) -> DataFrame:
     """Files below ``root/<repository>/``, at any depth.
 
     Meant for moderate corpora; for many small files write them to Parquet once and use that.
     """
-    prefix = spark.createDataFrame([(root,)], "root string").select(
-        F.rtrim(F.regexp_replace("root", "^[a-z]+:/*/", "/"), F.lit("/"))).first()[0]
-    read = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        .select(F.regexp_replace("path", "^[a-z]+:/*/", "/").alias("full"), "length", "content")
-    )
-    relative = F.substring(F.col("full"), len(prefix) + 2, 1 << 30)
+    prefix = re.sub(_SCHEME, "/", root if re.match(_SCHEME, root) else os.path.abspath(root)).rstrip("/")
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    relative = F.substring(F.regexp_replace("path", _SCHEME, "/"), len(prefix) + 2, 1 << 30)
     return read.select(
         F.substring_index(relative, "/", 1).alias("repo"),
         F.regexp_replace(relative, "^[^/]*/", "").alias("path"),

@@ -340,6 +340,20 @@ def _(spark, sf):
     return digests.top_suggestions(_results(spark, sf)).select("repo", "priority", "path", "description", "rank")
 
 
+@query("first_suggestions", with_ctes(CORE + SCORES, """
+    SELECT repo, path, description, rank FROM (
+      SELECT *, CAST(row_number() OVER (PARTITION BY repo ORDER BY path, ord) AS INT) AS rank FROM suggestions) WHERE rank <= 3"""))
+def _(spark, sf):
+    return digests.top_suggestions(_results(spark, sf), 3, by_priority=False).select("repo", "path", "description", "rank")
+
+
+@query("security_findings", with_ctes(CORE, """
+    SELECT repo, path, line_no, rule_id, severity, severity = 'high' AS urgent FROM named_issues WHERE category = 'security'"""))
+def _(spark, sf):
+    found = scan.issues(scan.with_issues(_prepared(spark, sf), categories=["security"]))
+    return found.select("repo", "path", "line_no", "rule_id", "severity", (F.col("severity") == "high").alias("urgent"))
+
+
 @query("first_files", with_ctes(FILES, """
     SELECT repo, path FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path) AS rank FROM found) WHERE rank <= 20"""))
 def _(spark, sf):
