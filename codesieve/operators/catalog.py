@@ -118,7 +118,7 @@ def configure(records: DataFrame) -> DataFrame:
         F.coalesce("language", F.lit("unknown")).alias("language"),
         F.coalesce("default_branch", F.lit("main")).alias("default_branch"),
         F.lit(True).alias("enabled"), F.create_map(*entries).alias("analysis_config"),
-        F.lit(None).cast("timestamp").alias("last_analyzed"))
+        F.lit(None).cast("timestamp_ntz").alias("last_analyzed"))
 
 
 def replace_configs(configs: DataFrame, new: DataFrame) -> DataFrame:

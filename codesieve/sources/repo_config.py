@@ -16,7 +16,7 @@ def with_defaults(records: DataFrame) -> DataFrame:
         "owner", "name", "full_name", "language", "default_branch",
         F.coalesce("enabled", F.lit(True)).alias("enabled"),
         F.coalesce("analysis_config", F.create_map().cast("map<string,string>")).alias("analysis_config"),
-        F.try_to_timestamp("last_analyzed").alias("last_analyzed"),
+        F.expr("try_cast(last_analyzed as timestamp_ntz)").alias("last_analyzed"),
     )
 
 

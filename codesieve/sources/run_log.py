@@ -24,7 +24,8 @@ def parse_log(df: DataFrame, json: str) -> DataFrame:
 
 
 def _typed(events: DataFrame) -> DataFrame:
-    return events.withColumn("ts", F.try_to_timestamp("timestamp"))
+    # log times have no zone
+    return events.withColumn("ts", F.expr("try_cast(timestamp as timestamp_ntz)"))
 
 
 def event_counts(events: DataFrame) -> DataFrame:

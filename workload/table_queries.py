@@ -222,11 +222,11 @@ def _(spark, sf):
 
 
 @query("repository_details", with_ctes(REPOS, """
-    SELECT full_name, owner_login AS owner, license, has_issues, has_wiki, strftime(strptime(updated_at, '%Y-%m-%dT%H:%M:%SZ'), '%Y-%m-%d') AS updated_day
+    SELECT full_name, owner_login AS owner, license, has_issues, has_wiki, CAST(epoch(strptime(updated_at, '%Y-%m-%dT%H:%M:%SZ')) AS BIGINT) AS updated_seconds
     FROM repos"""))
 def _(spark, sf):
     return listings.detail(_records(spark, sf, listings.REPOSITORY_DETAIL)).select(
-        "full_name", "owner", "license", "has_issues", "has_wiki", F.date_format("updated_ts", "yyyy-MM-dd").alias("updated_day"))
+        "full_name", "owner", "license", "has_issues", "has_wiki", F.unix_seconds("updated_ts").alias("updated_seconds"))
 
 
 @query("language_bytes", with_ctes(REPOS, """
@@ -494,10 +494,11 @@ def _(spark, sf):
 
 
 @query("completed_runs", with_ctes(_LOG, """
-    SELECT logger, repo, epoch_us(started) AS started_us, epoch_us(completed) AS completed_us, seconds FROM runs"""))
+    SELECT logger, repo, strftime(started, '%Y-%m-%dT%H:%M:%S.%f') AS started, strftime(completed, '%Y-%m-%dT%H:%M:%S.%f') AS completed,
+      seconds FROM runs"""))
 def _(spark, sf):
     return run_log.runs(_events(spark, sf)).select(
-        "logger", "repo", F.unix_micros("started").alias("started_us"), F.unix_micros("completed").alias("completed_us"), "seconds")
+        "logger", "repo", *[F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c) for c in ("started", "completed")], "seconds")
 
 
 @query("run_durations", with_ctes(_LOG, """
