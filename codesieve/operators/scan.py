@@ -217,25 +217,25 @@ def numbered_lines(files: DataFrame) -> DataFrame:
     ).withColumn("line_no", F.col("pos") + 1).drop("pos")
 
 
-def scan_with_rule_table(
-    lines: DataFrame, rule_table: DataFrame, broadcast_limit: int = 20_000, salts: int = 64
-) -> DataFrame:
-    """Rules as data: ``rule_table(rule_id, language, pattern, category, type, severity, description)``.
+def scan_with_rule_table(lines: DataFrame, rule_table: DataFrame, compile_limit: int = 200, salts: int = 64) -> DataFrame:
+    """Rules as data: ``rule_table(rule_id, language, pattern, ...)``; language null means every language.
 
-    ``language`` null means every language. A rule table of at most ``broadcast_limit`` rows is sent to
-    every task. A larger one is joined by shuffle, with the lines of each language spread over
-    ``salts`` groups so that a common language does not end up in one task.
+    Gives one row per line and matching rule, with the columns of both. A table of at most
+    ``compile_limit`` rules becomes one expression with constant patterns, which Spark compiles once
+    per task. A larger one is joined by shuffle, with the lines of each language spread over ``salts``
+    groups so that a common language does not end up in one task.
     """
-    every = F.lit("*")
-    keyed = rule_table.withColumn("key", F.coalesce("language", every)).drop("language")
-    small = keyed.limit(broadcast_limit + 1).count() <= broadcast_limit
+    known = rule_table.select("rule_id", "language", "pattern").limit(compile_limit + 1).collect()
+    if len(known) <= compile_limit:
+        line, language = F.col("line"), F.col("language")
+        found = F.array_compact(F.array(*[
+            F.when(line.rlike(r.pattern) if r.language is None else (language == r.language) & line.rlike(r.pattern), r.rule_id)
+            for r in known]))
+        return lines.withColumn("rule_id", F.explode(found)).join(F.broadcast(rule_table.drop("language")), "rule_id")
     # a line looks for the rules of its language and for those of every language: an equi-join
-    left = lines.withColumn("key", F.explode(F.array_compact(F.array("language", every))))
-    on = ["key"]
-    if small:
-        keyed = F.broadcast(keyed)
-    else:
-        left = left.withColumn("salt", F.pmod(F.xxhash64("repo", "path", "line_no"), F.lit(salts)).cast("int"))
-        keyed = keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        on.append("salt")
-    return left.join(keyed, on).filter(F.expr("line rlike pattern")).drop(*on)
+    every = F.lit("*")
+    left = lines.withColumn("key", F.explode(F.array_compact(F.array("language", every)))).withColumn(
+        "salt", F.pmod(F.xxhash64("repo", "path", "line_no"), F.lit(salts)).cast("int"))
+    right = rule_table.withColumn("key", F.coalesce("language", every)).drop("language").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, ["key", "salt"]).filter(F.expr("line rlike pattern")).drop("key", "salt")

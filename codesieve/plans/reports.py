@@ -16,11 +16,16 @@ from codesieve.operators.topn import first_issues
 SHOWN = {"core": 10, "web": 10, "interactive": 5, "quick": 5}
 
 
-def category_sections(results: DataFrame, shown: int) -> DataFrame:
-    """Per repository and category: how many issues, the first ones, and how many more there are."""
+def category_sections(results: DataFrame, shown: int, with_code: bool = False) -> DataFrame:
+    """Per repository and category: how many issues, the first ones, and how many more there are.
+
+    ``with_code`` quotes the line of security issues.
+    """
     counts = issues_by_category(issues(results, "repo"))
     line = F.concat(F.lit("["), F.upper("severity"), F.lit("] "), base_name(F.col("path")), F.lit(":"), F.col("line_no"),
                     F.lit(" - "), F.col("description"))
+    if with_code:
+        line = F.when(F.col("category") == "security", F.concat(line, F.lit(" `"), "code", F.lit("`"))).otherwise(line)
     tops = first_issues(results, shown).groupBy("repo", "category").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("text")))), lambda r: r.text).alias("shown"))
     return counts.join(tops, ["repo", "category"]).withColumn(
@@ -51,7 +56,7 @@ def profile_report(results: DataFrame, profile: str, analysis_type: str = "full"
     shown = SHOWN[profile]
     categories = list(PROFILE_POINTS[profile])
     scores = profile_scores(results, profile)
-    sections = category_sections(results, shown)
+    sections = category_sections(results, shown, with_code=profile == "web")
     pieces = sections.groupBy("repo").agg(*[
         F.first(F.when(F.col("category") == c, F.struct("shown", "more")), ignorenulls=True).alias(c) for c in categories])
     joined = scores.join(language_names(results), "repo", "left").join(pieces, "repo", "left")

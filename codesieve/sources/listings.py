@@ -54,9 +54,10 @@ def newest(records: DataFrame, n: int = 50) -> DataFrame:
     return records.orderBy(F.col("updated_at").desc(), "full_name").limit(n)
 
 
-def short_listing(records: DataFrame) -> DataFrame:
-    """Name, description, language, stars and date, with texts for what is missing."""
-    return records.select(
+def short_listing(records: DataFrame, n: int | None = None) -> DataFrame:
+    """Name, description, language, stars and date, with texts for what is missing; the first ``n`` by update."""
+    chosen = records if n is None else newest(records, n)
+    return chosen.select(
         "name",
         "full_name",
         _or("description", "No description").alias("description"),

@@ -215,6 +215,6 @@ def test_rule_table_by_shuffle(spark):
     table = spark.createDataFrame([("A", None, "x1"), ("B", "python", "token$"), ("C", "go", "x")],
                                   "rule_id string, language string, pattern string")
     small = {(r.rule_id, r.line_no) for r in scan.scan_with_rule_table(lines, table).collect()}
-    large = scan.scan_with_rule_table(lines, table, broadcast_limit=1, salts=5)
+    large = scan.scan_with_rule_table(lines, table, compile_limit=1, salts=5)
     assert {(r.rule_id, r.line_no) for r in large.collect()} == small == {
         (i, n) for n in range(300) for i in "AB" if (i == "A" and f"x{n}".startswith("x1")) or (i == "B" and n % 3)}

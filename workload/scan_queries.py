@@ -459,8 +459,9 @@ def _profile_report(name: str):
     points, shown = scores.PROFILE_POINTS[name], reports.SHOWN[name]
     counts = ", ".join(f"count(i.path) FILTER (i.category = '{c}') AS {c}_issues" for c in points)
     final = ", ".join(f"CAST(greatest(0, 100 - {p} * {c}_issues) AS INT) AS {c}_score" for c, p in points.items())
+    line = "'- [' || upper(severity) || '] ' || list_extract(string_split(path, '/'), -1) || ':' || line_no || ' - ' || description"
     tops = ",".join(_tops(
-        f"top_{c}", "'- [' || upper(severity) || '] ' || list_extract(string_split(path, '/'), -1) || ':' || line_no || ' - ' || description",
+        f"top_{c}", line + (" || ' `' || code || '`'" if name == "web" and c == "security" else ""),
         "repo", _ORDER, "named_issues", f"category = '{c}'", shown) for c in points)
     sections = ", ".join(f"""concat_ws(chr(10), '{c.title()} issues: ' || {c}_issues, coalesce(t_{c}.lines, ''),
         CASE WHEN {c}_issues > {shown} THEN '... and ' || ({c}_issues - {shown}) || ' more {c} issues' END)""" for c in points)

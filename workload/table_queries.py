@@ -211,6 +211,14 @@ def _(spark, sf):
     return listings.short_listing(_records(spark, sf))
 
 
+@query("public_listing", with_ctes(REPOS, """
+    SELECT name, coalesce(nullif(description, ''), 'No description') AS description, updated_at[1:10] AS updated
+    FROM repos WHERE NOT private ORDER BY updated_at DESC, full_name LIMIT 10"""))
+def _(spark, sf):
+    public = listings.listing(_records(spark, sf), include_forks=True)
+    return listings.short_listing(public, 10).select("name", "description", "updated")
+
+
 @query("numbered_listing", with_ctes(REPOS, """
     SELECT owner, CAST(number AS INT) AS number, full_name, CAST(greatest(total - 10, 0) AS BIGINT) AS more FROM (
       SELECT *, row_number() OVER (PARTITION BY owner ORDER BY updated_at DESC, full_name) AS number,
