@@ -1,15 +1,19 @@
-"""Structured run logs: NDJSON with one event per line."""
+"""Structured run logs: NDJSON with one event per line.
+
+Two wordings are known: that of whole-repository scans, and that of scans of one analysis type.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Fields of a log event, and the wording of start and completion messages.
 LOG = """timestamp string, level string, logger string, message string, module string, function string,
     line int, exception string"""
-STARTED = r"^Starting repository analysis: (.*)$"
-COMPLETED = r"completed in ([0-9.]+)s"
+STARTED = r"^Starting (?:repository analysis|(\w+) analysis for repository): (.*)$"
+COMPLETED = r"(?:^Completed (\w+) analysis for (.*) in|completed in) ([0-9.]+)s"
+FOUND = r"Found ([0-9]+) issues$"
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -32,21 +36,27 @@ def event_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("logger", "level").agg(F.count("*").alias("events"))
 
 
+def _part(pattern: str, group: int) -> Column:
+    text = F.regexp_extract("message", pattern, group)
+    return F.when(text != "", text)
+
+
 def runs(events: DataFrame, slice: str = "hour") -> DataFrame:
-    """One row per completed run: its repository, start, end and reported seconds.
+    """One row per completed run: repository, analysis type, start, end, reported seconds and issues.
 
-    A completion belongs to the last start of its logger. The look-back works inside slices of time,
-    with the last start of every earlier slice handed on, so that a logger that writes most of the log
-    is spread over many tasks.
+    A completion belongs to the last start of its logger, unless it names its repository itself. The
+    look-back works inside slices of time, with the last start of every earlier slice handed on, so
+    that a logger that writes most of the log is spread over many tasks.
     """
-    name = F.regexp_extract("message", STARTED, 1)
-    seconds = F.regexp_extract("message", COMPLETED, 1)
+    message = F.col("message")
     marks = (
-        events.filter(F.col("message").contains("Starting repository analysis: ") | F.col("message").contains("completed in "))
+        events.filter(message.startswith("Starting ") | message.contains("ompleted "))
         .select(
             "logger", "ts", F.date_trunc(slice, "ts").alias("slice"),
-            F.when(F.col("message").rlike(STARTED), F.struct("ts", name.alias("repo"))).alias("start"),
-            F.when(seconds != "", seconds.cast("double")).alias("seconds"),
+            F.when(message.rlike(STARTED), F.struct(
+                "ts", _part(STARTED, 2).alias("repo"), _part(STARTED, 1).alias("analysis_type"))).alias("start"),
+            _part(COMPLETED, 1).alias("type"), _part(COMPLETED, 2).alias("named"),
+            _part(COMPLETED, 3).cast("double").alias("seconds"), _part(FOUND, 1).cast("long").alias("issues"),
         )
     )
     in_slice = Window.partitionBy("logger", "slice").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
@@ -60,8 +70,10 @@ def runs(events: DataFrame, slice: str = "hour") -> DataFrame:
         marks.join(handed_on, ["logger", "slice"])
         .withColumn("run", F.coalesce(F.last("start", ignorenulls=True).over(in_slice), "handed_on"))
         .filter(F.col("seconds").isNotNull())
-        .select("logger", F.col("run.repo").alias("repo"), F.col("run.ts").alias("started"),
-                F.col("ts").alias("completed"), "seconds")
+        .select(
+            "logger", F.coalesce("named", "run.repo").alias("repo"),
+            F.coalesce("type", "run.analysis_type").alias("analysis_type"), F.col("run.ts").alias("started"),
+            F.col("ts").alias("completed"), "seconds", "issues")
     )
 
 

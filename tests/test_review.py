@@ -145,6 +145,21 @@ def test_analysis_type_and_partitions(corpus_of, results):
     assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, scan.issues(results).collect()), key=repr)
 
 
+def test_invariants(spark):
+    from workload.corpus import source_files
+
+    results = review(source_files(spark, "/root/testdata/sf0.001")).filter("analyzed").cache()
+    names = ["security_score", "quality_score", "performance_score"]
+    assert results.filter(" or ".join(f"{n} < 0 or {n} > 100 or {n} is null" for n in names)).count() == 0
+    rollup = rollups.repository_rollup(results).selectExpr(
+        "total_issues - security_issues - quality_issues - performance_issues as c", "total_issues - high_issues - medium_issues - low_issues as s")
+    assert rollup.filter("c <> 0 or s <> 0").count() == 0
+    whole = scan.issues(results).count()
+    parts = [scan.issues(review(source_files(spark, "/root/testdata/sf0.001"), analysis_type=t)).count()
+             for t in ("security", "quality", "performance")]
+    assert sum(parts) == whole
+
+
 def test_linter_findings_count(spark, corpus_of):
     findings = spark.createDataFrame([
         ("demo", "app.py", "security", "security", "B1", "low", "x", 1, "", "bandit", "high", None),

@@ -197,10 +197,15 @@ def test_runs_across_slices(spark, tmp_path):
         event("2024-01-01T00:30:00", "Starting repository analysis: o/y"),
         event("2024-01-01T05:00:00", "Repository analysis completed in 7.25s"),
         event("2024-01-01T05:01:00", "Repository analysis completed in 2.00s", "b"),
+        event("2024-01-01T06:00:00", "Starting full analysis for repository: o/z", "c"),
+        event("2024-01-01T06:01:00", "Completed quality analysis for o/q in 3.00s - Found 12 issues", "c"),
+        event("2024-01-01T06:02:00", "Repository analysis completed in 4.00s", "c"),
         "broken",
     ]))
     runs = run_log.runs(run_log.read_log(spark, str(file))).orderBy("completed").collect()
-    assert [(r.repo, r.seconds) for r in runs] == [("o/x", 1.5), ("o/y", 7.25), (None, 2.0)]
+    assert [(r.repo, r.seconds) for r in runs] == [
+        ("o/x", 1.5), ("o/y", 7.25), (None, 2.0), ("o/q", 3.0), ("o/z", 4.0)]
+    assert [(r.analysis_type, r.issues) for r in runs][2:] == [(None, None), ("quality", 12), ("full", None)]
     assert runs[1].started == datetime(2024, 1, 1, 0, 30)
 
 

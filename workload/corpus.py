@@ -218,9 +218,13 @@ def content_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``record``: every event as a log line; clicks start a run, purchases and errors complete one."""
+    """``record``: every event as a log line; clicks and sign-ups start a run, purchases and errors complete one."""
     message = (
-        F.when(F.col("event_type") == "click", F.concat(F.lit("Starting repository analysis: repo"), F.col("event_id") % 30))
+        F.when(F.col("event_type") == "signup", F.concat(F.lit("Starting full analysis for repository: repo"), F.col("event_id") % 30))
+        .when(F.col("event_type") == "purchase", F.concat(
+            F.lit("Completed security analysis for repo"), F.col("event_id") % 20, F.lit(" in "), F.format_string("%.2f", "value"),
+            F.lit("s - Found "), F.col("event_id") % 9, F.lit(" issues")))
+        .when(F.col("event_type") == "click", F.concat(F.lit("Starting repository analysis: repo"), F.col("event_id") % 30))
         .when(F.col("event_type") == "view", F.lit("Found 3 total files, 2 analyzable"))
         .otherwise(F.concat(F.lit("Repository analysis completed in "), F.format_string("%.2f", "value"), F.lit("s"))))
     record = F.struct(

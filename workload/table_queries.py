@@ -483,11 +483,17 @@ def _(spark, sf):
 _LOG = """
 log AS (
   SELECT *, 'scan.' || (user_id % 50) AS logger, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level FROM events),
-marks AS (SELECT logger, ts, CASE WHEN event_type = 'click' THEN ts END AS start_ts,
-    CASE WHEN event_type = 'click' THEN 'repo' || (event_id % 30) END AS start_repo,
-    CASE WHEN event_type NOT IN ('click', 'view') THEN round(value, 2) END AS seconds FROM log WHERE event_type <> 'view'),
-runs AS (SELECT * FROM (SELECT logger, last_value(start_repo IGNORE NULLS) OVER w AS repo, last_value(start_ts IGNORE NULLS) OVER w AS started,
-    ts AS completed, seconds FROM marks WINDOW w AS (PARTITION BY logger ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+marks AS (SELECT logger, ts, event_type IN ('click', 'signup') AS is_start,
+    CASE WHEN event_type IN ('click', 'signup') THEN ts END AS start_ts,
+    CASE WHEN event_type IN ('click', 'signup') THEN 'repo' || (event_id % 30) END AS start_repo,
+    CASE event_type WHEN 'click' THEN '' WHEN 'signup' THEN 'full' END AS start_type,
+    CASE WHEN event_type = 'purchase' THEN 'repo' || (event_id % 20) END AS named,
+    CASE WHEN event_type = 'purchase' THEN event_id % 9 END AS issues, event_type,
+    CASE WHEN event_type IN ('purchase', 'error') THEN round(value, 2) END AS seconds FROM log WHERE event_type <> 'view'),
+runs AS (SELECT * FROM (SELECT logger, coalesce(named, last_value(start_repo IGNORE NULLS) OVER w) AS repo,
+    CASE WHEN event_type = 'purchase' THEN 'security' ELSE nullif(last_value(start_type IGNORE NULLS) OVER w, '') END AS analysis_type,
+    last_value(start_ts IGNORE NULLS) OVER w AS started, ts AS completed, seconds, issues
+    FROM marks WINDOW w AS (PARTITION BY logger ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
   WHERE seconds IS NOT NULL)
 """
 
@@ -503,10 +509,11 @@ def _(spark, sf):
 
 @query("completed_runs", with_ctes(_LOG, """
     SELECT logger, repo, strftime(started, '%Y-%m-%dT%H:%M:%S.%f') AS started, strftime(completed, '%Y-%m-%dT%H:%M:%S.%f') AS completed,
-      seconds FROM runs"""))
+      seconds, analysis_type, issues FROM runs"""))
 def _(spark, sf):
     return run_log.runs(_events(spark, sf)).select(
-        "logger", "repo", *[F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c) for c in ("started", "completed")], "seconds")
+        "logger", "repo", *[F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c) for c in ("started", "completed")],
+        "seconds", "analysis_type", "issues")
 
 
 @query("run_durations", with_ctes(_LOG, """
