@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.functions.text import lstrip, rx
+from codesieve.functions.text import SQL_WHITESPACE as WS
+from codesieve.functions.text import rx, sql_string
 
 # What a comment line starts with.
 COMMENT_PREFIXES = {
@@ -33,54 +34,44 @@ METRICS = [
 ]
 
 
-def blank_lines(lines: Column) -> Column:
-    return F.size(F.filter(lines, lambda l: lstrip(l) == ""))
+def _count_lines(test: str) -> str:
+    return f"size(filter(lines, line -> {test}))"
 
 
-def comment_lines(lines: Column, language: Column) -> Column:
+def blank_lines() -> Column:
+    return F.expr(f"cast({_count_lines(f"ltrim({WS}, line) = ''")} as bigint)")
+
+
+def comment_lines() -> Column:
     def starting_with(prefixes):
-        def is_comment(line):
-            text = lstrip(line)
-            test = text.startswith(prefixes[0])
-            for p in prefixes[1:]:
-                test = test | text.startswith(p)
-            return test
+        return _count_lines(" OR ".join(f"startswith(ltrim({WS}, line), {sql_string(p)})" for p in prefixes))
 
-        return F.size(F.filter(lines, is_comment))
+    arms = " ".join(
+        f"WHEN language IN ({', '.join(map(sql_string, languages))}) THEN {starting_with(prefixes)}"
+        for languages, prefixes in COMMENT_PREFIXES.items())
+    return F.expr(f"cast(CASE {arms} ELSE {starting_with(DEFAULT_COMMENT_PREFIXES)} END as bigint)")
 
-    out = None
-    for languages, prefixes in COMMENT_PREFIXES.items():
-        test, count = language.isin(list(languages)), starting_with(prefixes)
-        out = F.when(test, count) if out is None else out.when(test, count)
-    return out.otherwise(starting_with(DEFAULT_COMMENT_PREFIXES))
 
+def python_or_js(python: str, patterns: list[str]) -> Column:
+    """A number from parser facts for Python; for JavaScript the matches of every pattern, summed.
 
-def pattern_count(content: Column, patterns: list[str]) -> Column:
-    """Matches of every pattern, summed; overlaps between patterns count twice."""
-    total = F.lit(0)
-    for p in patterns:
-        total = total + F.regexp_count(content, F.lit(rx(p, True)))
-    return total
+    Overlaps between patterns count twice.
+    """
+    matches = " + ".join(f"regexp_count(content, {sql_string(rx(p, True))})" for p in patterns)
+    return F.expr(f"""cast(CASE WHEN language = 'python' THEN {python}
+        WHEN language IN ('javascript', 'typescript') THEN {matches} ELSE 0 END as bigint)""")
 
 
 def with_metrics(scanned: DataFrame) -> DataFrame:
     """Add the metric columns to a scanned frame (needs ``content``, ``lines``, ``language``, ``facts``, ``size``, ``hash``)."""
-    content, lines, language, facts = F.col("content"), F.col("lines"), F.col("language"), F.col("facts")
-    js = language.isin("javascript", "typescript")
-
-    def python_or_js(python: Column, patterns: list[str]) -> Column:
-        return (
-            F.when(language == "python", python).when(js, pattern_count(content, patterns)).otherwise(0).cast("long")
-        )
-
-    points = F.aggregate(facts["functions"], F.lit(0), lambda acc, f: acc + f.decision_points)
+    points = "aggregate(facts.functions, 0, (total, f) -> total + f.decision_points)"
     return scanned.withColumns({
-        "lines_of_code": F.size(lines).cast("long"),
-        "blank_lines": blank_lines(lines).cast("long"),
-        "comment_lines": comment_lines(lines, language).cast("long"),
+        "lines_of_code": F.size("lines").cast("long"),
+        "blank_lines": blank_lines(),
+        "comment_lines": comment_lines(),
         "cyclomatic_complexity": python_or_js(points, JS_DECISIONS),
-        "functions": python_or_js(F.size(facts["functions"]), JS_FUNCTIONS),
-        "classes": python_or_js(F.size(facts["classes"]), JS_CLASSES),
+        "functions": python_or_js("size(facts.functions)", JS_FUNCTIONS),
+        "classes": python_or_js("size(facts.classes)", JS_CLASSES),
         "file_size": F.col("size"),
         "file_hash": F.col("hash"),
     })

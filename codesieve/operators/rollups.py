@@ -12,12 +12,10 @@ _CATEGORIES = ("security", "quality", "performance")
 _SEVERITIES = ("high", "medium", "low")
 
 
-def language_counts(language: Column) -> Column:
+def language_counts(language: str = "language") -> Column:
     """Aggregate: map of language to files. Languages are a fixed set, so no second grouping is needed."""
-    entries = []
-    for name in sorted(LANGUAGE_EXTENSIONS):
-        entries += [F.lit(name), F.count_if(language == name)]
-    return F.map_filter(F.create_map(*entries), lambda _, n: n > 0)
+    entries = ", ".join(f"'{name}', count_if({language} = '{name}')" for name in sorted(LANGUAGE_EXTENSIONS))
+    return F.expr(f"map_filter(map({entries}), (name, n) -> n > 0)")
 
 
 def most_common(counts: Column) -> Column:
@@ -57,13 +55,12 @@ def recommendation(high: Column, total: Column) -> Column:
 
 def repository_rollup(results: DataFrame) -> DataFrame:
     """Everything a repository report needs, in one shuffle: scores, counts, languages, flags."""
-    issues = F.col("issues")
     slim = results.select(
         "repo", "analyzed", F.when(F.col("analyzed"), F.col("language")).alias("language"),
         *[F.when(F.col("analyzed"), F.col(f"{c}_score")).alias(f"{c}_score") for c in _CATEGORIES],
         F.size("issues").cast("long").alias("issue_count"),
-        *[count_of(issues, "category", c).alias(f"n_{c}") for c in _CATEGORIES],
-        *[count_of(issues, "severity", s).alias(f"n_{s}") for s in _SEVERITIES],
+        *[count_of("category", c).alias(f"n_{c}") for c in _CATEGORIES],
+        *[count_of("severity", s).alias(f"n_{s}") for s in _SEVERITIES],
     )
 
     def total(column):
@@ -77,7 +74,7 @@ def repository_rollup(results: DataFrame) -> DataFrame:
         total("issue_count").alias("total_issues"),
         *[total(f"n_{c}").alias(f"{c}_issues") for c in _CATEGORIES],
         *[total(f"n_{s}").alias(f"{s}_issues") for s in _SEVERITIES],
-        language_counts(F.col("language")).alias("languages"),
+        language_counts().alias("languages"),
     )
     return out.withColumns({
         "most_common_language": most_common(F.col("languages")),

@@ -18,43 +18,40 @@ PROFILE_POINTS = {
 }
 
 
-def _points(severity: Column, points: dict[str, int]) -> Column:
-    return F.when(severity == "high", points["high"]).when(severity == "medium", points["medium"]).otherwise(points["low"])
+def penalty(category: str, points: dict[str, int]) -> str:
+    """SQL: points lost in one phase; an issue counts only where its category is that of its phase."""
+    return f"""aggregate(issues, 0, (lost, i) -> lost +
+        CASE WHEN i.category != '{category}' OR i.phase != '{category}' THEN 0
+             WHEN i.severity = 'high' THEN {points['high']}
+             WHEN i.severity = 'medium' THEN {points['medium']}
+             ELSE {points['low']} END)"""
 
 
-def penalty(issues: Column, category: str, points: dict[str, int]) -> Column:
-    """Points lost in one phase; an issue counts only where its category is that of its phase."""
-    return F.aggregate(
-        issues, F.lit(0),
-        lambda acc, i: acc + F.when((i.category == category) & (i.phase == category),
-                                    _points(i.severity, points)).otherwise(0))
+def _score(lost: str) -> Column:
+    return F.expr(f"cast(greatest(0, 100 - ({lost})) as double)")
 
 
-def _score(lost: Column) -> Column:
-    return F.greatest(F.lit(0), F.lit(100) - lost).cast("double")
+def security_score() -> Column:
+    return _score(penalty("security", SECURITY_POINTS))
 
 
-def security_score(issues: Column) -> Column:
-    return _score(penalty(issues, "security", SECURITY_POINTS))
+def quality_score() -> Column:
+    """Issues, and complexity above 10 (at most 20 points), and length above 500 lines (at most 10)."""
+    return _score(f"""{penalty("quality", QUALITY_POINTS)}
+        + CASE WHEN cyclomatic_complexity > 10 THEN least(20, cyclomatic_complexity - 10) ELSE 0 END
+        + CASE WHEN lines_of_code > 500 THEN least(10, floor((lines_of_code - 500) / 100)) ELSE 0 END""")
 
 
-def quality_score(issues: Column, complexity: Column, lines_of_code: Column) -> Column:
-    complex_points = F.when(complexity > 10, F.least(F.lit(20), complexity - 10)).otherwise(0)
-    long_points = F.when(lines_of_code > 500, F.least(F.lit(10), F.floor((lines_of_code - 500) / 100))).otherwise(0)
-    return _score(penalty(issues, "quality", QUALITY_POINTS) + complex_points + long_points)
-
-
-def performance_score(issues: Column) -> Column:
-    return _score(penalty(issues, "performance", PERFORMANCE_POINTS))
+def performance_score() -> Column:
+    return _score(penalty("performance", PERFORMANCE_POINTS))
 
 
 def with_scores(results: DataFrame) -> DataFrame:
     """Add the three file scores. A file without issues keeps its row and scores 100."""
-    issues = F.col("issues")
     return results.withColumns({
-        "security_score": security_score(issues),
-        "quality_score": quality_score(issues, F.col("cyclomatic_complexity"), F.col("lines_of_code")),
-        "performance_score": performance_score(issues),
+        "security_score": security_score(),
+        "quality_score": quality_score(),
+        "performance_score": performance_score(),
     })
 
 
@@ -71,15 +68,16 @@ def repository_scores(results: DataFrame) -> DataFrame:
     )
 
 
-def count_of(issues: Column, field: str, value: str) -> Column:
-    return F.size(F.filter(issues, lambda i: i[field] == value)).cast("long")
+def count_of(field: str, value: str) -> Column:
+    """How many of a file's issues have a value in a field."""
+    return F.expr(f"cast(size(filter(issues, i -> i.{field} = '{value}')) as bigint)")
 
 
 def profile_scores(results: DataFrame, profile: str) -> DataFrame:
     """Scores of the language-blind profiles: a fixed number of points per issue, per repository."""
     points = PROFILE_POINTS[profile]
     counted = results.select(
-        "repo", "analyzed", *[count_of(F.col("issues"), "category", c).alias(c) for c in points])
+        "repo", "analyzed", *[count_of("category", c).alias(c) for c in points])
     out = counted.groupBy("repo").agg(
         F.count("*").alias("total_files"),
         F.count_if("analyzed").alias("analyzed_files"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_TYPE = "array<struct<type: string, priority: string, description: string, category: string>>"
+from codesieve.functions.text import sql_string
 
 # Type, priority, description and category of each suggestion.
 USE_ENVIRONMENT = ("security", "high", "Use environment variables or secure configuration files for secrets", "best_practices")
@@ -16,26 +16,24 @@ MODERN_VARIABLES = ("modernization", "medium",
 COMPLEX_ABOVE = 15
 
 
-def _suggestion(values) -> Column:
-    return F.struct(*[F.lit(v).alias(n) for n, v in zip(("type", "priority", "description", "category"), values)])
+def _when(test: str, values) -> str:
+    fields = ", ".join(
+        f"'{name}', {sql_string(value)}" for name, value in zip(("type", "priority", "description", "category"), values))
+    return f"CASE WHEN {test} THEN named_struct({fields}) END"
 
 
-def suggestions(issues: Column, complexity: Column, language: Column) -> Column:
-    """Array of suggestions of one file."""
-
-    def has(*types):
-        return F.exists(issues, lambda i: i["type"].isin(list(types)))
-
-    return F.array_compact(F.array(
-        F.when(has("hardcoded_password", "hardcoded_api_key"), _suggestion(USE_ENVIRONMENT)),
-        F.when(complexity > COMPLEX_ABOVE, _suggestion(SPLIT_FUNCTIONS)),
-        F.when(language.isin("javascript", "typescript") & has("var_usage"), _suggestion(MODERN_VARIABLES)),
-    )).cast(_TYPE)
+def suggestions() -> Column:
+    """Array of suggestions of one file, from its ``issues``, ``cyclomatic_complexity`` and ``language``."""
+    arms = ", ".join([
+        _when("exists(issues, i -> i.type IN ('hardcoded_password', 'hardcoded_api_key'))", USE_ENVIRONMENT),
+        _when(f"cyclomatic_complexity > {COMPLEX_ABOVE}", SPLIT_FUNCTIONS),
+        _when("language IN ('javascript', 'typescript') AND exists(issues, i -> i.type = 'var_usage')", MODERN_VARIABLES),
+    ])
+    return F.expr(f"array_compact(array({arms}))")
 
 
 def with_suggestions(results: DataFrame) -> DataFrame:
-    return results.withColumn(
-        "suggestions", suggestions(F.col("issues"), F.col("cyclomatic_complexity"), F.col("language")))
+    return results.withColumn("suggestions", suggestions())
 
 
 def suggestion_rows(results: DataFrame, type: str | None = None, priority: str | None = None) -> DataFrame:
