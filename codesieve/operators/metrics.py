@@ -17,16 +17,12 @@ COMMENT_PREFIXES = {
 }
 DEFAULT_COMMENT_PREFIXES = ["#", "//"]
 
-# What counts as a function, class or decision in JavaScript and TypeScript.
-JS_FUNCTIONS = [
-    r"function\s+\w+", r"const\s+\w+\s*=\s*\(", r"let\s+\w+\s*=\s*\(", r"var\s+\w+\s*=\s*\(", r"=>",
-    r"async\s+function",
-]
+# What counts as a function, class or decision in JavaScript and TypeScript. Words whose matches can
+# never overlap share one pattern, since every pattern is a pass over the text; "else if" also counts
+# as "if", and "async function" as "function", so these stay apart.
+JS_FUNCTIONS = [r"function\s+\w+", r"(?:const|let|var)\s+\w+\s*=\s*\(|=>", r"async\s+function"]
 JS_CLASSES = [r"class\s+\w+"]
-JS_DECISIONS = [
-    r"\bif\s*\(", r"\belse\s+if\s*\(", r"\bwhile\s*\(", r"\bfor\s*\(", r"\bswitch\s*\(", r"\bcase\s+",
-    r"\bcatch\s*\(", r"\?\s*.*\s*:",
-]
+JS_DECISIONS = [r"\b(?:if|while|for|switch|catch)\s*\(|\bcase\s+", r"\belse\s+if\s*\(", r"\?\s*.*\s*:"]
 
 METRICS = [
     "lines_of_code", "blank_lines", "comment_lines", "cyclomatic_complexity", "functions", "classes", "file_size",

@@ -182,6 +182,26 @@ def test_patterns_agree_with_python(spark, seed):
             assert row[f"c{n}"] == want, (p, texts[row.id])
 
 
+# one pattern per kind of function and decision, to be counted apart
+SINGLE = {
+    "functions": [r"function\s+\w+", r"const\s+\w+\s*=\s*\(", r"let\s+\w+\s*=\s*\(", r"var\s+\w+\s*=\s*\(", r"=>", r"async\s+function"],
+    "classes": [r"class\s+\w+"],
+    "cyclomatic_complexity": [r"\bif\s*\(", r"\belse\s+if\s*\(", r"\bwhile\s*\(", r"\bfor\s*\(", r"\bswitch\s*\(", r"\bcase\s+",
+                              r"\bcatch\s*\(", r"\?\s*.*\s*:"],
+}
+
+
+def test_javascript_counts_against_single_patterns(corpus_of):
+    random.seed(5)
+    parts = ["if", "while", "for", "switch", "catch", "case", "else", "(", " ", " ", "\n", "const", "let", "var", "function", "async", "=>", "=",
+             "= (", "a", "É", "_", "\u00a0", "?", ":", "class", "IF", "Case\t", "x1"]
+    files = {f"f{n}.js": "".join(random.choices(parts, k=random.randint(1, 60))) for n in range(400)}
+    for row in review(corpus_of(files)).select("path", *SINGLE).collect():
+        for name, patterns in SINGLE.items():
+            want = sum(len(re.findall(p, files[row.path], re.IGNORECASE)) for p in patterns)
+            assert row[name] == want, (name, files[row.path])
+
+
 def test_strip_is_pythons(spark):
     texts = [ch + "a" + ch for ch in PY_WHITESPACE] + ["\u200ba\ufeff", "  é ", ""]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", strip(F.col("t")).alias("s")).collect()
