@@ -278,4 +278,4 @@ SNIPPETS[".yaml"] = SNIPPETS[".yml"][3:] + SNIPPETS[".yml"][:3]
 SITE = {".yml": 8, ".yaml": 5}
 
 EXTENSIONS = [".py", ".js", ".ts", ".java", ".go", ".sql", ".yml", ".yaml", ".rb", ".php", ".html", ".txt"]
-FOLDERS = ["src/", "node_modules/lib/", ".github/", "app/build/", "src/main.log/", "lib/env", "src/a/", "src/b/", ""]
+FOLDERS = ["src/", "node_modules/lib/", ".config/", "app/build/", "src/main.log/", "lib/env", "src/a/", "src/b/", ""]
