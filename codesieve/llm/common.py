@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words of the contracts: runs of anything but space, tab, newline, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -60,3 +61,26 @@ def shingle_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
     for i in range(1, width):
         out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + tokens[i:i + n])
     return out
+
+
+#: Bits of a bitmap that filters rows before a join: 8 MB, whatever the size of the table behind it.
+BITMAP_BITS = 1 << 26
+
+
+def bitmap(keys: DataFrame, column: str) -> np.ndarray:
+    """A bitmap with the bit of each key's low 26 bits set. It has a fixed size, so it may go to every task; what passes it by
+    chance is for the join that must follow."""
+    key = F.col(column)
+    cell = F.shiftright(key.bitwiseAND(F.lit(BITMAP_BITS - 1)), 6).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), key.bitwiseAND(F.lit(63)).cast("int"))
+    cells = keys.groupBy(cell.alias("cell")).agg(F.bit_or(bit).alias("bits"))
+    out = np.zeros(BITMAP_BITS // 64, np.uint64)
+    for cell, bits in cells.toPandas().itertuples(index=False):
+        out[cell] = np.int64(bits).view(np.uint64)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which 64-bit keys may be among the bitmap's."""
+    low = keys.view(np.uint64) & np.uint64(BITMAP_BITS - 1)
+    return (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
