@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codesieve.llm import chat_query, langid_query, mixing_query, tiling_query, topk_query
+from codesieve.llm import chat_query, langid_query, mixing_query, tiling_query, token_trees_query, topk_query
 
-MODULES = [mixing_query, topk_query, langid_query, chat_query, tiling_query]
+MODULES = [mixing_query, token_trees_query, topk_query, langid_query, chat_query, tiling_query]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {m.NAME: m.query for m in MODULES}
 ORACLES: dict[str, str] = {m.NAME: m.SQL for m in MODULES if m.SQL is not None}
