@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,3 +85,34 @@ def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which 64-bit keys may be among the bitmap's."""
     low = keys.view(np.uint64) & np.uint64(BITMAP_BITS - 1)
     return (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
+
+
+_PIECE = 128  # numbers of a vector that travel in one row
+
+
+def summed_vectors(rows: DataFrame, label: str, vector, size: int) -> dict:
+    """For each value of ``label``, the sum of ``vector(text)`` (``size`` integers) over all rows with a ``text``.
+
+    A task sums what it reads; sums are shuffled in pieces, and the driver gets ``size`` numbers a label, however many rows there are.
+    """
+    kind = dict(rows.dtypes)[label]
+    schema = f"label {kind}, piece int, counts array<bigint>"
+
+    def count(batches):
+        total: dict = {}
+        for batch in batches:
+            for name, text in zip(batch["label"], batch["text"], strict=True):
+                if name not in total:
+                    total[name] = np.zeros(size, np.int64)
+                total[name] += vector(text)
+        for name, counts in total.items():
+            yield pd.DataFrame({"label": name, "piece": range(size // _PIECE), "counts": list(counts.reshape(-1, _PIECE))})
+
+    def add(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"label": [key[0]], "piece": [key[1]], "counts": [np.sum(np.stack(pieces["counts"].to_list()), axis=0)]})
+
+    read = rows.select(F.col(label).alias("label"), "text").filter("label IS NOT NULL AND text IS NOT NULL")
+    out: dict = {}
+    for name, piece, counts in read.mapInPandas(count, schema).groupBy("label", "piece").applyInPandas(add, schema).collect():
+        out.setdefault(name, np.zeros(size, np.int64))[piece * _PIECE:(piece + 1) * _PIECE] = counts
+    return out

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from codesieve.llm.common import summed_vectors
+
 BUCKETS = 1 << 13
 UNKNOWN = "und"
-_CHUNK = 128  # buckets that travel in one row
 _BLOCK = 1 << 20  # bytes of a text looked at together
 
 
@@ -81,33 +82,10 @@ class Model:
 
 
 def train(rows: DataFrame) -> Model:
-    """Learn from all of ``rows(lang, text)``; rows with a null in either teach nothing.
-
-    Each task counts n-grams by language, in memory of BUCKETS numbers a language; only these counts are shuffled, in
-    pieces, and the driver gets their sums: BUCKETS numbers a language, however many documents there are.
-    """
-
-    def count(batches):
-        total: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                if lang not in total:
-                    total[lang] = np.zeros(BUCKETS, np.int64)
-                total[lang] += gram_counts(text)
-        for lang, counts in total.items():
-            yield pd.DataFrame({"lang": lang, "chunk": range(BUCKETS // _CHUNK), "counts": list(counts.reshape(-1, _CHUNK))})
-
-    def add(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"lang": [key[0]], "chunk": [key[1]], "counts": [np.sum(np.stack(pieces["counts"].to_list()), axis=0)]})
-
-    schema = "lang string, chunk int, counts array<bigint>"
-    known = rows.select("lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sums = known.mapInPandas(count, schema).groupBy("lang", "chunk").applyInPandas(add, schema).collect()
-    languages = sorted({r["lang"] for r in sums})
-    counts = np.zeros((len(languages), BUCKETS), np.int64)
-    for r in sums:
-        counts[languages.index(r["lang"]), r["chunk"] * _CHUNK:(r["chunk"] + 1) * _CHUNK] = r["counts"]
-    return Model(languages, counts)
+    """Learn from all of ``rows(lang, text)``; rows with a null in either teach nothing."""
+    sums = summed_vectors(rows, "lang", gram_counts, BUCKETS)
+    languages = sorted(sums)
+    return Model(languages, np.array([sums[x] for x in languages]).reshape(-1, BUCKETS))
 
 
 def predict(spark, model: Model, text: Column) -> Column:

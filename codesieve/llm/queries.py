@@ -6,9 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codesieve.llm import chat_query, forest_query, langid_query, lines_query, mixing_query, tiling_query, token_trees_query, topk_query
+from codesieve.llm import (
+    chat_query,
+    forest_query,
+    langid_query,
+    lines_query,
+    mixing_query,
+    resampling_query,
+    tiling_query,
+    token_trees_query,
+    topk_query,
+)
 
-MODULES = [mixing_query, token_trees_query, topk_query, lines_query, forest_query, langid_query, chat_query, tiling_query]
+MODULES = [mixing_query, token_trees_query, topk_query, lines_query, forest_query, resampling_query, langid_query, chat_query, tiling_query]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {m.NAME: m.query for m in MODULES}
 ORACLES: dict[str, str] = {m.NAME: m.SQL for m in MODULES if m.SQL is not None}
