@@ -1,24 +1,68 @@
-"""From raw documents to a training mix, stage by stage."""
+"""From raw documents to a training mix: five stages, each over all that the one before kept.
+
+A stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again as the next one's ``docs``. All but
+the last return the columns of ``documents``. Nulls, empty texts, repeated rows and empty tables are handled as the operators say;
+further columns pass through.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codesieve.llm.common import stored
+from codesieve.llm.forest import near_duplicates
+from codesieve.llm.langid import identify
+from codesieve.llm.langid_query import held_out
+from codesieve.llm.lines import dedupe_lines
 from codesieve.llm.mixing import mix, repeated
 from codesieve.llm.mixing_query import word_count
+from codesieve.llm.tiling import decontaminate
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that can be told; those without a letter, and those that fit two languages alike, go."""
+    found = identify(docs, docs.filter(~held_out()))
+    return found.filter(~F.col("ambiguous")).select(docs.columns)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal or similar lines the first stays. Documents all of whose lines are found elsewhere go; ``n_chars`` follows the text."""
+    left = dedupe_lines(docs)
+    emptied = (F.col("n_dropped") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
+    shorter = F.when(F.col("n_dropped") > 0, F.length("text").cast("long"))
+    return left.filter(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.coalesce(shorter, F.col("n_chars"))).select(docs.columns)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: shingles of 5 words, similarity 0.8. Of rows that agree in doc_id and text one stays."""
+    kept = stored(near_duplicates(docs, width=5, percent=80).filter("kept").select("at").distinct(), "kept")
+    rows = docs.withColumn("_at", F.xxhash64("doc_id", F.xxhash64("text"))).join(kept.withColumnRenamed("at", "_at"), "_at")
+    first = Window.partitionBy("_at").orderBy(*[c for c in ("source", "lang", "n_chars") if c in docs.columns])
+    return rows.withColumn("_row", F.row_number().over(first)).filter("_row = 1").select(docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage, in whatever order."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return decontaminate(docs, benchmark).filter("NOT contaminated").select(docs.columns)
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated as the source weights ask; ``copy`` counts from 1."""
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: documents as often as the source weights ask; ``copy`` counts from 1."""
     sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     return repeated(mix(docs, stored(sizes, "mix-sizes"))).select(*docs.columns, "copy")
 
 
-STAGES = [("mixing sources to target weights", mix_sources)]
+STAGES = [
+    ("language identification", identified),
+    ("line dedup", without_repeated_lines),
+    ("near-duplicates", without_near_duplicates),
+    ("benchmark decontamination", without_benchmark),
+    ("mixing sources to target weights", mixed_sources),
+]
 
-#: Language identification and the near-duplicate stages can't be said in SQL.
+#: Trained classifiers, fuzzy components and string tilings can't be said in SQL; tests run the pipeline against brute force.
 ORACLE_SQL = None
 
 
