@@ -109,5 +109,5 @@ def identify(docs: DataFrame, training: DataFrame) -> DataFrame:
     pass through and are never looked at.
     """
     found = predict(docs.sparkSession, train(training), F.col("text"))
-    out = docs.drop("lang_pred", "score", "ambiguous").withColumn("_found", found)
-    return out.withColumns({"lang_pred": F.col("_found.lang"), "score": F.col("_found.score"), "ambiguous": F.col("_found.ambiguous")}).drop("_found")
+    out = docs.drop("lang_pred", "score", "ambiguous").withColumn("__found", found)
+    return out.withColumns({"lang_pred": F.col("__found.lang"), "score": F.col("__found.score"), "ambiguous": F.col("__found.ambiguous")}).drop("__found")

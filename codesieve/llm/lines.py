@@ -241,11 +241,11 @@ def line_decisions(docs: DataFrame, **parameters) -> DataFrame:
     (their lines stay or go together); texts and lines of any length are read whole; an empty table gives no rows; other columns
     pass through, a column ``dropped`` is replaced. Lines are compared by 64-bit hashes where they are equal.
     """
-    rows = docs.drop("dropped").withColumns({"_doc": F.coalesce("doc_id", F.lit(_NO_ID)), "_at": F.xxhash64("doc_id", F.xxhash64("text"))})
-    lines = rows.filter("text IS NOT NULL").select(F.col("_doc").alias("doc"), F.col("_at").alias("at"), "text")
+    rows = docs.drop("dropped").withColumns({"__doc": F.coalesce("doc_id", F.lit(_NO_ID)), "__at": F.xxhash64("doc_id", F.xxhash64("text"))})
+    lines = rows.filter("text IS NOT NULL").select(F.col("__doc").alias("doc"), F.col("__at").alias("at"), "text")
     dropped = stored(
-        repeated_lines(lines, **parameters).groupBy("doc", "at").agg(F.array_sort(F.collect_set("number")).alias("dropped")), "dropped-lines")
-    return rows.join(dropped, (rows["_doc"] == dropped["doc"]) & (rows["_at"] == dropped["at"]), "left").drop("_doc", "_at", "doc", "at")
+        repeated_lines(lines, **parameters).groupBy(F.col("doc").alias("__doc"), F.col("at").alias("__at")).agg(F.array_sort(F.collect_set("number")).alias("dropped")), "dropped-lines")
+    return rows.join(dropped, ["__doc", "__at"], "left").drop("__doc", "__at")
 
 
 @pandas_udf(T.StringType())

@@ -46,41 +46,40 @@ def water_fill(sizes: DataFrame, max_epochs: int = 3) -> DataFrame:
 
 def _keyed(df: DataFrame) -> DataFrame:
     """Join keys for a source that may be null, without null-safe joins."""
-    return df.withColumns({"_no": F.col("source").isNull(), "_src": F.coalesce("source", F.lit(""))})
+    return df.withColumns({"__no": F.col("source").isNull(), "__src": F.coalesce("source", F.lit(""))})
 
 
 def mix_plan(sizes: DataFrame, weights=(1, 2, 3), max_epochs: int = 3, seed: int = 17, key: str = "doc_id") -> DataFrame:
-    """Per source of ``sizes(key, source, size)``: source_size, target, ``whole`` repetitions of each document, and the
-    ``cut``: in the source's seeded order, documents up to that hash get one copy more.
+    """Per source of ``sizes(key, source, size)``: its size, target, whole repetitions of each document, and the cut: in the source's seeded order, documents up to that hash get one copy more.
 
     The order of a source is summed over SLICES slices of the hash first; only the slice in which the rest ends is ordered
     row by row. A source with a third of all rows so puts a few thousandths of them into one task.
     """
     rows = _keyed(sizes).select(
-        "_src", "_no", F.col(key).alias("_key"), seeded_order(F.col(key), seed).alias("_hash"),
+        "__src", "__no", F.col(key).alias("_key"), seeded_order(F.col(key), seed).alias("_hash"),
         F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("_size")).withColumn("_slice", F.shiftright("_hash", 52).cast("int"))
-    slices = stored(rows.groupBy("_src", "_no", "_slice").agg(F.sum("_size").alias("_sum")), "mix-slices")
-    per_source = slices.groupBy("_src", "_no").agg(F.sum("_sum").alias("source_size")).select(
-        F.when(~F.col("_no"), F.col("_src")).alias("source"), "source_size")
+    slices = stored(rows.groupBy("__src", "__no", "_slice").agg(F.sum("_size").alias("_sum")), "mix-slices")
+    per_source = slices.groupBy("__src", "__no").agg(F.sum("_sum").alias("source_size")).select(
+        F.when(~F.col("__no"), F.col("__src")).alias("source"), "source_size")
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     targets = _keyed(water_fill(cycled_weights(per_source, weights), max_epochs)).withColumn("whole", times).withColumn(
         "rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    by_slice = Window.partitionBy("_src", "_no").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    by_slice = Window.partitionBy("__src", "__no").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     ends = (
         slices.withColumn("_below", F.coalesce(F.sum("_sum").over(by_slice), F.lit(0)))
-        .join(targets, ["_src", "_no"])
-        .groupBy("_src", "_no", "source", "source_size", "target", "whole", "rest")
+        .join(targets, ["__src", "__no"])
+        .groupBy("__src", "__no", "source", "source_size", "target", "whole", "rest")
         .agg(F.max(F.when(F.col("_below") < F.col("rest"), F.struct("_slice", "_below"))).alias("end")))
     ends = stored(ends.select("*", "end.*").drop("end"), "mix-ends")
-    order = Window.partitionBy("_src", "_no").orderBy("_hash", "_key", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("__src", "__no").orderBy("_hash", "_key", "_size").rowsBetween(Window.unboundedPreceding, -1)
     last = (
-        rows.join(ends.select("_src", "_no", "_slice", "_below", "rest"), ["_src", "_no", "_slice"])
+        rows.join(ends.select("__src", "__no", "_slice", "_below", "rest"), ["__src", "__no", "_slice"])
         .withColumn("_before", F.col("_below") + F.coalesce(F.sum("_size").over(order), F.lit(0)))
         .filter(F.col("_before") + F.col("_size") / 2 < F.col("rest"))
-        .groupBy("_src", "_no").agg(F.max("_hash").alias("_last")))
+        .groupBy("__src", "__no").agg(F.max("_hash").alias("_last")))
     cut = F.coalesce("_last", F.shiftleft(F.col("_slice").cast("long"), 52) - 1, F.lit(-1))
-    return stored(ends.join(last, ["_src", "_no"], "left").select(
-        "_src", "_no", "source_size", "target", F.col("whole").cast("long").alias("whole"), cut.alias("cut")), "mix-plan")
+    return stored(ends.join(last, ["__src", "__no"], "left").select(
+        "__src", "__no", F.col("source_size").alias("__size"), F.col("target").alias("__target"), F.col("whole").cast("long").alias("__whole"), cut.alias("__cut")), "mix-plan")
 
 
 def mix(docs: DataFrame, sizes: DataFrame | None = None, weights=(1, 2, 3), max_epochs: int = 3, seed: int = 17, key: str = "doc_id") -> DataFrame:
@@ -101,8 +100,10 @@ def mix(docs: DataFrame, sizes: DataFrame | None = None, weights=(1, 2, 3), max_
     """
     plan = mix_plan(docs if sizes is None else sizes, weights, max_epochs, seed, key)
     added = ["source_size", "target", "copies", "taken"]
-    out = _keyed(docs.drop(*added)).join(plan, ["_src", "_no"]).withColumn(
-        "copies", F.col("whole") + (seeded_order(F.col(key), seed) <= F.col("cut")).cast("long")).drop("_src", "_no", "whole", "cut")
+    out = _keyed(docs.drop(*added)).join(plan, ["__src", "__no"]).withColumns({
+        "source_size": F.col("__size"), "target": F.col("__target"),
+        "copies": F.col("__whole") + (seeded_order(F.col(key), seed) <= F.col("__cut")).cast("long"),
+    }).drop("__src", "__no", "__size", "__target", "__whole", "__cut")
     if "size" in docs.columns:
         out = out.withColumn("taken", F.col("copies") * F.coalesce(F.col("size"), F.lit(0)))
     return out

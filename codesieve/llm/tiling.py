@@ -167,10 +167,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 5, thresho
     anything and flag nothing; null or repeated item_ids are passages each; repeated documents are decided alike; with an empty
     benchmark all are clean. Columns of the three names are replaced, others pass through.
     """
-    rows = docs.drop("coverage", "item_ids", "contaminated").withColumn("_digest", F.md5("text"))
+    rows = docs.drop("coverage", "item_ids", "contaminated").withColumn("__digest", F.md5("text"))
     found = passage_hits(
-        rows.filter("text IS NOT NULL").select(F.col("_digest").alias("digest"), "text"), benchmark, least, threshold)
-    found = stored(found.groupBy("digest").agg(
+        rows.filter("text IS NOT NULL").select(F.col("__digest").alias("digest"), "text"), benchmark, least, threshold)
+    found = stored(found.groupBy(F.col("digest").alias("__digest")).agg(
         F.max("coverage").alias("coverage"), F.array_sort(F.collect_set("item_id")).alias("item_ids")), "contaminated")
-    out = rows.join(found, rows["_digest"] == found["digest"], "left").drop("_digest", "digest")
+    out = rows.join(found, "__digest", "left").drop("__digest")
     return out.withColumn("contaminated", F.col("coverage").isNotNull())

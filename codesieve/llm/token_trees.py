@@ -188,11 +188,11 @@ def apply_edits(counted: DataFrame, edits: DataFrame, counter: TokenCounter, key
     null texts empty. Edits of one document come together, as they must be applied one after the other.
     """
     order = Window.partitionBy(key).orderBy("seq", "start", "stop", "text")
-    todo = edits.filter(F.col(key).isNotNull()).withColumn("_no", F.row_number().over(order)).groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("_no", "start", "stop", "text"))).alias("_edits"))
+    todo = edits.filter(F.col(key).isNotNull()).withColumn("__no", F.row_number().over(order)).groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("__no", "start", "stop", "text"))).alias("__edits"))
     joined = counted.join(todo, key, "left")
-    done = joined.withColumn("_done", counter.edited(F.col("text"), F.col("tree"), F.transform("_edits", lambda e: e.dropFields("_no"))))
+    done = joined.withColumn("__done", counter.edited(F.col("text"), F.col("tree"), F.transform("__edits", lambda e: e.dropFields("__no"))))
     return done.withColumns({
-        "text": F.when(F.col("text").isNotNull() | (F.size("_edits") > 0), F.col("_done.text")),
-        "tree": F.struct(F.col("_done.chars").alias("chars"), F.col("_done.tokens").alias("tokens")),
-        "n_tokens": F.col("_done.tokens")[1], "encoded": F.col("_done.encoded")}).drop("_edits", "_done")
+        "text": F.when(F.col("text").isNotNull() | (F.size("__edits") > 0), F.col("__done.text")),
+        "tree": F.struct(F.col("__done.chars").alias("chars"), F.col("__done.tokens").alias("tokens")),
+        "n_tokens": F.col("__done.tokens")[1], "encoded": F.col("__done.encoded")}).drop("__edits", "__done")
