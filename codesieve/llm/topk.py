@@ -43,9 +43,11 @@ def best_of_block(q: np.ndarray, q_table: np.ndarray, own: np.ndarray, ids: np.n
     x.q = (|x|^2 + |q|^2 - d(x, q)^2) / 2, so the largest of these bounds limits the score from above. Rows are scored in
     falling order of that limit until the next limit is below the k-th best score; rows at that score are still scored, for
     ties go to the smaller id."""
-    nearest = np.abs(table - q_table).max(axis=1) if table.shape[1] else np.zeros(len(ids))
+    # distances are rounded in proportion to their own size
+    bounds = np.abs(table - q_table) - (table + q_table) * 1e-12
+    nearest = np.maximum(bounds.max(axis=1), 0) if table.shape[1] else np.zeros(len(ids))
     total = norms + float(q.astype(np.float64) @ q.astype(np.float64))
-    limit = (total - nearest**2) / 2 + total * 1e-9 + 1  # the slack covers rounding of the distances
+    limit = (total - nearest**2) / 2 + total * 1e-9 + 1  # the slack covers rounding of the norms
     order = np.argsort(-limit, kind="stable")
     order = order[~own[order]]
     scores, found, at, step = np.empty(0, np.int64), np.empty(0, np.int64), 0, 256
@@ -112,8 +114,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 24, sa
             for query_id, v, d in zip(q["asked_id"], q["asked_v"], q["asked_d"], strict=True):
                 v = np.asarray(v, np.int64)
                 scores, found = best_of_block(v, np.asarray(d, np.float64), ids == query_id, ids, block_rows, table, norms, k)
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": found, "score": scores, "query": [v] * len(found)}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "query": []})
+                out.append(pd.DataFrame({"query_id": query_id, "vec_id": found, "score": scores, "query": pd.Series([v] * len(found), dtype=object)}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "vec_id", "score", "query"], dtype=object)
 
     found = asked.cogroup(against).applyInPandas(search, "query_id bigint, vec_id bigint, score bigint, query array<bigint>")
     order = Window.partitionBy("query_id", F.xxhash64("query")).orderBy(F.desc("score"), "vec_id")
