@@ -67,6 +67,7 @@ BINARY_EXTENSIONS = [
     ".woff2", ".ttf", ".eot", ".mp3", ".mp4", ".avi", ".mov", ".wav", ".parquet",
 ]
 
+# Fixed value: the usual size limit; an option of the scan.
 MAX_FILE_SIZE = 1_048_576
 
 
@@ -154,9 +155,9 @@ def is_excluded(path: Column, patterns=None, directories=None) -> Column:
     return test
 
 
-def is_binary(path: Column, raw: Column) -> Column:
-    """A binary extension, or a NUL among the first 1024 bytes."""
-    return extension(path).isin(BINARY_EXTENSIONS) | F.contains(F.substring(raw, 1, 1024), F.lit(b"\x00"))
+def is_binary(path: Column, raw: Column, probe: int = 1024) -> Column:
+    """A binary extension, or a NUL among the first ``probe`` bytes: that is how a binary file is defined."""
+    return extension(path).isin(BINARY_EXTENSIONS) | F.contains(F.substring(raw, 1, probe), F.lit(b"\x00"))
 
 
 def sanitize_filename(name: Column) -> Column:

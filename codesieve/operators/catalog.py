@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codesieve.functions.text import contains_any
@@ -111,43 +111,66 @@ def configure(records: DataFrame) -> DataFrame:
     entries = []
     for name in SWITCHES:
         entries += [F.lit(name), F.col(name).cast("string")]
-    for name in LISTS:
+    for name in LISTS[:-1]:
         entries += [F.lit(name), F.concat_ws(",", name)]
+    # each check is a setting of its own, which an update can switch off
+    checks = F.map_from_entries(F.transform("checks", lambda c: F.struct(F.concat(F.lit("check_"), c).alias("key"), F.lit("true").alias("value"))))
     return _with_settings(records).select(
         F.substring_index("full_name", "/", 1).alias("owner"), "name", "full_name",
         F.coalesce("language", F.lit("unknown")).alias("language"),
         F.coalesce("default_branch", F.lit("main")).alias("default_branch"),
-        F.lit(True).alias("enabled"), F.create_map(*entries).alias("analysis_config"),
+        F.lit(True).alias("enabled"), F.map_concat(F.create_map(*entries), checks).alias("analysis_config"),
         F.lit(None).cast("timestamp_ntz").alias("last_analyzed"))
 
 
-def replace_configs(configs: DataFrame, new: DataFrame) -> DataFrame:
-    """Discovered repositories replace their old rows; the others stay."""
-    old, fresh = configs.alias("old"), new.withColumn("found", F.lit(True)).alias("new")
+def _last_row(rows: DataFrame, order: list[str]) -> DataFrame:
+    """One row per ``full_name``: the last one by ``order``, then by its text, so that the choice never depends on chance."""
+    given = [F.col(c) for c in order if c in rows.columns]
+    latest = Window.partitionBy("full_name").orderBy(*[c.desc() for c in [*given, F.to_json(F.struct(*rows.columns))]])
+    return rows.withColumn("_latest", F.row_number().over(latest)).filter("_latest = 1").drop("_latest")
+
+
+def replace_configs(configs: DataFrame, new: DataFrame, order: str = "seq") -> DataFrame:
+    """Discovered repositories replace their old rows; the others stay. Of several rows of one repository the last by ``order`` counts."""
+    old, fresh = configs.alias("old"), _last_row(new, [order]).withColumn("found", F.lit(True)).alias("new")
     joined = old.join(fresh, F.col("old.full_name") == F.col("new.full_name"), "full_outer")
     return joined.select(*[
         F.when(F.col("new.found"), F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in configs.columns])
 
 
-def override_configs(configs: DataFrame, updates: DataFrame) -> DataFrame:
-    """Merge ``updates(full_name, settings map, enabled)`` into the configurations.
+def override_configs(configs: DataFrame, updates: DataFrame, order: str = "seq") -> DataFrame:
+    """Merge ``updates(full_name, settings map, enabled[, seq])`` into the configurations.
 
-    New settings win over old ones; an update for an unknown repository changes nothing.
+    New settings win over old ones. A repository may have several updates: they count in order of ``order``, the last value of each
+    setting wins, and the last switch that isn't null (ties: the larger value). An update for an unknown repository changes nothing.
     """
+    at = F.col(order) if order in updates.columns else F.lit(0)
+    dated = updates.select("full_name", "settings", F.col("enabled").alias("switch"), at.alias("at"))
+    last = F.max(F.when(F.col("switch").isNotNull(), F.struct("at", "switch")))["switch"]
+    switches = dated.groupBy("full_name").agg(last.alias("switch"))
+    settings = (
+        dated.select("full_name", "at", F.explode("settings").alias("key", "value"))
+        .groupBy("full_name", "key").agg(F.max(F.struct("at", "value"))["value"].alias("value"))
+        .groupBy("full_name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("settings"))
+    )
     keep_old = F.map_filter("analysis_config", lambda k, _: ~F.array_contains(F.map_keys("settings"), k))
     merged = F.when(F.col("settings").isNull(), F.col("analysis_config")).otherwise(F.map_concat(keep_old, "settings"))
-    new = updates.select("full_name", "settings", F.col("enabled").alias("switch"))
     return (
-        configs.join(new, "full_name", "left")
+        configs.join(switches, "full_name", "left").join(settings, "full_name", "left")
         .withColumn("analysis_config", merged)
         .withColumn("enabled", F.coalesce("switch", "enabled"))
         .select(*configs.columns)
     )
 
 
-def refresh(configs: DataFrame, records: DataFrame) -> DataFrame:
-    """Take language and default branch from newer records where these have them."""
-    new = records.select("full_name", F.col("language").alias("new_language"), F.col("default_branch").alias("new_branch"))
+def refresh(configs: DataFrame, records: DataFrame, order: str = "updated_at") -> DataFrame:
+    """Take language and default branch from newer records where these have them; of several records the last by ``order`` that has it."""
+    at = F.col(order) if order in records.columns else F.lit(0)
+
+    def last(column):
+        return F.max(F.when(F.col(column).isNotNull(), F.struct(at.alias("at"), F.col(column).alias("value"))))["value"]
+
+    new = records.groupBy("full_name").agg(last("language").alias("new_language"), last("default_branch").alias("new_branch"))
     return (
         configs.join(new, "full_name", "left")
         .withColumn("language", F.coalesce("new_language", "language"))

@@ -6,20 +6,12 @@ only their text is read further.
 
 from __future__ import annotations
 
-import sys
-import tomllib
-
-import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.functions.paths import base_name
 from codesieve.functions.text import rx, split_lines, strip
 
-# Executors get the TOML reader with the task, so the package need not be installed on them.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 # Manifests looked for at a repository's root, and the names each reader takes.
 ROOT_MANIFESTS = [
     "requirements.txt", "requirements-dev.txt", "Pipfile", "pyproject.toml", "package.json", "go.mod", "Cargo.toml",
@@ -66,7 +58,7 @@ def package_json_packages(content: Column) -> Column:
     found = F.concat(*[
         F.coalesce(_scoped(scope, F.json_object_keys(F.get_json_object(content, where))), _none())
         for scope, where in sections.items()])
-    return F.when(F.try_parse_json(content).isNotNull(), found)
+    return F.when(F.from_json(content, "map<string, string>").isNotNull(), found)
 
 
 def pipfile_packages(content: Column) -> Column:
@@ -96,54 +88,44 @@ def go_mod_packages(content: Column, strict: bool = False) -> Column:
         F.regexp_extract_all(content, F.lit(rx(r"require\s+([^\s]+)")), F.lit(1)), lambda m: ~m.startswith("("))
     if not strict:
         return _scoped("direct", single)
-    blocks = F.regexp_extract_all(content, F.lit(rx(r"require\s*\(([^)]*)\)")), F.lit(1))
+    # cut at the last closing bracket, every block that opens ends
+    closed = F.left(content, F.length(content) - F.length(F.substring_index(content, ")", -1)))
+    blocks = F.regexp_extract_all(closed, F.lit(rx(r"require\s*\(([^)]*+)\)")), F.lit(1))
     lines = F.transform(F.flatten(F.transform(blocks, split_lines)), strip)
     entries = F.filter(lines, lambda l: (l != "") & ~l.startswith("//"))
     return _scoped("direct", F.concat(single, F.transform(entries, lambda l: F.split(l, rx(r"\s"))[0])))
 
 
-def _keys(table) -> list[str]:
-    return list(table) if isinstance(table, dict) else []
-
-
-def _toml_sections(kind: str, text: str) -> dict[str, list[str]]:
-    """Package names by scope; a text that is not TOML has none."""
-    try:
-        data = tomllib.loads(text)
-    except (tomllib.TOMLDecodeError, RecursionError):
-        return {"direct": [], "dev": []}
-    if kind == "cargo":
-        return {"direct": _keys(data.get("dependencies")), "dev": _keys(data.get("dev-dependencies"))}
-    tool = data.get("tool")
-    poetry = tool.get("poetry") if isinstance(tool, dict) else None
-    poetry = poetry if isinstance(poetry, dict) else {}
-    group = poetry.get("group")
-    dev = group.get("dev") if isinstance(group, dict) else None
-    return {
-        "direct": [name for name in _keys(poetry.get("dependencies")) if name != "python"],
-        "dev": _keys(dev.get("dependencies")) if isinstance(dev, dict) else [],
-    }
+# The TOML sections that list packages, by manifest, with the scope of each.
+POETRY_SECTIONS = {"tool.poetry.dependencies": "direct", "tool.poetry.group.dev.dependencies": "dev"}
+CARGO_SECTIONS = {"dependencies": "direct", "dev-dependencies": "dev"}
 
+_NAME = r"""(?:"([^"]++)"|'([^']++)'|([\w-]++))"""
 
-_ARROW_SECTIONS = pa.struct([("direct", pa.list_(pa.string())), ("dev", pa.list_(pa.string()))])
 
+def _first_name(text: Column, pattern: str) -> Column:
+    """The name that ``pattern`` holds: in double quotes, in single ones, or bare; empty if there is none."""
+    return F.concat(*[F.regexp_extract(text, rx(pattern), group) for group in (1, 2, 3)])
 
-def _toml_batch(kinds: pa.Array, texts: pa.Array) -> pa.Array:
-    return pa.array(
-        (None if t is None else _toml_sections(k, t) for k, t in zip(kinds.to_pylist(), texts.to_pylist())),
-        type=_ARROW_SECTIONS)
 
+def toml_packages(content: Column, sections: dict[str, str], without: tuple[str, ...] = ()) -> Column:
+    """Keys of the given sections, and names of their sub-tables (``[dependencies.name]``).
 
-_toml_batch.__annotations__ = {"kinds": pa.Array, "texts": pa.Array, "return": pa.Array}
+    Like the Pipfile, the text is cut in front of every header. A line whose key is followed by an equals sign, or by a dot and one,
+    is an entry; lines inside a value that spans several have none. A piece whose header does not close is skipped.
+    """
 
+    def of_piece(piece):
+        header = F.regexp_extract(piece, rx(r"^\s*\[\s*([^\]\n]*?)\s*\]"), 1)
+        names = F.filter(F.transform(split_lines(piece), lambda l: _first_name(l, rf"^\s*{_NAME}\s*(?:\.[^=]*+)?=")), lambda n: n != "")
+        out = _none()
+        for section, scope in sections.items():
+            inner = _first_name(F.substring(header, len(section) + 2, 1 << 30), rf"^{_NAME}")
+            out = F.when(header == section, _scoped(scope, F.filter(names, lambda n: ~n.isin(*without)) if without else names)).when(
+                header.startswith(f"{section}.") & (inner != ""), _scoped(scope, F.array(inner))).otherwise(out)
+        return out
 
-def toml_packages(base: Column, content: Column) -> Column:
-    """Poetry and Cargo manifests, read by the standard TOML parser in Arrow batches."""
-    sections = F.arrow_udf(_toml_batch, "struct<direct: array<string>, dev: array<string>>")
-    kind = F.when(base.isin(CARGO), "cargo").otherwise("poetry")
-    # texts of other manifests never leave the JVM
-    found = sections(kind, F.when(base.isin(POETRY + CARGO), content))
-    return F.concat(_scoped("direct", found["direct"]), _scoped("dev", found["dev"]))
+    return F.array_distinct(F.flatten(F.transform(F.split(content, rx(r"\n(?=[^\S\n]*\[)"), -1), of_piece)))
 
 
 def declared(files: DataFrame, strict: bool = False, names: list[str] | None = None) -> DataFrame:
@@ -157,7 +139,8 @@ def declared(files: DataFrame, strict: bool = False, names: list[str] | None = N
         "package_json": (PACKAGE_JSON, package_json_packages(content)),
         "pipfile": (PIPFILE, pipfile_packages(content)),
         "go": (GO, go_mod_packages(content, strict)),
-        "toml": (POETRY + CARGO, toml_packages(base, content)),
+        "poetry": (POETRY, toml_packages(content, POETRY_SECTIONS, ("python",))),
+        "cargo": (CARGO, toml_packages(content, CARGO_SECTIONS)),
     }
     known = [n for listed, _ in readers.values() for n in listed]
     packages = None
@@ -174,6 +157,7 @@ def repository_dependencies(files: DataFrame, strict: bool = False) -> DataFrame
 
 
 def dependency_lists(dependencies: DataFrame) -> DataFrame:
-    """Sorted packages per repository and scope, as arrays."""
+    """Sorted packages per repository and scope, as arrays: a list goes into one value, so where a repository may have any number, use
+    the rows of ``dependencies`` themselves. Its rows are distinct already."""
     return dependencies.groupBy("repo", "scope").agg(
-        F.array_sort(F.collect_set("package")).alias("packages"), F.count_distinct("package").alias("n_packages"))
+        F.array_sort(F.collect_list("package")).alias("packages"), F.count("*").alias("n_packages"))

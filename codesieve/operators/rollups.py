@@ -84,6 +84,20 @@ def repository_rollup(results: DataFrame) -> DataFrame:
     })
 
 
+def summary_struct(total_dependencies: Column | None = None) -> Column:
+    """The nested summary of a rollup's row."""
+    return F.struct(
+        "total_issues",
+        F.struct(*[F.col(f"{c}_issues").alias(c) for c in _CATEGORIES]).alias("issues_by_category"),
+        F.struct(*[F.col(f"{s}_issues").alias(s) for s in _SEVERITIES]).alias("issues_by_severity"),
+        F.map_keys("languages").alias("languages_detected"),
+        "most_common_language",
+        (F.lit(0) if total_dependencies is None else total_dependencies).cast("long").alias("total_dependencies"),
+        "has_security_issues",
+        "requires_attention",
+    )
+
+
 def summary(rollup: DataFrame, dependencies: DataFrame | None = None) -> DataFrame:
     """The nested repository summary; dependencies are counted over all scopes after de-duplication."""
     if dependencies is not None:
@@ -91,20 +105,8 @@ def summary(rollup: DataFrame, dependencies: DataFrame | None = None) -> DataFra
         rollup = rollup.join(counts, "repo", "left")
         total = F.coalesce("total_dependencies", F.lit(0))
     else:
-        total = F.lit(0)
-    return rollup.select(
-        "repo",
-        F.struct(
-            "total_issues",
-            F.struct(*[F.col(f"{c}_issues").alias(c) for c in _CATEGORIES]).alias("issues_by_category"),
-            F.struct(*[F.col(f"{s}_issues").alias(s) for s in _SEVERITIES]).alias("issues_by_severity"),
-            F.map_keys("languages").alias("languages_detected"),
-            "most_common_language",
-            total.cast("long").alias("total_dependencies"),
-            "has_security_issues",
-            "requires_attention",
-        ).alias("summary"),
-    )
+        total = None
+    return rollup.select("repo", summary_struct(total).alias("summary"))
 
 
 def issue_cube(issues: DataFrame) -> DataFrame:

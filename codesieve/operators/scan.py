@@ -21,6 +21,7 @@ import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from codesieve.functions.text import SQL_WHITESPACE as WS
 from codesieve.functions.text import split_lines, sql_string
@@ -171,14 +172,18 @@ def with_issues(
     categories=None,
     analysis_type: str = "full",
     per_node_long_lines: bool = False,
+    ids=None,
 ) -> DataFrame:
     """Add ``lines``, ``dialect``, ``facts`` and ``issues`` to ``files(repo, path, language, content)``.
 
+    ``ids`` limits the plan to some rules; without a rule on syntax, Python is not parsed for them.
+
     Rows with null content have no issues, except for the quick profile's unreadable-file issue.
     ``per_node_long_lines`` repeats a long Python line once per syntax node on it. Packs without
     language rules get no dialect and no parser facts.
     """
-    numbered = list(enumerate(pack(profile, categories, analysis_type)))
+    chosen = pack(profile, categories, analysis_type)
+    numbered = list(enumerate(r for r in chosen if ids is None or r.id in set(ids)))
     out = files
     if profile not in ("web", "interactive", "quick"):
         out = out.withColumn("dialect", dialect())
@@ -217,25 +222,28 @@ def numbered_lines(files: DataFrame) -> DataFrame:
     ).withColumn("line_no", F.col("pos") + 1).drop("pos")
 
 
-def scan_with_rule_table(lines: DataFrame, rule_table: DataFrame, compile_limit: int = 200, salts: int = 64) -> DataFrame:
+def scan_with_rule_table(lines: DataFrame, rule_table: DataFrame) -> DataFrame:
     """Rules as data: ``rule_table(rule_id, language, pattern, ...)``; language null means every language.
 
-    Gives one row per line and matching rule, with the columns of both. A table of at most
-    ``compile_limit`` rules becomes one expression with constant patterns, which Spark compiles once
-    per task. A larger one is joined by shuffle, with the lines of each language spread over ``salts``
-    groups so that a common language does not end up in one task.
+    Gives one row per line and matching row of the table, with the columns of both; ids may repeat, and a
+    null pattern matches nothing. The table is program text: it is read when the plan is built, its
+    patterns become constants in one expression, grouped by language, and a hit carries the row's
+    position until the row's columns are joined back.
     """
-    known = rule_table.select("rule_id", "language", "pattern").limit(compile_limit + 1).collect()
-    if len(known) <= compile_limit:
-        line, language = F.col("line"), F.col("language")
-        found = F.array_compact(F.array(*[
-            F.when(line.rlike(r.pattern) if r.language is None else (language == r.language) & line.rlike(r.pattern), r.rule_id)
-            for r in known]))
-        return lines.withColumn("rule_id", F.explode(found)).join(F.broadcast(rule_table.drop("language")), "rule_id")
-    # a line looks for the rules of its language and for those of every language: an equi-join
-    every = F.lit("*")
-    left = lines.withColumn("key", F.explode(F.array_compact(F.array("language", every)))).withColumn(
-        "salt", F.pmod(F.xxhash64("repo", "path", "line_no"), F.lit(salts)).cast("int"))
-    right = rule_table.withColumn("key", F.coalesce("language", every)).drop("language").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, ["key", "salt"]).filter(F.expr("line rlike pattern")).drop("key", "salt")
+    rows = rule_table.collect()
+    line, language = F.col("line"), F.col("language")
+    groups: dict[str | None, list[Column]] = {}
+    for position, rule in enumerate(rows):
+        if rule["pattern"] is not None:
+            groups.setdefault(rule["language"], []).append(F.when(line.rlike(rule["pattern"]), F.lit(position)))
+    none = F.array().cast("array<int>")
+    found = F.array(*groups.pop(None, []) or [F.lit(None).cast("int")])
+    by_language = None
+    for name, tests in groups.items():
+        by_language = F.when(language == name, F.array(*tests)) if by_language is None else by_language.when(language == name, F.array(*tests))
+    if by_language is not None:
+        found = F.concat(found, by_language.otherwise(none))
+    schema = rule_table.drop("language").schema.add("rule_position", IntegerType(), False)
+    columns = [c for c in rule_table.columns if c != "language"]
+    attributes = lines.sparkSession.createDataFrame([(*[r[c] for c in columns], n) for n, r in enumerate(rows)], schema)
+    return lines.withColumn("rule_position", F.explode(F.array_compact(found))).join(attributes, "rule_position").drop("rule_position")

@@ -37,6 +37,9 @@ _ARROW_FACTS = pa.struct([
     ("syntax_error", pa.struct([("message", pa.string()), ("line_no", pa.int32())])),
 ])
 
+#: Characters above which a line's nodes are counted.
+LONG = 120
+
 _BRANCHES = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.ExceptHandler, ast.comprehension)
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
@@ -51,7 +54,9 @@ def python_facts(source: str) -> dict:
     except SyntaxError as error:
         facts["syntax_error"] = {"message": str(error), "line_no": error.lineno or 0}
         return facts
-    except (ValueError, RecursionError, MemoryError):
+    except (ValueError, RecursionError, MemoryError) as error:
+        # the parser gives up on it: that is an issue of the file, not a clean file
+        facts["syntax_error"] = {"message": f"not parsed ({type(error).__name__})", "line_no": 0}
         return facts
 
     # parents come before their children, so one backward pass sums every subtree
@@ -88,7 +93,9 @@ def python_facts(source: str) -> dict:
                 {"type": "from_import", "module": node.module or "", "name": a.name, "alias": a.asname,
                  "line_no": node.lineno}
                 for a in node.names)
-    facts["node_lines"] = [{"line_no": n, "nodes": per_line[n]} for n in sorted(per_line)]
+    # only long lines are reported, see the scan
+    long = {n for n, line in enumerate(source.split("\n"), 1) if len(line) > LONG}
+    facts["node_lines"] = [{"line_no": n, "nodes": per_line[n]} for n in sorted(long & per_line.keys())]
     return facts
 
 

@@ -1,7 +1,7 @@
 """Text digests per repository: review, security, improvement.
 
-Each joins a few one-row-per-repository tables. They read the file results several times, so write
-those once first (:func:`codesieve.plans.materialize.materialize`) rather than scanning the corpus again.
+Each joins a few one-row-per-repository tables, from one pass over the file results each. Of a large corpus, the results may be
+written once first, to a folder of the user's choice (:func:`codesieve.plans.materialize.materialize`).
 
 Fixed values in this file: headings and line formats of the texts.
 """
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from codesieve.functions.levels import one_decimal
 from codesieve.operators.catalog import FOCUS_AREAS, split_setting
-from codesieve.operators.rollups import repository_rollup, summary
+from codesieve.operators.rollups import repository_rollup, summary_struct
 from codesieve.operators.suggestions import suggestion_rows
 from codesieve.operators.topn import first_issues, first_per_group
 
@@ -65,8 +65,7 @@ def review_digest(results: DataFrame, areas: list[str] | None = None) -> DataFra
     tops = top_by_focus_area(results, areas).groupBy("repo").agg(
         *[_in_order(bullet, F.col("category") == a).alias(f"top_{a}") for a in areas])
     security, quality, performance = _scores()
-    joined = rollup.join(summary(rollup).withColumnRenamed("repo", "summary_repo"), F.col("repo") == F.col("summary_repo")
-                         ).drop("summary_repo").join(tops, "repo", "left")
+    joined = rollup.withColumn("summary", summary_struct()).join(tops, "repo", "left")
     text = F.concat_ws(
         "\n\n",
         F.concat(F.lit("# Code Review for "), "repo"),

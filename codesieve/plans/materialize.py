@@ -2,26 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
 
-def shared_folder(df: DataFrame) -> str:
-    """The cluster's checkpoint folder; a local folder only where Spark itself runs locally."""
-    context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    folder = folder or context.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return tempfile.mkdtemp(prefix="codesieve-")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet and read it back: later plans prune its columns, and lost executors cost nothing."""
-    path = f"{shared_folder(df)}/codesieve-{name}-{uuid.uuid4().hex}"
+def materialize(df: DataFrame, folder: str, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet below ``folder``, which every executor must reach, and read it back: later plans prune its columns,
+    and lost executors cost nothing. The caller owns the folder and what it holds."""
+    path = f"{folder.rstrip('/')}/codesieve-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesieve.functions.paths import MAX_FILE_SIZE, display_language, language
+from codesieve.functions.paths import display_language, language
 from codesieve.operators.dependencies import ROOT_MANIFESTS
 from codesieve.operators.metrics import METRICS, with_metrics
 from codesieve.operators.scan import with_issues
@@ -17,7 +17,7 @@ from codesieve.sources.linters import add_findings
 SCORES = ["security_score", "quality_score", "performance_score"]
 
 
-def prepared_files(files: DataFrame, patterns=None, directories=None, max_size: int = MAX_FILE_SIZE) -> DataFrame:
+def prepared_files(files: DataFrame, patterns=None, directories=None, max_size: int | None = None) -> DataFrame:
     """Discovered files with ``language``, ``analyzed``, ``hash`` and, where analysed, ``content``."""
     found = discover(files, patterns, directories)
     return with_text(
@@ -29,13 +29,13 @@ def review(
     files: DataFrame,
     patterns=None,
     directories=None,
-    max_size: int = MAX_FILE_SIZE,
+    max_size: int | None = None,
     findings: DataFrame | None = None,
     analysis_type: str = "full",
     per_node_long_lines: bool = False,
     profile: str = "core",
 ) -> DataFrame:
-    """File results of ``files(repo, path, size, raw)``.
+    """File results of ``files(repo, path, size, raw)``; ``max_size`` (such as ``paths.MAX_FILE_SIZE``) leaves larger files out.
 
     One row per discovered file; ``analyzed`` tells those that were scanned. Everything is computed on
     the file's own row: no shuffle, unless ``findings`` of external linters are joined in.
@@ -46,7 +46,9 @@ def review(
     measured = with_metrics(scanned).select("repo", "path", "language", "analyzed", "issues", *METRICS)
     if findings is not None:
         measured = add_findings(measured, findings)
-    return with_suggestions(with_scores(measured)).select(*measured.columns, "suggestions", *SCORES)
+    # a file that was not analysed has no scores
+    return with_suggestions(with_scores(measured)).select(
+        *measured.columns, "suggestions", *[F.when(F.col("analyzed"), F.col(c)).alias(c) for c in SCORES])
 
 
 def manifest_files(files: DataFrame) -> DataFrame:

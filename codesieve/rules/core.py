@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from codesieve.functions.text import SQL_WHITESPACE as WS
 from codesieve.functions.text import rx, sql_string
-from codesieve.rules.registry import Rule, has, has_any_case, matches, register
+from codesieve.rules.registry import Rule, follows, has, has_any_case, matches, register
 
 
 def _rule(id, phase, type, severity, message, when="", *, tool="pattern_analysis", category=None, **kw):
@@ -29,8 +29,6 @@ for _id, _type, _severity, _message, _regex, _dialect, _needs in [
     ("R06", "dangerous_exec", "high", "Use of exec() can lead to code injection", r"exec\s*\(", "python", "("),
     ("R07", "command_injection", "high", "Use of os.system() can lead to command injection",
      r"os\.system\s*\(", "python", "("),
-    ("R08", "shell_injection", "high", "subprocess with shell=True can lead to shell injection",
-     r"subprocess\.call\s*\([^)]*shell\s*=\s*True", "python", "("),
     ("R09", "unsafe_deserialization", "high", "Pickle deserialization can execute arbitrary code",
      r"pickle\.loads?\s*\(", "python", "("),
     ("R10", "dangerous_eval", "high", "Use of eval() can lead to code injection", r"eval\s*\(", "js", "("),
@@ -38,13 +36,21 @@ for _id, _type, _severity, _message, _regex, _dialect, _needs in [
     ("R12", "xss_risk", "medium", "document.write() can lead to XSS", r"document\.write\s*\(", "js", "("),
     ("R13", "dynamic_function", "medium", "Dynamic function creation can be dangerous",
      r"new\s+Function\s*\(", "js", "("),
-    ("R14", "sql_injection", "high", "Potential SQL injection via string concatenation",
-     r"""['"].*\+.*['"]""", "sql", "+"),
     ("R15", "sql_injection", "high", "Potential SQL injection via string formatting",
-     r"""execute\s*\(\s*['"][^'"]*%[^'"]*['"]""", "sql", "%"),
+     r"""execute\s*\(\s*['"][^'"%]*+%[^'"]*+['"]""", "sql", "%"),
 ]:
     _rule(_id, "security", _type, _severity, _message, matches(_regex, True), dialects=(_dialect,), needs=(_needs,))
 
+# the call's arguments end at the first closing bracket
+_rule("R08", "security", "shell_injection", "high", "subprocess with shell=True can lead to shell injection",
+      f"exists(split(line, '[)]'), part -> {follows(r'subprocess\.call\s*\(', matches(r'shell\s*=\s*True', True, 'rest'), True, 'part')})",
+      dialects=("python",), needs=("(",))
+# a plus sign between the line's first quote and its last one
+_QUOTED = """exists(array(translate(line, '"', chr(39))), q -> contains(substring(
+    q, position(chr(39), q) + 1, greatest(0, length(q) - position(chr(39), reverse(q)) - position(chr(39), q))), '+'))"""
+_rule("R14", "security", "sql_injection", "high", "Potential SQL injection via string concatenation",
+      f"""(contains(line, chr(39)) OR contains(line, '"')) AND {_QUOTED}""", dialects=("sql",), needs=("+",))
+
 # --- quality, Python (from parser facts, see operators.syntax) -----------------------------------
 _rule("R16", "quality", "too_many_arguments", "medium", "Function has {n} arguments (max recommended: 7)",
       tool="ast_analysis", dialects=("python",), scope="syntax", quote="none")
@@ -65,7 +71,10 @@ _rule("R21", "quality", "loose_equality", "medium", "Use of == (prefer === for s
 _rule("R22", "quality", "system_out_println", "low", "System.out.println found (use logging instead)",
       dialects=("java",), needs=("System.out.println",))
 _rule("R23", "quality", "empty_catch", "high", "Empty catch block (should handle or log exception)",
-      matches(r"catch\s*\([^)]+\)\s*\{\s*\}"), dialects=("java",), needs=("catch",))
+      # the caught type ends at the first closing bracket, the block stands right behind it
+      "exists(array(split(line, '[)]')), parts -> exists(transform(parts, (part, n) -> "
+      f"{matches(r'catch\s*\(.', column='part')} AND {matches(r'^\s*\{\s*\}', column='coalesce(try_element_at(parts, n + 2), ' + sql_string('') + ')')}), hit -> hit))",
+      dialects=("java",), needs=("catch", "}"))
 
 # --- performance -------------------------------------------------------------------------------------
 _rule("R24", "performance", "string_concatenation_in_loop", "medium",
@@ -73,13 +82,13 @@ _rule("R24", "performance", "string_concatenation_in_loop", "medium",
       has("for ", "while "), dialects=("python",), needs=("+=",))
 _rule("R25", "performance", "list_comprehension_opportunity", "low",
       "Consider using list comprehension for better performance",
-      matches(r"for\s+\w+\s+in\s+.*:\s*\w+\.append\("), dialects=("python",), needs=(".append(",))
+      follows(r"for\s+\w+\s+in\s+", matches(r":\s*\w++\.append\(", column="rest")), dialects=("python",), needs=(".append(",))
 _rule("R26", "performance", "dom_query_in_loop", "medium", "DOM query in loop (cache the result outside loop)",
       has("for", "while") + " AND " + has("document.getElementById", "document.querySelector"),
       dialects=("js",), needs=("document.",))
 _rule("R27", "performance", "inefficient_array_search", "low",
       "Consider using .includes() instead of .indexOf() for existence check",
-      matches(r"\.indexOf\(.*\)\s*[><!]=?\s*-?1"), dialects=("js",), needs=(".indexOf(",))
+      follows(r"\.indexOf\(", matches(r"\)\s*[><!]=?\s*-?1", column="rest")), dialects=("js",), needs=(".indexOf(",))
 
 # --- security, YAML and Ansible ------------------------------------------------------------------------
 _YAML = ("yaml", "ansible")
@@ -89,7 +98,7 @@ _rule("R28", "security", "hardcoded_secret", "high", "Hardcoded secret or creden
       matches(r"""(password|secret|key|token|api_key):\s*["']?[a-zA-Z0-9_\-+=\/]{8,}["']?""", True),
       tool="yaml_security_analysis", dialects=_YAML, needs=(":",))
 _rule("R29", "security", "url_with_credentials", "high", "URL contains embedded credentials",
-      matches(r"https?://[^:]+:[^@]+@"), tool="yaml_security_analysis", dialects=_YAML, needs=("://",))
+      follows(r"https?://[^:]+:[^@]", has("@", column="rest")), tool="yaml_security_analysis", dialects=_YAML, needs=("://", "@"))
 
 _SECURITY_TOOL = "ansible_security_analysis"
 _MODE = r"""mode:\s*["']?(\d+)["']?"""
@@ -97,7 +106,7 @@ _rule("R30", "security", "ansible_shell_injection", "high", "Potential shell inj
       has("shell:", "command:") + " AND " + has_any_case("user_input", "ansible_user", "item"),
       tool=_SECURITY_TOOL, dialects=_ANSIBLE, needs=("{{",))
 _rule("R31", "security", "ansible_unsafe_sudo", "medium", "Use become instead of sudo in shell commands",
-      matches(r"(shell|command):.*sudo") + " AND NOT contains(content, 'become:')",
+      follows(r"(?:shell|command):", has("sudo", column="rest")) + " AND NOT contains(content, 'become:')",
       tool=_SECURITY_TOOL, dialects=_ANSIBLE, needs=("sudo",))
 _rule("R32", "security", "ansible_world_writable", "medium",
       "File/directory is world-writable, consider restricting permissions",
@@ -143,7 +152,8 @@ for _id, _literal, _message in [
           tool="ansible_analysis", dialects=_ANSIBLE, needs=(_literal,))
 _rule("R43", "quality", "ansible_unquoted_variables", "medium",
       "Variables should be quoted to prevent YAML parsing issues",
-      has("}}") + " AND " + matches(r":\s*\{\{.*\}\}") + " AND NOT " + matches(r""":\s*["']\{\{.*\}\}["']"""),
+      has("}}") + " AND " + follows(r":\s*\{\{", has("}}", column="rest"))
+      + " AND NOT " + follows(r""":\s*["']\{\{""", matches(r"""\}\}["']""", column="rest")),
       tool="ansible_analysis", dialects=_ANSIBLE, needs=("{{",))
 # A security issue found by the quality phase: it is in the summary but lowers neither score.
 _rule("R44", "quality", "ansible_hardcoded_secret", "high", "Avoid hardcoding secrets, use vault or variables",

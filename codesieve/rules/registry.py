@@ -31,6 +31,15 @@ def matches(pattern: str, ignore_case: bool = False, column: str = "line") -> st
     return f"{column} rlike {sql_string(rx(pattern, ignore_case))}"
 
 
+def follows(start: str, then: str, ignore_case: bool = False, text: str = "line") -> str:
+    """Predicate: after the first place that matches ``start``, the rest satisfies ``then``, a predicate on ``rest``.
+
+    What ``start.*then`` asks of a line, in one pass: if any place that starts has what must follow, the first one has.
+    """
+    rest = f"try_element_at(split({text}, {sql_string(rx(start, ignore_case))}, 2), 2)"
+    return f"exists(array({rest}), rest -> coalesce({then}, false))"
+
+
 def has(*words: str, column: str = "line") -> str:
     """Predicate: the column contains one of the words."""
     return "(" + " OR ".join(f"contains({column}, {sql_string(w)})" for w in words) + ")"

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codesieve.functions.paths import MAX_FILE_SIZE, has_code_extension, is_binary, is_excluded, is_hidden, is_supported
+from codesieve.functions.paths import has_code_extension, is_binary, is_excluded, is_hidden, is_supported
 from codesieve.functions.text import decode_text
 
 _SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:/+"
@@ -37,10 +37,9 @@ def from_table(df: DataFrame, repo: Column, path: Column, raw: Column) -> DataFr
         repo.alias("repo"), path.alias("path"), F.octet_length(binary).cast("long").alias("size"), binary.alias("raw"))
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """Deal out a table that comes in fewer pieces than there are cores; a large one is left as it is."""
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+def spread(table: DataFrame, partitions: int) -> DataFrame:
+    """Deal out a table to so many tasks. It moves every text, so it is for tables that come in too few pieces."""
+    return table.repartition(partitions)
 
 
 def discover(files: DataFrame, patterns=None, directories=None) -> DataFrame:
@@ -48,12 +47,12 @@ def discover(files: DataFrame, patterns=None, directories=None) -> DataFrame:
     return files.filter(~is_excluded(F.col("path"), patterns, directories))
 
 
-def analyzable(max_size: int = MAX_FILE_SIZE) -> Column:
-    """Supported extension, readable, small enough, not binary; the cheap tests come first."""
+def analyzable(max_size: int | None = None) -> Column:
+    """Supported extension, readable, of at most ``max_size`` bytes if that is given, not binary; the cheap tests come first."""
     return (
         is_supported(F.col("path"))
         & F.col("raw").isNotNull()
-        & (F.col("size") <= max_size)
+        & (F.lit(True) if max_size is None else F.col("size") <= max_size)
         & ~is_binary(F.col("path"), F.col("raw"))
     )
 

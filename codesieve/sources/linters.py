@@ -45,9 +45,10 @@ def ansible_lint_issues(reports: DataFrame) -> DataFrame:
 
     The findings come from the security phase but are quality issues, so they lower neither score.
     """
-    base = reports.withColumn("is_json", F.try_parse_json("report").isNotNull())
+    # an array if it reads as one: from_json takes texts of any size
+    base = reports.select("repo", "path", "report", F.when(F.ltrim("report").startswith("[") | F.ltrim("report").startswith("{"), F.from_json("report", _ANSIBLE_LINT)).alias("entries"))
     e = F.col("e")
-    entries = base.filter("is_json").select("repo", "path", F.explode(F.from_json("report", _ANSIBLE_LINT)).alias("e")).select("repo", "path", *_columns(
+    entries = base.select("repo", "path", F.explode("entries").alias("e")).select("repo", "path", *_columns(
         phase=F.lit("security"),
         category=F.lit("quality"),
         type=F.concat(F.lit("ansible_lint_"), F.coalesce(e.tag, F.lit("unknown"))),
@@ -60,7 +61,7 @@ def ansible_lint_issues(reports: DataFrame) -> DataFrame:
     ))
     line = F.col("line")
     lines = (
-        base.filter(~F.col("is_json"))
+        base.filter(F.col("entries").isNull())
         .select("repo", "path", F.explode(F.split("report", "\n")).alias("line"))
         .filter(line.contains(":") & contains_any(F.lower(line), ["error", "warning"]))
         .select("repo", "path", *_columns(
@@ -78,11 +79,12 @@ def ansible_lint_issues(reports: DataFrame) -> DataFrame:
 
 
 def yamllint_issues(reports: DataFrame) -> DataFrame:
-    """One row per JSON line; lines that are not JSON are skipped."""
-    lines = reports.select("repo", "path", F.explode(F.split("report", "\n")).alias("line")).filter(
-        F.try_parse_json("line").isNotNull())
+    """One row per line that is a JSON object; other lines are skipped."""
+    lines = reports.select("repo", "path", F.explode(F.split("report", "\n")).alias("line")).filter(F.ltrim("line").startswith("{"))
+    # a line that is no JSON at all leaves its own text in the last field
+    read = F.from_json("line", _YAMLLINT + ", broken string", {"columnNameOfCorruptRecord": "broken"})
     r = F.col("r")
-    return lines.select("repo", "path", F.from_json("line", _YAMLLINT).alias("r")).select("repo", "path", *_columns(
+    return lines.select("repo", "path", read.alias("r")).filter("r.broken IS NULL").select("repo", "path", *_columns(
         phase=F.lit("quality"),
         category=F.lit("quality"),
         type=F.concat(F.lit("yaml_lint_"), F.coalesce(r["type"], F.lit("unknown"))),

@@ -49,9 +49,14 @@ def listing(records: DataFrame, include_forks: bool = False, include_private: bo
     return kept
 
 
-def newest(records: DataFrame, n: int = 50) -> DataFrame:
+def updated() -> Column:
+    """The time of the last update, whatever its offset."""
+    return F.try_to_timestamp("updated_at")
+
+
+def newest(records: DataFrame, n: int) -> DataFrame:
     """The ``n`` records updated last. A limit over a sort runs as a top-n, not as a full sort."""
-    return records.orderBy(F.col("updated_at").desc(), "full_name").limit(n)
+    return records.orderBy(updated().desc(), "full_name").limit(n)
 
 
 def short_listing(records: DataFrame, n: int | None = None) -> DataFrame:
@@ -76,7 +81,7 @@ def first_of_owner(records: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` newest records of each owner, numbered in ``rank``; ``more`` counts those left out."""
     owned = records.withColumn("owner", F.substring_index("full_name", "/", 1))
     counts = owned.groupBy("owner").agg(F.greatest(F.count("*") - n, F.lit(0)).alias("more"))
-    first = first_per_group(owned, ["owner"], [F.col("updated_at").desc(), "full_name"], n, spread=["full_name"])
+    first = first_per_group(owned, ["owner"], [updated().desc(), "full_name"], n, spread=["full_name"])
     return first.join(counts, "owner")
 
 

@@ -44,30 +44,35 @@ def _part(pattern: str, group: int) -> Column:
 def runs(events: DataFrame, slice: str = "hour") -> DataFrame:
     """One row per completed run: repository, analysis type, start, end, reported seconds and issues.
 
-    A completion belongs to the last start of its logger, unless it names its repository itself. The
-    look-back works inside slices of time, with the last start of every earlier slice handed on, so
-    that a logger that writes most of the log is spread over many tasks.
+    A completion belongs to the last start of its logger, unless it names its repository itself. Events are in order of (time, line,
+    message); those without a readable time come first. The look-back works inside slices of time (``minute`` for very busy
+    loggers), with the last start of every earlier slice handed on, so that a logger that writes most of the log is spread over
+    many tasks. Both parts use the same exchange of the marks: the log is read once.
     """
     message = F.col("message")
+    start = F.struct("ts", _part(STARTED, 2).alias("repo"), _part(STARTED, 1).alias("analysis_type"))
     marks = (
         events.filter(message.startswith("Starting ") | message.contains("ompleted "))
         .select(
-            "logger", "ts", F.date_trunc(slice, "ts").alias("slice"),
-            F.when(message.rlike(STARTED), F.struct(
-                "ts", _part(STARTED, 2).alias("repo"), _part(STARTED, 1).alias("analysis_type"))).alias("start"),
+            "logger", F.coalesce("logger", F.lit("")).alias("writer"), "ts", "line", "message",
+            F.coalesce(F.date_trunc(slice, "ts"), F.to_timestamp_ntz(F.lit("0001-01-01"))).alias("slice"),
+            F.when(message.rlike(STARTED), start).alias("start"),
             _part(COMPLETED, 1).alias("type"), _part(COMPLETED, 2).alias("named"),
             _part(COMPLETED, 3).cast("double").alias("seconds"), _part(FOUND, 1).cast("long").alias("issues"),
         )
+        .repartition("writer", "slice")
     )
-    in_slice = Window.partitionBy("logger", "slice").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy("logger").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    order = ["ts", "line", "message"]
+    others = ["logger", "type", "named", "seconds", "issues"]  # all columns, so that both parts share one exchange
+    in_slice = Window.partitionBy("writer", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("writer").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     handed_on = (
-        marks.groupBy("logger", "slice").agg(F.max("start").alias("last_start"))
+        marks.groupBy("writer", "slice").agg(F.max(F.when(F.col("start").isNotNull(), F.struct(*order, "start", *others)))["start"].alias("last_start"))
         .withColumn("handed_on", F.last("last_start", ignorenulls=True).over(earlier))
-        .select("logger", "slice", "handed_on")
+        .select("writer", "slice", "handed_on")
     )
     return (
-        marks.join(handed_on, ["logger", "slice"])
+        marks.join(handed_on, ["writer", "slice"])
         .withColumn("run", F.coalesce(F.last("start", ignorenulls=True).over(in_slice), "handed_on"))
         .filter(F.col("seconds").isNotNull())
         .select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codesieve.functions import levels, paths
 from codesieve.operators import catalog, dependencies, imports
 from codesieve.operators.syntax import python_facts
-from codesieve.plans.materialize import materialize, shared_folder
+from codesieve.plans.materialize import materialize
 from codesieve.plans.review import manifest_files, prepared_files
 from codesieve.sources import linters, listings, repo_config, run_log
 
@@ -91,7 +91,7 @@ def test_python_facts():
     assert facts["functions"] == [{"name": "f", "line_no": 2, "n_args": 1, "decision_points": 4}]
     assert python_facts("a\x00b")["functions"] == []
     deep = python_facts("x = " + "-" * 50000 + "1")
-    assert deep["functions"] == []
+    assert deep["functions"] == [] and deep["syntax_error"] is not None
 
 
 def test_dependencies(corpus_of):
@@ -102,7 +102,8 @@ def test_dependencies(corpus_of):
         "Pipfile": "x = 1\n[packages]\n\"a\" = \"*\"\n#b = 1\n\n  [dev-packages]\nc='1'\n[other]\nd = 1\n[packages]\ne = {version = \"1\"}",
         "pyproject.toml": "[tool.poetry.dependencies]\npython='3'\nx='1'\n[tool.poetry.group.dev.dependencies]\ny='1'\n",
         "poetry.lock": "[[package]]\nname='z'",
-        "Cargo.toml": "[dependencies]\nserde='1'\n[dev-dependencies]\nt={version='1'}\n",
+        "Cargo.toml": "[dependencies]\nserde='1'\nmany = [\n  'a',\n  {b = 1}\n]\n\"quoted\" = 1\nx.y = 2\nx.z = 3\n"
+                      "[ dependencies.sub ] # note\nversion = 1\n[dev-dependencies]\nt={version='1'}\n[other]\nno = 1\n",
         "bad/Cargo.toml": "[dependencies\n",
         "list/pyproject.toml": "tool = [1]\n",
         "go.mod": "require a.b/c v1\nrequire (\n\tin/block v1\n\t// note\n)\n",
@@ -116,12 +117,12 @@ def test_dependencies(corpus_of):
         ("package.json", "direct", "a.b"), ("package.json", "direct", "@s/p"), ("package.json", "optional", "o"),
         ("Pipfile", "direct", "a"), ("Pipfile", "dev", "c"), ("Pipfile", "direct", "e"),
         ("pyproject.toml", "direct", "x"), ("pyproject.toml", "dev", "y"),
-        ("Cargo.toml", "direct", "serde"), ("Cargo.toml", "dev", "t"), ("go.mod", "direct", "a.b/c")}
+        *[("Cargo.toml", "direct", p) for p in ("serde", "many", "quoted", "x", "sub")], ("Cargo.toml", "dev", "t"), ("go.mod", "direct", "a.b/c")}
     strict = {(r.manifest, r.package) for r in dependencies.declared(text, strict=True).collect()}
     assert {("requirements.txt", "pkg"), ("requirements.txt", "extra"), ("go.mod", "in/block")} <= strict
     assert ("go.mod", "//") not in strict
     merged = dependencies.repository_dependencies(manifest_files(corpus.unionByName(corpus))).collect()
-    assert len(merged) == len({tuple(r) for r in merged}) == 15
+    assert len(merged) == len({tuple(r) for r in merged}) == 18
     plan = dependencies.declared(text)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan") == 1 and "Exchange" not in plan
 
@@ -209,11 +210,61 @@ def test_runs_across_slices(spark, tmp_path):
     assert runs[1].started == datetime(2024, 1, 1, 0, 30)
 
 
-def test_shared_folder(spark):
-    df = spark.range(3)
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    assert shared_folder(df) == (named or spark.sparkContext.getCheckpointDir()).rstrip("/")
-    assert materialize(df, "x").count() == 3
+def test_runs_without_times(spark):
+    def event(line, time, message, logger="a"):
+        return (json.dumps({"timestamp": time, "level": "INFO", "logger": logger, "message": message, "line": line}),)
+
+    rows = [
+        event(1, None, "Repository analysis completed in 1.00s"), event(3, None, "Starting repository analysis: o/early"),
+        event(4, "yesterday", "Repository analysis completed in 2.00s"), event(5, "2024-01-01T00:00:00", "Repository analysis completed in 3.00s"),
+        event(6, "2024-01-01T01:00:00", "Starting repository analysis: o/one"), event(7, "2024-01-01T01:00:00", "Starting repository analysis: o/two"),
+        event(8, "2024-01-01T01:00:00", "Repository analysis completed in 4.00s"),
+        event(9, None, "Completed quality analysis for o/q in 5.00s - Found 1 issues", "b"),
+    ]
+    events = run_log.parse_log(spark.createDataFrame(rows, "record string"), "record")
+    runs = {r.seconds: r for r in run_log.runs(events).collect()}
+    assert {s: r.repo for s, r in runs.items()} == {1.0: None, 2.0: "o/early", 3.0: "o/early", 4.0: "o/two", 5.0: "o/q"}
+    assert runs[2.0].completed is None and runs[5.0].logger == "b"
+    plan = run_log.runs(events)
+    plan.collect()
+    assert plan._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("ReusedExchange") >= 1
+
+
+def test_several_updates(spark):
+    base = [("o", n, f"o/{n}", "go", "main", True, {"x": "0", "k": "0"}, None) for n in "abc"]
+    configs = repo_config.with_defaults(spark.createDataFrame(base, repo_config.REPO_CONFIG))
+    updates = spark.createDataFrame(
+        [("o/a", {"x": "2"}, False, 2), ("o/a", {"x": "1", "y": "1"}, True, 1), ("o/a", None, None, 3), ("o/b", {"x": "9"}, None, 1), ("z", {}, True, 1)],
+        "full_name string, settings map<string,string>, enabled boolean, seq int")
+    got = {r.full_name: (r.enabled, r.analysis_config) for r in catalog.override_configs(configs, updates).collect()}
+    assert got == {"o/a": (False, {"k": "0", "x": "2", "y": "1"}), "o/b": (True, {"k": "0", "x": "9"}), "o/c": (True, {"x": "0", "k": "0"})}
+    records = spark.createDataFrame(
+        [("o/a", "rust", None, "2024-01-01"), ("o/a", None, "dev", "2024-03-01"), ("o/a", "c", None, "2023-01-01")],
+        "full_name string, language string, default_branch string, updated_at string")
+    fresh = {r.full_name: (r.language, r.default_branch) for r in catalog.refresh(configs, records).collect()}
+    assert fresh == {"o/a": ("rust", "dev"), "o/b": ("go", "main"), "o/c": ("go", "main")}
+    new = configs.filter("name = 'a'").withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("language", F.concat(F.lit("v"), "seq"))
+    replaced = catalog.replace_configs(configs, new).collect()
+    assert sorted((r.full_name, r.language) for r in replaced) == [("o/a", "v2"), ("o/b", "go"), ("o/c", "go")]
+
+
+def test_large_reports(spark):
+    entry = '{"tag": "E1", "message": "' + "m" * 100 + '"}'
+    report = spark.range(1).select(
+        F.lit("r").alias("repo"), F.lit("p").alias("path"),
+        F.concat(F.lit("["), F.repeat(F.lit(entry + ","), 1_200_000), F.lit(entry + "]")).alias("report"))
+    assert linters.ansible_lint_issues(report).count() == 1_200_001
+    lines = linters.yamllint_issues(spark.createDataFrame([("r", "p", '1\n"x"\n[1]\n{"line": 2}\n{"line": 3')], "repo string, path string, report string"))
+    assert [r.line_no for r in lines.collect()] == [2]
+
+
+def test_updates_in_other_zones(spark):
+    records = spark.createDataFrame([("o/a", "2024-01-01T00:30:00Z"), ("o/b", "2024-01-01T01:00:00+02:00"), ("o/c", None)], "full_name string, updated_at string")
+    assert [r.full_name for r in listings.newest(records, 3).collect()] == ["o/a", "o/b", "o/c"]
+
+
+def test_materialize(spark, tmp_path):
+    assert materialize(spark.range(3), str(tmp_path)).count() == 3
 
 
 def test_first_of_owner(spark):

@@ -33,8 +33,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of long texts, dealt out to all cores where its file is a single piece."""
-    return spread(table(spark, sf_dir, name))
+    """A table of long texts, dealt out: the given tables are single files."""
+    return spread(table(spark, sf_dir, name), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _array(values) -> F.Column:
@@ -53,30 +53,50 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, so that the snippet decides whether the file parses. Some files have CRLF line ends, some
     start with a NUL, some cannot be read.
     """
-    step = F.floor(F.col("doc_id") / 12)
-    ext = F.element_at(_array(EXTENSIONS), (F.col("doc_id") % 12 + 1).cast("int"))
-    snippets = F.from_json(F.lit(json.dumps(SNIPPETS)), "map<string, array<string>>")
-    docs = (
-        texts(spark, sf_dir, "documents")
-        .select("doc_id", "source", "text", ext.alias("ext"), step.alias("step"))
-        .withColumn("choices", F.element_at(snippets, F.col("ext")))
-        .withColumn("k", (F.col("step") % F.size("choices")).cast("int"))
-    )
+    docs = _placed(texts(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    snippet = F.element_at(F.element_at(_snippets(), F.col("ext")), F.col("k") + 1)
     body = F.when(F.col("ext") == ".py", F.concat(F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n# ")))).otherwise(F.col("text"))
-    content = F.concat(body, F.lit("\n"), F.element_at("choices", F.col("k") + 1))
+    content = F.concat(body, F.lit("\n"), snippet)
     content = F.when(F.col("step") % 5 == 4, F.replace(content, F.lit("\n"), F.lit("\r\n"))).otherwise(content)
     content = F.when(F.col("doc_id") % 89 == 7, F.concat(F.lit("\0"), content)).otherwise(content)
     content = F.when(F.col("doc_id") % 97 != 5, content)
+    pages = texts(spark, sf_dir, "pages")
+    return _fixed(from_table(docs, F.col("source"), F.col("path"), content)).unionByName(
+        from_table(pages, _page_repo(), _page_path(), F.col("html")))
+
+
+def _snippets():
+    return F.from_json(F.lit(json.dumps(SNIPPETS)), "map<string, array<string>>")
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """Documents with the path of the file made from each, its extension and the number of its snippet."""
+    step = F.floor(F.col("doc_id") / 12)
+    ext = F.element_at(_array(EXTENSIONS), (F.col("doc_id") % 12 + 1).cast("int"))
+    sizes = F.create_map(*[F.lit(x) for e, texts_ in SNIPPETS.items() for x in (e, len(texts_))])
+    placed = docs.withColumns({"ext": ext, "step": step}).withColumn("k", (F.col("step") % F.element_at(sizes, F.col("ext"))).cast("int"))
     folder = F.element_at(_array(FOLDERS), (F.col("step") % len(FOLDERS) + 1).cast("int"))
     site = F.lit(False)
     for e, k in SITE.items():
         site = site | ((F.col("ext") == e) & (F.col("k") == k))
     name = F.when(site, F.concat(F.lit("play_"), "doc_id", F.lit("/site"), "ext")).otherwise(
         F.concat(F.lit("doc_"), "doc_id", "ext"))
-    pages = texts(spark, sf_dir, "pages")
-    return _fixed(from_table(docs, F.col("source"), F.concat(folder, name), content)).unionByName(from_table(
-        pages, F.regexp_extract("url", "https?://([^/]+)", 1),
-        F.concat(F.lit("page_"), "page_id", F.lit(".html")), F.col("html")))
+    return placed.withColumn("path", F.concat(folder, name))
+
+
+def _page_repo():
+    return F.regexp_extract("url", "https?://([^/]+)", 1)
+
+
+def _page_path():
+    return F.concat(F.lit("page_"), "page_id", F.lit(".html"))
+
+
+def source_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``repo, path`` of the same files; no text is read."""
+    docs = _placed(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    pages = table(spark, sf_dir, "pages").select(_page_repo().alias("repo"), _page_path().alias("path"))
+    return docs.select(F.col("source").alias("repo"), "path").unionByName(pages)
 
 
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,11 +146,12 @@ TOPICS = ["machine-learning", "api", "express", "gradle", "web", "none"]
 
 
 def repository_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``record``: every part as a repository record in JSON, updated when the order of the same key was."""
-    part, orders = table(spark, sf_dir, "part"), table(spark, sf_dir, "orders")
+    """``record``: every part as a repository record in JSON, with a date made of its key."""
+    part = table(spark, sf_dir, "part")
     key = F.col("p_partkey")
     name = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), key)
-    iso = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    day = F.date_add(F.to_date(F.lit("1992-01-01")), (key * 37 % 2500).cast("int"))
+    iso = F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:00:00Z"))
 
     def pick(values):
         return F.element_at(_array(values), (key % len(values) + 1).cast("int"))
@@ -155,22 +176,26 @@ def repository_json(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("Python"), F.col("p_size").cast("long"), F.col("p_type"), key)).alias("languages"),
         (key % 2 == 0).alias("has_issues"), (key % 3 == 0).alias("has_wiki"),
     )
-    return part.join(orders, key == F.col("o_orderkey")).select(F.to_json(record).alias("record"))
+    return part.select(F.to_json(record).alias("record"))
 
 
 def config_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``updates(full_name, settings, enabled)`` for every third repository, and for unknown ones."""
+    """``updates(full_name, settings, enabled, seq)`` for every third repository, two of them for some, and for unknown ones."""
     part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
     key = F.col("p_partkey")
     name = F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), key)
     known = part.filter(key % 3 == 0).select(
         F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit("/"), name).alias("full_name"),
         F.create_map(F.lit("security_scan"), F.lit("false"), F.lit("owner_team"), F.col("p_type")).alias("settings"),
-        F.when(key % 2 == 0, F.lit(False)).alias("enabled"))
+        F.when(key % 2 == 0, F.lit(False)).alias("enabled"), F.lit(1).alias("seq"), key.alias("key"))
+    # a second update of every ninth one: one setting again, one new, the switch again for some
+    again = known.filter(F.col("key") % 9 == 0).select(
+        "full_name", F.create_map(F.lit("owner_team"), F.lit("second"), F.lit("check_setup_py"), F.lit("false")).alias("settings"),
+        F.when(F.col("key") % 4 == 0, F.lit(True)).alias("enabled"), F.lit(2).alias("seq"))
     unknown = supplier.select(
         F.concat(F.lit("nobody/"), "s_name").alias("full_name"),
-        F.create_map(F.lit("security_scan"), F.lit("false")).alias("settings"), F.lit(True).alias("enabled"))
-    return known.unionByName(unknown)
+        F.create_map(F.lit("security_scan"), F.lit("false")).alias("settings"), F.lit(True).alias("enabled"), F.lit(1).alias("seq"))
+    return known.drop("key").unionByName(again).unionByName(unknown)
 
 
 def pull_request_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +243,7 @@ def content_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``record``: every event as a log line; clicks and sign-ups start a run, purchases and errors complete one."""
+    """``record``: every event as a log line; clicks and sign-ups start a run, purchases and errors complete one. Some have no time."""
     message = (
         F.when(F.col("event_type") == "signup", F.concat(F.lit("Starting full analysis for repository: repo"), F.col("event_id") % 30))
         .when(F.col("event_type") == "purchase", F.concat(
@@ -228,20 +253,20 @@ def log_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_type") == "view", F.lit("Found 3 total files, 2 analyzable"))
         .otherwise(F.concat(F.lit("Repository analysis completed in "), F.format_string("%.2f", "value"), F.lit("s"))))
     record = F.struct(
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
+        F.when(F.col("event_id") % 211 != 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("timestamp"),
         F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO").alias("level"),
         F.concat(F.lit("scan."), F.col("user_id") % 50).alias("logger"),
         message.alias("message"), F.lit("analyzer").alias("module"), F.col("event_id").cast("int").alias("line"))
     return texts(spark, sf_dir, "events").select(F.to_json(record).alias("record"))
 
 
-def linter_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``repo, path, tool, report``: every document as a linter report about the file made from it.
+def linter_reports(spark: SparkSession, sf_dir: str, tool: str) -> DataFrame:
+    """``repo, path, report``: every document as a report of that linter about the file made from it.
 
     Its lines become findings; some fields are left out, some reports and lines are not JSON.
     """
-    docs = texts(spark, sf_dir, "documents").select(
-        "doc_id", "source", F.concat(F.lit("doc_"), "doc_id").alias("path"), F.split("text", "\n").alias("lines"))
+    docs = _placed(texts(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
+        "doc_id", "source", "path", F.split("text", "\n").alias("lines"))
     lines = F.filter("lines", lambda l: l != "")
     level = F.element_at(_array(["very_high", "HIGH", "medium", "low", "info", "odd"]), (F.col("doc_id") % 6 + 1).cast("int"))
     some = F.col("doc_id") % 5 != 0
@@ -249,24 +274,22 @@ def linter_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     def when_some(c):
         return F.when(some, c)
 
-    bandit = F.to_json(F.struct(F.transform(lines, lambda l, n: F.struct(
-        when_some(F.concat(F.lit("B"), n)).alias("test_id"),
-        when_some(F.upper(level)).alias("issue_severity"),
-        l.alias("issue_text"),
-        when_some(n + 1).alias("line_number"),
-        F.lit("x = 1").alias("code"),
-        F.lit("HIGH").alias("issue_confidence"))).alias("results")))
-    ansible = F.when(F.col("doc_id") % 4 == 1, F.array_join(F.transform(
-        "lines", lambda l: F.concat(F.when(F.length(l) % 2 == 0, "  Error: ").otherwise("note "), l)), "\n")).otherwise(
-        F.to_json(F.transform(lines, lambda l, n: F.struct(
-            when_some(F.concat(F.lit("E"), n)).alias("tag"), when_some(level).alias("level"), l.alias("message"),
-            when_some(n + 1).alias("linenumber")))))
-    yaml = F.array_join(F.transform("lines", lambda l, n: F.when(F.length(l) % 3 == 0, l).otherwise(F.to_json(F.struct(
-        when_some(F.lit("style")).alias("type"),
-        F.when(n % 2 == 0, "error").otherwise("warning").alias("level"), l.alias("desc"),
-        (n + 1).alias("line"), when_some(F.lit("rule-x")).alias("rule"))))), "\n")
-    kind = F.col("doc_id") % 3
-    return docs.select(
-        F.col("source").alias("repo"), "path",
-        F.when(kind == 0, "bandit").when(kind == 1, "ansible-lint").otherwise("yamllint").alias("tool"),
-        F.when(kind == 0, bandit).when(kind == 1, ansible).otherwise(yaml).alias("report"))
+    reports = {
+        "bandit": F.to_json(F.struct(F.transform(lines, lambda l, n: F.struct(
+            when_some(F.concat(F.lit("B"), n)).alias("test_id"),
+            when_some(F.upper(level)).alias("issue_severity"),
+            l.alias("issue_text"),
+            when_some(n + 1).alias("line_number"),
+            F.lit("x = 1").alias("code"),
+            F.lit("HIGH").alias("issue_confidence"))).alias("results"))),
+        "ansible-lint": F.when(F.col("doc_id") % 4 == 1, F.array_join(F.transform(
+            "lines", lambda l: F.concat(F.when(F.length(l) % 2 == 0, "  Error: ").otherwise("note "), l)), "\n")).otherwise(
+            F.to_json(F.transform(lines, lambda l, n: F.struct(
+                when_some(F.concat(F.lit("E"), n)).alias("tag"), when_some(level).alias("level"), l.alias("message"),
+                when_some(n + 1).alias("linenumber"))))),
+        "yamllint": F.array_join(F.transform("lines", lambda l, n: F.when(F.length(l) % 3 == 0, l).otherwise(F.to_json(F.struct(
+            when_some(F.lit("style")).alias("type"),
+            F.when(n % 2 == 0, "error").otherwise("warning").alias("level"), l.alias("desc"),
+            (n + 1).alias("line"), when_some(F.lit("rule-x")).alias("rule"))))), "\n"),
+    }
+    return docs.select(F.col("source").alias("repo"), "path", reports[tool].alias("report"))

@@ -38,6 +38,7 @@ _SNIPPETS = ",\n".join(
     f"({q(ext)}, {len(texts)}, {k}, {q(text)})" for ext, texts in SNIPPETS.items() for k, text in enumerate(texts))
 _SITE = " OR ".join(f"(d.ext = {q(e)} AND s.k = {k})" for e, k in SITE.items())
 
+# Extensions and languages.
 _LANGUAGES = """('.py','python'),('.pyw','python'),('.js','javascript'),('.jsx','javascript'),('.mjs','javascript'),
 ('.ts','typescript'),('.tsx','typescript'),('.java','java'),('.go','go'),('.rs','rust'),('.cpp','cpp'),('.cc','cpp'),
 ('.cxx','cpp'),('.c++','cpp'),('.hpp','cpp'),('.h','cpp'),('.c','c'),('.cs','csharp'),('.php','php'),('.rb','ruby'),
@@ -80,18 +81,19 @@ found AS (
     OR len(list_filter(parts, lambda p: p IN ('venv', 'env', '.venv', 'dist', 'build'))) > 0)),
 prepared AS MATERIALIZED (
   SELECT f.repo, f.path, f.base, f.size, f.raw, f.py_snippet, f.prose_lines, l.language,
-    l.language IS NOT NULL AND f.raw IS NOT NULL AND f.size <= 1048576 AND NOT contains(f.raw[1:1024], chr(0)) AS analyzed,
+    l.language IS NOT NULL AND f.raw IS NOT NULL AND NOT contains(f.raw[1:1024], chr(0)) AS analyzed,
     replace(replace(f.raw, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text
   FROM found f LEFT JOIN languages l ON l.ext = lower(f.suffix)),
 """
 
+# Keywords that mark YAML as Ansible.
 _KEYWORDS = ["hosts:", "tasks:", "handlers:", "vars:", "roles:", "playbook:", "become:", "gather_facts:", "ansible_",
              "with_items:", "when:", "notify:", "register:"]
 _KEYWORD_SUM = " + ".join(f"CAST(contains(text, {q(k)}) AS INT)" for k in _KEYWORDS)
 
 _MODE = r"""mode:\s*["']?(\d+)["']?"""
 
-# id, language group, predicate on a line
+# Id, language group, predicate on a line.
 LINE_RULES = [
     ("R01", "*", m(r"""password\s*=\s*['"][^'"]+['"]""", True)),
     ("R02", "*", m(r"""api[_-]?key\s*=\s*['"][^'"]+['"]""", True)),
@@ -145,7 +147,7 @@ _GROUP_TEST = {
     "java": "language = 'java'", "sql": "language = 'sql'", "yaml": "language = 'yaml'", "ansible": "ansible",
 }
 
-# id, phase, category, type, severity, tool, how the line is quoted, description
+# Id, phase, category, type, severity, tool, how the line is quoted, description.
 RULES = """
 ('R01','security','security','hardcoded_password','high','pattern_analysis','strip','Hardcoded password found'),
 ('R02','security','security','hardcoded_api_key','high','pattern_analysis','strip','Hardcoded API key found'),
@@ -376,7 +378,7 @@ suggestions AS (
       SELECT 1 FROM named_issues i WHERE i.repo = s.repo AND i.path = s.path AND i.type = 'var_usage')),
 """
 
-# id, predicate on a line, for the language-blind profiles
+# Id, predicate on a line, for the language-blind profiles.
 _NOT_COMMENT = f"NOT starts_with(ltrim(line, {WS}), '#')"
 
 
@@ -405,6 +407,7 @@ PROFILE_RULES = {
         ("R69", "length(line) > 120"), ("R70", f"(starts_with(ltrim(line, {WS}), 'TODO') OR starts_with(ltrim(line, {WS}), 'FIXME'))"),
     ],
 }
+# Display names.
 _NAMES = "('.py','Python'),('.js','JavaScript'),('.java','Java'),('.cpp','C++'),('.c','C'),('.cs','C#'),('.php','PHP'),('.rb','Ruby'),('.go','Go')"
 
 
@@ -469,11 +472,11 @@ repos AS MATERIALIZED (
     p_partkey % 5 = 0 AS private, p_partkey % 5 = 1 AS fork, CAST(p_size AS BIGINT) AS size,
     CAST(floor(p_retailprice) AS BIGINT) AS stargazers_count,
     [lower(p_type), {sql_list(TOPICS)}[CAST(p_partkey % {len(TOPICS)} + 1 AS INT)]] AS topics,
-    strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS updated_at,
+    strftime(DATE '1992-01-01' + CAST(p_partkey * 37 % 2500 AS INT), '%Y-%m-%dT00:00:00Z') AS updated_at,
     split_part(p_brand, '#', 1) AS owner_login, CASE WHEN p_partkey % 4 <> 0 THEN p_type || ' licence' END AS license,
     p_partkey % 6 <> 0 AS has_languages, p_type, p_brand, p_partkey,
     p_partkey % 2 = 0 AS has_issues, p_partkey % 3 = 0 AS has_wiki
-  FROM part JOIN orders ON p_partkey = o_orderkey),
+  FROM part),
 listed AS (SELECT * FROM repos WHERE NOT private AND NOT fork),
 configs AS MATERIALIZED (
   SELECT split_part(full_name, '/', 1) AS owner, name, full_name, coalesce(language, 'unknown') AS language,

@@ -8,11 +8,10 @@ from codesieve.functions import levels, paths, text
 from codesieve.operators import metrics, rollups, scan, scores, suggestions, topn
 from codesieve.operators.syntax import syntax_rows
 from codesieve.plans import digests, reports
-from codesieve.plans.materialize import materialize
 from codesieve.plans.review import prepared_files, profile_review, review
-from codesieve.sources.files import code_files, discover
+from codesieve.sources.files import discover
 from codesieve.sources.results import nested_file_results
-from workload.corpus import source_files, table
+from workload.corpus import source_files, source_paths, table
 from workload.oracle_base import CORE, FILES, SCORES, WS, m, profile, q
 from workload.registry import query, with_ctes
 
@@ -60,7 +59,7 @@ def _(spark, sf):
     FROM named LEFT JOIN languages l ON l.ext = lower(suffix)"""))
 def _(spark, sf):
     path = F.col("path")
-    return source_files(spark, sf).select(
+    return source_paths(spark, sf).select(
         "repo", "path", paths.extension(path).alias("extension"), paths.language(path).alias("language"),
         paths.short_language(path).alias("short_language"), paths.display_language(path).alias("display_name"),
         paths.is_hidden(path).alias("hidden"))
@@ -73,12 +72,10 @@ def _(spark, sf):
       count(*) AS quick_files, count(*) FILTER (suffix IN ('.py','.js','.java','.cpp','.c','.cs','.php','.rb','.go')) AS quick_code
     FROM named GROUP BY repo"""))
 def _(spark, sf):
-    files = source_files(spark, sf).select("repo", "path")
-    web = code_files(files, "web").groupBy("repo").agg(F.count("*").alias("web_files"), F.count_if("analyzed").alias("web_code"))
-    quick = code_files(files, "quick").groupBy("repo").agg(
-        F.count("*").alias("quick_files"), F.count_if("analyzed").alias("quick_code"))
-    return quick.join(web, "repo", "left").select(
-        "repo", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("web_files", "web_code", "quick_files", "quick_code")])
+    path, shown = F.col("path"), ~paths.is_hidden(F.col("path"))
+    return source_paths(spark, sf).groupBy("repo").agg(
+        F.count_if(shown).alias("web_files"), F.count_if(shown & paths.has_code_extension(path, "web")).alias("web_code"),
+        F.count("*").alias("quick_files"), F.count_if(paths.has_code_extension(path, "quick")).alias("quick_code"))
 
 
 @query("ansible_files", with_ctes(CORE, "SELECT repo, path, ansible FROM texts WHERE language = 'yaml'"))
@@ -116,13 +113,10 @@ def _(spark, sf):
 
 
 # --- lines and rules ----------------------------------------------------------------------------------
-@query("numbered_lines", with_ctes(CORE, """
-    SELECT language, count(*) AS lines, CAST(sum(line_no) AS BIGINT) AS line_numbers, CAST(sum(length(line)) AS BIGINT) AS chars
-    FROM numbered GROUP BY language"""))
+@query("numbered_lines", with_ctes(CORE, "SELECT repo, path, language, CAST(line_no AS INT) AS line_no, md5(line) AS line_md5 FROM numbered"))
 def _(spark, sf):
     lines = scan.numbered_lines(_prepared(spark, sf).filter("analyzed"))
-    return lines.groupBy("language").agg(
-        F.count("*").alias("lines"), F.sum("line_no").alias("line_numbers"), F.sum(F.length("line")).alias("chars"))
+    return lines.select("repo", "path", "language", "line_no", F.md5(F.encode("line", "UTF-8")).alias("line_md5"))
 
 
 @query("core_issues", with_ctes(CORE, f"SELECT {_ISSUES} FROM named_issues"))
@@ -135,8 +129,7 @@ def _family(name: str, ids: list[str]):
 
     @query(name, with_ctes(CORE, f"SELECT {_ISSUES} FROM named_issues WHERE rule_id IN ({listed})"))
     def _(spark, sf):
-        found = scan.issues(scan.with_issues(_prepared(spark, sf)))
-        return found.filter(F.col("rule_id").isin(ids)).select(*ISSUE_COLUMNS)
+        return scan.issues(scan.with_issues(_prepared(spark, sf), ids=ids)).select(*ISSUE_COLUMNS)
 
 
 def _ids(first: int, last: int) -> list[str]:
@@ -191,17 +184,28 @@ for _name in ("web", "interactive", "quick"):
     _profile_queries(_name)
 
 
-@query("rule_table_scan", with_ctes(CORE, f"""
-    SELECT repo, path, CAST(line_no AS INT) AS line_no, rule_id FROM (
-      SELECT repo, path, line_no, 'T1' AS rule_id FROM numbered WHERE {m("token")}
-      UNION ALL SELECT repo, path, line_no, 'T2' FROM numbered WHERE language = 'python' AND {m("import [a-z]+")}
-      UNION ALL SELECT repo, path, line_no, 'T3' FROM numbered WHERE language = 'yaml' AND {m("^ +- name:")})"""))
+# id, language, pattern: more than 200 rows whose ids repeat; lines that start with two given syllables
+_LANGUAGES = [None, "javascript", "java", "yaml", "sql"]
+RULE_TABLE = [("T1", None, "token"), ("T2", "python", "import [a-z]+"), ("T3", "yaml", "^ +- name:"), ("T1", "java", "tok")] + [
+    (f"S{n % 100}", _LANGUAGES[n % 5], f"^{a}{b}") for n, (a, b) in enumerate(
+        (a, b) for a in "An Be De En Er Ha He In La On Re Th Ou Qu Un".split() for b in "an ch de en er he ie in nd on or re st th tion".split())]
+
+
+def _table_hits() -> str:
+    def test(language):
+        return "true" if language is None else f"language = '{language}'"
+
+    return ",\n    ".join(f"CASE WHEN {test(l)} AND regexp_matches(line, {q(p)}) THEN {n} END" for n, (_, l, p) in enumerate(RULE_TABLE))
+
+
+@query("rule_table_scan", with_ctes(CORE + f"""
+    rule_table(n, rule_id, pattern) AS (VALUES {', '.join(f"({n}, {q(i)}, {q(p)})" for n, (i, _, p) in enumerate(RULE_TABLE))}),
+    table_hits AS (SELECT repo, path, line_no, unnest(list_filter([{_table_hits()}], lambda n: n IS NOT NULL)) AS n FROM numbered)""", """
+    SELECT repo, path, CAST(line_no AS INT) AS line_no, rule_id, pattern FROM table_hits JOIN rule_table USING (n)"""))
 def _(spark, sf):
-    rule_table = spark.createDataFrame(
-        [("T1", None, "token"), ("T2", "python", "import [a-z]+"), ("T3", "yaml", "^ +- name:")],
-        "rule_id string, language string, pattern string")
+    rule_table = spark.createDataFrame(RULE_TABLE, "rule_id string, language string, pattern string")
     lines = scan.numbered_lines(_prepared(spark, sf).filter("analyzed"))
-    return scan.scan_with_rule_table(lines, rule_table).select("repo", "path", "line_no", "rule_id")
+    return scan.scan_with_rule_table(lines, rule_table).select("repo", "path", "line_no", "rule_id", "pattern")
 
 
 @query("python_syntax", with_ctes(CORE, """
@@ -245,16 +249,24 @@ def _(spark, sf):
     return suggestions.suggestion_rows(_results(spark, sf), "security", "high").select("repo", "path", "description")
 
 
-@query("nested_results", with_ctes(CORE + SCORES, """
-    SELECT s.repo, s.path AS file_path, s.language, coalesce(i.n, 0) AS n_issues, m.file_hash, security_score AS security,
-      coalesce(g.n, 0) AS n_suggestions
+_ISSUE_TEXT = ["line_no", "rule_id", "phase", "category", "type", "severity", "description", "code", "tool"]
+_SUGGESTION_TEXT = ["type", "priority", "description", "category"]
+
+
+@query("nested_results", with_ctes(CORE + SCORES, f"""
+    SELECT s.repo, s.path AS file_path, s.language, coalesce(i.issues, '') AS issues, {', '.join(f'm.{c}' for c in metrics.METRICS)},
+      security_score AS security, quality_score AS quality, performance_score AS performance, coalesce(g.suggestions, '') AS suggestions
     FROM scores s JOIN metrics m ON m.repo = s.repo AND m.path = s.path
-    LEFT JOIN (SELECT repo, path, count(*) AS n FROM named_issues GROUP BY ALL) i ON i.repo = s.repo AND i.path = s.path
-    LEFT JOIN (SELECT repo, path, count(*) AS n FROM suggestions GROUP BY ALL) g ON g.repo = s.repo AND g.path = s.path"""))
+    LEFT JOIN (SELECT repo, path, string_agg(concat_ws('|', {', '.join(_ISSUE_TEXT)}), chr(10)
+      ORDER BY concat_ws('|', {', '.join(_ISSUE_TEXT)})) AS issues FROM named_issues GROUP BY ALL) i ON i.repo = s.repo AND i.path = s.path
+    LEFT JOIN (SELECT repo, path, string_agg(concat_ws('|', {', '.join(_SUGGESTION_TEXT)}), chr(10) ORDER BY concat_ws('|', {', '.join(_SUGGESTION_TEXT)}))
+      AS suggestions FROM suggestions GROUP BY ALL) g ON g.repo = s.repo AND g.path = s.path"""))
 def _(spark, sf):
+    def as_text(column, fields):
+        return F.array_join(F.array_sort(F.transform(column, lambda x: F.concat_ws("|", *[x[f] for f in fields]))), "\n").alias(column)
+
     return nested_file_results(_results(spark, sf)).select(
-        "repo", "file_path", "language", F.size("issues").cast("long").alias("n_issues"), "metrics.file_hash", "scores.security",
-        F.size("suggestions").cast("long").alias("n_suggestions"))
+        "repo", "file_path", "language", as_text("issues", _ISSUE_TEXT), "metrics.*", "scores.*", as_text("suggestions", _SUGGESTION_TEXT))
 
 
 # --- rollups --------------------------------------------------------------------------------------------------
@@ -299,12 +311,15 @@ def _(spark, sf):
 
 
 @query("summary", with_ctes(CORE + SCORES, """
-    SELECT repo, total_issues, security_issues AS security, high_issues AS high, languages, requires_attention FROM rollup"""))
+    SELECT repo, total_issues, security_issues AS security, quality_issues AS quality, performance_issues AS performance,
+      high_issues AS high, medium_issues AS medium, low_issues AS low, languages, most_common_language, 0::BIGINT AS total_dependencies,
+      has_security_issues, requires_attention FROM rollup"""))
 def _(spark, sf):
     out = rollups.summary(rollups.repository_rollup(_results(spark, sf)))
     return out.select(
-        "repo", "summary.total_issues", "summary.issues_by_category.security", "summary.issues_by_severity.high",
-        F.concat_ws(", ", "summary.languages_detected").alias("languages"), "summary.requires_attention")
+        "repo", "summary.total_issues", "summary.issues_by_category.*", "summary.issues_by_severity.*",
+        F.concat_ws(", ", "summary.languages_detected").alias("languages"), "summary.most_common_language", "summary.total_dependencies",
+        "summary.has_security_issues", "summary.requires_attention")
 
 
 # --- first n ------------------------------------------------------------------------------------------------------
@@ -357,7 +372,7 @@ def _(spark, sf):
 @query("first_files", with_ctes(FILES, """
     SELECT repo, path FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path) AS rank FROM found) WHERE rank <= 20"""))
 def _(spark, sf):
-    return topn.first_files(discover(source_files(spark, sf)), 20).select("repo", "path")
+    return topn.first_files(discover(source_paths(spark, sf)), 20).select("repo", "path")
 
 
 def _section_sql(ctes: str, shown: int) -> str:
@@ -371,7 +386,7 @@ def _section_sql(ctes: str, shown: int) -> str:
 
 @query("category_sections", _section_sql(CORE, 5))
 def _(spark, sf):
-    scanned = materialize(scan.with_issues(_prepared(spark, sf)).select("repo", "path", "issues"), "issues")
+    scanned = scan.with_issues(_prepared(spark, sf)).select("repo", "path", "issues")
     return reports.category_sections(scanned, 5).select("repo", "category", "issues", "more", F.concat_ws("\n", "shown").alias("shown"))
 
 
@@ -413,7 +428,7 @@ def _focus(category: str) -> str:
       '### Security Issues' || chr(10) || s.lines, '### Performance Issues' || chr(10) || p.lines) AS digest
     FROM rollup r LEFT JOIN top_security s USING (repo) LEFT JOIN top_performance p USING (repo)"""))
 def _(spark, sf):
-    return digests.review_digest(materialize(_results(spark, sf), "results"))
+    return digests.review_digest(_results(spark, sf))
 
 
 @query("improvement_digest", with_ctes(
@@ -429,7 +444,7 @@ def _(spark, sf):
       '### High Priority' || chr(10) || h.lines, '### Medium Priority' || chr(10) || m.lines) AS digest
     FROM rollup r LEFT JOIN high h USING (repo) LEFT JOIN medium m USING (repo)"""))
 def _(spark, sf):
-    return digests.improvement_digest(materialize(_results(spark, sf), "results"))
+    return digests.improvement_digest(_results(spark, sf))
 
 
 def _mark(c: str) -> str:
@@ -447,12 +462,12 @@ def _analysis(where: str) -> str:
 
 @query("analysis_report", _analysis("true"))
 def _(spark, sf):
-    return reports.analysis_report(materialize(_results(spark, sf), "results"))
+    return reports.analysis_report(_results(spark, sf))
 
 
 @query("quality_report", _analysis("category = 'quality'"))
 def _(spark, sf):
-    return reports.analysis_report(materialize(_results(spark, sf), "results"), "quality")
+    return reports.analysis_report(_results(spark, sf), "quality")
 
 
 def _profile_report(name: str):
@@ -481,7 +496,7 @@ def _profile_report(name: str):
           {sections}) AS report
         FROM scored s {' '.join(f'LEFT JOIN top_{c} t_{c} ON t_{c}.repo = s.repo' for c in points)}"""))
     def _(spark, sf):
-        return reports.profile_report(materialize(profile_review(source_files(spark, sf), name), name), name)
+        return reports.profile_report(profile_review(source_files(spark, sf), name), name)
 
 
 for _name in ("web", "interactive", "quick"):

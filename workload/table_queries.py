@@ -8,14 +8,15 @@ from codesieve.functions import levels
 from codesieve.operators import catalog, dependencies, imports
 from codesieve.operators.rollups import repository_rollup, summary
 from codesieve.plans import digests
-from codesieve.plans.materialize import materialize
 from codesieve.plans.review import manifest_files, prepared_files, review
 from codesieve.sources import linters, listings, repo_config, run_log
 from codesieve.sources.files import with_text
+from codesieve.sources.results import nested_repository_results
 from workload import corpus
-from workload.oracle_base import CORE, MANIFEST_FILES, REPOS, SCORES, WS, q, rx, sql_list
+from workload.oracle_base import CORE, FILES, MANIFEST_FILES, REPOS, SCORES, WS, q, rx, sql_list
 from workload.registry import query, with_ctes
 
+# The patterns of import statements.
 # --- imports ----------------------------------------------------------------------------------------
 _JS_FROM = rx(r"""import\s+(\*\s+as\s+\w+|\w+|\{[^}]+\})\s+from\s+['"]([^'"]+)['"]""")
 _JS_BARE = rx(r"""import\s+['"]([^'"]+)['"]""")
@@ -180,11 +181,31 @@ def _(spark, sf):
         || chr(10) || 'optional: ' || coalesce(optional, '')) AS digest
     FROM rollup r LEFT JOIN tops t USING (repo) LEFT JOIN scoped s USING (repo)"""))
 def _(spark, sf):
-    results = materialize(review(corpus.source_files(spark, sf)), "results")
+    results = review(corpus.source_files(spark, sf))
     found = dependencies.repository_dependencies(manifest_files(_source_manifests(spark, sf)))
     return digests.security_digest(results, found)
 
 
+@query("repository_records", with_ctes(CORE + SCORES + _MANIFEST + "," + _SOURCE_PACKAGES + """,
+    scoped AS (SELECT repo, string_agg(package, ',' ORDER BY package) FILTER (scope = 'direct') AS direct,
+      string_agg(package, ',' ORDER BY package) FILTER (scope = 'dev') AS dev,
+      string_agg(package, ',' ORDER BY package) FILTER (scope = 'optional') AS optional, count(*) AS n FROM packages GROUP BY repo),
+    counted AS (SELECT repo, string_agg(language || '=' || n, ',' ORDER BY language) AS counts FROM repo_languages GROUP BY repo)""", """
+    SELECT repo AS repository, total_files, analyzed_files, coalesce(counts, '') AS languages, security_score AS security,
+      quality_score AS quality, performance_score AS performance, coalesce(direct, '') AS direct, coalesce(dev, '') AS dev,
+      coalesce(optional, '') AS optional, total_issues, coalesce(n, 0) AS total_dependencies, most_common_language, requires_attention
+    FROM rollup LEFT JOIN scoped USING (repo) LEFT JOIN counted USING (repo)"""))
+def _(spark, sf):
+    rollup = repository_rollup(review(corpus.source_files(spark, sf)))
+    found = dependencies.repository_dependencies(manifest_files(_source_manifests(spark, sf)))
+    record = nested_repository_results(rollup, found, summary(rollup, found))
+    counts = F.transform(F.array_sort(F.map_entries("languages")), lambda e: F.concat(e.key, F.lit("="), e.value))
+    return record.select(
+        "repository", "total_files", "analyzed_files", F.array_join(counts, ",").alias("languages"), "overall_scores.*",
+        *[F.array_join(f"dependencies.{x}", ",").alias(x) for x in ("direct", "dev", "optional")],
+        *[f"summary.{x}" for x in ("total_issues", "total_dependencies", "most_common_language", "requires_attention")])
+
+
 # --- listings ----------------------------------------------------------------------------------------------
 def _records(spark, sf, schema=listings.REPOSITORY):
     return listings.parse_records(corpus.repository_json(spark, sf), "record", schema)
@@ -192,16 +213,16 @@ def _records(spark, sf, schema=listings.REPOSITORY):
 
 @query("repository_listing", with_ctes(REPOS, """
     SELECT id, name, full_name, description, language, default_branch, size, stargazers_count,
-      array_to_string(topics, ',') AS topics, updated_at FROM listed"""))
+      array_to_string(topics, ',') AS topics, updated_at, updated_at AS created_at, private, fork, false AS archived FROM listed"""))
 def _(spark, sf):
     return listings.listing(_records(spark, sf)).select(
         "id", "name", "full_name", "description", "language", "default_branch", "size", "stargazers_count",
-        F.array_join("topics", ",").alias("topics"), "updated_at")
+        F.array_join("topics", ",").alias("topics"), "updated_at", "created_at", "private", "fork", "archived")
 
 
 @query("newest_repositories", with_ctes(REPOS, "SELECT id, full_name, updated_at FROM listed ORDER BY updated_at DESC, full_name LIMIT 50"))
 def _(spark, sf):
-    return listings.newest(listings.listing(_records(spark, sf))).select("id", "full_name", "updated_at")
+    return listings.newest(listings.listing(_records(spark, sf)), 50).select("id", "full_name", "updated_at")
 
 
 @query("short_listing", with_ctes(REPOS, """
@@ -285,6 +306,7 @@ def _(spark, sf):
     return catalog.in_languages(_records(spark, sf), "cpp, Rust", {"c++": "cpp"}).select("full_name", "language")
 
 
+# Tools and checks by language.
 _LISTS = """
     CASE lower(language) WHEN 'python' THEN 'pylint,bandit,safety,mypy' WHEN 'javascript' THEN 'eslint,npm-audit,jshint'
       WHEN 'java' THEN 'spotbugs,pmd,checkstyle' WHEN 'go' THEN 'go-vet,golint,gosec' ELSE '' END AS tools,
@@ -292,14 +314,6 @@ _LISTS = """
       WHEN 'java' THEN 'maven,gradle' WHEN 'go' THEN 'go_mod,go_sum' ELSE '' END AS checks"""
 
 
-@query("default_settings", with_ctes(REPOS, f"""
-    SELECT full_name, language, true AS security_scan, 'security,performance,maintainability,style' AS focus_areas, {_LISTS} FROM repos"""))
-def _(spark, sf):
-    return catalog.default_settings(_records(spark, sf)).select(
-        "full_name", "language", "security_scan",
-        *[F.array_join(c, ",").alias(c) for c in ("focus_areas", "tools", "checks")])
-
-
 def _frameworks(names: dict[str, list[str]]) -> str:
     cases = []
     for name, words in names.items():
@@ -309,13 +323,16 @@ def _frameworks(names: dict[str, list[str]]) -> str:
     return f"concat_ws(',', {', '.join(cases)})"
 
 
-for _name, _table in {
+# Words that point to a framework.
+_FRAMEWORKS = {
     "python": {"django": ["django", "web", "webapp"], "flask": ["flask", "microservice", "api"], "fastapi": ["fastapi", "api", "async"],
                "streamlit": ["streamlit", "dashboard", "visualization"], "langchain": ["langchain", "llm", "ai", "chatbot"],
                "tensorflow": ["tensorflow", "ml", "machine-learning"], "pytorch": ["pytorch", "deep-learning", "neural"]},
     "js": {f: [f] for f in ("react", "vue", "angular", "node", "express", "next")},
     "java": {f: [f] for f in ("spring", "springboot", "hibernate", "maven", "gradle")},
-}.items():
+}
+
+for _name, _table in _FRAMEWORKS.items():
     @query(f"{_name}_frameworks", with_ctes(REPOS, f"SELECT full_name, {_frameworks(_table)} AS frameworks FROM repos"))
     def _(spark, sf, name=_name):
         indicators = {"python": catalog.PYTHON_FRAMEWORKS, "js": catalog.JS_FRAMEWORKS, "java": catalog.JAVA_FRAMEWORKS}[name]
@@ -323,6 +340,16 @@ for _name, _table in {
             "full_name", F.array_join(catalog.frameworks(indicators, F.col("description"), F.col("topics")), ",").alias("frameworks"))
 
 
+@query("default_settings", with_ctes(REPOS, f"""
+    SELECT full_name, language, true AS security_scan, true AS performance_scan, true AS dependency_scan, true AS code_quality_scan,
+      true AS auto_suggest_fixes, 'security,performance,maintainability,style' AS focus_areas, {_LISTS},
+      CASE lower(language) WHEN 'python' THEN {_frameworks(_FRAMEWORKS['python'])} WHEN 'javascript' THEN {_frameworks(_FRAMEWORKS['js'])}
+        WHEN 'java' THEN {_frameworks(_FRAMEWORKS['java'])} ELSE '' END AS frameworks FROM repos"""))
+def _(spark, sf):
+    return catalog.default_settings(_records(spark, sf)).select(
+        "full_name", "language", *catalog.SWITCHES, *[F.array_join(c, ",").alias(c) for c in catalog.LISTS])
+
+
 _CONFIG = ["owner", "name", "full_name", "language", "default_branch", "enabled"]
 
 
@@ -334,21 +361,22 @@ def _overridden(spark, sf):
     return catalog.override_configs(_configs(spark, sf), corpus.config_updates(spark, sf))
 
 
-_ENABLED = "NOT (p_partkey % 3 = 0 AND p_partkey % 2 = 0)"
+_ENABLED = "NOT (p_partkey % 3 = 0 AND p_partkey % 2 = 0 AND NOT (p_partkey % 9 = 0 AND p_partkey % 4 = 0))"
 
 
-@query("configured_repositories", with_ctes(REPOS, "SELECT owner, name, full_name, language, default_branch, true AS enabled, 'true' AS security_scan FROM configs"))
+@query("configured_repositories", with_ctes(REPOS, "SELECT owner, name, full_name, language, default_branch, true AS enabled, 'true' AS security_scan, CASE WHEN language = 'python' THEN 'true' END AS check_setup_py FROM configs"))
 def _(spark, sf):
-    return _configs(spark, sf).select(*_CONFIG, F.col("analysis_config")["security_scan"].alias("security_scan"))
+    return _configs(spark, sf).select(*_CONFIG, *[F.col("analysis_config")[k].alias(k) for k in ("security_scan", "check_setup_py")])
 
 
 @query("overridden_configs", with_ctes(REPOS, f"""
     SELECT full_name, {_ENABLED} AS enabled, CASE WHEN p_partkey % 3 = 0 THEN 'false' ELSE 'true' END AS security_scan,
-      CASE WHEN p_partkey % 3 = 0 THEN p_type END AS owner_team, 'true' AS performance_scan FROM configs"""))
+      CASE WHEN p_partkey % 9 = 0 THEN 'second' WHEN p_partkey % 3 = 0 THEN p_type END AS owner_team, 'true' AS performance_scan,
+      CASE WHEN p_partkey % 9 = 0 THEN 'false' WHEN language = 'python' THEN 'true' END AS check_setup_py FROM configs"""))
 def _(spark, sf):
     settings = F.col("analysis_config")
     return _overridden(spark, sf).select("full_name", "enabled", *[
-        settings[k].alias(k) for k in ("security_scan", "owner_team", "performance_scan")])
+        settings[k].alias(k) for k in ("security_scan", "owner_team", "performance_scan", "check_setup_py")])
 
 
 @query("replaced_configs", with_ctes(REPOS, f"""
@@ -412,9 +440,10 @@ def _(spark, sf):
 _FINDINGS = ["repo", "path", "phase", "category", "type", "severity", "description", "line_no", "code", "tool", "confidence", "rule"]
 _LINT = f"""
 lint_docs AS (
-  SELECT source AS repo, 'doc_' || doc_id AS path, doc_id, doc_id % 5 <> 0 AS given, string_split(text, chr(10)) AS all_lines,
+  SELECT source AS repo, path, doc_id, doc_id % 5 <> 0 AS given, string_split(documents.text, chr(10)) AS all_lines,
     ['very_high', 'high', 'medium', 'low', 'info', 'odd'][CAST(doc_id % 6 + 1 AS INT)] AS level,
-    ['high', 'high', 'medium', 'low', 'low', 'medium'][CAST(doc_id % 6 + 1 AS INT)] AS mapped FROM documents),
+    ['high', 'high', 'medium', 'low', 'low', 'medium'][CAST(doc_id % 6 + 1 AS INT)] AS mapped
+  FROM documents JOIN (SELECT doc_id, path FROM made) USING (doc_id)),
 filled_lines AS (
   SELECT * EXCLUDE (all_lines), unnest(filled) AS line, unnest(range(0, len(filled))) AS n FROM (
     SELECT *, list_filter(all_lines, lambda x: x <> '') AS filled FROM lint_docs)),
@@ -422,35 +451,31 @@ every_line AS (SELECT * EXCLUDE (all_lines), unnest(all_lines) AS line, unnest(r
 bandit AS (
   SELECT repo, path, 'security' AS phase, 'security' AS category, CASE WHEN given THEN 'B' || n ELSE 'unknown' END AS type,
     CASE WHEN given THEN level ELSE 'medium' END AS severity, line AS description, CASE WHEN given THEN CAST(n + 1 AS INT) ELSE 0 END AS line_no,
-    'x = 1' AS code, 'bandit' AS tool, 'high' AS confidence, NULL AS rule FROM filled_lines WHERE doc_id % 3 = 0),
+    'x = 1' AS code, 'bandit' AS tool, 'high' AS confidence, NULL AS rule FROM filled_lines),
 ansible_lint AS (
   SELECT repo, path, 'security' AS phase, 'quality' AS category, 'ansible_lint_' || CASE WHEN given THEN 'E' || n ELSE 'unknown' END AS type,
     CASE WHEN given THEN mapped ELSE 'medium' END AS severity, line AS description, CASE WHEN given THEN CAST(n + 1 AS INT) ELSE 0 END AS line_no,
     '' AS code, 'ansible-lint' AS tool, NULL AS confidence, CASE WHEN given THEN 'E' || n ELSE '' END AS rule
-  FROM filled_lines WHERE doc_id % 3 = 1 AND doc_id % 4 <> 1
+  FROM filled_lines WHERE doc_id % 4 <> 1
   UNION ALL SELECT repo, path, 'security', 'quality', 'ansible_lint_issue', 'medium', trim(text, {WS}), 0, '', 'ansible-lint', NULL, NULL
   FROM (SELECT repo, path, CASE WHEN length(line) % 2 = 0 THEN '  Error: ' ELSE 'note ' END || line AS text FROM every_line
-    WHERE doc_id % 3 = 1 AND doc_id % 4 = 1)
+    WHERE doc_id % 4 = 1)
   WHERE contains(text, ':') AND (contains(lower(text), 'error') OR contains(lower(text), 'warning'))),
 yamllint AS (
   SELECT repo, path, 'quality' AS phase, 'quality' AS category, 'yaml_lint_' || CASE WHEN given THEN 'style' ELSE 'unknown' END AS type,
     CASE WHEN n % 2 = 0 THEN 'high' ELSE 'medium' END AS severity, line AS description, CAST(n + 1 AS INT) AS line_no, '' AS code,
     'yamllint' AS tool, NULL AS confidence, CASE WHEN given THEN 'rule-x' ELSE '' END AS rule
-  FROM every_line WHERE doc_id % 3 = 2 AND length(line) % 3 <> 0)
+  FROM every_line WHERE length(line) % 3 <> 0)
 """
 
 
-def _reports(spark, sf, tool):
-    return corpus.linter_reports(spark, sf).filter(F.col("tool") == tool)
-
-
 for _tool, _function, _cte in [
     ("bandit", linters.bandit_issues, "bandit"), ("ansible-lint", linters.ansible_lint_issues, "ansible_lint"),
     ("yamllint", linters.yamllint_issues, "yamllint"),
 ]:
-    @query(f"{_cte}_issues", with_ctes(_LINT, f"SELECT {', '.join(_FINDINGS)} FROM {_cte}"))
+    @query(f"{_cte}_issues", with_ctes(FILES + _LINT, f"SELECT {', '.join(_FINDINGS)} FROM {_cte}"))
     def _(spark, sf, tool=_tool, function=_function):
-        return function(_reports(spark, sf, tool)).select(*_FINDINGS)
+        return function(corpus.linter_reports(spark, sf, tool)).select(*_FINDINGS)
 
 
 @query("linter_levels", f"""
@@ -464,26 +489,22 @@ def _(spark, sf):
 
 
 @query("scores_with_findings", with_ctes(CORE + SCORES + _LINT + """,
-    matched AS (SELECT repo, path || '.py' AS name, severity FROM bandit),
-    extra_points AS (SELECT repo, name, sum(CASE severity WHEN 'high' THEN 20 WHEN 'medium' THEN 10 ELSE 5 END) AS p FROM matched GROUP BY ALL),
+    extra_points AS (SELECT repo, path, sum(CASE severity WHEN 'high' THEN 20 WHEN 'medium' THEN 10 ELSE 5 END) AS p FROM bandit GROUP BY ALL),
     own AS (SELECT repo, path, sum(CASE WHEN category = 'security' AND phase = 'security' THEN CASE severity WHEN 'high' THEN 20
       WHEN 'medium' THEN 10 ELSE 5 END ELSE 0 END) AS p FROM named_issues GROUP BY ALL)""", """
     SELECT s.repo, s.path, CAST(greatest(0, 100 - coalesce(o.p, 0) - coalesce(f.p, 0)) AS DOUBLE) AS security_score
     FROM scores s LEFT JOIN own o ON o.repo = s.repo AND o.path = s.path
-    LEFT JOIN extra_points f ON f.repo = s.repo AND f.name = list_extract(string_split(s.path, '/'), -1)"""))
+    LEFT JOIN extra_points f ON f.repo = s.repo AND f.path = s.path"""))
 def _(spark, sf):
-    files = corpus.source_files(spark, sf)
-    paths = files.select("repo", "path", F.substring_index("path", "/", -1).alias("name"))
-    found = linters.bandit_issues(_reports(spark, sf, "bandit")).withColumn("name", F.concat("path", F.lit(".py"))).drop("path")
-    findings = found.join(paths, ["repo", "name"]).drop("name")
-    return review(files, findings=findings).filter("analyzed").select("repo", "path", "security_score")
+    findings = linters.bandit_issues(corpus.linter_reports(spark, sf, "bandit"))
+    return review(corpus.source_files(spark, sf), findings=findings).filter("analyzed").select("repo", "path", "security_score")
 
 
 # --- run logs --------------------------------------------------------------------------------------------------------------
 _LOG = """
 log AS (
-  SELECT *, 'scan.' || (user_id % 50) AS logger, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level FROM events),
-marks AS (SELECT logger, ts, event_type IN ('click', 'signup') AS is_start,
+  SELECT * REPLACE (CASE WHEN event_id % 211 <> 0 THEN ts END AS ts), 'scan.' || (user_id % 50) AS logger, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level FROM events),
+marks AS (SELECT event_id, logger, ts, event_type IN ('click', 'signup') AS is_start,
     CASE WHEN event_type IN ('click', 'signup') THEN ts END AS start_ts,
     CASE WHEN event_type IN ('click', 'signup') THEN 'repo' || (event_id % 30) END AS start_repo,
     CASE event_type WHEN 'click' THEN '' WHEN 'signup' THEN 'full' END AS start_type,
@@ -493,7 +514,7 @@ marks AS (SELECT logger, ts, event_type IN ('click', 'signup') AS is_start,
 runs AS (SELECT * FROM (SELECT logger, coalesce(named, last_value(start_repo IGNORE NULLS) OVER w) AS repo,
     CASE WHEN event_type = 'purchase' THEN 'security' ELSE nullif(last_value(start_type IGNORE NULLS) OVER w, '') END AS analysis_type,
     last_value(start_ts IGNORE NULLS) OVER w AS started, ts AS completed, seconds, issues
-    FROM marks WINDOW w AS (PARTITION BY logger ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    FROM marks WINDOW w AS (PARTITION BY logger ORDER BY ts NULLS FIRST, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
   WHERE seconds IS NOT NULL)
 """
 
