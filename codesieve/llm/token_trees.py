@@ -167,7 +167,8 @@ class TokenCounter:
             for t, chars, tokens, todo in zip(texts, trees["chars"], trees["tokens"], changes, strict=True):
                 tree = TokenTree.load(encode, t or "", chars, tokens)
                 for e in todo if todo is not None else ():
-                    tree.edit(e["start"] or 0, e["stop"] or 0, e["text"] or "")
+                    start, stop = (0 if pd.isna(e[end]) else int(e[end]) for end in ("start", "stop"))
+                    tree.edit(start, stop, e["text"] or "")
                 out.append((tree.text, tree.chars, tree.tokens, tree.encoded))
             return pd.DataFrame(out, columns=["text", "chars", "tokens", "encoded"])
 
