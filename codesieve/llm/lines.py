@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from codesieve.llm.components import components
 
 SHINGLE, BANDS, ROWS, PERCENT = 8, 12, 4, 80
 _BLOCK = 1 << 17  # characters signed together
-_UNIT = 1 << 19  # lines that a task combines before it hands them on
+_UNIT = 1 << 15  # lines that a task combines before it hands them on
 _NO_ID = 2**63 - 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -82,6 +83,11 @@ def _in_bands(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
 _PARTS = "kind int, bucket int, a binary, b binary, c binary, d binary"
 
 
+def _some(batch: pa.RecordBatch):
+    """256 rows at a time: texts become Python's strings only when they are read."""
+    return (batch.slice(at, 256) for at in range(0, batch.num_rows, 256))
+
+
 def _parts(buckets: int, width: int, bands: int, rows: int):
     """What a task knows of its lines, packed by bucket. Kinds: 0 the first place of each line (line, doc, at, number), 1 keys
     (key, line), 2 pairs of lines with a common key, 3 places of lines that came before (doc, at, number)."""
@@ -96,16 +102,22 @@ def _parts(buckets: int, width: int, bands: int, rows: int):
             row = [a[piece].tobytes() for a in arrays]
             yield (kind, int(bucket[piece[0]]), *row, *[None] * (4 - len(row)))
 
+    types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+
+    def frame(rows):
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["kind", "bucket", "a", "b", "c", "d"])
+
     def unit(places, keys, ids):
         line, doc, at, number = places
         order = np.lexsort((number, at, doc, line))
         line, doc, at, number = line[order], doc[order], at[order], number[order]
         first = np.concatenate([[True], line[1:] != line[:-1]])
-        yield from packed(0, line[first], (line[first], doc[first], at[first], number[first]))
-        yield from packed(3, at[~first].view(np.uint64), (doc[~first], at[~first], number[~first]))
+        yield frame(packed(0, line[first], (line[first], doc[first], at[first], number[first])))
+        yield frame(packed(3, at[~first].view(np.uint64), (doc[~first], at[~first], number[~first])))
         a, b, keys, ids = _in_bands(keys.ravel(), np.repeat(ids, keys.shape[1]))
-        yield from packed(2, a ^ b, (a, b))
-        yield from packed(1, keys, (keys, ids))
+        yield frame(packed(2, a ^ b, (a, b)))
+        yield frame(packed(1, keys, (keys, ids)))
 
     def run(batches):
         seen: set[int] = set()
@@ -113,13 +125,12 @@ def _parts(buckets: int, width: int, bands: int, rows: int):
 
         def flush():
             columns = [np.concatenate(x) for x in zip(*places, strict=True)]
-            return pd.DataFrame(list(unit(columns, np.concatenate(keys), np.concatenate(ids))), columns=["kind", "bucket", "a", "b", "c", "d"])
+            yield from unit(columns, np.concatenate(keys), np.concatenate(ids))
 
         for batch in batches:
-            for at_row in range(0, len(batch), 256):  # some documents at a time
-                part = batch.iloc[at_row:at_row + 256]
+            for part in _some(batch):
                 line, doc, at, number, new, new_ids = [], [], [], [], [], []
-                for d, h, text in zip(part["doc"], part["at"], part["text"], strict=True):
+                for d, h, text in zip(*(part.column(c).to_pylist() for c in ("doc", "at", "text")), strict=True):
                     for n, raw in enumerate(text.split("\n")):
                         if own := normal(raw):
                             i = line_id(own)
@@ -132,10 +143,10 @@ def _parts(buckets: int, width: int, bands: int, rows: int):
                     keys.append(band_keys(new, width, bands, rows)), ids.append(np.array(new_ids, np.uint64))
                     held += len(line)
                 if held >= _UNIT:
-                    yield flush()
+                    yield from flush()
                     seen, places, keys, ids, held = set(), [], [], [], 0
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -176,15 +187,15 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def scan(batches):
         for batch in batches:
             seen: dict[int, str] = {}
-            for at_row in range(0, len(batch), 256):
-                own = [x for text in batch["text"].iloc[at_row:at_row + 256] for raw in text.split("\n") if (x := normal(raw))]
+            for part in _some(batch):
+                own = [x for text in part.column("text").to_pylist() for raw in text.split("\n") if (x := normal(raw))]
                 ids = np.fromiter(map(line_id, own), np.uint64, len(own))
                 for n in np.flatnonzero(in_bitmap(bits.value, ids)):
                     seen.setdefault(int(ids[n]), own[n])
             ids = np.fromiter(seen, np.uint64, len(seen)).view(np.int64)
-            yield pd.DataFrame({"line": ids, "text": list(seen.values())})
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(seen.values()), pa.string())], ["line", "text"])
 
-    return docs.select("text").mapInPandas(scan, "line bigint, text string").join(wanted, "line", "left_semi").dropDuplicates(["line"])
+    return docs.select("text").mapInArrow(scan, "line bigint, text string").join(wanted, "line", "left_semi").dropDuplicates(["line"])
 
 
 def _similar(width: int, percent: int):
@@ -212,7 +223,7 @@ def repeated_lines(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, ro
     candidates; pairs are confirmed on the lines themselves; a line in a link belongs to its component.
     """
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = stored(docs.mapInPandas(_parts(buckets, width, bands, rows), _PARTS), "line-parts")
+    parts = stored(docs.mapInArrow(_parts(buckets, width, bands, rows), _PARTS), "line-parts")
     of = lambda kind: parts.filter(F.col("kind") == kind)
     places = stored(of(0).groupBy("bucket").applyInPandas(_merge_places, "line bigint, doc bigint, at bigint, number int, first boolean"), "line-places")
     found = of(1).groupBy("bucket").applyInPandas(_merge_keys, "a bigint, b bigint")
