@@ -147,32 +147,85 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").filter(_similar(percent)("left", "right")).select("a", "b")
 
 
-def linked_sets(docs: DataFrame, sets: DataFrame, width: int, percent: int, rounds: int = 3) -> DataFrame:
+def _overlaps(asked: pd.DataFrame, members: pd.DataFrame, percent: int):
+    """Similar pairs of different components, one for each asked row and component: counts of common shingles come from one list of
+    the members of each shingle."""
+    sets = [np.frombuffer(x, np.uint64) for x in members["shingles"]]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    owners = np.repeat(np.arange(len(sets)), sizes)
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every, owners = every[order], owners[order]
+    nodes, components_ = members["node"].to_numpy(np.int64), members["component"].to_numpy(np.int64)
+    for node, component, own in zip(asked["node"], asked["component"], asked["shingles"], strict=True):
+        own = np.frombuffer(own, np.uint64)
+        first, last = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+        n = last - first
+        ends = np.cumsum(n)
+        common = np.bincount(owners[np.arange(ends[-1]) + np.repeat(first - (ends - n), n)], minlength=len(sets))
+        hit = np.flatnonzero((100 * common >= percent * (len(own) + sizes - common)) & (components_ != component))
+        _, one = np.unique(components_[hit], return_index=True)
+        yield from ((node, other) for other in nodes[hit[one]])
+
+
+def links_between(families: DataFrame, joined: DataFrame, sets: DataFrame, percent: int, block: int = 1000) -> DataFrame:
+    """(a, b): links between components of a family, one or more wherever there is any; exact.
+
+    Of a family whose sets are not all joined, every set outside its largest component is asked against all others, on whole sets. Rows
+    of a large family meet in blocks; small families share a task. Inside a task, pairs are counts, never rows.
+    """
+    units = 4 * int(families.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = families.withColumnRenamed("component", "family").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = stored(parts.select("node", "family", "component"), "families")
+    split = parts.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(
+        F.count("*").alias("components"), F.ceil(F.sum("n") / block).cast("int").alias("blocks"),
+        F.max(F.struct("n", "component"))["component"].alias("largest")).filter("components > 1")
+    rows = parts.join(split, "family").join(sets.withColumnRenamed("set_id", "node"), "node")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn(
+        "with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def dealt(df, asked):
+        pair = ("own", "with") if asked else ("with", "own")
+        unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(units))).otherwise(F.xxhash64("family", *pair))
+        return df.select(unit.alias("unit"), "family", "node", "component", "shingles", F.lit(asked).alias("asked"))
+
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, rows in group.groupby("family", sort=False):
+            asked = rows["asked"].to_numpy(bool)
+            if asked.any() and not asked.all():
+                out += _overlaps(rows[asked], rows[~asked], percent)
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    both = dealt(rows.filter("component <> largest"), True).union(dealt(rows, False))
+    return both.groupBy("unit").applyInPandas(search, "a bigint, b bigint")
+
+
+def linked_sets(docs: DataFrame, sets: DataFrame, width: int, percent: int, rounds: int = 2) -> DataFrame:
     """(node, component) of the sets that have a link.
 
     A link only matters if it joins two components, so candidates are confirmed in rounds: first the best one of each node, then,
-    of those that still lie between components, the best one again, and at the end all that are left. No candidate
-    goes unchecked unless its ends are joined already.
+    of those that still lie between components, the best one again. What is left is closed exactly: sets with a link share a prefix in
+    some tree, and so do all rows between them in its order, so both lie in one component of the candidates, their family, even where a
+    dense region hides them from each other's neighbours. :func:`links_between` finds all links between a family's components.
     """
-    left = stored(candidates(sets), "candidates")
-    ends = left.select(F.col("a").alias("set_id")).union(left.select(F.col("b").alias("set_id"))).distinct()
-    table = stored(_set_table(docs, sets.select("set_id", "at").join(ends, "set_id", "left_semi"), width), "sets")
-    links, joined = None, None
-    for turn in range(rounds + 1):
+    found = stored(candidates(sets), "candidates")
+    families = stored(components(found), "families")
+    table = stored(_set_table(docs, sets.select("set_id", "at").join(families.select(F.col("node").alias("set_id")), "set_id", "left_semi"), width), "sets")
+    links, joined, left = None, None, found
+    for turn in range(rounds):
         pair = F.struct("support", "a", "b")
         ended = left.select(F.col("a").alias("n"), pair.alias("p")).union(left.select(F.col("b").alias("n"), pair.alias("p")))
-        chosen = ended.groupBy("n").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct() if turn < rounds else left
+        chosen = stored(ended.groupBy("n").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct(), "chosen")
         fresh = confirmed(chosen, table, percent)
         links = stored(fresh if links is None else links.union(fresh), "confirmed")
         joined = stored(components(links), "components")
-        if turn == rounds:
-            break
-        of = lambda end: joined.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))  # noqa: E731, B023
-        rest = left.join(stored(chosen, "chosen"), ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-        left = stored(rest.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "support"), "candidates")
-        if left.isEmpty():
-            break
-    return joined
+        if turn + 1 < rounds:
+            of = lambda end: joined.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))  # noqa: E731, B023
+            rest = left.join(chosen, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+            left = stored(rest.select("a", "b", "support"), "candidates")
+    links = stored(links.union(links_between(families, joined, table, percent)), "links")
+    return stored(components(links), "components")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
