@@ -14,7 +14,6 @@ from codesieve.plans import digests, reports
 from codesieve.plans.materialize import materialize
 from codesieve.plans.review import prepared_files, profile_review, review
 from codesieve.sources.files import read_checkouts
-from codesieve.sources.linters import add_findings
 from codesieve.sources.results import nested_repository_results, write_file_results
 from codesieve.streaming.incremental import file_stream, review_stream
 

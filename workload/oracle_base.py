@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 
 from workload.corpus import MANIFESTS, REPO_LANGUAGES, TOPICS, WORDS
 from workload.snippets import EXTENSIONS, FOLDERS, SITE, SNIPPETS

@@ -12,7 +12,7 @@ from codesieve.plans.review import prepared_files, profile_review, review
 from codesieve.sources.files import discover
 from codesieve.sources.results import nested_file_results
 from workload.corpus import source_files, source_paths, table
-from workload.oracle_base import CORE, FILES, SCORES, WS, m, profile, q
+from workload.oracle_base import CORE, FILES, SCORES, WS, profile, q
 from workload.registry import query, with_ctes
 
 ISSUE_COLUMNS = ["repo", "path", "language", "rule_id", "phase", "category", "type", "severity", "description", "line_no", "code", "tool"]
