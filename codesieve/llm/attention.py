@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-WINDOW, CONTEXT = 32, 8  # a window holds CONTEXT tokens seen before and WINDOW - CONTEXT to score
-WIDTH, CLASSES = 16, 64
+WINDOW, CONTEXT = 24, 6  # a window holds CONTEXT tokens seen before and WINDOW - CONTEXT to score
+WIDTH, CLASSES = 16, 48
 STRIDE = WINDOW - CONTEXT
 
 
@@ -55,16 +55,17 @@ _GAP = np.maximum(np.arange(WINDOW)[:, None] - np.arange(WINDOW), 0)
 
 
 def _forward(p: dict[str, np.ndarray], inputs: np.ndarray):
+    """Queries and keys are clipped to 4 and distances to 10, so that no exponential overflows and none need be shifted."""
     x = p["embedding"][inputs]
-    q, k, v = x @ p["query"], x @ p["key"], x @ p["value"]
-    scores = q @ k.transpose(0, 2, 1)
-    scores *= np.float32(WIDTH**-0.5)
-    scores += np.where(_LATER, np.float32(-1e9), p["distance"][_GAP])
-    scores -= scores.max(axis=2, keepdims=True)
-    attention = np.exp(scores, out=scores)
-    attention /= attention.sum(axis=2, keepdims=True)
-    hidden = np.tanh(attention @ v + x @ p["skip"] + p["hidden"])
-    return x, q, k, v, attention, hidden
+    q, k, v, skip = np.split(x @ np.concatenate([p["query"], p["key"], p["value"], p["skip"]], axis=1), 4, axis=2)
+    scores = (np.clip(q, -4, 4) * x.dtype.type(WIDTH**-0.5)) @ np.clip(k, -4, 4).transpose(0, 2, 1)
+    scores += np.where(_LATER, x.dtype.type(-1e9), np.clip(p["distance"], -10, 10)[_GAP])
+    weights = np.exp(scores, out=scores)
+    # one product gives the weighted sum and, by a column of ones, the sum of the weights
+    summed = weights @ np.concatenate([v, np.ones_like(v[..., :1])], axis=2)
+    total = summed[..., WIDTH:]
+    hidden = np.tanh(summed[..., :WIDTH] / total + skip + p["hidden"])
+    return x, q, k, v, weights, total, hidden
 
 
 def log_probabilities(p: dict[str, np.ndarray], vocabulary: Vocabulary, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -72,14 +73,20 @@ def log_probabilities(p: dict[str, np.ndarray], vocabulary: Vocabulary, inputs:
     hidden = _forward(p, inputs)[-1][:, CONTEXT:]
     targets = targets[:, CONTEXT:]
     logits = hidden @ p["out"] + p["bias"]
-    logits -= logits.max(axis=2, keepdims=True)
     right = np.take_along_axis(logits, vocabulary.classes[targets][..., None], 2)[..., 0]
-    return right - np.log(np.exp(logits, out=logits).sum(axis=2)) + vocabulary.in_class[targets]
+    total = np.exp(logits, out=logits) @ np.ones(CLASSES, logits.dtype)
+    return right - np.log(total) + vocabulary.in_class[targets]
+
+
+def bounded(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Parameters whose logits stay in the range of float32's exponential: hidden values lie within 1."""
+    return {**p, "out": np.clip(p["out"], -4, 4), "bias": np.clip(p["bias"], -20, 20)}
 
 
 def gradients(p: dict[str, np.ndarray], vocabulary: Vocabulary, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray):
     """Mean loss and its gradients; that of the embedding as rows for ``inputs``."""
-    x, q, k, v, attention, hidden = _forward(p, inputs)
+    x, q, k, v, weights, total, hidden = _forward(p, inputs)
+    attention = weights / total
     logits = hidden @ p["out"] + p["bias"]
     logits -= logits.max(axis=2, keepdims=True)
     share = np.exp(logits)
@@ -98,9 +105,11 @@ def gradients(p: dict[str, np.ndarray], vocabulary: Vocabulary, inputs: np.ndarr
     d_attention = d_sum @ v.transpose(0, 2, 1)
     d_v = attention.transpose(0, 2, 1) @ d_sum
     d_scores = attention * (d_attention - (d_attention * attention).sum(axis=2, keepdims=True))
-    g["distance"] = np.bincount(_GAP.ravel(), weights=np.where(_LATER, 0, d_scores.sum(axis=0)).ravel(), minlength=WINDOW).astype(np.float32)
-    d_scores = d_scores * np.float32(WIDTH**-0.5)
-    d_q, d_k = d_scores @ k, d_scores.transpose(0, 2, 1) @ q
+    within = np.abs(p["distance"]) < 10
+    g["distance"] = np.bincount(_GAP.ravel(), weights=np.where(_LATER, 0, d_scores.sum(axis=0)).ravel(), minlength=WINDOW).astype(np.float32) * within
+    d_scores = d_scores * x.dtype.type(WIDTH**-0.5)
+    d_q = d_scores @ np.clip(k, -4, 4) * (np.abs(q) < 4)
+    d_k = d_scores.transpose(0, 2, 1) @ np.clip(q, -4, 4) * (np.abs(k) < 4)
     d_x = d_sum @ p["skip"].T
     for name, d in (("query", d_q), ("key", d_k), ("value", d_v)):
         g[name] = flat(x).T @ flat(d)
@@ -111,7 +120,7 @@ def gradients(p: dict[str, np.ndarray], vocabulary: Vocabulary, inputs: np.ndarr
 class Trainer:
     """Adagrad from given parameters; what it changed, and how often each embedding row was used."""
 
-    def __init__(self, p: dict[str, np.ndarray], vocabulary: Vocabulary, rate: float = 0.08):
+    def __init__(self, p: dict[str, np.ndarray], vocabulary: Vocabulary, rate: float = 0.3):
         self.p, self.vocabulary, self.rate = {k: v.copy() for k, v in p.items()}, vocabulary, rate
         self.seen = {k: np.full(v.shape, 1e-4, np.float32) for k, v in p.items()}
         self.used = np.zeros(len(p["embedding"]), np.int64)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ from codesieve.llm.token_trees import PATTERN, VOCABULARY, encoding
 _UNIT_WORDS, _UNIT_DOCS = 4_000_000, 8192  # what a task combines before it hands it on
 _CACHE = 400_000  # words whose subwords a worker keeps
 _BLOCK = 16  # words of a training window
-_EVERY = 12  # of so many blocks of a text one is a training window
+_EVERY = 10  # of so many blocks of a text one is a training window
 _ROW = attention.WINDOW + 1
 _BATCH = 256  # windows scored together
 _SPLIT = 2048  # embedding rows in a piece
@@ -31,41 +32,44 @@ class Subwords:
     def __init__(self, vocabulary: bytes):
         self.encode = encoding(vocabulary, PATTERN)
         self.end = self.encode.n_vocab
+        self.piece = self.encode._core_bpe.encode_single_piece
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.hashes, self.starts, self.sizes, self.flat = [], [], [], []
-        self._arrays = None
+        self.flat_size = 0
+        self.hashes, self.starts, self.sizes, self.flat = (np.empty(1024, k) for k in (np.uint64, np.int64, np.int64, np.int32))
 
     def ids(self, word: bytes) -> list[int]:
-        return self.encode._encode_single_piece(b" " + word)
-
-    def add(self, word: bytes) -> int:
-        own = self.ids(word)
-        at = self.index[word] = len(self.hashes)
-        self.hashes.append(xxhash.xxh3_64_intdigest(word))
-        self.starts.append(len(self.flat))
-        self.sizes.append(len(own))
-        self.flat += own
-        self._arrays = None
-        return at
+        return self.piece(b" " + word)
 
-    def positions(self, tokens: list[bytes]) -> np.ndarray:
-        get, add = self.index.get, self.add
-        return np.fromiter((at if (at := get(w)) is not None else add(w) for w in tokens), np.int64, len(tokens))
+    def _room(self, words: int, pieces: int) -> None:
+        """Arrays grow to twice their size when they are full."""
+        while len(self.index) + words > len(self.hashes):
+            self.hashes, self.starts, self.sizes = (np.concatenate([x, np.empty_like(x)]) for x in (self.hashes, self.starts, self.sizes))
+        while self.flat_size + pieces > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
 
-    def arrays(self):
-        if self._arrays is None:
-            self._arrays = (np.array(self.hashes, np.uint64), np.array(self.starts, np.int64), np.array(self.sizes, np.int64), np.array(self.flat, np.int64))
-        return self._arrays
+    def positions(self, tokens: list[bytes]) -> np.ndarray:
+        index = self.index
+        if new := list(dict.fromkeys(w for w in tokens if w not in index)):
+            own = [self.piece(b" " + w) for w in new]
+            sizes = np.fromiter(map(len, own), np.int64, len(own))
+            ends = self.flat_size + np.cumsum(sizes)
+            self._room(len(new), int(sizes.sum()))
+            first, last = len(index), len(index) + len(new)
+            self.hashes[first:last] = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
+            self.sizes[first:last], self.starts[first:last] = sizes, ends - sizes
+            self.flat[self.flat_size:ends[-1]] = np.fromiter(chain.from_iterable(own), np.int32, int(sizes.sum()))
+            self.flat_size = int(ends[-1])
+            index.update(zip(new, range(first, last), strict=True))
+        return np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
 
     def sequence(self, at: np.ndarray) -> np.ndarray:
         """Subword ids of the words at these positions, in a row."""
-        _, starts, sizes, flat = self.arrays()
-        n = sizes[at]
+        n = self.sizes[at]
         ends = np.cumsum(n)
-        return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[at] - (ends - n), n)]
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - (ends - n), n)].astype(np.int64)
 
 
 _subwords: dict[str, Subwords] = {}
@@ -114,9 +118,10 @@ def _learn(vocabulary, buckets: int):
             n = np.fromiter(counts.values(), np.int64, len(counts))
             for bucket, at in _bucketed(hashes, buckets):
                 out.append((0, bucket, hashes[at].tobytes(), n[at].tobytes(), len(at)))
-            for word, k in counts.items():
-                for i in sub.ids(word):
-                    pieces[i] += k
+            own = [sub.ids(word) for word in counts]
+            sizes = np.fromiter(map(len, own), np.int64, len(own))
+            used = np.fromiter(chain.from_iterable(own), np.int64, int(sizes.sum()))
+            pieces[:] += np.bincount(used, weights=np.repeat(n, sizes), minlength=len(pieces)).astype(np.int64)
             out.append((2, 0, np.concatenate(rows).tobytes() if rows else b"", b"", len(rows)))
             return out
 
@@ -175,8 +180,8 @@ def _train_task(parameters, model_vocabulary, part: int):
         for batch in batches:
             rows = _whole(batch["a"], np.int32).reshape(-1, _ROW + 1)
             rows = rows[np.arange(len(rows)) % 4 == 0] if part == 0 else rows[np.arange(len(rows)) % 4 != 0]
-            for at in range(0, len(rows), 32):
-                size, ids = rows[at:at + 32, :1], rows[at:at + 32, 1:].astype(np.int64)
+            for at in range(0, len(rows), 16):
+                size, ids = rows[at:at + 16, :1], rows[at:at + 16, 1:].astype(np.int64)
                 position = np.arange(attention.WINDOW)
                 mask = (position >= attention.CONTEXT) & (position + 1 < size)
                 trainer.step(ids[:, :-1], np.where(mask, np.minimum(ids[:, 1:], opening - 1), 0), mask)
@@ -220,6 +225,7 @@ def _train(rows: DataFrame, model_vocabulary) -> dict[str, np.ndarray]:
             else:
                 own = slice(piece * _SPLIT, piece * _SPLIT + len(weights))
                 p["embedding"][own] += (change.reshape(-1, attention.WIDTH) / np.maximum(weights, 1)[:, None]).astype(np.float32)
+        p = attention.bounded(p)
     return p
 
 
@@ -268,10 +274,10 @@ def _score(vocabulary, parameters, model_vocabulary, frequent, buckets: int):
         for batch in batches:
             for doc_id, at, text in zip(batch["doc_id"], batch["at"], batch["text"], strict=True):
                 tokens = words(text)
-                if len(sub.hashes) > _CACHE:
+                if len(sub.index) > _CACHE:
                     sub.clear()
                 positions = sub.positions(tokens)
-                hashes = sub.arrays()[0][positions]
+                hashes = sub.hashes[positions]
                 place = np.minimum(np.searchsorted(common, hashes), max(len(common) - 1, 0))
                 is_common = common[place] == hashes if len(common) else np.zeros(len(hashes), bool)
                 sequence = np.append(sub.sequence(positions), sub.end)
@@ -328,9 +334,9 @@ def score_texts(docs: DataFrame, training, vocabulary: str = VOCABULARY) -> Data
     Tokens of the base are words without the case of A-Z, then one end. ``base_score`` sums log10((c + 1) / (N + V + 1)) over a
     text's tokens: c the token's count in the training texts, N all, V the distinct ones; ``n_known`` has c > 0. ``score`` is the
     log10 probability of the text's subwords and its end under a causal attention model (:mod:`codesieve.llm.attention`): windows
-    of 32 subwords that overlap by 8, each token scored once.
+    of 24 subwords that overlap by 6, each token scored once.
 
-    All training texts count: their words, subwords, and one block of words in 12 as training windows. Counts are packed by bucket of
+    All training texts count: their words, subwords, and one block of words in 10 as training windows. Counts are packed by bucket of
     the word's hash. Words that make more than 1 in 65,536 of all are that many at most; they are sent to all tasks and looked up where
     the text is read, so no word is common enough to make a bucket heavy. The other words of some thousand texts go to their bucket
     together, and come back as sums by text.
