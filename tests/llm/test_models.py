@@ -282,4 +282,4 @@ def test_lm_on_held_out(spark):
     unigram = np.log10(counts / counts.sum())
     held = [r for r in rows if r.held_out]
     # context helps: well above the subword frequencies alone
-    assert sum(r.score for r in held) > 0.93 * sum(unigram[ids[r.doc_id]].sum() for r in held)
+    assert sum(r.score for r in held) > 0.9 * sum(unigram[ids[r.doc_id]].sum() for r in held)
