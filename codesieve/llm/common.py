@@ -64,6 +64,11 @@ def shingle_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def some_rows(batch, rows: int = 256):
+    """An Arrow batch in slices: texts become Python's strings only when they are read."""
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
 #: Bits of a bitmap that filters rows before a join: 8 MB, whatever the size of the table behind it.
 BITMAP_BITS = 1 << 26
 

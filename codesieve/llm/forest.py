@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from codesieve.llm.common import bitmap, in_bitmap, mixed, shingle_hashes, stored, word_hashes, words
+from codesieve.llm.common import bitmap, in_bitmap, mixed, shingle_hashes, some_rows, stored, word_hashes, words
 from codesieve.llm.components import components
 
 TREES, DEPTH = 12, 6
@@ -44,17 +45,15 @@ def sketches(docs: DataFrame, width: int, trees: int = TREES, depth: int = DEPTH
 
     def scan(batches):
         for batch in batches:
-            out = []
-            for text in batch["text"]:
-                hashes = shingle_set(text, width)
-                if len(hashes):
-                    out.append((len(hashes), xxhash.xxh3_64_intdigest(hashes.tobytes()) - 2**63, signature(hashes, trees * depth).astype(">u4").tobytes()))
-                else:
-                    out.append((0, None, None))
-            sizes, ids, signatures = zip(*out, strict=True) if out else ((), (), ())
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "at": batch["at"], "n_shingles": sizes, "set_id": pd.array(ids, "Int64"), "signature": signatures})
+            for part in some_rows(batch):
+                sets = [shingle_set(text, width) for text in part.column("text").to_pylist()]
+                ids = [xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None for s in sets]
+                signatures = [signature(s, trees * depth).astype(">u4").tobytes() if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("at"), pa.array(map(len, sets), pa.int64()), pa.array(ids, pa.int64()), pa.array(signatures, pa.binary())],
+                    ["doc_id", "at", "n_shingles", "set_id", "signature"])
 
-    return docs.select("doc_id", "at", "text").mapInPandas(scan, "doc_id bigint, at bigint, n_shingles bigint, set_id bigint, signature binary")
+    return docs.select("doc_id", "at", "text").mapInArrow(scan, "doc_id bigint, at bigint, n_shingles bigint, set_id bigint, signature binary")
 
 
 def _neighbours(window: int, least: int, width: int, ends: bool):
@@ -119,11 +118,13 @@ def _set_table(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def scan(batches):
         for batch in batches:
-            batch = batch[in_bitmap(bits.value, batch["at"].to_numpy(np.int64))] if len(batch) else batch
-            found = [shingle_set(t, width) for t in batch["text"]]
-            yield pd.DataFrame([(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63, s.tobytes()) for s in found if len(s)], columns=["set_id", "shingles"])
+            for part in some_rows(batch):
+                part = part.filter(pa.array(in_bitmap(bits.value, part.column("at").to_numpy())))
+                found = [s for text in part.column("text").to_pylist() if len(s := shingle_set(text, width))]
+                ids = [xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 for s in found]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["set_id", "shingles"])
 
-    return docs.select("at", "text").mapInPandas(scan, "set_id bigint, shingles binary").join(
+    return docs.select("at", "text").mapInArrow(scan, "set_id bigint, shingles binary").join(
         wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
 
 

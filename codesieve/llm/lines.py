@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from codesieve.llm.common import bitmap, in_bitmap, mixed, shingle_hashes, stored
+from codesieve.llm.common import bitmap, in_bitmap, mixed, shingle_hashes, some_rows, stored
 from codesieve.llm.components import components
 
 SHINGLE, BANDS, ROWS, PERCENT = 8, 12, 4, 80
@@ -83,11 +83,6 @@ def _in_bands(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
 _PARTS = "kind int, bucket int, a binary, b binary, c binary, d binary"
 
 
-def _some(batch: pa.RecordBatch):
-    """256 rows at a time: texts become Python's strings only when they are read."""
-    return (batch.slice(at, 256) for at in range(0, batch.num_rows, 256))
-
-
 def _parts(buckets: int, width: int, bands: int, rows: int):
     """What a task knows of its lines, packed by bucket. Kinds: 0 the first place of each line (line, doc, at, number), 1 keys
     (key, line), 2 pairs of lines with a common key, 3 places of lines that came before (doc, at, number)."""
@@ -128,7 +123,7 @@ def _parts(buckets: int, width: int, bands: int, rows: int):
             yield from unit(columns, np.concatenate(keys), np.concatenate(ids))
 
         for batch in batches:
-            for part in _some(batch):
+            for part in some_rows(batch):
                 line, doc, at, number, new, new_ids = [], [], [], [], [], []
                 for d, h, text in zip(*(part.column(c).to_pylist() for c in ("doc", "at", "text")), strict=True):
                     for n, raw in enumerate(text.split("\n")):
@@ -187,7 +182,7 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def scan(batches):
         for batch in batches:
             seen: dict[int, str] = {}
-            for part in _some(batch):
+            for part in some_rows(batch):
                 own = [x for text in part.column("text").to_pylist() for raw in text.split("\n") if (x := normal(raw))]
                 ids = np.fromiter(map(line_id, own), np.uint64, len(own))
                 for n in np.flatnonzero(in_bitmap(bits.value, ids)):
@@ -198,17 +193,32 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(scan, "line bigint, text string").join(wanted, "line", "left_semi").dropDuplicates(["line"])
 
 
+def _shingle_sets(lines: list[str], width: int) -> dict[str, np.ndarray]:
+    """Sorted distinct shingles of each line; all lines are hashed together."""
+    lines = list(dict.fromkeys(lines))
+    hashes, begins = _windows(lines, width)
+    out = {}
+    for line, begin, end in zip(lines, begins, [*begins[1:], len(hashes)], strict=True):
+        own = np.sort(hashes[begin:end])
+        out[line] = own[np.concatenate([[True], own[1:] != own[:-1]])]
+    return out
+
+
 def _similar(width: int, percent: int):
     @pandas_udf(T.BooleanType())
     def decide(left: pd.Series, right: pd.Series) -> pd.Series:
         out = []
-        for x, y in zip(left, right, strict=True):
-            if min(len(x), len(y)) < width:
-                out.append(x == y)
-                continue
-            x, y = shingles(x, width), shingles(y, width)
-            common = len(x) + len(y) - len(np.union1d(x, y))
-            out.append(100 * common >= percent * (len(x) + len(y) - common))
+        for at in range(0, len(left), 256):  # a line stands in many pairs: its set is made once for all that are near
+            xs, ys = left.iloc[at:at + 256].to_list(), right.iloc[at:at + 256].to_list()
+            sets = _shingle_sets([*xs, *ys], width)
+            for x, y in zip(xs, ys, strict=True):
+                if min(len(x), len(y)) < width:
+                    out.append(x == y)
+                    continue
+                both = np.concatenate([sets[x], sets[y]])
+                both.sort()
+                common = np.count_nonzero(both[1:] == both[:-1])
+                out.append(100 * common >= percent * (len(both) - common))
         return pd.Series(out, dtype=bool)
 
     return decide
@@ -231,7 +241,8 @@ def repeated_lines(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, ro
     wanted = pairs.select(F.col("a").alias("line")).union(pairs.select(F.col("b").alias("line"))).distinct()
     texts = stored(_line_texts(docs, wanted), "line-texts")
     left, right = texts.select(F.col("line").alias("a"), F.col("text").alias("left")), texts.select(F.col("line").alias("b"), F.col("text").alias("right"))
-    links = pairs.join(left, "a").join(right, "b").filter(_similar(width, percent)("left", "right")).select("a", "b")
+    # written, so that no stage holds the workers of two Python steps
+    links = stored(pairs.join(left, "a").join(right, "b").filter(_similar(width, percent)("left", "right")).select("a", "b"), "line-links")
     members = components(links).withColumnRenamed("node", "line").join(places.filter("first"), "line")
     members = stored(members.select("component", F.struct("doc", "at", "number").alias("place")), "line-members")
     kept = members.groupBy("component").agg(F.min("place").alias("kept"))
