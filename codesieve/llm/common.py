@@ -28,11 +28,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows of an Arrow batch while a table is written: documents may be long, and a batch is held by both sides at once.
+ARROW_ROWS = 1000
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: later plans start there, and a lost executor costs nothing."""
-    path = f"{shared_folder(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, rows = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}", spark.conf.get(key)
+    if not 0 < int(rows) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, rows)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def words(text: str | None) -> list[bytes]:
