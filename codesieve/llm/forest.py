@@ -148,10 +148,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").filter(_similar(percent)("left", "right")).select("a", "b")
 
 
-def _overlaps(asked: pd.DataFrame, members: pd.DataFrame, percent: int):
+def _numbers(shingles: bytes) -> np.ndarray:
+    return np.frombuffer(shingles, np.uint64)
+
+
+def _overlaps(asked: pd.DataFrame, members: pd.DataFrame, percent: int, read):
     """Similar pairs of different components, one for each asked row and component: counts of common shingles come from one list of
     the members of each shingle."""
-    sets = [np.frombuffer(x, np.uint64) for x in members["shingles"]]
+    sets = [read(x) for x in members["shingles"]]
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     owners = np.repeat(np.arange(len(sets)), sizes)
     every = np.concatenate(sets)
@@ -159,7 +163,7 @@ def _overlaps(asked: pd.DataFrame, members: pd.DataFrame, percent: int):
     every, owners = every[order], owners[order]
     nodes, components_ = members["node"].to_numpy(np.int64), members["component"].to_numpy(np.int64)
     for node, component, own in zip(asked["node"], asked["component"], asked["shingles"], strict=True):
-        own = np.frombuffer(own, np.uint64)
+        own = read(own)
         first, last = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
         n = last - first
         ends = np.cumsum(n)
@@ -169,8 +173,9 @@ def _overlaps(asked: pd.DataFrame, members: pd.DataFrame, percent: int):
         yield from ((node, other) for other in nodes[hit[one]])
 
 
-def links_between(families: DataFrame, joined: DataFrame, sets: DataFrame, percent: int, block: int = 1000) -> DataFrame:
-    """(a, b): links between components of a family, one or more wherever there is any; exact.
+def links_between(families: DataFrame, joined: DataFrame, sets: DataFrame, percent: int, block: int = 1000, read=_numbers) -> DataFrame:
+    """(a, b): links between components of a family, one or more wherever there is any; exact. ``read`` gives the sorted distinct hashes
+    of a value of ``shingles``.
 
     Of a family whose sets are not all joined, every set outside its largest component is asked against all others, on whole sets. Rows
     of a large family meet in blocks; small families share a task. Inside a task, pairs are counts, never rows.
@@ -195,7 +200,7 @@ def links_between(families: DataFrame, joined: DataFrame, sets: DataFrame, perce
         for _, rows in group.groupby("family", sort=False):
             asked = rows["asked"].to_numpy(bool)
             if asked.any() and not asked.all():
-                out += _overlaps(rows[asked], rows[~asked], percent)
+                out += _overlaps(rows[asked], rows[~asked], percent, read)
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     both = dealt(rows.filter("component <> largest"), True).union(dealt(rows, False))

@@ -13,6 +13,7 @@ from pyspark.sql.functions import pandas_udf
 
 from codesieve.llm.common import bitmap, in_bitmap, mixed, shingle_hashes, some_rows, stored
 from codesieve.llm.components import components
+from codesieve.llm.forest import links_between
 
 SHINGLE, BANDS, ROWS, PERCENT = 8, 12, 4, 80
 _BLOCK = 1 << 17  # characters signed together
@@ -68,7 +69,8 @@ def band_keys(lines: list[str], width: int = SHINGLE, bands: int = BANDS, rows:
 
 def _in_bands(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lines that share a key, each paired with the key's first line and with the one before it: pairs grow with the lines, not with the
-    square of a key's. The order is another one for each key. Also each key with its first line."""
+    square of a key's. The order is another one for each key. Also each key with its first line. All lines of a key lie in one component
+    of these pairs, also across units; what the pairs leave apart is compared by :func:`links_between`."""
     order = np.lexsort((mixed(ids ^ keys), keys))
     keys, ids = keys[order], ids[order]
     fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])]) if len(keys) else np.empty(0, bool)
@@ -230,7 +232,9 @@ def repeated_lines(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, ro
 
     Tasks first combine their own lines: a line's first place, a key's first line. What they hand on is packed into one row for
     each bucket, so a line that fills a third of the corpus arrives once from each task. Lines with a common band key are
-    candidates; pairs are confirmed on the lines themselves; a line in a link belongs to its component.
+    candidates: a pair with a key's first line or with its line before is confirmed on the lines themselves. Components of these pairs,
+    similar or not, are families, and a family holds all lines of its keys. What confirmed links leave apart inside a family is
+    compared exactly, set against set (:func:`links_between`); a line in a link belongs to its component.
     """
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = stored(docs.mapInArrow(_parts(buckets, width, bands, rows), _PARTS), "line-parts")
@@ -243,6 +247,10 @@ def repeated_lines(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, ro
     left, right = texts.select(F.col("line").alias("a"), F.col("text").alias("left")), texts.select(F.col("line").alias("b"), F.col("text").alias("right"))
     # written, so that no stage holds the workers of two Python steps
     links = stored(pairs.join(left, "a").join(right, "b").filter(_similar(width, percent)("left", "right")).select("a", "b"), "line-links")
+    joined = stored(components(links), "line-components")
+    # texts travel, which are shorter than their sets
+    more = links_between(components(pairs), joined, texts.select(F.col("line").alias("set_id"), F.col("text").alias("shingles")), percent, read=lambda x: shingles(x, width))
+    links = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
     members = components(links).withColumnRenamed("node", "line").join(places.filter("first"), "line")
     members = stored(members.select("component", F.struct("doc", "at", "number").alias("place")), "line-members")
     kept = members.groupBy("component").agg(F.min("place").alias("kept"))

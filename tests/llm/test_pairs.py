@@ -164,6 +164,23 @@ def test_lines(spark, awkward, table):
     assert line_decisions(docs.limit(0)).count() == 0
 
 
+def test_template_lines(spark):
+    """Lines of one template crowd the same keys: each is similar to one other only, and has many neighbours that are not."""
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(105))
+    own = []
+    for i in range(200):
+        code = "".join(chr(0x4E00 + 5 * i + j) for j in range(5))
+        line = f"x{base[:50]}{code}{base[50:]}x"
+        own += [line, f"{line[:90]}{chr(0x6000 + i)}{line[91:]}"]
+    rng.shuffle(own)
+    rows = [(i, "\n".join(own[i * 8:i * 8 + 8])) for i in range(50)]
+    want = brute_lines(rows)
+    assert sum(map(len, want)) == 200
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert {r.doc_id: r.dropped or [] for r in line_decisions(docs).collect()} == {i: w for (i, _), w in zip(rows, want, strict=True)}
+
+
 def test_line_shingles():
     own = ["abcdefghij", "ab", "x" * 100, "ünï çödé 中文字符测试 \U0001f600 end"]
     for line in own:
