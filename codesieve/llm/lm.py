@@ -18,14 +18,23 @@ from codesieve.llm.token_trees import PATTERN, VOCABULARY, encoding
 
 _UNIT_WORDS, _UNIT_DOCS = 4_000_000, 8192  # what a task combines before it hands it on
 _CACHE = 400_000  # words whose subwords a worker keeps
-_BLOCK = 16  # words of a training window
-_EVERY = 10  # of so many blocks of a text one is a training window
-_ROW = attention.WINDOW + 1
 _BATCH = 256  # windows scored together
+_STEP = 32  # windows of a training step
+_PART = 1 << 17  # subwords of a text that are cut into windows at once
+_ROUND = 4  # of so many texts one is for the first round of training
 _SPLIT = 2048  # embedding rows in a piece
 _SALTS = 32
 
 
+def _windows(sequence: np.ndarray, opening: int):
+    """Windows of a text, a long one by parts, each with the tokens before it."""
+    for first in range(0, len(sequence), _PART):
+        made = attention.windows(sequence[first:first + _PART], opening)
+        if first:
+            made[0][0, :attention.CONTEXT + 1] = sequence[first - attention.CONTEXT - 1:first]
+        yield made
+
+
 class Subwords:
     """Words to hashes and subword ids, by a cache of arrays. Each word is one piece, behind a space."""
 
@@ -94,23 +103,12 @@ _LEARNED = "kind int, bucket int, a binary, b binary, n bigint"
 
 
 def _learn(vocabulary, buckets: int):
-    """What a task sees of the training texts. Kinds: 0 word hashes and counts, 1 subword ids and counts, 2 training windows, 3 texts."""
-
-    def training_rows(sub: Subwords, tokens: list[bytes], at: int):
-        lead = attention.CONTEXT + 1
-        for block in range(at % _EVERY, len(tokens) // _BLOCK + 1, _EVERY):
-            first = max(0, block * _BLOCK - lead)  # a subword or more from each word before
-            row = [i for w in tokens[first:first + _ROW] for i in sub.ids(w)]
-            row = ([sub.end + 1] * lead if first == 0 else []) + row
-            if first + _ROW >= len(tokens):
-                row.append(sub.end)
-            yield np.array([min(len(row), _ROW), *row[:_ROW], *[0] * (_ROW - len(row))], np.int32)
+    """What a task sees of the training texts. Kinds: 0 word hashes and counts, 1 subword ids and counts, 3 texts."""
 
     def run(batches):
         sub = subwords(vocabulary.value)
         counts, seen, texts = Counter(), 0, 0
         pieces = np.zeros(sub.end + 1, np.int64)
-        rows: list[np.ndarray] = []
 
         def flush():
             out = []
@@ -122,19 +120,17 @@ def _learn(vocabulary, buckets: int):
             sizes = np.fromiter(map(len, own), np.int64, len(own))
             used = np.fromiter(chain.from_iterable(own), np.int64, int(sizes.sum()))
             pieces[:] += np.bincount(used, weights=np.repeat(n, sizes), minlength=len(pieces)).astype(np.int64)
-            out.append((2, 0, np.concatenate(rows).tobytes() if rows else b"", b"", len(rows)))
             return out
 
         frame = lambda out: pd.DataFrame(out, columns=["kind", "bucket", "a", "b", "n"])
         for batch in batches:
-            for at, text in zip(batch["at"], batch["text"], strict=True):
+            for text in batch["text"]:
                 tokens = words(text)
                 counts.update(tokens)
-                rows.extend(training_rows(sub, tokens, int(at)))
                 seen, texts = seen + len(tokens), texts + 1
                 if seen >= _UNIT_WORDS:
                     yield frame(flush())
-                    counts, seen, rows = Counter(), 0, []
+                    counts, seen = Counter(), 0
         out = flush()
         pieces[sub.end] += texts
         used = np.flatnonzero(pieces)
@@ -171,20 +167,34 @@ _CHANGES = "piece int, salt int, weights binary, changes binary"
 _DENSE = ("query", "key", "value", "skip", "distance", "hidden", "out", "bias")
 
 
-def _train_task(parameters, model_vocabulary, part: int):
-    """Training on the windows of a task, from the shared parameters; yields weighted changes."""
+def _train_task(vocabulary, parameters, model_vocabulary):
+    """Training on all windows of a task's texts, from the shared parameters; yields weighted changes."""
 
     def run(batches):
+        sub = subwords(vocabulary.value)
         trainer = attention.Trainer(parameters.value, model_vocabulary.value)
-        opening = len(model_vocabulary.value.counts)
+        held, size = [], 0
+
+        def steps(least):
+            nonlocal held, size
+            inputs, targets, mask = (np.concatenate(x) for x in zip(*held, strict=True))
+            last = size if least == 1 else size // least * least
+            for at in range(0, last, _STEP):
+                trainer.step(inputs[at:at + _STEP], targets[at:at + _STEP], mask[at:at + _STEP])
+            held, size = [(inputs[last:], targets[last:], mask[last:])], size - last
+
         for batch in batches:
-            rows = _whole(batch["a"], np.int32).reshape(-1, _ROW + 1)
-            rows = rows[np.arange(len(rows)) % 4 == 0] if part == 0 else rows[np.arange(len(rows)) % 4 != 0]
-            for at in range(0, len(rows), 16):
-                size, ids = rows[at:at + 16, :1], rows[at:at + 16, 1:].astype(np.int64)
-                position = np.arange(attention.WINDOW)
-                mask = (position >= attention.CONTEXT) & (position + 1 < size)
-                trainer.step(ids[:, :-1], np.where(mask, np.minimum(ids[:, 1:], opening - 1), 0), mask)
+            for text in batch["text"]:
+                if len(sub.index) > _CACHE:
+                    sub.clear()
+                sequence = np.append(sub.sequence(sub.positions(words(text))), sub.end)
+                for made in _windows(sequence, sub.end + 1):
+                    held.append(made)
+                    size += len(made[0])
+                    if size >= 16 * _STEP:
+                        steps(_STEP)
+        if size:
+            steps(1)
         salt = TaskContext.get().partitionId() % _SALTS
         out = []
         if trainer.steps:
@@ -205,14 +215,15 @@ def _add_changes(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"piece": [key[0]], "salt": [0], "weights": [add("weights")], "changes": [add("changes")]})
 
 
-def _train(rows: DataFrame, model_vocabulary) -> dict[str, np.ndarray]:
-    """Two rounds: tasks train on their own windows (a quarter, then the others), and their changes are averaged, an embedding row by
+def _train(texts: DataFrame, vocabulary, model_vocabulary) -> dict[str, np.ndarray]:
+    """Two rounds: tasks train on their own of ``texts(at, text)`` (a quarter, then the others), each text in one of them, and their changes are averaged, an embedding row by
     how often each task met it. What reaches the driver is as large as the model."""
-    context = rows.sparkSession.sparkContext
+    context = texts.sparkSession.sparkContext
     p = attention.initial(model_vocabulary.value)
-    for part in (0, 1):
+    first = F.pmod("at", F.lit(_ROUND)) == 0
+    for part in (first, ~first):
         shared = context.broadcast(p)
-        changes = rows.mapInPandas(_train_task(shared, model_vocabulary, part), _CHANGES).groupBy("piece", "salt").applyInPandas(
+        changes = texts.filter(part).select("text").mapInPandas(_train_task(vocabulary, shared, model_vocabulary), _CHANGES).groupBy("piece", "salt").applyInPandas(
             _add_changes, _CHANGES).groupBy("piece").applyInPandas(_add_changes, _CHANGES).collect()
         p = {k: v.copy() for k, v in p.items()}
         for piece, _, weights, change in changes:
@@ -284,11 +295,7 @@ def _score(vocabulary, parameters, model_vocabulary, frequent, buckets: int):
                 docs.append({"doc_id": None if pd.isna(doc_id) else int(doc_id), "at": int(at), "n_tokens": len(tokens) + 1, "known": int(is_common.sum()),
                              "base": float(logs[place[is_common]].sum()) if len(common) else 0.0, "score": 0.0})
                 rare.append(np.unique(hashes[~is_common], return_counts=True))
-                for first in range(0, len(sequence), 1 << 17):  # long texts by parts, each with the tokens before it
-                    part = sequence[first:first + (1 << 17)]
-                    made = attention.windows(part, sub.end + 1)
-                    if first:
-                        made[0][0, :attention.CONTEXT + 1] = sequence[first - attention.CONTEXT - 1:first]
+                for made in _windows(sequence, sub.end + 1):
                     pending.append((len(docs) - 1, made))
                     if sum(len(w[0]) for _, w in pending) >= 2 * _BATCH:
                         score_pending()
@@ -336,7 +343,7 @@ def score_texts(docs: DataFrame, training, vocabulary: str = VOCABULARY) -> Data
     log10 probability of the text's subwords and its end under a causal attention model (:mod:`codesieve.llm.attention`): windows
     of 24 subwords that overlap by 6, each token scored once.
 
-    All training texts count: their words, subwords, and one block of words in 10 as training windows. Counts are packed by bucket of
+    All training texts count: their words, subwords, and all their windows, each trained on once. Counts are packed by bucket of
     the word's hash. Words that make more than 1 in 65,536 of all are that many at most; they are sent to all tasks and looked up where
     the text is read, so no word is common enough to make a bucket heavy. The other words of some thousand texts go to their bucket
     together, and come back as sums by text.
@@ -349,7 +356,8 @@ def score_texts(docs: DataFrame, training, vocabulary: str = VOCABULARY) -> Data
         shared = spark.sparkContext.broadcast(f.read())
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", F.xxhash64("doc_id", F.xxhash64("text")).alias("at"), "text", F.coalesce(training, F.lit(False)).alias("training"))
-    learned = stored(rows.filter("training").select(F.col("at").bitwiseAND(F.lit(2**31 - 1)).alias("at"), "text").mapInPandas(_learn(shared, buckets), _LEARNED), "learned")
+    training_texts = rows.filter("training").select("at", "text")
+    learned = stored(training_texts.select("text").mapInPandas(_learn(shared, buckets), _LEARNED), "learned")
     of = lambda kind: learned.filter(F.col("kind") == kind)
     counts = stored(of(0).groupBy("bucket").applyInPandas(_merge_counts(np.uint64), _COUNTS), "word-counts")
     texts = of(3).agg(F.sum("n")).first()[0] or 0
@@ -373,7 +381,7 @@ def score_texts(docs: DataFrame, training, vocabulary: str = VOCABULARY) -> Data
         pieces[np.frombuffer(r["keys"], np.int64)] = np.frombuffer(r["counts"], np.int64)
     opens = np.array([sub.encode.decode_single_token_bytes(i)[:1] == b" " for i in range(sub.end)] + [True])
     model_vocabulary = spark.sparkContext.broadcast(attention.Vocabulary(pieces, opens))
-    parameters = spark.sparkContext.broadcast(_train(of(2).select("a"), model_vocabulary))
+    parameters = spark.sparkContext.broadcast(_train(training_texts, shared, model_vocabulary))
 
     scored = stored(rows.select("doc_id", "at", "text").mapInPandas(_score(shared, parameters, model_vocabulary, frequent, buckets), _SCORED), "scored")
     rest = scored.filter("kind = 1").select("unit", F.col("bucket").alias("of"), "keys", "runs", "docs", "times")

@@ -6,12 +6,14 @@ import math
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from codesieve.llm import attention, token_trees
+from codesieve.llm import attention, lm, token_trees
 from codesieve.llm.langid import UNKNOWN, Model, codewords, gram_counts, identify, train
 from codesieve.llm.lm import score_texts
 from codesieve.llm.resampling import _kth_largest, log_ratios, resample
@@ -246,6 +248,22 @@ def test_gradients(small_model):
         assert (losses[0] - losses[1]) / 2e-5 == pytest.approx(g[name][at], abs=1e-6)
 
 
+def test_all_subwords_are_trained_on(encode, monkeypatch):
+    """Each subword of each training text, and each text's end, is a target of one training step."""
+    seen = Counter()
+    monkeypatch.setattr(attention.Trainer, "step", lambda self, inputs, targets, mask: seen.update(targets[mask].tolist()))
+    texts = ["", "one", "two three", prose(11, 200), prose(12, 3000), "the " * 140000, None]
+    want = Counter(i for t in texts for w in (t or "").lower().encode().split() for i in encode._encode_single_piece(b" " + w))
+    want[encode.n_vocab] = len(texts)
+    with open(token_trees.VOCABULARY, "rb") as f:
+        held = SimpleNamespace(value=f.read())
+    vocabulary = attention.Vocabulary(np.ones(encode.n_vocab + 1, np.int64), np.arange(encode.n_vocab + 1) % 2 == 0)
+    parameters = SimpleNamespace(value=attention.initial(vocabulary))
+    monkeypatch.setattr(lm.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    list(lm._train_task(held, parameters, SimpleNamespace(value=vocabulary))([pd.DataFrame({"text": texts[:3]}), pd.DataFrame({"text": texts[3:]})]))
+    assert seen == want
+
+
 def brute_base(rows):
     tokens = {i: (text or "").encode().lower().split() + [None] for i, (_, text, _) in enumerate(rows)}
     counts = Counter(t for i, (_, _, training) in enumerate(rows) if training for t in tokens[i])
