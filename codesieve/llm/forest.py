@@ -148,34 +148,34 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").filter(_similar(percent)("left", "right")).select("a", "b")
 
 
-def _numbers(shingles: bytes) -> np.ndarray:
-    return np.frombuffer(shingles, np.uint64)
+def _numbers(shingles: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in shingles]
 
 
-def _overlaps(asked: pd.DataFrame, members: pd.DataFrame, percent: int, read):
+def _overlaps(node: np.ndarray, component: np.ndarray, asked: np.ndarray, sets: list[np.ndarray], percent: int):
     """Similar pairs of different components, one for each asked row and component: counts of common shingles come from one list of
-    the members of each shingle."""
-    sets = [read(x) for x in members["shingles"]]
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    owners = np.repeat(np.arange(len(sets)), sizes)
-    every = np.concatenate(sets)
+    the members (rows that are not asked) of each shingle."""
+    members = np.flatnonzero(~asked)
+    nodes, components_ = node[members], component[members]
+    sizes = np.fromiter((len(sets[i]) for i in members), np.int64, len(members))
+    owners = np.repeat(np.arange(len(members)), sizes)
+    every = np.concatenate([sets[i] for i in members])
     order = np.argsort(every, kind="stable")
     every, owners = every[order], owners[order]
-    nodes, components_ = members["node"].to_numpy(np.int64), members["component"].to_numpy(np.int64)
-    for node, component, own in zip(asked["node"], asked["component"], asked["shingles"], strict=True):
-        own = read(own)
+    for i in np.flatnonzero(asked):
+        own = sets[i]
         first, last = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
         n = last - first
         ends = np.cumsum(n)
-        common = np.bincount(owners[np.arange(ends[-1]) + np.repeat(first - (ends - n), n)], minlength=len(sets))
-        hit = np.flatnonzero((100 * common >= percent * (len(own) + sizes - common)) & (components_ != component))
+        common = np.bincount(owners[np.arange(ends[-1]) + np.repeat(first - (ends - n), n)], minlength=len(members))
+        hit = np.flatnonzero((100 * common >= percent * (len(own) + sizes - common)) & (components_ != component[i]))
         _, one = np.unique(components_[hit], return_index=True)
-        yield from ((node, other) for other in nodes[hit[one]])
+        yield from ((node[i], other) for other in nodes[hit[one]])
 
 
 def links_between(families: DataFrame, joined: DataFrame, sets: DataFrame, percent: int, block: int = 1000, read=_numbers) -> DataFrame:
     """(a, b): links between components of a family, one or more wherever there is any; exact. ``read`` gives the sorted distinct hashes
-    of a value of ``shingles``.
+    of each of a list of values of ``shingles``.
 
     Of a family whose sets are not all joined, every set outside its largest component is asked against all others, on whole sets. Rows
     of a large family meet in blocks; small families share a task. Inside a task, pairs are counts, never rows.
@@ -197,10 +197,21 @@ def links_between(families: DataFrame, joined: DataFrame, sets: DataFrame, perce
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, rows in group.groupby("family", sort=False):
-            asked = rows["asked"].to_numpy(bool)
-            if asked.any() and not asked.all():
-                out += _overlaps(rows[asked], rows[~asked], percent, read)
+        group = group.sort_values("family", kind="stable")
+        family, node, component, asked = (group[c].to_numpy() for c in ("family", "node", "component", "asked"))
+        shingles = group["shingles"].to_list()
+        ends = np.concatenate([np.flatnonzero(family[1:] != family[:-1]) + 1, [len(family)]])
+        first = 0
+        while first < len(family):  # small families are read together
+            last = int(ends[max(np.searchsorted(ends, first + block, "right") - 1, np.searchsorted(ends, first, "right"))])
+            sets = read(shingles[first:last])
+            at = first
+            for end in ends[(ends > first) & (ends <= last)]:
+                own = slice(at, end)
+                if asked[own].any() and not asked[own].all():
+                    out += _overlaps(node[own], component[own], asked[own], sets[at - first:end - first], percent)
+                at = end
+            first = last
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     both = dealt(rows.filter("component <> largest"), True).union(dealt(rows, False))
