@@ -13,6 +13,7 @@ from codesieve.llm import (
     lines_query,
     lm_query,
     merkle_query,
+    mining_query,
     mixing_query,
     packing_query,
     resampling_query,
@@ -21,7 +22,7 @@ from codesieve.llm import (
     topk_query,
 )
 
-MODULES = [mixing_query, token_trees_query, topk_query, lines_query, forest_query, resampling_query, lm_query, langid_query, chat_query, tiling_query, merkle_query, packing_query]
+MODULES = [mixing_query, token_trees_query, topk_query, lines_query, forest_query, resampling_query, lm_query, langid_query, chat_query, tiling_query, mining_query, merkle_query, packing_query]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {m.NAME: m.query for m in MODULES}
 ORACLES: dict[str, str] = {m.NAME: m.SQL for m in MODULES if m.SQL is not None}
