@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codesieve.functions.paths import LANGUAGE_EXTENSIONS
 from codesieve.operators.scores import count_of
+from codesieve.operators.topn import grouped_with_lists
 
 _CATEGORIES = ("security", "quality", "performance")
 _SEVERITIES = ("high", "medium", "low")
@@ -53,21 +54,25 @@ def recommendation(high: Column, total: Column) -> Column:
     )
 
 
-def repository_rollup(results: DataFrame) -> DataFrame:
-    """Everything a repository report needs, in one shuffle: scores, counts, languages, flags."""
-    slim = results.select(
-        "repo", "analyzed", F.when(F.col("analyzed"), F.col("language")).alias("language"),
+def file_numbers() -> list[Column]:
+    """What a file adds to the rollup of its repository: ``file`` marks its row, the rest are flags and numbers."""
+    return [
+        F.lit(1).alias("file"), F.col("analyzed"), F.when(F.col("analyzed"), F.col("language")).alias("language"),
         *[F.when(F.col("analyzed"), F.col(f"{c}_score")).alias(f"{c}_score") for c in _CATEGORIES],
         F.size("issues").cast("long").alias("issue_count"),
         *[count_of("category", c).alias(f"n_{c}") for c in _CATEGORIES],
         *[count_of("severity", s).alias(f"n_{s}") for s in _SEVERITIES],
-    )
+    ]
+
+
+def rollup_aggregates() -> list[Column]:
+    """Aggregates over :func:`file_numbers`; rows without a file count for nothing."""
 
     def total(column):
         return F.coalesce(F.sum(F.when(F.col("analyzed"), F.col(column))), F.lit(0))
 
-    out = slim.groupBy("repo").agg(
-        F.count("*").alias("total_files"),
+    return [
+        F.count("file").alias("total_files"),
         F.count_if("analyzed").alias("analyzed_files"),
         F.count_if(F.col("analyzed") & (F.col("issue_count") > 0)).alias("files_with_issues"),
         *[F.coalesce(F.avg(f"{c}_score"), F.lit(0.0)).alias(f"{c}_score") for c in _CATEGORIES],
@@ -75,8 +80,11 @@ def repository_rollup(results: DataFrame) -> DataFrame:
         *[total(f"n_{c}").alias(f"{c}_issues") for c in _CATEGORIES],
         *[total(f"n_{s}").alias(f"{s}_issues") for s in _SEVERITIES],
         language_counts().alias("languages"),
-    )
-    return out.withColumns({
+    ]
+
+
+def with_flags(rollup: DataFrame) -> DataFrame:
+    return rollup.withColumns({
         "most_common_language": most_common(F.col("languages")),
         "has_security_issues": F.col("security_issues") > 0,
         "requires_attention": (F.col("high_issues") > 0) | (F.col("security_issues") > 5),
@@ -84,6 +92,16 @@ def repository_rollup(results: DataFrame) -> DataFrame:
     })
 
 
+def repository_rollup(results: DataFrame) -> DataFrame:
+    """Everything a repository report needs, in one shuffle: scores, counts, languages, flags."""
+    return with_flags(results.select("repo", *file_numbers()).groupBy("repo").agg(*rollup_aggregates()))
+
+
+def rollup_with_lists(results: DataFrame, lists: dict[str, Column], n: int) -> DataFrame:
+    """The rollup of each repository, and its first ``n`` items of each list, from one pass over the files (:func:`grouped_with_lists`)."""
+    return with_flags(grouped_with_lists(results, file_numbers(), rollup_aggregates(), lists, n))
+
+
 def summary_struct(total_dependencies: Column | None = None) -> Column:
     """The nested summary of a rollup's row."""
     return F.struct(

@@ -73,17 +73,23 @@ def count_of(field: str, value: str) -> Column:
     return F.expr(f"cast(size(filter(issues, i -> i.{field} = '{value}')) as bigint)")
 
 
+def profile_numbers(profile: str) -> tuple[list[Column], list[Column]]:
+    """What a file adds to its repository's counts in a language-blind profile, and the aggregates over that."""
+    categories = list(PROFILE_POINTS[profile])
+    numbers = [F.lit(1).alias("file"), F.col("analyzed"), *[count_of("category", c).alias(c) for c in categories]]
+    return numbers, [
+        F.count("file").alias("total_files"),
+        F.count_if("analyzed").alias("analyzed_files"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}_issues") for c in categories]]
+
+
+def with_profile_scores(counted: DataFrame, profile: str) -> DataFrame:
+    return counted.withColumns({
+        f"{category}_score": F.greatest(F.lit(0), F.lit(100) - F.col(f"{category}_issues") * lost).cast("double")
+        for category, lost in PROFILE_POINTS[profile].items()})
+
+
 def profile_scores(results: DataFrame, profile: str) -> DataFrame:
     """Scores of the language-blind profiles: a fixed number of points per issue, per repository."""
-    points = PROFILE_POINTS[profile]
-    counted = results.select(
-        "repo", "analyzed", *[count_of("category", c).alias(c) for c in points])
-    out = counted.groupBy("repo").agg(
-        F.count("*").alias("total_files"),
-        F.count_if("analyzed").alias("analyzed_files"),
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}_issues") for c in points],
-    )
-    for category, lost in points.items():
-        out = out.withColumn(
-            f"{category}_score", F.greatest(F.lit(0), F.lit(100) - F.col(f"{category}_issues") * lost).cast("double"))
-    return out
+    numbers, aggregates = profile_numbers(profile)
+    return with_profile_scores(results.select("repo", *numbers).groupBy("repo").agg(*aggregates), profile)

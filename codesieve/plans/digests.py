@@ -1,7 +1,6 @@
 """Text digests per repository: review, security, improvement.
 
-Each joins a few one-row-per-repository tables, from one pass over the file results each. Of a large corpus, the results may be
-written once first, to a folder of the user's choice (:func:`codesieve.plans.materialize.materialize`).
+Rollup and lists of a digest come from one pass over the file results, on one exchange by repository.
 
 Fixed values in this file: headings and line formats of the texts.
 """
@@ -13,17 +12,21 @@ from pyspark.sql import functions as F
 
 from codesieve.functions.levels import one_decimal
 from codesieve.operators.catalog import FOCUS_AREAS, split_setting
-from codesieve.operators.rollups import repository_rollup, summary_struct
+from codesieve.operators.rollups import rollup_with_lists, summary_struct
 from codesieve.operators.suggestions import suggestion_rows
-from codesieve.operators.topn import first_issues, first_per_group
+from codesieve.operators.topn import first_issues, first_per_group, issues_of_file
 
 TOP_ISSUES = 10
 TOP_SUGGESTIONS = 5
 
 
-def _in_order(text: Column, when: Column) -> Column:
-    """Aggregate: texts of the matching rows by ``rank``. Callers bound the rows per group first."""
-    return F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("rank", text.alias("text"))))), lambda r: r.text)
+def _texts(entries: str, text) -> Column:
+    """Lines of a list of (path, item); null where there are no items, as for a list that was never asked for."""
+    return F.transform(entries, lambda e: text(e["path"], e["item"]))
+
+
+def _bullet(path: Column, item: Column) -> Column:
+    return F.concat(F.lit("- **"), path, F.lit("**: "), item["description"])
 
 
 def _section(heading: str, lines: Column) -> Column:
@@ -60,12 +63,9 @@ def top_suggestions(
 def review_digest(results: DataFrame, areas: list[str] | None = None) -> DataFrame:
     """Overview, scores, summary and the top issues of each focus area."""
     areas = areas or split_setting(FOCUS_AREAS)
-    rollup = repository_rollup(results)
-    bullet = F.concat(F.lit("- **"), F.col("path"), F.lit("**: "), F.col("description"))
-    tops = top_by_focus_area(results, areas).groupBy("repo").agg(
-        *[_in_order(bullet, F.col("category") == a).alias(f"top_{a}") for a in areas])
+    of_area = lambda a: issues_of_file(TOP_ISSUES, lambda i: (i.category == a) & i.severity.isin("high", "medium"))
+    joined = rollup_with_lists(results, {f"top_{a}": of_area(a) for a in areas}, TOP_ISSUES).withColumn("summary", summary_struct())
     security, quality, performance = _scores()
-    joined = rollup.withColumn("summary", summary_struct()).join(tops, "repo", "left")
     text = F.concat_ws(
         "\n\n",
         F.concat(F.lit("# Code Review for "), "repo"),
@@ -79,26 +79,26 @@ def review_digest(results: DataFrame, areas: list[str] | None = None) -> DataFra
         F.lit("## Focus Areas\n" + ", ".join(areas)),
         F.concat(F.lit("## Analysis Summary\n"), F.to_json("summary")),
         F.lit("## Key Issues Found"),
-        *[_section(f"### {a.title()} Issues", F.col(f"top_{a}")) for a in areas],
+        *[_section(f"### {a.title()} Issues", _texts(f"top_{a}", _bullet)) for a in areas],
     )
     return joined.select("repo", text.alias("digest"))
 
 
 def security_digest(results: DataFrame, dependencies: DataFrame) -> DataFrame:
     """Security score, number of findings, top high findings, dependencies by scope."""
-    rollup = repository_rollup(results)
-    bullet = F.concat(F.lit("- **"), F.col("path"), F.lit("** (Line "), F.col("line_no"), F.lit("): "), F.col("description"))
-    tops = top_security(results).groupBy("repo").agg(_in_order(bullet, F.lit(True)).alias("top"))
+    high = issues_of_file(TOP_ISSUES, lambda i: (i.severity == "high") & (i.category == "security"))
+    rollup = rollup_with_lists(results, {"top": high}, TOP_ISSUES)
+    bullet = lambda path, i: F.concat(F.lit("- **"), path, F.lit("** (Line "), i["line_no"], F.lit("): "), i["description"])
     packages = dependencies.groupBy("repo").agg(*[
         F.array_sort(F.collect_set(F.when(F.col("scope") == s, F.col("package")))).alias(s)
         for s in ("direct", "dev", "optional")])
-    joined = rollup.join(tops, "repo", "left").join(packages, "repo", "left")
+    joined = rollup.join(packages, "repo", "left")
     text = F.concat_ws(
         "\n\n",
         F.concat(F.lit("# Security Analysis for "), "repo"),
         F.concat(F.lit("## Security Score: "), _scores()[0]),
         F.concat(F.lit("## Security Issues Found: "), "security_issues"),
-        F.concat_ws("\n", F.lit("### High Priority Security Issues"), F.concat_ws("\n", "top")),
+        F.concat_ws("\n", F.lit("### High Priority Security Issues"), F.concat_ws("\n", _texts("top", bullet))),
         F.concat_ws("\n", F.lit("### Dependencies"), *[
             F.concat(F.lit(f"{s}: "), F.concat_ws(", ", s)) for s in ("direct", "dev", "optional")]),
     )
@@ -107,11 +107,12 @@ def security_digest(results: DataFrame, dependencies: DataFrame) -> DataFrame:
 
 def improvement_digest(results: DataFrame, focus_area: str | None = None) -> DataFrame:
     """Scores, key metrics, and the top suggestions of high and medium priority."""
-    rollup = repository_rollup(results)
-    bullet = F.concat(F.lit("- **"), F.col("path"), F.lit("**: "), F.col("description"))
-    tops = top_suggestions(results, type=focus_area).groupBy("repo").agg(
-        *[_in_order(bullet, F.col("priority") == p).alias(f"top_{p}") for p in ("high", "medium")])
-    joined = rollup.join(tops, "repo", "left")
+
+    def of_priority(priority):
+        wanted = lambda s: (s.priority == priority) & (F.lit(True) if focus_area is None else s["type"] == focus_area)
+        return F.slice(F.filter("suggestions", wanted), 1, TOP_SUGGESTIONS)
+
+    joined = rollup_with_lists(results, {f"top_{p}": of_priority(p) for p in ("high", "medium")}, TOP_SUGGESTIONS)
     security, quality, performance = _scores()
     text = F.concat_ws(
         "\n\n",
@@ -123,7 +124,7 @@ def improvement_digest(results: DataFrame, focus_area: str | None = None) -> Dat
                     F.concat(F.lit("- Total Files: "), "total_files"),
                     F.concat(F.lit("- Files with Issues: "), "files_with_issues")),
         F.lit("## Improvement Opportunities"),
-        _section("### High Priority", F.col("top_high")),
-        _section("### Medium Priority", F.col("top_medium")),
+        _section("### High Priority", _texts("top_high", _bullet)),
+        _section("### Medium Priority", _texts("top_medium", _bullet)),
     )
     return joined.select("repo", text.alias("digest"))
