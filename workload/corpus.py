@@ -99,13 +99,28 @@ def source_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("source").alias("repo"), "path").unionByName(pages)
 
 
+#: A TOML section that lists nothing, though its text and its list look as if they did.
+DECOY = '''[notes]
+text = """
+[dependencies]
+no = "1" \\"""
+[tool.poetry.dependencies]
+no = "1"
+"""
+list = [
+  "[dev-dependencies]", # {
+  {no = 1, "dependencies" = {no = 2}},
+]
+'''
+
+
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``files``: ten documents make a repository with ten manifests, their words are its packages."""
     words = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)))
     docs = texts(spark, sf_dir, "documents").select(
         F.concat(F.lit("org/r"), F.floor(F.col("doc_id") / 10)).alias("repo"),
         F.element_at(_array(MANIFESTS), (F.col("doc_id") % 10 + 1).cast("int")).alias("path"),
-        "text", words.alias("w"))
+        "doc_id", "text", words.alias("w"))
 
     def each(before, after, source="w"):
         return F.transform(source, lambda w: F.concat(F.lit(before), w, F.lit(after)))
@@ -115,6 +130,7 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     upper = F.filter("w", lambda w: w.rlike("^[A-Z]"))
     lower = F.filter("w", lambda w: ~w.rlike("^[A-Z]"))
+    way = (F.floor(F.col("doc_id") / 10) % 3 + 1).cast("int")
     content = (
         F.when(F.col("path").endswith("requirements.txt"), F.concat(
             "text", F.lit("\nflask>=1.0\n# comment\n-r other.txt\n\n  numpy == 1.2 \npkg~=1\n!x\n")))
@@ -127,12 +143,30 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("[[source]]\nurl = \"x\"\n[packages]\n"), joined("\n", each("", ' = "*"', lower)),
             F.lit("\n# no = 1\n  [dev-packages]\n"), joined("\n", each('"', '" = "*"', upper)),
             F.lit("\n[requires]\npython_version = \"3\"\n")))
-        .when(F.col("path") == "pyproject.toml", F.concat(
-            F.lit("[tool.poetry.dependencies]\npython = \"3\"\n"), joined("\n", each("", ' = "1"', lower)),
-            F.lit("\n[tool.poetry.group.dev.dependencies]\n"), joined("\n", each("", ' = "1"', upper)), F.lit("\n")))
-        .when(F.col("path") == "Cargo.toml", F.concat(
-            F.lit("[dependencies]\n"), joined("\n", each("", ' = "1"', lower)),
-            F.lit("\n[dev-dependencies]\n"), joined("\n", each("", ' = "1"', upper)), F.lit("\n")))
+        .when(F.col("path") == "pyproject.toml", F.element_at(F.array(
+            # below headers; as an inline table and dotted keys; behind quoted headers, between texts and lists that hold no key
+            F.concat(
+                F.lit("[tool.poetry.dependencies]\npython = \"3\"\n"), joined("\n", each("", ' = "1"', lower)),
+                F.lit("\n[tool.poetry.group.dev.dependencies]\n"), joined("\n", each("", ' = "1"', upper)), F.lit("\n")),
+            F.concat(
+                F.lit("[tool.poetry]\nname = 'x' # = {\ndependencies = {python = \"3\", "),
+                joined(", ", each("", ' = {version = "1", extras = ["a", "b"]}', lower)),
+                F.lit("}\n"), joined("\n", each('group.dev . dependencies."', '" = "1"', upper)), F.lit("\n")),
+            F.concat(
+                F.lit(DECOY + "[ tool.\"poetry\" . 'dependencies' ]\n"), joined("\n", each("'", "'.version = '''\n[x]\nno = 1\\'''", lower)),
+                F.lit("\n" + DECOY.replace("[notes]", "[more.notes]")), joined("\n", each("[tool.poetry.group.dev.dependencies.", "] # [x]\noptional = true", upper)), F.lit("\n"))),
+            way))
+        .when(F.col("path") == "Cargo.toml", F.element_at(F.array(
+            F.concat(
+                F.lit("[dependencies]\n"), joined("\n", each("", ' = "1"', lower)),
+                F.lit("\n[dev-dependencies]\n"), joined("\n", each("", ' = "1"', upper)), F.lit("\n")),
+            F.concat(
+                F.lit("dependencies = {"), joined(", ", each("", " = { version = '1', features = [\"a#\", \"b=\"] }", lower)),
+                F.lit("}\n"), joined("\n", each("dev-dependencies.", ".version = \"1\"", upper)), F.lit("\n")),
+            F.concat(
+                F.lit(DECOY + "[\"dependencies\"]\n"), joined("\n", each('"', '" = [\n  "no = 1", # ]\n  { no = 1 },\n]', lower)),
+                F.lit("\n" + DECOY.replace("[notes]", "[more.notes]")), joined("\n", each("['dev-dependencies'.", "]\nversion = \"\\\"\"", upper)), F.lit("\n"))),
+            way))
         .when(F.col("path") == "go.mod", F.concat(
             F.lit("module x\nrequire (\n  in/block v1\n)\n"), joined("\n", each("require example.com/", " v1"))))
         .otherwise(F.col("text"))
