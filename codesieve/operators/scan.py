@@ -21,7 +21,6 @@ import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from codesieve.functions.text import SQL_WHITESPACE as WS
 from codesieve.functions.text import split_lines, sql_string
@@ -220,30 +219,3 @@ def numbered_lines(files: DataFrame) -> DataFrame:
         *[c for c in files.columns if c not in ("content", "raw", "lines")],
         F.posexplode(split_lines(F.col("content"))).alias("pos", "line"),
     ).withColumn("line_no", F.col("pos") + 1).drop("pos")
-
-
-def scan_with_rule_table(lines: DataFrame, rule_table: DataFrame) -> DataFrame:
-    """Rules as data: ``rule_table(rule_id, language, pattern, ...)``; language null means every language.
-
-    Gives one row per line and matching row of the table, with the columns of both; ids may repeat, and a
-    null pattern matches nothing. The table is program text: it is read when the plan is built, its
-    patterns become constants in one expression, grouped by language, and a hit carries the row's
-    position until the row's columns are joined back.
-    """
-    rows = rule_table.collect()
-    line, language = F.col("line"), F.col("language")
-    groups: dict[str | None, list[Column]] = {}
-    for position, rule in enumerate(rows):
-        if rule["pattern"] is not None:
-            groups.setdefault(rule["language"], []).append(F.when(line.rlike(rule["pattern"]), F.lit(position)))
-    none = F.array().cast("array<int>")
-    found = F.array(*groups.pop(None, []) or [F.lit(None).cast("int")])
-    by_language = None
-    for name, tests in groups.items():
-        by_language = F.when(language == name, F.array(*tests)) if by_language is None else by_language.when(language == name, F.array(*tests))
-    if by_language is not None:
-        found = F.concat(found, by_language.otherwise(none))
-    schema = rule_table.drop("language").schema.add("rule_position", IntegerType(), False)
-    columns = [c for c in rule_table.columns if c != "language"]
-    attributes = lines.sparkSession.createDataFrame([(*[r[c] for c in columns], n) for n, r in enumerate(rows)], schema)
-    return lines.withColumn("rule_position", F.explode(F.array_compact(found))).join(attributes, "rule_position").drop("rule_position")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codesieve.functions.text import PY_WHITESPACE, rx, strip
-from codesieve.operators import metrics, scan
+from codesieve.operators import metrics, rule_tables, scan
 from codesieve.plans.review import profile_review, review
 from codesieve.rules import Rule, matches, register, rules, unregister
 
@@ -285,9 +285,9 @@ def test_rule_table(spark):
     rows = [("A", None, "x1"), ("B", "python", "token$"), ("C", "go", "x"), ("B", None, "x2"), ("D", "python", None), ("A", None, "x1")]
     rows += [(f"M{n % 9}", ["python", None, "go"][n % 3], f"x{n}1 ") for n in range(250)]
     table = spark.createDataFrame(rows, "rule_id string, language string, pattern string")
-    found = sorted((r.rule_id, r.pattern, r.line_no) for r in scan.scan_with_rule_table(lines, table).collect())
+    found = sorted((r.rule_id, r.pattern, r.line_no) for r in rule_tables.scan_with_rule_table(lines, table).collect())
     want = sorted(
         (i, p, n) for n in range(300) for i, language, p in rows
         if p is not None and (language is None or (language == "python" and n % 3)) and re.search(p, f"x{n} token"))
     assert found == want
-    assert scan.scan_with_rule_table(lines, table.limit(0)).count() == 0
+    assert rule_tables.scan_with_rule_table(lines, table.limit(0)).count() == 0

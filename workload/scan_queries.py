@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codesieve.functions import levels, paths, text
-from codesieve.operators import metrics, rollups, scan, scores, suggestions, topn
+from codesieve.operators import metrics, rollups, rule_tables, scan, scores, suggestions, topn
 from codesieve.operators.syntax import syntax_rows
 from codesieve.plans import digests, reports
 from codesieve.plans.review import prepared_files, profile_review, review
@@ -205,7 +205,7 @@ def _table_hits() -> str:
 def _(spark, sf):
     rule_table = spark.createDataFrame(RULE_TABLE, "rule_id string, language string, pattern string")
     lines = scan.numbered_lines(_prepared(spark, sf).filter("analyzed"))
-    return scan.scan_with_rule_table(lines, rule_table).select("repo", "path", "line_no", "rule_id", "pattern")
+    return rule_tables.scan_with_rule_table(lines, rule_table).select("repo", "path", "line_no", "rule_id", "pattern")
 
 
 @query("python_syntax", with_ctes(CORE, """
