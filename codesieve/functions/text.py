@@ -40,13 +40,25 @@ def rstrip(c: Column) -> Column:
     return F.rtrim(c, F.lit(PY_WHITESPACE))
 
 
+# Marks that the decoder writes while a text holds invalid bytes: an escape, itself and a replacement character of the text's own.
+_ESCAPE, _ESCAPED, _GENUINE = "\uf8ff", "\uf8ff0", "\uf8ff1"
+
+
+def without_invalid_bytes(text: Column) -> Column:
+    """A string whose bytes may be no UTF-8, without those that are not; what Python's ``errors="ignore"`` leaves.
+
+    Replacement characters that the text itself holds are set aside before invalid bytes become replacement characters, and
+    come back after these are dropped. A character's first byte is no other character's part, so both are found in the bytes.
+    """
+    aside = F.replace(F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPED)), F.lit("\ufffd"), F.lit(_GENUINE))
+    kept = F.replace(F.make_valid_utf8(aside), F.lit("\ufffd"), F.lit(""))
+    return F.replace(F.replace(kept, F.lit(_GENUINE), F.lit("\ufffd")), F.lit(_ESCAPED), F.lit(_ESCAPE))
+
+
 def decode_text(raw: Column) -> Column:
     """UTF-8 bytes to text: invalid bytes are dropped, line ends become ``\\n``."""
     text = raw.cast("string")
-    valid = F.when(F.is_valid_utf8(text), text).otherwise(
-        F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit(""))
-    )
-    return normalise_newlines(valid)
+    return normalise_newlines(F.when(F.is_valid_utf8(text), text).otherwise(without_invalid_bytes(text)))
 
 
 def normalise_newlines(text: Column) -> Column:

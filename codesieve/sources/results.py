@@ -1,8 +1,9 @@
-"""Nested result tables out."""
+"""Result tables out: nested records, and tables in which a new scan takes the place of an old one."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,6 +33,56 @@ def write_file_results(results: DataFrame, path: str, format: str = "parquet") -
     nested_file_results(results).sortWithinPartitions("repo").write.mode("overwrite").format(format).save(path)
 
 
+BUCKETS = 64  # folders of a result table; its repositories are dealt out to them
+_BUCKET = "bucket"
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("repo"), F.lit(buckets)).cast("int")
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table that :func:`replace_results` keeps; None before the first write."""
+    try:
+        return spark.read.parquet(path).filter("repo IS NOT NULL").drop(_BUCKET)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def replace_results(rows: DataFrame, path: str, keys: tuple[str, ...] = ("repo",), gone: DataFrame | None = None, buckets: int = BUCKETS) -> None:
+    """Put ``rows(repo, ...)`` into the table at ``path``: rows there with the same ``keys`` are replaced, others stay.
+
+    The table has a folder for each bucket of repositories. Only buckets of the repositories in ``rows`` are read and written again, each
+    as a whole, by dynamic partition overwrite; a large bucket is spread over several files. ``gone(repo[, ...])`` lists keys without rows any more, whose old rows
+    go. Running it again changes nothing. ``buckets`` must stay the same for a table; a null repo takes no part.
+
+    The keys are read off ``rows`` on their own, so what makes the other columns runs once.
+    """
+    spark = rows.sparkSession
+    rows = rows.filter("repo IS NOT NULL")
+    replaced = rows.select(*keys)
+    if gone is not None:
+        replaced = replaced.union(gone.select(*keys))
+    out = rows.withColumn(_BUCKET, _bucket(buckets))
+    if read_results(spark, path) is not None:
+        old = spark.read.parquet(path).filter("repo IS NOT NULL")
+        touched = replaced.select(_bucket(buckets).alias(_BUCKET)).distinct()
+        kept = old.join(touched, _BUCKET, "left_semi").join(replaced.distinct(), list(keys), "left_anti")
+        out = kept.unionByName(out, allowMissingColumns=True)
+    if gone is not None:
+        # a bucket of which nothing is left is written, too: with one row that readers pass over
+        marks = gone.select(_bucket(buckets).alias(_BUCKET)).distinct()
+        out = out.unionByName(marks, allowMissingColumns=True)
+    out.hint("rebalance", _BUCKET).write.partitionBy(_BUCKET).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def replace_file_results(results: DataFrame, path: str, **options) -> None:
+    """Nested file results of a scan take the place of those of the same repositories."""
+    replace_results(nested_file_results(results), path, **options)
+
+
 def nested_repository_results(rollup: DataFrame, dependencies: DataFrame, summaries: DataFrame) -> DataFrame:
     """One record per repository: counts, languages, scores, dependencies by scope, summary.
 
