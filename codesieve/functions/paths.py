@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -135,23 +136,40 @@ def _glob_regex(glob: str, star: str) -> str:
     return "".join(out)
 
 
-def is_excluded(path: Column, patterns=None, directories=None) -> Column:
-    """Exclusion test on a repository-relative path.
+class Exclusion(NamedTuple):
+    """Regular expressions on a repository-relative path behind a slash: any of them excludes a file. ``folders`` are those of them that
+    exclude all that is in a folder, given its path with a slash behind."""
 
-    A file goes when a directory above it matches a glob, when its whole path matches a glob
-    (``*`` crosses ``/``), or when any part of the path is an excluded name.
-    """
+    files: list[str]
+    folders: list[str]
+
+
+def exclusion_patterns(patterns=None, directories=None) -> Exclusion:
     patterns = [p.strip() for p in (EXCLUDE_PATTERNS if patterns is None else patterns) if p.strip()]
     directories = [d.strip() for d in (EXCLUDE_DIRECTORIES if directories is None else directories) if d.strip()]
-    rooted = F.concat(F.lit("/"), path)
-    test = F.lit(False)
+    files, folders = [], []
     if patterns:
         in_dir = "|".join(_glob_regex(p, "[^/]") for p in patterns)
         whole = "|".join(_glob_regex(p, r"[\s\S]") for p in patterns)
-        test = rooted.rlike(f"/(?:{in_dir})/") | rooted.rlike(f"^(?:{whole})$")
+        folders.append(f"/(?:{in_dir})/")
+        files += [f"/(?:{in_dir})/", f"^(?:{whole})$"]
     if directories:
         names = "|".join(re.escape(d) for d in directories)
-        test = test | rooted.rlike(f"/(?:{names})(?:/|$)")
+        folders.append(f"/(?:{names})/")
+        files.append(f"/(?:{names})(?:/|$)")
+    return Exclusion(files, folders)
+
+
+def is_excluded(path: Column, patterns=None, directories=None) -> Column:
+    """Exclusion test on a repository-relative path.
+
+    A file goes when a directory above it matches a glob, when its whole path matches a glob
+    (``*`` crosses ``/``), or when any part of the path is an excluded name.
+    """
+    rooted = F.concat(F.lit("/"), path)
+    test = F.lit(False)
+    for pattern in exclusion_patterns(patterns, directories).files:
+        test = test | rooted.rlike(pattern)
     return test
 
 

@@ -17,7 +17,9 @@ _SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:/+"
 def read_checkouts(spark: SparkSession, root: str) -> DataFrame:
     """Files below ``root/<repository>/``, at any depth.
 
-    Meant for moderate corpora; for many small files write them to Parquet once and use that.
+    Meant for moderate corpora in any store that Spark reads; for many small files write them to Parquet once and use that. Spark's file
+    sources pass over empty files and names that begin with a dot or an underscore: where folders are mounted,
+    :func:`codesieve.sources.checkouts.discover_checkouts` sees them all, and skips excluded folders.
     """
     prefix = re.sub(_SCHEME, "/", root if re.match(_SCHEME, root) else os.path.abspath(root)).rstrip("/")
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
