@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesieve.functions.paths import base_name
-from codesieve.functions.text import rx, split_lines, sql_string, strip
+from codesieve.functions.text import contains_any, rx, split_lines, strip
+from codesieve.operators.toml import toml_names
 
 # Manifests looked for at a repository's root, and the names each reader takes.
 ROOT_MANIFESTS = [
@@ -100,95 +101,17 @@ def go_mod_packages(content: Column, strict: bool = False) -> Column:
 POETRY_SECTIONS = {"tool.poetry.dependencies": "direct", "tool.poetry.group.dev.dependencies": "dev"}
 CARGO_SECTIONS = {"dependencies": "direct", "dev-dependencies": "dev"}
 
-# What a TOML text is cut into: runs of quotes and backslashes, line ends, other white space, marks, bare words, single characters.
-_TOKENS = r"""\x22++|\x27++|\\++|\n|[^\S\n]++|[\[\]{}=.,#]|[A-Za-z0-9_-]++|[^\s]"""
-
-#: Between the parts of a key's path, and in place of the path of what is in an array.
-_STEP, _INSIDE = "\x01", "\x02"
-
-
-def _char(c: str) -> str:
-    return f"decode(X'{c.encode().hex()}', 'utf-8')"
-
-
-def _toml_paths(content: str, sections: list[str]) -> str:
-    """SQL: the paths below ``sections`` of all keys of a TOML text, in order, from one fold over its tokens.
-
-    The state: ``open``, the string (one or three quotes) or comment that the token is in, and ``escaped``, after an odd number of
-    backslashes; ``mode``: k, before or in a key, h and H, in the header of a table or of an array's table, v, in a value, e, behind a header; ``key``, the
-    path read so far; ``stack``, the path of the section and then of each bracket that is open; ``found``.
-    """
-    step, inside, newline, quote = _char(_STEP), _char(_INSIDE), _char("\n"), _char("'")
-
-    def to(**changes: str) -> str:
-        return "named_struct(" + ", ".join(f"'{f}', {changes.get(f, f's.{f}')}" for f in ("open", "escaped", "mode", "key", "stack", "found")) + ")"
-
-    def keep(path: str) -> str:
-        test = " OR ".join(f"startswith({path}, concat(replace('{section}', '.', {step}), {step}))" for section in sections)
-        return f"CASE WHEN {test} THEN concat(s.found, array({path})) ELSE s.found END"
-
-    top = "element_at(s.stack, -1)"
-    here = f"concat({top}, s.key)"
-    push = lambda path: f"concat(s.stack, array({path}))"
-    pop = "slice(s.stack, 1, size(s.stack) - 1)"
-    in_key = "s.mode IN ('k', 'h', 'H')"
-    # an open value spans lines; a header that does not close leaves a section that nothing is kept of
-    line_end = f"""CASE WHEN size(s.stack) > 1 THEN {to(open="''", escaped="false")}
-        WHEN s.mode IN ('h', 'H') THEN {to(open="''", escaped="false", mode="'k'", key="''", stack=f"array({inside})")}
-        ELSE {to(open="''", escaped="false", mode="'k'", key="''")} END"""
-    run = "CASE WHEN startswith(t, right(s.open, 1)) THEN length(t) - cast(s.escaped as int) ELSE 0 END"
-    in_string = f"""CASE WHEN length(s.open) = 1 AND t = {newline} THEN {line_end}
-        WHEN {run} >= CASE WHEN length(s.open) = 1 THEN 1 ELSE 3 END THEN {to(open="''", escaped="false")}
-        ELSE {to(escaped=f"right(s.open, 1) = '\"' AND startswith(t, {_char(chr(92))}) AND length(t) % 2 = 1",
-                 key=f"CASE WHEN {in_key} THEN concat(s.key, t) ELSE s.key END")} END"""
-    opened = f"CASE WHEN length(t) = 1 THEN t WHEN length(t) BETWEEN 3 AND 5 THEN concat('3', left(t, 1)) ELSE '' END"
-    of_key = f"""CASE WHEN t = '=' AND s.mode = 'k' THEN {to(mode="'v'", key=here, found=keep(here))}
-        WHEN t = '.' THEN {to(key=f"concat(s.key, {step})")}
-        WHEN t = '[' AND s.key = '' AND (s.mode = 'h' OR size(s.stack) = 1) THEN {to(mode="CASE s.mode WHEN 'k' THEN 'h' ELSE 'H' END")}
-        WHEN t = ']' AND s.mode != 'k' THEN {to(
-            mode="'e'", found=keep("s.key"), stack=f"array(concat(s.key, {step}, CASE s.mode WHEN 'H' THEN concat({inside}, {step}) ELSE '' END))")}
-        WHEN t = '}}' AND size(s.stack) > 1 THEN {to(mode="'v'", stack=pop)}
-        WHEN t rlike '^[A-Za-z0-9_-]' THEN {to(key="concat(s.key, t)")}
-        ELSE s END"""
-    of_value = f"""CASE WHEN t = '{{' THEN {to(mode="'k'", key="''", stack=push(f"concat(s.key, {step})"))}
-        WHEN t = '[' THEN {to(key=inside, stack=push(inside))}
-        WHEN t IN (']', '}}') AND size(s.stack) > 1 AND (t = ']') = ({top} = {inside}) THEN {to(stack=pop)}
-        WHEN t = ',' AND size(s.stack) > 1 AND {top} != {inside} THEN {to(mode="'k'", key="''")}
-        ELSE s END"""
-    fold = f"""CASE
-        WHEN s.open = '#' THEN CASE WHEN t = {newline} THEN {line_end} ELSE s END
-        WHEN s.open != '' THEN {in_string}
-        WHEN t = {newline} THEN {line_end}
-        WHEN t = '#' THEN {to(open="'#'")}
-        WHEN startswith(t, '"') OR startswith(t, {quote}) THEN {to(open=opened)}
-        WHEN {in_key} THEN {of_key}
-        WHEN s.mode = 'v' THEN {of_value}
-        ELSE s END"""
-    return f"""aggregate(
-        regexp_extract_all({content}, {sql_string(rx(_TOKENS))}, 0),
-        named_struct('open', '', 'escaped', false, 'mode', 'k', 'key', '', 'stack', array(''), 'found', cast(array() as array<string>)),
-        (s, t) -> {fold}, s -> s.found)"""
-
-
-def toml_packages(content: str, sections: dict[str, str], without: tuple[str, ...] = ()) -> Column:
+def toml_packages(content: Column, sections: dict[str, str], without: tuple[str, ...] = ()) -> Column:
     """Names of what the given sections hold, however they are written: entries below a header, sub-tables (``[dependencies.name]``), inline tables
-    and dotted or quoted keys. ``content`` names a column.
+    and dotted or quoted keys (:mod:`codesieve.operators.toml`). What stands in a string, a comment or a list is no key.
 
-    A fold over the text's tokens (:func:`_toml_paths`) carries open strings, brackets and the section, so what stands in a string, a
-    comment or an array is no key. A header or a string that does not close ends with its line; escapes in quoted keys stay as they are written.
+    Of a text that is no TOML what can be read counts: a header or a string that does not close ends with its line, one of three quotes with the text.
     """
-    paths = _toml_paths(content, list(sections))
-    # a text without the last part of a section's name has none of them
-    needed = " OR ".join(f"contains({content}, '{last}')" for last in sorted({section.split(".")[-1] for section in sections}))
-    named = []
-    for section, scope in sections.items():
-        prefix = f"concat(replace('{section}', '.', {_char(_STEP)}), {_char(_STEP)})"
-        own = f"transform(filter(paths, p -> startswith(p, {prefix})), p -> substring_index(substring(p, length({prefix}) + 1), {_char(_STEP)}, 1))"
-        left_out = ", ".join([_char(_INSIDE), *(f"'{x}'" for x in without)])
-        own = f"filter({own}, x -> x NOT IN ({left_out}))"
-        named.append(f"transform({own}, x -> named_struct('scope', '{scope}', 'package', x))")
-    return F.expr(f"""CASE WHEN {needed} THEN
-        element_at(transform(array({paths}), paths -> array_distinct(concat({", ".join(named)}))), 1) END""").cast(_PACKAGES)
+    # a text without the last part of a section's name has none of them, and no reader sees it
+    needed = F.when(contains_any(content, sorted({section.split(".")[-1] for section in sections})), content)
+    names = toml_names(needed, list(sections))
+    left_out = F.array(*map(F.lit, without)).cast("array<string>")
+    return F.concat(*[_scoped(scope, F.array_except(names[i], left_out)) for i, scope in enumerate(sections.values())])
 
 
 def declared(files: DataFrame, strict: bool = False, names: list[str] | None = None) -> DataFrame:
@@ -202,16 +125,20 @@ def declared(files: DataFrame, strict: bool = False, names: list[str] | None = N
         "package_json": (PACKAGE_JSON, package_json_packages(content)),
         "pipfile": (PIPFILE, pipfile_packages(content)),
         "go": (GO, go_mod_packages(content, strict)),
-        "poetry": (POETRY, toml_packages("content", POETRY_SECTIONS, ("python",))),
-        "cargo": (CARGO, toml_packages("content", CARGO_SECTIONS)),
+        # only texts of the reader's own manifests go to Python
+        "poetry": (POETRY, toml_packages(F.when(base.isin(POETRY), content), POETRY_SECTIONS, ("python",))),
+        "cargo": (CARGO, toml_packages(F.when(base.isin(CARGO), content), CARGO_SECTIONS)),
     }
-    known = [n for listed, _ in readers.values() for n in listed]
+    wanted = [n for listed, _ in readers.values() for n in listed if names is None or n in names]
     packages = None
     for listed, found in readers.values():
-        packages = F.when(base.isin(listed), found) if packages is None else packages.when(base.isin(listed), found)
-    chosen = files.filter(base.isin(known if names is None else names))
-    return chosen.select("repo", F.col("path").alias("manifest"), F.explode(packages).alias("p")).select(
-        "repo", "manifest", "p.scope", "p.package")
+        if set(listed) & set(wanted):
+            packages = F.when(base.isin(listed), found) if packages is None else packages.when(base.isin(listed), found)
+    if packages is None:
+        packages = _none()
+    # the outer form keeps the optimizer from testing the size of the array, which would read the texts again
+    rows = files.filter(base.isin(wanted)).select("repo", F.col("path").alias("manifest"), F.explode_outer(packages).alias("p"))
+    return rows.filter(F.col("p").isNotNull()).select("repo", "manifest", "p.scope", "p.package")
 
 
 def repository_dependencies(files: DataFrame, strict: bool = False) -> DataFrame:
