@@ -101,17 +101,18 @@ def go_mod_packages(content: Column, strict: bool = False) -> Column:
 POETRY_SECTIONS = {"tool.poetry.dependencies": "direct", "tool.poetry.group.dev.dependencies": "dev"}
 CARGO_SECTIONS = {"dependencies": "direct", "dev-dependencies": "dev"}
 
-def toml_packages(content: Column, sections: dict[str, str], without: tuple[str, ...] = ()) -> Column:
-    """Names of what the given sections hold, however they are written: entries below a header, sub-tables (``[dependencies.name]``), inline tables
-    and dotted or quoted keys (:mod:`codesieve.operators.toml`). What stands in a string, a comment or a list is no key.
+def toml_packages(content: Column, *kinds: dict[str, str]) -> list[Column]:
+    """For each of ``kinds``, scopes of sections, the names of what the sections hold, however they are written: entries below a header, sub-tables
+    (``[dependencies.name]``), inline tables and dotted or quoted keys (:mod:`codesieve.operators.toml`). What stands in a string, a comment or a
+    list is no key. A text is read once for all kinds.
 
     Of a text that is no TOML what can be read counts: a header or a string that does not close ends with its line, one of three quotes with the text.
     """
+    sections = [section for kind in kinds for section in kind]
     # a text without the last part of a section's name has none of them, and no reader sees it
     needed = F.when(contains_any(content, sorted({section.split(".")[-1] for section in sections})), content)
-    names = toml_names(needed, list(sections))
-    left_out = F.array(*map(F.lit, without)).cast("array<string>")
-    return F.concat(*[_scoped(scope, F.array_except(names[i], left_out)) for i, scope in enumerate(sections.values())])
+    names = toml_names(needed, sections)
+    return [F.concat(*[_scoped(scope, names[sections.index(section)]) for section, scope in kind.items()]) for kind in kinds]
 
 
 def declared(files: DataFrame, strict: bool = False, names: list[str] | None = None) -> DataFrame:
@@ -120,14 +121,16 @@ def declared(files: DataFrame, strict: bool = False, names: list[str] | None = N
     One pass: the reader is chosen by the manifest's base name, on its own row.
     """
     base, content = base_name(F.col("path")), F.col("content")
+    # only texts of TOML manifests go to Python; the language itself is no package
+    poetry, cargo = toml_packages(F.when(base.isin(POETRY + CARGO), content), POETRY_SECTIONS, CARGO_SECTIONS)
+    poetry = F.filter(poetry, lambda p: p["package"] != "python")
     readers = {
         "requirements": (REQUIREMENTS, requirements_packages(content, strict)),
         "package_json": (PACKAGE_JSON, package_json_packages(content)),
         "pipfile": (PIPFILE, pipfile_packages(content)),
         "go": (GO, go_mod_packages(content, strict)),
-        # only texts of the reader's own manifests go to Python
-        "poetry": (POETRY, toml_packages(F.when(base.isin(POETRY), content), POETRY_SECTIONS, ("python",))),
-        "cargo": (CARGO, toml_packages(F.when(base.isin(CARGO), content), CARGO_SECTIONS)),
+        "poetry": (POETRY, poetry),
+        "cargo": (CARGO, cargo),
     }
     wanted = [n for listed, _ in readers.values() for n in listed if names is None or n in names]
     packages = None
