@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codesieve.functions.paths import base_name
 from codesieve.functions.text import contains_any, rx, split_lines, strip
+from codesieve.operators.paging import paged
 from codesieve.operators.toml import toml_names
 
 # Manifests looked for at a repository's root, and the names each reader takes.
@@ -154,3 +155,9 @@ def dependency_lists(dependencies: DataFrame) -> DataFrame:
     the rows of ``dependencies`` themselves. Its rows are distinct already."""
     return dependencies.groupBy("repo", "scope").agg(
         F.array_sort(F.collect_list("package")).alias("packages"), F.count("*").alias("n_packages"))
+
+
+def dependency_pages(dependencies: DataFrame, folder: str, size: int = 1000) -> DataFrame:
+    """Sorted packages per repository and scope in pages of ``size``, for repositories with any number of them; ``folder`` is for
+    :func:`codesieve.operators.paging.paged`."""
+    return paged(dependencies, ["repo", "scope"], "package", size, folder)

@@ -10,8 +10,8 @@ from codesieve.operators.syntax import syntax_rows
 from codesieve.plans import digests, reports
 from codesieve.plans.review import prepared_files, profile_review, review
 from codesieve.sources.files import discover
-from codesieve.sources.results import nested_file_results
-from workload.corpus import source_files, source_paths, table
+from codesieve.sources.results import nested_file_results, read_results, replace_file_results
+from workload.corpus import scratch, source_files, source_paths, table
 from workload.oracle_base import CORE, FILES, SCORES, WS, profile, q
 from workload.registry import query, with_ctes
 
@@ -269,6 +269,20 @@ def _(spark, sf):
         "repo", "file_path", "language", as_text("issues", _ISSUE_TEXT), "metrics.*", "scores.*", as_text("suggestions", _SUGGESTION_TEXT))
 
 
+@query("rescanned_results", with_ctes(CORE + """
+    again AS (SELECT repo, path, language FROM prepared WHERE analyzed AND (NOT contains(repo, '1') OR language = 'python'))""", """
+    SELECT a.repo, a.path AS file_path, a.language, coalesce(i.n, 0) AS issues
+    FROM again a LEFT JOIN (SELECT repo, path, count(*) AS n FROM named_issues GROUP BY ALL) i ON i.repo = a.repo AND i.path = a.path"""))
+def _(spark, sf):
+    """A table of results; repositories with a 1 in their names are scanned again, with Python files alone, and take their old results' place."""
+    files, folder = source_files(spark, sf), scratch(spark, "results")
+    replace_file_results(review(files), folder, buckets=16)
+    touched = files.filter(F.col("repo").contains("1"))
+    replace_file_results(review(touched.filter(paths.language(F.col("path")) == "python")), folder, gone=touched.select("repo").distinct(), buckets=16)
+    return read_results(spark, folder).select("repo", "file_path", "language", F.size("issues").cast("long").alias("issues"))
+
+
+
 # --- rollups --------------------------------------------------------------------------------------------------
 _ROLLUP = ["repo", "total_files", "analyzed_files", "files_with_issues", "security_score", "quality_score", "performance_score",
            "total_issues", "security_issues", "quality_issues", "performance_issues", "high_issues", "medium_issues",

@@ -146,6 +146,16 @@ def _(spark, sf):
     return dependencies.dependency_lists(found).withColumn("packages", F.array_join("packages", ","))
 
 
+@query("dependency_pages", with_ctes(_MANIFEST + """,
+    placed AS (SELECT *, row_number() OVER (PARTITION BY repo, scope ORDER BY package) - 1 AS place FROM distinct_packages)""", """
+    SELECT repo, scope, place // 50 + 1 AS page, min(place) + 1 AS first, string_agg(package, ',' ORDER BY place) AS packages, count(*) AS n
+    FROM placed GROUP BY repo, scope, place // 50"""))
+def _(spark, sf):
+    found = dependencies.repository_dependencies(manifest_files(corpus.manifests(spark, sf)))
+    pages = dependencies.dependency_pages(found, corpus.scratch(spark, "pages"), 50)
+    return pages.select("repo", "scope", "page", "first", F.array_join("values", ",").alias("packages"), "n")
+
+
 def _source_manifests(spark, sf):
     """The manifests under the names of the source repositories."""
     docs = corpus.manifests(spark, sf)
@@ -369,14 +379,29 @@ def _(spark, sf):
     return _configs(spark, sf).select(*_CONFIG, *[F.col("analysis_config")[k].alias(k) for k in ("security_scan", "check_setup_py")])
 
 
-@query("overridden_configs", with_ctes(REPOS, f"""
+_OVERRIDDEN = with_ctes(REPOS, f"""
     SELECT full_name, {_ENABLED} AS enabled, CASE WHEN p_partkey % 3 = 0 THEN 'false' ELSE 'true' END AS security_scan,
       CASE WHEN p_partkey % 9 = 0 THEN 'second' WHEN p_partkey % 3 = 0 THEN p_type END AS owner_team, 'true' AS performance_scan,
-      CASE WHEN p_partkey % 9 = 0 THEN 'false' WHEN language = 'python' THEN 'true' END AS check_setup_py FROM configs"""))
-def _(spark, sf):
+      CASE WHEN p_partkey % 9 = 0 THEN 'false' WHEN language = 'python' THEN 'true' END AS check_setup_py FROM configs""")
+
+
+def _some_settings(configs):
     settings = F.col("analysis_config")
-    return _overridden(spark, sf).select("full_name", "enabled", *[
-        settings[k].alias(k) for k in ("security_scan", "owner_team", "performance_scan", "check_setup_py")])
+    return configs.select("full_name", "enabled", *[settings[k].alias(k) for k in ("security_scan", "owner_team", "performance_scan", "check_setup_py")])
+
+
+@query("overridden_configs", _OVERRIDDEN)
+def _(spark, sf):
+    return _some_settings(_overridden(spark, sf))
+
+
+@query("saved_configs", _OVERRIDDEN)
+def _(spark, sf):
+    """Saved, loaded, changed, and saved to where they were loaded from."""
+    store = repo_config.ConfigStore(spark, corpus.scratch(spark, "configs"))
+    version = store.save(_configs(spark, sf))
+    store.save(catalog.override_configs(store.load(), corpus.config_updates(spark, sf)), based_on=version)
+    return _some_settings(store.load())
 
 
 @query("replaced_configs", with_ctes(REPOS, f"""
