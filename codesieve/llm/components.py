@@ -55,12 +55,15 @@ def _hooked(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links(a, b)``, two bigints; the component is its smallest node.
 
-    Tasks first contract the links they hold. Then rounds of minima and joins, each a written table, until nothing changes:
+    Tasks first contract the links they hold, then those of the same nodes. Then rounds of minima and joins, each a written table, until nothing changes:
     about as many as the logarithm of the longest way. No node's links are ever gathered: minima are combined before
     the shuffle, and the joins split hot nodes. Links of a node to itself and repeated links count for nothing
     more; no links give no rows.
     """
-    current = stored(links.filter("a <> b").select("a", "b").mapInPandas(_contract, "a bigint, b bigint").distinct(), "links")
+    schema = "a bigint, b bigint"
+    own = links.filter("a <> b").select("a", "b").mapInPandas(_contract, schema)
+    # a node that several tasks have linked to roots of theirs comes to one task: there the roots are linked, and the node keeps one link
+    current = stored(own.repartition("a").mapInPandas(_contract, schema).distinct(), "links")
     state = None
     while True:
         seen = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -152,70 +152,85 @@ def _numbers(shingles: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in shingles]
 
 
-def _overlaps(node: np.ndarray, component: np.ndarray, asked: np.ndarray, sets: list[np.ndarray], percent: int):
-    """Similar pairs of different components, one for each asked row and component: counts of common shingles come from one list of
-    the members (rows that are not asked) of each shingle."""
-    members = np.flatnonzero(~asked)
-    nodes, components_ = node[members], component[members]
-    sizes = np.fromiter((len(sets[i]) for i in members), np.int64, len(members))
-    owners = np.repeat(np.arange(len(members)), sizes)
-    every = np.concatenate([sets[i] for i in members])
-    order = np.argsort(every, kind="stable")
-    every, owners = every[order], owners[order]
-    for i in np.flatnonzero(asked):
-        own = sets[i]
-        first, last = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
-        n = last - first
-        ends = np.cumsum(n)
-        common = np.bincount(owners[np.arange(ends[-1]) + np.repeat(first - (ends - n), n)], minlength=len(members))
-        hit = np.flatnonzero((100 * common >= percent * (len(own) + sizes - common)) & (components_ != component[i]))
-        _, one = np.unique(components_[hit], return_index=True)
-        yield from ((node[i], other) for other in nodes[hit[one]])
-
-
-def links_between(families: DataFrame, joined: DataFrame, sets: DataFrame, percent: int, block: int = 1000, read=_numbers) -> DataFrame:
+_CELLS, _PIECE = 1 << 18, 1 << 12  # counters of shingles, and of them in a row
+
+
+def _cells(shingles: np.ndarray) -> np.ndarray:
+    return (mixed(shingles) >> np.uint64(64 - 18)).astype(np.int64)
+
+
+def _frequencies(rows: DataFrame, read) -> np.ndarray:
+    """How often the shingles of each of _CELLS cells occur in ``rows(shingles)``: a table of fixed size, summed by tasks first."""
+
+    def count(batches):
+        total = np.zeros(_CELLS, np.int64)
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                sets = read(batch["shingles"].iloc[at:at + 256].to_list())
+                total += np.bincount(_cells(np.concatenate(sets)), minlength=_CELLS)
+        yield pd.DataFrame({"piece": range(_CELLS // _PIECE), "counts": list(total.reshape(-1, _PIECE))})
+
+    def add(key: tuple, pieces: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"piece": [key[0]], "counts": [np.sum(np.stack(pieces["counts"].to_list()), axis=0)]})
+
+    schema = "piece int, counts array<bigint>"
+    found = rows.select("shingles").mapInPandas(count, schema).groupBy("piece").applyInPandas(add, schema).toArrow()
+    out = np.zeros((_CELLS // _PIECE, _PIECE), np.int64)
+    out[found["piece"].to_numpy()] = found["counts"].combine_chunks().flatten().to_numpy().reshape(-1, _PIECE)
+    return out.ravel()
+
+
+def _prefixes(frequencies, percent: int, read, wanted=None):
+    """Of each set its rarest shingles: so many that two sets of the similarity share one of them, if both keep one order of all shingles. ``at`` is a
+    shingle's place in that order, ``n`` the size of the set. ``wanted`` is a bitmap of the keys that count."""
+
+    def run(batches):
+        for batch in batches:
+            for first in range(0, len(batch), 256):
+                part = batch.iloc[first:first + 256]
+                sets = read(part["shingles"].to_list())
+                sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+                every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+                order = np.lexsort((every, frequencies.value[_cells(every)], owner))
+                at = np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                kept = at < (sizes - (percent * sizes + 99) // 100 + 1)[owner]
+                keys, at, owner = every[order[kept]], at[kept], owner[kept]
+                if wanted is not None:
+                    hit = in_bitmap(wanted.value, keys)
+                    keys, at, owner = keys[hit], at[hit], owner[hit]
+                yield pd.DataFrame({
+                    "family": part["family"].to_numpy()[owner], "key": keys.view(np.int64), "node": part["node"].to_numpy()[owner],
+                    "component": part["component"].to_numpy()[owner], "n": sizes[owner], "at": at})
+
+    return run
+
+
+def links_between(families: DataFrame, joined: DataFrame, sets: DataFrame, percent: int, confirm, read=_numbers) -> DataFrame:
     """(a, b): links between components of a family, one or more wherever there is any; exact. ``read`` gives the sorted distinct hashes
-    of each of a list of values of ``shingles``.
+    of each of a list of values of ``shingles``, ``confirm`` keeps those of ``pairs(a, b)`` whose sets are similar.
 
-    Of a family whose sets are not all joined, every set outside its largest component is asked against all others, on whole sets. Rows
-    of a large family meet in blocks; small families share a task. Inside a task, pairs are counts, never rows.
+    Of a family whose sets are not all joined, every set outside its largest component is asked against all others. All shingles have one
+    order, rarest first. A set of n that is similar to another shares with it one of its first n - ceil(n * similarity) + 1 shingles; and behind the first one
+    that both share, both must have enough left for the intersection that their sizes ask for. So sets meet by rare shingles only, in a join on
+    (family, shingle): near copies that lie below the similarity differ in shingles of their own, which stand first.
     """
-    units = 4 * int(families.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = families.sparkSession
     parts = families.withColumnRenamed("component", "family").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = stored(parts.select("node", "family", "component"), "families")
-    split = parts.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(
-        F.count("*").alias("components"), F.ceil(F.sum("n") / block).cast("int").alias("blocks"),
-        F.max(F.struct("n", "component"))["component"].alias("largest")).filter("components > 1")
+    split = parts.groupBy("family", "component").agg(F.count("*").alias("size")).groupBy("family").agg(
+        F.count("*").alias("components"), F.max(F.struct("size", "component"))["component"].alias("largest")).filter("components > 1")
     rows = parts.join(split, "family").join(sets.withColumnRenamed("set_id", "node"), "node")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn(
-        "with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-
-    def dealt(df, asked):
-        pair = ("own", "with") if asked else ("with", "own")
-        unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(units))).otherwise(F.xxhash64("family", *pair))
-        return df.select(unit.alias("unit"), "family", "node", "component", "shingles", F.lit(asked).alias("asked"))
-
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        group = group.sort_values("family", kind="stable")
-        family, node, component, asked = (group[c].to_numpy() for c in ("family", "node", "component", "asked"))
-        shingles = group["shingles"].to_list()
-        ends = np.concatenate([np.flatnonzero(family[1:] != family[:-1]) + 1, [len(family)]])
-        first = 0
-        while first < len(family):  # small families are read together
-            last = int(ends[max(np.searchsorted(ends, first + block, "right") - 1, np.searchsorted(ends, first, "right"))])
-            sets = read(shingles[first:last])
-            at = first
-            for end in ends[(ends > first) & (ends <= last)]:
-                own = slice(at, end)
-                if asked[own].any() and not asked[own].all():
-                    out += _overlaps(node[own], component[own], asked[own], sets[at - first:end - first], percent)
-                at = end
-            first = last
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    both = dealt(rows.filter("component <> largest"), True).union(dealt(rows, False))
-    return both.groupBy("unit").applyInPandas(search, "a bigint, b bigint")
+    rows = stored(rows.select("family", "node", "component", (F.col("component") != F.col("largest")).alias("asked"), "shingles"), "apart")
+    frequencies = spark.sparkContext.broadcast(_frequencies(rows, read))
+    schema = "family bigint, key bigint, node bigint, component bigint, n bigint, at bigint"
+    asked = stored(rows.filter("asked").mapInPandas(_prefixes(frequencies, percent, read), schema), "asked")
+    wanted = spark.sparkContext.broadcast(bitmap(asked, "key"))
+    there = stored(rows.mapInPandas(_prefixes(frequencies, percent, read, wanted), schema), "there")
+    there = there.select("family", "key", *[F.col(c).alias(f"other_{c}") for c in ("node", "component", "n", "at")])
+    # the intersection has 2 s / (1 + s) of the mean size at least, s the similarity
+    enough = (F.least(F.col("n") - F.col("at"), F.col("other_n") - F.col("other_at")) * (100 + percent) >= (F.col("n") + F.col("other_n")) * percent)
+    pairs = asked.join(there, ["family", "key"]).filter(enough & (F.col("component") != F.col("other_component")))
+    return confirm(stored(pairs.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct(), "pairs-apart"))
 
 
 def linked_sets(docs: DataFrame, sets: DataFrame, width: int, percent: int, rounds: int = 2) -> DataFrame:
@@ -241,7 +256,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame, width: int, percent: int, roun
             of = lambda end: joined.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))  # noqa: E731, B023
             rest = left.join(chosen, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
             left = stored(rest.select("a", "b", "support"), "candidates")
-    links = stored(links.union(links_between(families, joined, table, percent)), "links")
+    links = stored(links.union(links_between(families, joined, table, percent, lambda pairs: confirmed(pairs, table, percent))), "links")
     return stored(components(links), "components")
 
 

@@ -245,12 +245,15 @@ def repeated_lines(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, ro
     wanted = pairs.select(F.col("a").alias("line")).union(pairs.select(F.col("b").alias("line"))).distinct()
     texts = stored(_line_texts(docs, wanted), "line-texts")
     left, right = texts.select(F.col("line").alias("a"), F.col("text").alias("left")), texts.select(F.col("line").alias("b"), F.col("text").alias("right"))
-    # written, so that no stage holds the workers of two Python steps
-    links = stored(pairs.join(left, "a").join(right, "b").filter(_similar(width, percent)("left", "right")).select("a", "b"), "line-links")
+
+    def confirm(found):  # written, so that no stage holds the workers of two Python steps
+        return stored(found.join(left, "a").join(right, "b").filter(_similar(width, percent)("left", "right")).select("a", "b"), "line-links")
+
+    links = confirm(pairs)
     joined = stored(components(links), "line-components")
     # texts travel, which are shorter than their sets
     more = links_between(
-        components(pairs), joined, texts.select(F.col("line").alias("set_id"), F.col("text").alias("shingles")), percent,
+        components(pairs), joined, texts.select(F.col("line").alias("set_id"), F.col("text").alias("shingles")), percent, confirm,
         read=lambda own: list(map(_shingle_sets(own, width).__getitem__, own)))
     links = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
     members = components(links).withColumnRenamed("node", "line").join(places.filter("first"), "line")
