@@ -49,6 +49,7 @@ def _(spark, sf):
         F.count("*").alias("files"), F.count_if("analyzed").alias("small_files"))
 
 
+# Fixed values in the next two: extensions and the names that are shown for them.
 @query("file_names", with_ctes(FILES, """
     SELECT repo, path, lower(suffix) AS extension, l.language,
       CASE WHEN lower(suffix) IN ('.py','.js','.ts','.jsx','.tsx','.java','.go','.rs','.cpp','.c','.cs','.php','.rb',
