@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -13,13 +14,24 @@ from pyspark.sql.functions import pandas_udf
 
 from codesieve.llm.common import bitmap, in_bitmap, shingle_hashes, stored, word_hashes
 
-_TOKEN = re.compile(r"\w+")
+# Blocks of scripts that put no spaces between words.
+_UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_ASCII_TOKEN = re.compile(r"\w+")
+_TOKEN = re.compile(rf"(?=\w)[{_UNSPACED}]|[^\W{_UNSPACED}]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
 def tokens(text: str | None) -> np.ndarray:
-    """Hashes of the words of a whole text, without case and punctuation."""
-    return word_hashes(_TOKEN.findall(text.lower())) if text else np.empty(0, np.uint64)
+    """Hashes of the words of a whole text, without case and punctuation; in scripts without spaces, of the characters."""
+    if not text:
+        return np.empty(0, np.uint64)
+    return word_hashes((_ASCII_TOKEN if text.isascii() else _TOKEN).findall(text.lower()))
+
+
+def line_key(line: str, least: int) -> int | None:
+    """One hash of all tokens of a line that has some, but fewer than ``least``."""
+    found = [m.group() for m in itertools.islice(_TOKEN.finditer(line.lower()), least)]
+    return int(shingle_hashes(word_hashes(found), len(found))[0].view(np.int64)) if 0 < len(found) < least else None
 
 
 class _Windows:
@@ -114,6 +126,21 @@ def _shared_runs(docs: DataFrame, bits, width: int) -> DataFrame:
     return docs.mapInPandas(scan, "digest string, run int, sequence array<bigint>, windows array<bigint>")
 
 
+def _short_lines(docs: DataFrame, bits, least: int) -> DataFrame:
+    """(digest, key) of the lines with fewer than ``least`` tokens that may be a passage."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def scan(batches):
+        for batch in batches:
+            out = []
+            for digest, text in zip(batch["digest"], batch["text"], strict=True):
+                keys = np.array(list({k for line in text.split("\n") if (k := line_key(line, least)) is not None}), np.int64)
+                out += [(digest, k) for k in keys[in_bitmap(shared.value, keys)].tolist()]
+            yield pd.DataFrame(out, columns=["digest", "key"])
+
+    return docs.mapInPandas(scan, "digest string, key bigint")
+
+
 @pandas_udf(T.DoubleType())
 def _coverage(runs: pd.Series, passages: pd.Series, least: pd.Series) -> pd.Series:
     """Part of the passage's tokens that tiles mark."""
@@ -131,20 +158,25 @@ def _coverage(runs: pd.Series, passages: pd.Series, least: pd.Series) -> pd.Seri
 
 def passage_hits(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.5) -> DataFrame:
     """(digest, item_id, coverage) for each pair of a text of ``docs(digest, text)`` and a passage of ``benchmark(item_id, text)``
-    where tiles of ``least`` tokens or more cover ``threshold`` of the passage. A text is decided once, however often it occurs.
+    where tiles of ``least`` tokens or more cover ``threshold`` of the passage, or a shorter passage is all of a line. A text is
+    decided once, however often it occurs.
 
     Texts are read once. A bitmap of fixed size keeps what can't match out of the shuffles, a join on the window hashes finds
     the passages of the rest, and only the runs of tokens around matches travel, never whole texts.
     """
     spark = docs.sparkSession
 
-    @pandas_udf("struct<tokens: array<bigint>, windows: array<bigint>>")
+    @pandas_udf("struct<tokens: array<bigint>, windows: array<bigint>, whole: bigint>")
     def cut(texts: pd.Series) -> pd.DataFrame:
         found = [tokens(t) for t in texts]
-        return pd.DataFrame({"tokens": [t.view(np.int64) for t in found], "windows": [np.unique(shingle_hashes(t, least)).view(np.int64) for t in found]})
-
-    passages = stored(benchmark.select("item_id", cut("text").alias("cut")).select("item_id", "cut.tokens", "cut.windows").filter(
-        F.size("windows") > 0).dropDuplicates(["item_id", "tokens"]).withColumn("passage", F.xxhash64("item_id", "tokens")), "passages")
+        whole = [int(shingle_hashes(t, len(t))[0].view(np.int64)) if 0 < len(t) < least else None for t in found]
+        return pd.DataFrame({
+            "tokens": [t.view(np.int64) for t in found], "windows": [np.unique(shingle_hashes(t, least)).view(np.int64) for t in found],
+            "whole": pd.Series(whole, dtype="Int64")})
+
+    known = stored(benchmark.select("item_id", cut("text").alias("cut")).select("item_id", "cut.tokens", "cut.windows", "cut.whole").filter(
+        F.size("tokens") > 0).dropDuplicates(["item_id", "tokens"]).withColumn("passage", F.xxhash64("item_id", "tokens")), "passages")
+    passages, short = known.filter(F.size("windows") > 0), known.filter("whole IS NOT NULL").select("item_id", F.col("whole").alias("key"))
     seeds = passages.select("passage", F.explode("windows").alias("seed"))
     runs = stored(_shared_runs(docs, bitmap(seeds, "seed"), least).dropDuplicates(["digest", "run"]), "runs")
     matched = (
@@ -152,10 +184,14 @@ def passage_hits(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshol
         .select("digest", "run", "passage").distinct())
     pieces = matched.join(runs.select("digest", "run", "sequence"), ["digest", "run"]).groupBy("digest", "passage").agg(
         F.collect_list(F.struct("run", "sequence")).alias("pieces"))
-    return (
+    tiled = (
         pieces.join(passages.select("passage", "item_id", "tokens"), "passage")
         .withColumn("coverage", _coverage("pieces", "tokens", F.lit(least)))
         .filter(F.col("coverage") >= threshold).select("digest", "item_id", "coverage"))
+    if short.isEmpty():
+        return tiled
+    lines = _short_lines(docs, bitmap(short, "key"), least).distinct().join(short, "key")
+    return tiled.union(lines.select("digest", "item_id", F.lit(1.0).alias("coverage")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.5) -> DataFrame:
@@ -163,8 +199,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 5, thresho
     passages found, sorted) and ``contaminated``.
 
     Tokens are runs of word characters, without case. Reordered passages are found as long as pieces of ``least`` tokens stay
-    together. Defined cases: null and empty texts are clean; passages of fewer than ``least`` tokens are too common to prove
-    anything and flag nothing; null or repeated item_ids are passages each; repeated documents are decided alike; with an empty
+    together. In scripts without spaces every character is a token. A passage of fewer than ``least`` tokens, which running text may hold by chance, is found
+    where its tokens are all of a line. Defined cases: null and empty texts are clean; passages without a token flag nothing; null or repeated item_ids are passages each; repeated documents are decided alike; with an empty
     benchmark all are clean. Columns of the three names are replaced, others pass through.
     """
     rows = docs.drop("coverage", "item_ids", "contaminated").withColumn("__digest", F.md5("text"))

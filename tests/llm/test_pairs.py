@@ -239,11 +239,24 @@ def test_decontamination(spark, awkward, table):
     found = decontaminate(table(rows), benchmark).collect()
     assert len(found) == len(rows)
     bad = {r.doc_id: (r.item_ids, r.coverage) for r in found if r.contaminated}
-    assert {k: v[0] for k, v in bad.items()} == {101: [1], 102: [1], 104: [1, 2], 106: []} and bad[101][1] == 1.0 and bad[104][1] == 1.0
+    assert {k: v[0] for k, v in bad.items()} == {101: [1], 102: [1], 104: [1, 2], 106: [], 107: [3]} and bad[101][1] == 1.0 and bad[104][1] == 1.0
     assert decontaminate(table(rows), benchmark.limit(0)).filter("contaminated").count() == 0
     assert decontaminate(table(rows).limit(0), benchmark).count() == 0
 
 
+def test_short_passages_and_scripts_without_spaces(spark, table):
+    chinese, thai = "今天的天气很好我们去公园散步吧", "วันนี้อากาศดีมากไปเดินเล่นกัน"
+    passages = [(1, "the answer is blue"), (2, "Yes."), (3, chinese), (4, thai), (5, "北京"), (6, "!?"), (7, "mixed 中文字 text")]
+    docs = {
+        1: ("the answer is blue", [1]), 2: (prose(1, 20) + "\n  - The ANSWER is blue!\nmore", [1]), 3: ("I say the answer is blue today", []), 4: ("yes\nno", [2]),
+        5: ("yes and no", []), 6: (f"昨天他说：“{chinese}。”然后走了", [3]), 7: (chinese[:6] + "完全不同的一句话", []), 8: (f"x {thai} y", [4]), 9: ("北京", [5]),
+        10: ("我在北京住", []), 11: (chinese[8:] + "。" + chinese[:8], [3]), 12: ("he said: mixed 中文字 text, it is", [7]), 13: ("", []), 14: ("answer the is blue", []),
+    }
+    found = decontaminate(table([(k, t, "ka", "a") for k, (t, _) in docs.items()]), spark.createDataFrame(passages, "item_id bigint, text string")).collect()
+    assert {r.doc_id: r.item_ids or [] for r in found} == {k: ids for k, (_, ids) in docs.items()}
+    assert all(r.contaminated == bool(r.item_ids) and (r.coverage is not None) == r.contaminated for r in found)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     vectors = [(i, [float(x) for x in rng.standard_normal(12)]) for i in range(400)]
