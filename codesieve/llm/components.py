@@ -52,10 +52,16 @@ def _hooked(links: DataFrame) -> DataFrame:
     return moved.union(small.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct()
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether each node has one link, to a node that has none itself."""
+    ends = links.select(F.col("a").alias("n"), F.lit(1).alias("up")).union(links.select("b", F.lit(0)))
+    return ends.groupBy("n").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).filter("ups > 1 OR (ups = 1 AND least = 0)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links(a, b)``, two bigints; the component is its smallest node.
 
-    Tasks first contract the links they hold, then those of the same nodes. Then rounds of minima and joins, each a written table, until nothing changes:
+    Tasks first contract the links they hold, then those of the same nodes. Then rounds of minima and joins, each a written table, until every node has one link, to a root:
     about as many as the logarithm of the longest way. No node's links are ever gathered: minima are combined before
     the shuffle, and the joins split hot nodes. Links of a node to itself and repeated links count for nothing
     more; no links give no rows.
@@ -64,12 +70,7 @@ def components(links: DataFrame) -> DataFrame:
     own = links.filter("a <> b").select("a", "b").mapInPandas(_contract, schema)
     # a node that several tasks have linked to roots of theirs comes to one task: there the roots are linked, and the node keeps one link
     current = stored(own.repartition("a").mapInPandas(_contract, schema).distinct(), "links")
-    state = None
-    while True:
-        seen = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == state or seen[0] == 0:
-            break
-        state = seen
+    while not _settled(current):
         current = stored(_hooked(current), "links")
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
