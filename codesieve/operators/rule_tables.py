@@ -55,6 +55,8 @@ def _windows(text: np.ndarray, width: int) -> np.ndarray:
 
 def line_keys(lines: pa.Array, bits: np.ndarray) -> pa.Array:
     """For each line its keys that the bitmap lets through, as a list; null for a null."""
+    if not len(lines):
+        return pa.array([], pa.list_(pa.int64()))
     ends, text = _bytes_of(lines)
     together = text.tobytes()
     if any(letter in together for letter in _FOREIGN_BYTES):

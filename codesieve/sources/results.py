@@ -46,7 +46,7 @@ def read_results(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path).filter("repo IS NOT NULL").drop(_BUCKET)
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # a first write of no rows leaves an empty folder
             raise
         return None
 

@@ -92,6 +92,7 @@ def test_a_line_meets_few_rules():
     sizes = [len(x) for x in found.to_pylist()[:2000]]
     assert min(sizes) == 1 and sum(sizes) < 1.5 * len(sizes)
     assert fold("ABCzKKſİıÉ") == "abczkksiiÉ"
+    assert rule_tables.line_keys(pa.array([], pa.string()), bits).to_pylist() == []
 
 
 def test_the_table_is_not_gathered(spark, monkeypatch):

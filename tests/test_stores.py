@@ -83,6 +83,8 @@ def test_a_rescan_replaces_its_repositories(spark, tmp_path):
     path = str(tmp_path / "results")
     table = lambda *rows: spark.createDataFrame(list(rows), "repo string, path string, n int")
     assert read_results(spark, path) is None
+    replace_results(table().limit(0), path, buckets=8)
+    assert read_results(spark, path) is None
     first = [(f"r{i}", f"p{j}", 1) for i in range(40) for j in range(3)]
     replace_results(table(*first, (None, "x", 1)), path, buckets=8)
     assert rows_of(read_results(spark, path)) == sorted(first)
