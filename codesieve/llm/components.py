@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codesieve.llm.common import stored
 
 _BATCH = 1 << 20
+_LINKS = 1 << 16  # links, about, that a task contracts once tables are written
 
 
 def _contract(batches):
@@ -61,16 +62,20 @@ def _settled(links: DataFrame) -> bool:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links(a, b)``, two bigints; the component is its smallest node.
 
-    Tasks first contract the links they hold, then those of the same nodes. Then rounds of minima and joins, each a written table, until every node has one link, to a root:
-    about as many as the logarithm of the longest way. No node's links are ever gathered: minima are combined before
-    the shuffle, and the joins split hot nodes. Links of a node to itself and repeated links count for nothing
-    more; no links give no rows.
+    Tasks first contract the links they read. What is left is dealt to tasks of some _LINKS each, however many partitions shuffles have: as many as
+    the links ask for, and for few links one, which sees them all and is done. Several contract again, then those of the same nodes. Then rounds of
+    minima and joins, each a written table, until every node has one link, to a root: about as many as the logarithm of the longest
+    way. No node's links are ever gathered: minima are combined before the shuffle, and the joins split hot nodes. Links of a
+    node to itself and repeated links count for nothing more; no links give no rows.
     """
     schema = "a bigint, b bigint"
-    own = links.filter("a <> b").select("a", "b").mapInPandas(_contract, schema)
-    # a node that several tasks have linked to roots of theirs comes to one task: there the roots are linked, and the node keeps one link
-    current = stored(own.repartition("a").mapInPandas(_contract, schema).distinct(), "links")
-    while not _settled(current):
+    own = stored(links.filter("a <> b").select("a", "b").mapInPandas(_contract, schema), "links")
+    tasks = max(1, -(-own.count() // _LINKS))
+    current = own.coalesce(tasks).mapInPandas(_contract, schema)
+    if tasks > 1:  # a node that several tasks have linked to roots of theirs comes to one task: there the roots are linked, and the node keeps one link
+        current = current.repartition("a").mapInPandas(_contract, schema).distinct()
+    current = stored(current, "links")
+    while tasks > 1 and not _settled(current):
         current = stored(_hooked(current), "links")
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

@@ -180,84 +180,130 @@ def _frequencies(rows: DataFrame, read) -> np.ndarray:
     return out.ravel()
 
 
-def _prefixes(frequencies, percent: int, read, wanted=None):
-    """Of each set its rarest shingles: so many that two sets of the similarity share one of them, if both keep one order of all shingles. ``at`` is a
-    shingle's place in that order, ``n`` the size of the set. ``wanted`` is a bitmap of the keys that count."""
+_PICKED = 32  # sets, about, that a family's centre is made of
+
+
+def _centre(read):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        """The shingles that more than half of the sets hold."""
+        every, times = np.unique(np.concatenate(read(group["shingles"].to_list())), return_counts=True)
+        return pd.DataFrame({"family": [group["family"].iloc[0]], "centre": [every[2 * times > len(group)].tobytes()]})
+
+    return run
+
+
+def _differences(percent: int, read):
+    """Each set as what tells it from its family's centre. ``delta`` are the shingles that only one of both holds, ``excess`` is
+    (100 + percent) * |delta| - (100 - percent) * n, and ``lost`` how many of ``delta`` a similar set can lack at most."""
 
     def run(batches):
         for batch in batches:
             for first in range(0, len(batch), 256):
                 part = batch.iloc[first:first + 256]
-                sets = read(part["shingles"].to_list())
+                deltas, n, w, lost = [], [], [], []
+                for own, centre in zip(read(part["shingles"].to_list()), part["centre"], strict=True):
+                    centre = np.frombuffer(centre or b"", np.uint64)
+                    both = np.concatenate([own, centre])
+                    both.sort()
+                    twice = both[1:] == both[:-1]
+                    alone = np.ones(len(both), bool)
+                    alone[1:] &= ~twice
+                    alone[:-1] &= ~twice
+                    common = np.count_nonzero(twice)
+                    deltas.append(both[alone].tobytes()), n.append(len(own)), w.append(len(both) - 2 * common)
+                    # of a similar pair, all that only one of both holds is n * (100 - percent) / percent at most, and n * (100 - percent) / 100 of it are mine
+                    own_most = min(len(own) - common, len(own) * (100 - percent) // 100)
+                    lost.append(min(len(own) * (100 - percent) // percent, own_most + len(centre) - common))
+                n, w = np.array(n, np.int64), np.array(w, np.int64)
+                yield part[["family", "node"]].assign(excess=(100 + percent) * w - (100 - percent) * n, lost=np.array(lost, np.int64), delta=deltas)
+
+    return run
+
+
+def _prefixes(frequencies, percent: int, least: str, wanted=None):
+    """Of each difference its rarest shingles: so many that it shares one of them with that of every similar set whose excess is ``least`` or more, if the
+    excesses add up to more than 0 and both keep one order of all shingles. ``ahead`` counts a shingle and those behind it. ``wanted`` is a
+    bitmap of the keys that count."""
+
+    def run(batches):
+        for batch in batches:
+            for first in range(0, len(batch), 256):
+                part = batch.iloc[first:first + 256]
+                sets = _numbers(part["delta"].to_list())
                 sizes = np.fromiter(map(len, sets), np.int64, len(sets))
                 every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
                 order = np.lexsort((every, frequencies.value[_cells(every)], owner))
                 at = np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                kept = at < (sizes - (percent * sizes + 99) // 100 + 1)[owner]
+                excess = part["excess"].to_numpy()
+                common = np.maximum(-(-(excess + part[least].to_numpy()) // (2 * (100 + percent))), sizes - part["lost"].to_numpy())
+                kept = at < (sizes - np.maximum(common, 1) + 1)[owner]
                 keys, at, owner = every[order[kept]], at[kept], owner[kept]
                 if wanted is not None:
                     hit = in_bitmap(wanted.value, keys)
                     keys, at, owner = keys[hit], at[hit], owner[hit]
                 yield pd.DataFrame({
                     "family": part["family"].to_numpy()[owner], "key": keys.view(np.int64), "node": part["node"].to_numpy()[owner],
-                    "component": part["component"].to_numpy()[owner], "n": sizes[owner], "at": at})
+                    "middle": part["middle"].to_numpy()[owner], "excess": excess[owner], "ahead": sizes[owner] - at})
 
     return run
 
 
-def links_between(families: DataFrame, joined: DataFrame, sets: DataFrame, percent: int, confirm, read=_numbers) -> DataFrame:
-    """(a, b): links between components of a family, one or more wherever there is any; exact. ``read`` gives the sorted distinct hashes
+def links_between(families: DataFrame, sets: DataFrame, percent: int, confirm, read=_numbers) -> DataFrame:
+    """(a, b): links between the sets of a family, enough for the components that all links would give; exact. ``read`` gives the sorted distinct hashes
     of each of a list of values of ``shingles``, ``confirm`` keeps those of ``pairs(a, b)`` whose sets are similar.
 
-    Of a family whose sets are not all joined, every set outside its largest component is asked against all others. All shingles have one
-    order, rarest first. A set of n that is similar to another shares with it one of its first n - ceil(n * similarity) + 1 shingles; and behind the first one
-    that both share, both must have enough left for the intersection that their sizes ask for. So sets meet by rare shingles only, in a join on
-    (family, shingle): near copies that lie below the similarity differ in shingles of their own, which stand first.
+    A family has a centre C, the shingles that most of some of its sets hold, and each set is told by its difference d to C. Two sets differ in
+    |d| + |d'| - 2 |d & d'| shingles, so they are similar if, and only if, the sum of their excesses (see :func:`_differences`) is at most
+    2 * (100 + percent) * |d & d'|. That holds for any C; a good one only makes differences small. So
+
+    - the set of the least excess is similar to all whose excess is at most its own with the sign turned. Any two sets whose excesses
+      add up to 0 or less are among these. No pair is looked at for that;
+    - every other link asks for shingles that both differences share. These are joined on (family, shingle), rarest first: a difference
+      takes part with so many that a pair with enough in common meets, and behind the first one both must have enough left. Near copies that lie
+      below the similarity share nearly all of the centre, but hardly any of their differences.
+
+    The sets that the first step joins are the middle of the family; every set outside is asked against all others of its family.
     """
     spark = families.sparkSession
-    parts = families.withColumnRenamed("component", "family").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = stored(parts.select("node", "family", "component"), "families")
-    split = parts.groupBy("family", "component").agg(F.count("*").alias("size")).groupBy("family").agg(
-        F.count("*").alias("components"), F.max(F.struct("size", "component"))["component"].alias("largest")).filter("components > 1")
-    rows = parts.join(split, "family").join(sets.withColumnRenamed("set_id", "node"), "node")
-    rows = stored(rows.select("family", "node", "component", (F.col("component") != F.col("largest")).alias("asked"), "shingles"), "apart")
-    frequencies = spark.sparkContext.broadcast(_frequencies(rows, read))
-    schema = "family bigint, key bigint, node bigint, component bigint, n bigint, at bigint"
-    asked = stored(rows.filter("asked").mapInPandas(_prefixes(frequencies, percent, read), schema), "asked")
+    parts = families.withColumnRenamed("component", "family")
+    counts = parts.groupBy("family").agg(F.ceil(F.count("*") / _PICKED).alias("one_in"))
+    rows = parts.join(counts, "family").join(sets.withColumnRenamed("set_id", "node"), "node")
+    rows = stored(rows.select("family", "node", F.expr("pmod(xxhash64(node), one_in) = 0").alias("picked"), "shingles"), "apart")
+    centres = stored(rows.filter("picked").select("family", "shingles").groupBy("family").applyInPandas(_centre(read), "family bigint, centre binary"), "centres")
+    schema = "family bigint, node bigint, excess bigint, lost bigint, delta binary"
+    told = stored(rows.drop("picked").join(centres, "family", "left").mapInPandas(_differences(percent, read), schema), "differences")
+
+    first = told.groupBy("family").agg(F.min(F.struct("excess", "node")).alias("first"))
+    told = told.join(stored(first, "first"), "family").withColumn("middle", (F.col("node") == F.col("first.node")) | (F.col("excess") + F.col("first.excess") <= 0))
+    plain = told.filter("middle AND node <> first.node").select(F.col("first.node").alias("a"), F.col("node").alias("b"))
+    outside = stored(told.filter("NOT middle").groupBy("family").agg(F.min("excess").alias("of_asked")), "outside")
+    rows = told.join(outside, "family").select("family", "node", "excess", "lost", "delta", "middle", F.col("first.excess").alias("of_all"), "of_asked")
+    rows = stored(rows, "differences")
+
+    frequencies = spark.sparkContext.broadcast(_frequencies(rows.select(F.col("delta").alias("shingles")), _numbers))
+    schema = "family bigint, key bigint, node bigint, middle boolean, excess bigint, ahead bigint"
+    asked = stored(rows.filter("NOT middle").mapInPandas(_prefixes(frequencies, percent, "of_all"), schema).drop("middle"), "asked")
     wanted = spark.sparkContext.broadcast(bitmap(asked, "key"))
-    there = stored(rows.mapInPandas(_prefixes(frequencies, percent, read, wanted), schema), "there")
-    there = there.select("family", "key", *[F.col(c).alias(f"other_{c}") for c in ("node", "component", "n", "at")])
-    # the intersection has 2 s / (1 + s) of the mean size at least, s the similarity
-    enough = (F.least(F.col("n") - F.col("at"), F.col("other_n") - F.col("other_at")) * (100 + percent) >= (F.col("n") + F.col("other_n")) * percent)
-    pairs = asked.join(there, ["family", "key"]).filter(enough & (F.col("component") != F.col("other_component")))
-    return confirm(stored(pairs.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct(), "pairs-apart"))
+    there = stored(rows.mapInPandas(_prefixes(frequencies, percent, "of_asked", wanted), schema), "there")
+    there = there.select("family", "key", "middle", *[F.col(c).alias(f"other_{c}") for c in ("node", "excess", "ahead")])
+    enough = F.least("ahead", "other_ahead") * (2 * (100 + percent)) >= F.col("excess") + F.col("other_excess")
+    # a pair outside the middle is asked once
+    pairs = asked.join(there, ["family", "key"]).filter(enough & (F.col("middle") | (F.col("node") < F.col("other_node"))))
+    pairs = stored(pairs.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct(), "pairs-apart")
+    return plain.union(confirm(pairs))
 
 
-def linked_sets(docs: DataFrame, sets: DataFrame, width: int, percent: int, rounds: int = 2) -> DataFrame:
+def linked_sets(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, component) of the sets that have a link.
 
-    A link only matters if it joins two components, so candidates are confirmed in rounds: first the best one of each node, then,
-    of those that still lie between components, the best one again. What is left is closed exactly: sets with a link share a prefix in
-    some tree, and so do all rows between them in its order, so both lie in one component of the candidates, their family, even where a
-    dense region hides them from each other's neighbours. :func:`links_between` finds all links between a family's components.
+    Sets with a link share a prefix in some tree, and so do all rows between them in its order, so both lie in one component of the
+    candidates, their family, even where a dense region hides them from each other's neighbours. :func:`links_between` finds what
+    joins the sets of a family.
     """
-    found = stored(candidates(sets), "candidates")
-    families = stored(components(found), "families")
+    families = stored(components(candidates(sets).select("a", "b")), "families")
     table = stored(_set_table(docs, sets.select("set_id", "at").join(families.select(F.col("node").alias("set_id")), "set_id", "left_semi"), width), "sets")
-    links, joined, left = None, None, found
-    for turn in range(rounds):
-        pair = F.struct("support", "a", "b")
-        ended = left.select(F.col("a").alias("n"), pair.alias("p")).union(left.select(F.col("b").alias("n"), pair.alias("p")))
-        chosen = stored(ended.groupBy("n").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct(), "chosen")
-        fresh = confirmed(chosen, table, percent)
-        links = stored(fresh if links is None else links.union(fresh), "confirmed")
-        joined = stored(components(links), "components")
-        if turn + 1 < rounds:
-            of = lambda end: joined.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))  # noqa: E731, B023
-            rest = left.join(chosen, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
-            left = stored(rest.select("a", "b", "support"), "candidates")
-    links = stored(links.union(links_between(families, joined, table, percent, lambda pairs: confirmed(pairs, table, percent))), "links")
-    return stored(components(links), "components")
+    links = links_between(families, table, percent, lambda pairs: confirmed(pairs, table, percent))
+    return stored(components(stored(links, "links")), "components")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -249,13 +249,10 @@ def repeated_lines(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, ro
     def confirm(found):  # written, so that no stage holds the workers of two Python steps
         return stored(found.join(left, "a").join(right, "b").filter(_similar(width, percent)("left", "right")).select("a", "b"), "line-links")
 
-    links = confirm(pairs)
-    joined = stored(components(links), "line-components")
     # texts travel, which are shorter than their sets
-    more = links_between(
-        components(pairs), joined, texts.select(F.col("line").alias("set_id"), F.col("text").alias("shingles")), percent, confirm,
+    links = links_between(
+        stored(components(pairs), "line-families"), texts.select(F.col("line").alias("set_id"), F.col("text").alias("shingles")), percent, confirm,
         read=lambda own: list(map(_shingle_sets(own, width).__getitem__, own)))
-    links = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
     members = components(links).withColumnRenamed("node", "line").join(places.filter("first"), "line")
     members = stored(members.select("component", F.struct("doc", "at", "number").alias("place")), "line-members")
     kept = members.groupBy("component").agg(F.min("place").alias("kept"))

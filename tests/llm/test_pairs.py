@@ -47,6 +47,22 @@ def test_components(spark):
     assert components(spark.createDataFrame([(1, 1)], "a bigint, b bigint")).count() == 0
 
 
+def test_components_of_many_tasks(spark, monkeypatch):
+    """As many links as several tasks get: a long way, a hot node, and pieces."""
+    from codesieve.llm import components as module
+
+    monkeypatch.setattr(module, "_LINKS", 40)
+    rng = random.Random(6)
+    ids = rng.sample(range(-10**6, 10**6), 500)
+    pairs = [(ids[i], ids[i + 1]) for i in range(199)] + [(ids[300], i) for i in ids[301:400]] + [(rng.choice(ids[400:]), rng.choice(ids[400:])) for _ in range(60)]
+    u = Union()
+    for a, b in pairs:
+        u.join(a, b)
+    rows = components(spark.createDataFrame(pairs, "a bigint, b bigint").repartition(12)).collect()
+    want = {x: u.root(x) for p in pairs for x in p if p[0] != p[1]}
+    assert len(rows) == len(want) and {r.node: r.component for r in rows} == want
+
+
 def brute_near(rows, width, percent):
     """{row number: (number of shingles, component's smallest id)}"""
     sets = []
@@ -104,6 +120,27 @@ def test_large_group_of_near_copies(spark):
     assert found == {i: c for (i, _), (_, c) in zip(rows, want, strict=True)}
 
 
+def test_near_copies_below_the_similarity(spark, monkeypatch):
+    """Copies of one text, each with words of its own: all share most shingles, hardly any two are similar. Few pairs
+    are looked at, of the 28680 that there are."""
+    from codesieve.llm import forest
+
+    rng, rows = random.Random(10), []
+    base = prose(78, 150).split()
+    for i in range(240):
+        text = list(base)
+        for at in rng.sample(range(2, 148), 3):
+            text[at] = f"w{i}x{at}"
+        rows.append((i, " ".join(text)))
+    looked_at, confirmed = [], forest.confirmed
+    monkeypatch.setattr(forest, "confirmed", lambda pairs, *rest: (looked_at.append(pairs.count()), confirmed(pairs, *rest))[1])
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(9)
+    found = {r.doc_id: r.component_id for r in near_duplicates(docs, 3, 85).collect()}
+    want = brute_near(rows, 3, 85)
+    assert found == {i: c for (i, _), (_, c) in zip(rows, want, strict=True)} and len(set(found.values())) > 100
+    assert sum(looked_at) < len(rows) ** 2 / 15
+
+
 def test_signatures():
     a = shingle_set(prose(1, 400), 3)
     assert len(a) == len(np.unique(a)) and np.array_equal(signature(a, 72), signature(a[::-1].copy(), 72))
