@@ -232,9 +232,8 @@ def repeated_lines(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, ro
 
     Tasks first combine their own lines: a line's first place, a key's first line. What they hand on is packed into one row for
     each bucket, so a line that fills a third of the corpus arrives once from each task. Lines with a common band key are
-    candidates: a pair with a key's first line or with its line before is confirmed on the lines themselves. Components of these pairs,
-    similar or not, are families, and a family holds all lines of its keys. What confirmed links leave apart inside a family is
-    compared exactly, set against set (:func:`links_between`); a line in a link belongs to its component.
+    paired with the key's first line and with the line before. Components of these pairs, similar or not, are families, and a family holds all
+    lines of its keys. Its links are found exactly on the shingle sets (:func:`links_between`); a line in a link belongs to its component.
     """
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = stored(docs.mapInArrow(_parts(buckets, width, bands, rows), _PARTS), "line-parts")
