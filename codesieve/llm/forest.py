@@ -16,6 +16,7 @@ from codesieve.llm.components import components
 
 TREES, DEPTH = 12, 6
 _CHUNK = 2048
+_GOLD = 0x9E3779B97F4A7C15
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -180,42 +181,75 @@ def _frequencies(rows: DataFrame, read) -> np.ndarray:
     return out.ravel()
 
 
-_PICKED = 32  # sets, about, that a family's centre is made of
+_PICKED = 32  # sets, about, that a family's centres are made of
+_CENTRES = 8  # most of a family
 
 
-def _centre(read):
+def _common(own: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Which of ``own`` are in ``centre``, both sorted."""
+    if not len(centre):
+        return np.zeros(len(own), bool)
+    return centre[np.minimum(np.searchsorted(centre, own), len(centre) - 1)] == own
+
+
+def _distance(own: np.ndarray, centre: np.ndarray) -> float:
+    common = np.count_nonzero(_common(own, centre))
+    return 1 - common / (len(own) + len(centre) - common)
+
+
+def _centres(read):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        """The shingles that more than half of the sets hold."""
-        every, times = np.unique(np.concatenate(read(group["shingles"].to_list())), return_counts=True)
-        return pd.DataFrame({"family": [group["family"].iloc[0]], "centre": [every[2 * times > len(group)].tobytes()]})
+        """What most sets hold, of those around one: first around the set that has the most others within half their shingles, then of what is left. Sets
+        that are all far from each other have one centre."""
+        sets = read(group["shingles"].to_list())
+        near = np.eye(len(sets), dtype=bool)
+        for i, own in enumerate(sets):
+            for j in range(i):
+                near[i, j] = near[j, i] = _distance(own, sets[j]) <= 0.5
+        left, around = np.ones(len(sets), bool), []
+        while len(around) < _CENTRES and (most := (near & left).sum(axis=1)).max() > 1:
+            around.append(np.flatnonzero(near[most.argmax()] & left))
+            left[around[-1]] = False
+        centres = []
+        for own in around or [np.arange(len(sets))]:
+            every, times = np.unique(np.concatenate([sets[i] for i in own]), return_counts=True)
+            centres.append(every[2 * times > len(own)].tobytes())
+        return pd.DataFrame({"family": [group["family"].iloc[0]], "centres": [centres]})
 
     return run
 
 
 def _differences(percent: int, read):
-    """Each set as what tells it from its family's centre. ``delta`` are the shingles that only one of both holds, ``excess`` is
-    (100 + percent) * |delta| - (100 - percent) * n, and ``lost`` how many of ``delta`` a similar set can lack at most."""
+    """Each set as what tells it from the centres of its family that are next to it; a centre and the sets it is next to are a cluster. ``delta`` are the
+    shingles that only one of both holds, ``excess`` is (100 + percent) * |delta| - (100 - percent) * n, ``lost`` how many of ``delta`` a
+    similar set can lack at most. ``home`` is the cluster of the nearest centre.
+
+    Distances of sets obey the triangle inequality, and similar sets are 1 - percent / 100 apart at most. So a set is found at the home of each set
+    that is similar to it, if it is in all clusters whose centres are farther than its nearest one by up to twice that."""
+    slack = 2 * (100 - percent) / 100 + 1e-9
 
     def run(batches):
         for batch in batches:
             for first in range(0, len(batch), 256):
                 part = batch.iloc[first:first + 256]
-                deltas, n, w, lost = [], [], [], []
-                for own, centre in zip(read(part["shingles"].to_list()), part["centre"], strict=True):
-                    centre = np.frombuffer(centre or b"", np.uint64)
-                    both = np.concatenate([own, centre])
-                    both.sort()
-                    twice = both[1:] == both[:-1]
-                    alone = np.ones(len(both), bool)
-                    alone[1:] &= ~twice
-                    alone[:-1] &= ~twice
-                    common = np.count_nonzero(twice)
-                    deltas.append(both[alone].tobytes()), n.append(len(own)), w.append(len(both) - 2 * common)
-                    # of a similar pair, all that only one of both holds is n * (100 - percent) / percent at most, and n * (100 - percent) / 100 of it are mine
-                    own_most = min(len(own) - common, len(own) * (100 - percent) // 100)
-                    lost.append(min(len(own) * (100 - percent) // percent, own_most + len(centre) - common))
+                at, family, home, deltas, n, w, lost = [], [], [], [], [], [], []
+                for row, (of, own, centres) in enumerate(zip(part["family"], read(part["shingles"].to_list()), part["centres"], strict=True)):
+                    centres = _numbers(centres) if centres is not None else [np.empty(0, np.uint64)]
+                    far = np.array([_distance(own, c) for c in centres]) if len(centres) > 1 else np.zeros(1)
+                    for k in np.flatnonzero(far <= far.min() + slack):
+                        centre, inside = centres[k], _common(own, centres[k])
+                        common = np.count_nonzero(inside)
+                        alone = np.concatenate([own[~inside], centre[~_common(centre, own)]])
+                        alone.sort()
+                        at.append(row), family.append((of + int(k) * _GOLD) % 2**64), home.append(k == far.argmin())
+                        deltas.append(alone.tobytes()), n.append(len(own)), w.append(len(alone))
+                        # of a similar pair, all that only one of both holds is n * (100 - percent) / percent at most, and n * (100 - percent) / 100 of it are mine
+                        own_most = min(len(own) - common, len(own) * (100 - percent) // 100)
+                        lost.append(min(len(own) * (100 - percent) // percent, own_most + len(centre) - common))
                 n, w = np.array(n, np.int64), np.array(w, np.int64)
-                yield part[["family", "node"]].assign(excess=(100 + percent) * w - (100 - percent) * n, lost=np.array(lost, np.int64), delta=deltas)
+                yield pd.DataFrame({
+                    "family": np.array(family, np.uint64).view(np.int64), "node": part["node"].to_numpy()[at], "part": part["part"].to_numpy()[at],
+                    "home": np.array(home, bool), "excess": (100 + percent) * w - (100 - percent) * n, "lost": np.array(lost, np.int64), "delta": deltas})
 
     return run
 
@@ -243,52 +277,59 @@ def _prefixes(frequencies, percent: int, least: str, wanted=None):
                     keys, at, owner = keys[hit], at[hit], owner[hit]
                 yield pd.DataFrame({
                     "family": part["family"].to_numpy()[owner], "key": keys.view(np.int64), "node": part["node"].to_numpy()[owner],
+                    "part": part["part"].to_numpy()[owner], "home": part["home"].to_numpy()[owner],
                     "middle": part["middle"].to_numpy()[owner], "excess": excess[owner], "ahead": sizes[owner] - at})
 
     return run
 
 
 def links_between(families: DataFrame, sets: DataFrame, percent: int, confirm, read=_numbers) -> DataFrame:
-    """(a, b): links between the sets of a family, enough for the components that all links would give; exact. ``read`` gives the sorted distinct hashes
+    """(a, b): links between the sets of a family, enough for the components that all links would give; exact. ``families(node, family)`` may have a column
+    ``part``: sets of one part are known to be in one component, and no link between them is asked for. ``read`` gives the sorted distinct hashes
     of each of a list of values of ``shingles``, ``confirm`` keeps those of ``pairs(a, b)`` whose sets are similar.
 
-    A family has a centre C, the shingles that most of some of its sets hold, and each set is told by its difference d to C. Two sets differ in
+    A family has a few centres, each the shingles that most sets around it hold, and a set takes part in the clusters of the centres next to it, so that every
+    pair of similar sets is in one cluster, at home for one of them (:func:`_differences`). There each set is told by its difference d to the centre C. Two sets differ in
     |d| + |d'| - 2 |d & d'| shingles, so they are similar if, and only if, the sum of their excesses (see :func:`_differences`) is at most
     2 * (100 + percent) * |d & d'|. That holds for any C; a good one only makes differences small. So
 
     - the set of the least excess is similar to all whose excess is at most its own with the sign turned. Any two sets whose excesses
       add up to 0 or less are among these. No pair is looked at for that;
-    - every other link asks for shingles that both differences share. These are joined on (family, shingle), rarest first: a difference
+    - every other link asks for shingles that both differences share. These are joined on (cluster, shingle), rarest first: a difference
       takes part with so many that a pair with enough in common meets, and behind the first one both must have enough left. Near copies that lie
       below the similarity share nearly all of the centre, but hardly any of their differences.
 
-    The sets that the first step joins are the middle of the family; every set outside is asked against all others of its family.
+    The parts that the first step joins are the middle of the cluster; every set outside is asked against all of other parts.
     """
     spark = families.sparkSession
-    parts = families.withColumnRenamed("component", "family")
-    counts = parts.groupBy("family").agg(F.ceil(F.count("*") / _PICKED).alias("one_in"))
-    rows = parts.join(counts, "family").join(sets.withColumnRenamed("set_id", "node"), "node")
-    rows = stored(rows.select("family", "node", F.expr("pmod(xxhash64(node), one_in) = 0").alias("picked"), "shingles"), "apart")
-    centres = stored(rows.filter("picked").select("family", "shingles").groupBy("family").applyInPandas(_centre(read), "family bigint, centre binary"), "centres")
-    schema = "family bigint, node bigint, excess bigint, lost bigint, delta binary"
+    if "part" not in families.columns:
+        families = families.withColumn("part", F.col("node"))
+    counts = families.groupBy("family").agg(F.ceil(F.count("*") / _PICKED).alias("one_in"))
+    rows = families.join(counts, "family").join(sets.withColumnRenamed("set_id", "node"), "node")
+    rows = stored(rows.select("family", "node", "part", F.expr("pmod(xxhash64(node), one_in) = 0").alias("picked"), "shingles"), "apart")
+    centres = stored(rows.filter("picked").select("family", "shingles").groupBy("family").applyInPandas(_centres(read), "family bigint, centres array<binary>"), "centres")
+    schema = "family bigint, node bigint, part bigint, home boolean, excess bigint, lost bigint, delta binary"
     told = stored(rows.drop("picked").join(centres, "family", "left").mapInPandas(_differences(percent, read), schema), "differences")
 
     first = told.groupBy("family").agg(F.min(F.struct("excess", "node")).alias("first"))
-    told = told.join(stored(first, "first"), "family").withColumn("middle", (F.col("node") == F.col("first.node")) | (F.col("excess") + F.col("first.excess") <= 0))
-    plain = told.filter("middle AND node <> first.node").select(F.col("first.node").alias("a"), F.col("node").alias("b"))
-    outside = stored(told.filter("NOT middle").groupBy("family").agg(F.min("excess").alias("of_asked")), "outside")
-    rows = told.join(outside, "family").select("family", "node", "excess", "lost", "delta", "middle", F.col("first.excess").alias("of_all"), "of_asked")
+    told = told.join(stored(first, "first"), "family").withColumn("near", (F.col("node") == F.col("first.node")) | (F.col("excess") + F.col("first.excess") <= 0))
+    plain = told.filter("near AND node <> first.node").select(F.col("first.node").alias("a"), F.col("node").alias("b"))
+    whole = stored(told.groupBy("family", "part").agg(F.max("near").alias("middle"), F.min("excess").alias("least")), "family-parts")
+    outside = whole.filter("NOT middle").groupBy("family").agg(F.min("least").alias("of_asked"))
+    rows = told.join(whole.drop("least"), ["family", "part"]).join(outside, "family").select(
+        "family", "node", "part", "home", "excess", "lost", "delta", "middle", F.col("first.excess").alias("of_all"), "of_asked")
     rows = stored(rows, "differences")
 
     frequencies = spark.sparkContext.broadcast(_frequencies(rows.select(F.col("delta").alias("shingles")), _numbers))
-    schema = "family bigint, key bigint, node bigint, middle boolean, excess bigint, ahead bigint"
+    schema = "family bigint, key bigint, node bigint, part bigint, home boolean, middle boolean, excess bigint, ahead bigint"
     asked = stored(rows.filter("NOT middle").mapInPandas(_prefixes(frequencies, percent, "of_all"), schema).drop("middle"), "asked")
     wanted = spark.sparkContext.broadcast(bitmap(asked, "key"))
     there = stored(rows.mapInPandas(_prefixes(frequencies, percent, "of_asked", wanted), schema), "there")
-    there = there.select("family", "key", "middle", *[F.col(c).alias(f"other_{c}") for c in ("node", "excess", "ahead")])
+    there = there.select("family", "key", "middle", *[F.col(c).alias(f"other_{c}") for c in ("node", "part", "home", "excess", "ahead")])
     enough = F.least("ahead", "other_ahead") * (2 * (100 + percent)) >= F.col("excess") + F.col("other_excess")
     # a pair outside the middle is asked once
-    pairs = asked.join(there, ["family", "key"]).filter(enough & (F.col("middle") | (F.col("node") < F.col("other_node"))))
+    apart = (F.col("part") != F.col("other_part")) & (F.col("home") | F.col("other_home")) & (F.col("middle") | (F.col("node") < F.col("other_node")))
+    pairs = asked.join(there, ["family", "key"]).filter(enough & apart)
     pairs = stored(pairs.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct(), "pairs-apart")
     return plain.union(confirm(pairs))
 
@@ -300,7 +341,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> D
     candidates, their family, even where a dense region hides them from each other's neighbours. :func:`links_between` finds what
     joins the sets of a family.
     """
-    families = stored(components(candidates(sets).select("a", "b")), "families")
+    families = stored(components(candidates(sets).select("a", "b")).withColumnRenamed("component", "family"), "families")
     table = stored(_set_table(docs, sets.select("set_id", "at").join(families.select(F.col("node").alias("set_id")), "set_id", "left_semi"), width), "sets")
     links = links_between(families, table, percent, lambda pairs: confirmed(pairs, table, percent))
     return stored(components(stored(links, "links")), "components")

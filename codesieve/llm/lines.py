@@ -226,14 +226,24 @@ def _similar(width: int, percent: int):
     return decide
 
 
+def _open_families(families: DataFrame, known: DataFrame) -> DataFrame:
+    """(node, family, part) of the lines of families in which lines may be similar that no link joins yet; a part is a component of the links that
+    are known. Families in one part are settled, and so are those of two lines: their pair has been looked at."""
+    found = families.withColumnRenamed("component", "family").join(known.withColumnRenamed("component", "part"), "node", "left")
+    found = stored(found.withColumn("part", F.coalesce("part", "node")), "line-families")
+    left = found.groupBy("family").agg(F.count("*").alias("n"), F.min("part").alias("first"), F.max("part").alias("last")).filter("n > 2 AND first <> last")
+    return found.join(left.select("family"), "family", "left_semi")
+
+
 def repeated_lines(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
     """(doc, at, number) of every line of ``docs(doc, at, text)`` that is not the first of its component, in order of document,
     ``at`` and line number.
 
     Tasks first combine their own lines: a line's first place, a key's first line. What they hand on is packed into one row for
     each bucket, so a line that fills a third of the corpus arrives once from each task. Lines with a common band key are
-    paired with the key's first line and with the line before. Components of these pairs, similar or not, are families, and a family holds all
-    lines of its keys. Its links are found exactly on the shingle sets (:func:`links_between`); a line in a link belongs to its component.
+    paired with the key's first line and with the line before, and these pairs are compared exactly. Components of all pairs, similar or not, are families,
+    and a family holds all lines of its keys. What its similar pairs leave apart is linked exactly on the shingle sets (:func:`links_between`); a line in a
+    link belongs to its component.
     """
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = stored(docs.mapInArrow(_parts(buckets, width, bands, rows), _PARTS), "line-parts")
@@ -249,10 +259,11 @@ def repeated_lines(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, ro
         return stored(found.join(left, "a").join(right, "b").filter(_similar(width, percent)("left", "right")).select("a", "b"), "line-links")
 
     # texts travel, which are shorter than their sets
+    known = confirm(pairs)
     links = links_between(
-        stored(components(pairs), "line-families"), texts.select(F.col("line").alias("set_id"), F.col("text").alias("shingles")), percent, confirm,
+        _open_families(components(pairs), components(known)), texts.select(F.col("line").alias("set_id"), F.col("text").alias("shingles")), percent, confirm,
         read=lambda own: list(map(_shingle_sets(own, width).__getitem__, own)))
-    members = components(links).withColumnRenamed("node", "line").join(places.filter("first"), "line")
+    members = components(known.union(links)).withColumnRenamed("node", "line").join(places.filter("first"), "line")
     members = stored(members.select("component", F.struct("doc", "at", "number").alias("place")), "line-members")
     kept = members.groupBy("component").agg(F.min("place").alias("kept"))
     others = members.join(kept, "component").filter("place <> kept").select("place.doc", "place.at", "place.number")

@@ -343,3 +343,49 @@ def test_no_rows_in_a_bucket(n):
     keys = np.arange(n, dtype=np.uint64)
     a, b, k, i = line_module._in_bands(keys, keys)
     assert len(a) == len(b) == 0 and len(k) == len(i) == n
+
+
+def test_template_lines_of_several_texts(spark):
+    """A family of lines made from several texts: copies of each with words of their own, most of them below the similarity, and lines between the texts.
+    Links are whole, and few of the 10224 pairs of copies of a text are looked at."""
+    from codesieve.llm import forest
+
+    rng = random.Random(12)
+    texts = [prose(600 + i, 30).replace("\n", " ").split() for i in range(4)]
+    own = []
+    for i in range(4):
+        for k in range(72):
+            line = list(texts[i])
+            for at in rng.sample(range(3, 27), rng.choice([1, 2, 3, 3])):
+                line[at] = f"w{i}x{k}x{at}"
+            own += [" ".join(line)]
+        own += [" ".join(texts[i][:15] + texts[(i + 1) % 4][15:])]
+    rng.shuffle(own)
+    lines = spark.createDataFrame([(n, x) for n, x in enumerate(own)], "set_id bigint, shingles string").repartition(3)
+    seen, similar = [], {}
+    sets = [set(line_module.shingles(x).tolist()) for x in own]
+    for i, x in enumerate(sets):
+        for j in range(i):
+            similar[j, i] = 100 * len(x & sets[j]) >= 80 * len(x | sets[j])
+
+    def confirm(pairs):
+        found = [(r.a, r.b) for r in pairs.collect()]
+        seen.extend(found)
+        return spark.createDataFrame([p for p in found if similar[p]], "a bigint, b bigint")
+
+    known = Union()
+    for i, j in rng.sample(sorted(p for p, yes in similar.items() if yes), 30):
+        known.join(i, j)
+    families = spark.createDataFrame([(n, 7, known.root(n)) for n in range(len(own))], "node bigint, family bigint, part bigint")
+    read = lambda some: list(map(line_module._shingle_sets(some, 8).__getitem__, some))
+    links = [(r.a, r.b) for r in forest.links_between(families, lines, 80, confirm, read).collect()]
+    assert all(similar[min(p), max(p)] for p in links)
+    want = Union(known)
+    for (i, j), yes in similar.items():
+        if yes:
+            want.join(i, j)
+    for a, b in links:
+        known.join(a, b)
+    assert [known.root(n) for n in range(len(own))] == [want.root(n) for n in range(len(own))]
+    assert len({want.root(n) for n in range(len(own))}) > 20
+    assert len(seen) < 1000 and not any(want.root(i) == want.root(j) and known.root(i) != known.root(j) for i, j in seen)
