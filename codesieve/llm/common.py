@@ -58,9 +58,16 @@ def word_hashes(tokens) -> np.ndarray:
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """Well spread 64-bit values of 64-bit values (finalizer of splitmix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    out = x >> np.uint64(30)  # in place from here on
+    out ^= x
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(27)
+    out *= np.uint64(0x94D049BB133111EB)
+    out ^= out >> np.uint64(31)
+    return out
+
+
+_HASHED = 1 << 14  # shingles hashed together: what fits a processor's cache
 
 
 def shingle_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
@@ -68,9 +75,15 @@ def shingle_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
     n = len(tokens) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = mixed(tokens[:n])
-    for i in range(1, width):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + tokens[i:i + n])
+    out = np.empty(n, np.uint64)
+    for at in range(0, n, _HASHED):
+        stop = min(at + _HASHED, n)
+        part = mixed(tokens[at:stop])
+        for i in range(1, width):
+            part *= np.uint64(0x9E3779B97F4A7C15)
+            part += tokens[at + i:stop + i]
+            part = mixed(part)
+        out[at:stop] = part
     return out
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codesieve.llm.common import stored
 
 _BATCH = 1 << 20
-_LINKS = 1 << 16  # links, about, that a task contracts once tables are written
+_LINKS = 1 << 19  # links, about, that a task contracts once tables are written
 
 
 def _contract(batches):

@@ -114,7 +114,7 @@ def candidates(sets: DataFrame, trees: int = TREES, depth: int = DEPTH, least: i
 
 
 def _set_table(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(set_id, shingles) of the sets in ``wanted(set_id, at)``, read again from their documents in ``docs(at, text)``."""
+    """``wanted(set_id, at, ...)`` without ``at`` and with the sets' ``shingles``, read again from their documents in ``docs(at, text)``."""
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "at"))
 
     def scan(batches):
@@ -125,8 +125,7 @@ def _set_table(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 ids = [xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 for s in found]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["set_id", "shingles"])
 
-    return docs.select("at", "text").mapInArrow(scan, "set_id bigint, shingles binary").join(
-        wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
+    return docs.select("at", "text").mapInArrow(scan, "set_id bigint, shingles binary").join(wanted.drop("at"), "set_id").dropDuplicates(["set_id"])
 
 
 def _similar(percent: int):
@@ -283,9 +282,80 @@ def _prefixes(frequencies, percent: int, least: str, wanted=None):
     return run
 
 
-def links_between(families: DataFrame, sets: DataFrame, percent: int, confirm, read=_numbers) -> DataFrame:
+TOGETHER = 64  # sets of a family whose pairs are all compared, at most
+_COUNTED = 1 << 22  # entries of a matrix of sets and shingles
+
+
+def counted(families: DataFrame) -> DataFrame:
+    """``families(node, family)`` with ``n``, how many nodes the family has."""
+    return families.join(families.groupBy("family").agg(F.count("*").alias("n")), "family")
+
+
+def _tree(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join the components which all links between these sets give: a tree of each."""
+    n, sizes = len(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+    if n == 2:
+        shared = np.count_nonzero(_common(*sets))
+        return [(0, 1)] if 100 * shared >= percent * (sizes.sum() - shared) else []
+    every, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, several = np.repeat(np.arange(n), sizes), times > 1  # what one set holds alone is in no intersection
+    at, owner = (np.cumsum(several) - 1)[at[several[at]]], owner[several[at]]
+    common, wide = np.zeros((n, n), np.int64), _COUNTED // n
+    for first in range(0, int(several.sum()), wide):
+        own = (at >= first) & (at < first + wide)
+        holds = np.zeros((n, min(wide, int(several.sum()) - first)), np.float32)
+        holds[owner[own], at[own] - first] = 1
+        common += (holds @ holds.T).astype(np.int64)
+    similar = 100 * common >= percent * (sizes[:, None] + sizes - common)
+    out, left = [], np.ones(n, bool)
+    for start in range(n):
+        ahead = [start] if left[start] else []
+        left[start] = False
+        while ahead:
+            x = ahead.pop()
+            found = np.flatnonzero(similar[x] & left)
+            left[found] = False
+            out += [(x, int(y)) for y in found]
+            ahead += found.tolist()
+    return out
+
+
+def links_together(rows: DataFrame, percent: int, read=_numbers) -> DataFrame:
+    """(a, b): links between the sets of each family of ``rows(family, node, shingles)``, enough for the components that all links would give; exact. Families
+    of TOGETHER sets or fewer: each comes to one task, which counts the intersections of all its pairs. ``read`` is that of :func:`links_between`."""
+
+    def links(part: pd.DataFrame) -> pd.DataFrame:
+        family, node, a, b = part["family"].to_numpy(), part["node"].to_numpy(np.int64), [], []
+        starts = np.flatnonzero(np.concatenate([[True], family[1:] != family[:-1]]))
+        ends = np.append(starts[1:], len(part))
+        for some in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(starts // 256)) + 1):  # whole families, of some 256 rows
+            begin = starts[some[0]]
+            sets = read(part["shingles"].iloc[begin:ends[some[-1]]].to_list())
+            for start, end in zip(starts[some], ends[some], strict=True):
+                for x, y in _tree(sets[start - begin:end - begin], percent):
+                    a.append(node[start + x]), b.append(node[start + y])
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    def run(batches):
+        held = None  # rows of the last family, which may go on
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            family = rows["family"].to_numpy()
+            last = int((family != family[-1]).sum()) if len(rows) else 0
+            if last:
+                yield links(rows.iloc[:last])
+            held = rows.iloc[last:]
+        if held is not None and len(held):
+            yield links(held)
+
+    rows = rows.select("family", "node", "shingles").repartition("family").sortWithinPartitions("family")
+    return rows.mapInPandas(run, "a bigint, b bigint")
+
+
+def links_between(families: DataFrame, sets: DataFrame | None, percent: int, confirm, read=_numbers) -> DataFrame:
     """(a, b): links between the sets of a family, enough for the components that all links would give; exact. ``families(node, family)`` may have a column
-    ``part``: sets of one part are known to be in one component, and no link between them is asked for. ``read`` gives the sorted distinct hashes
+    ``part``: sets of one part are known to be in one component, and no link between them is asked for. Without ``sets(set_id, shingles)`` it is a written table that has
+    their ``shingles``. ``read`` gives the sorted distinct hashes
     of each of a list of values of ``shingles``, ``confirm`` keeps those of ``pairs(a, b)`` whose sets are similar.
 
     A family has a few centres, each the shingles that most sets around it hold, and a set takes part in the clusters of the centres next to it, so that every
@@ -304,12 +374,15 @@ def links_between(families: DataFrame, sets: DataFrame, percent: int, confirm, r
     spark = families.sparkSession
     if "part" not in families.columns:
         families = families.withColumn("part", F.col("node"))
+    rows = families
+    if sets is not None:
+        rows = stored(families.join(sets.withColumnRenamed("set_id", "node"), "node").select("family", "node", "part", "shingles"), "apart")
     counts = families.groupBy("family").agg(F.ceil(F.count("*") / _PICKED).alias("one_in"))
-    rows = families.join(counts, "family").join(sets.withColumnRenamed("set_id", "node"), "node")
-    rows = stored(rows.select("family", "node", "part", F.expr("pmod(xxhash64(node), one_in) = 0").alias("picked"), "shingles"), "apart")
-    centres = stored(rows.filter("picked").select("family", "shingles").groupBy("family").applyInPandas(_centres(read), "family bigint, centres array<binary>"), "centres")
+    picked = F.expr("pmod(xxhash64(node), one_in) = 0")
+    centres = rows.join(counts, "family").filter(picked).select("family", "shingles")
+    centres = stored(centres.groupBy("family").applyInPandas(_centres(read), "family bigint, centres array<binary>"), "centres")
     schema = "family bigint, node bigint, part bigint, home boolean, excess bigint, lost bigint, delta binary"
-    told = stored(rows.drop("picked").join(centres, "family", "left").mapInPandas(_differences(percent, read), schema), "differences")
+    told = stored(rows.select("family", "node", "part", "shingles").join(centres, "family", "left").mapInPandas(_differences(percent, read), schema), "differences")
 
     first = told.groupBy("family").agg(F.min(F.struct("excess", "node")).alias("first"))
     told = told.join(stored(first, "first"), "family").withColumn("near", (F.col("node") == F.col("first.node")) | (F.col("excess") + F.col("first.excess") <= 0))
@@ -338,12 +411,16 @@ def linked_sets(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> D
     """(node, component) of the sets that have a link.
 
     Sets with a link share a prefix in some tree, and so do all rows between them in its order, so both lie in one component of the
-    candidates, their family, even where a dense region hides them from each other's neighbours. :func:`links_between` finds what
-    joins the sets of a family.
+    candidates, their family, even where a dense region hides them from each other's neighbours. :func:`links_together` finds what
+    joins the sets of a family, :func:`links_between` does for families of more than TOGETHER sets.
     """
-    families = stored(components(candidates(sets).select("a", "b")).withColumnRenamed("component", "family"), "families")
-    table = stored(_set_table(docs, sets.select("set_id", "at").join(families.select(F.col("node").alias("set_id")), "set_id", "left_semi"), width), "sets")
-    links = links_between(families, table, percent, lambda pairs: confirmed(pairs, table, percent))
+    families = stored(counted(components(candidates(sets).select("a", "b")).withColumnRenamed("component", "family")), "families")
+    wanted = sets.select("set_id", "at").join(families.withColumnRenamed("node", "set_id"), "set_id")
+    table = stored(_set_table(docs, wanted, width), "sets")
+    few, many = table.filter(F.col("n") <= TOGETHER), table.filter(F.col("n") > TOGETHER)
+    links = stored(links_together(few.withColumnRenamed("set_id", "node"), percent), "links")
+    more = links_between(many.withColumnRenamed("set_id", "node"), None, percent, lambda pairs: confirmed(pairs, many.select("set_id", "shingles"), percent))
+    links = links.union(more)
     return stored(components(stored(links, "links")), "components")
 
 

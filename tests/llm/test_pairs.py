@@ -389,3 +389,48 @@ def test_template_lines_of_several_texts(spark):
     assert [known.root(n) for n in range(len(own))] == [want.root(n) for n in range(len(own))]
     assert len({want.root(n) for n in range(len(own))}) > 20
     assert len(seen) < 1000 and not any(want.root(i) == want.root(j) and known.root(i) != known.root(j) for i, j in seen)
+
+
+def test_links_of_small_families(spark, monkeypatch):
+    """All pairs of a family are compared where it stands, whatever batches and pieces it is read in."""
+    from codesieve.llm import forest
+
+    monkeypatch.setattr(forest, "_COUNTED", 1 << 10)
+    rng = np.random.default_rng(21)
+    rows, want = [], Union()
+    for family, size in enumerate([1, 2, 2, 3, 7, 40, forest.TOGETHER, 1, 5] + [2] * 600):
+        base, sets = rng.integers(0, 2**63, 60).astype(np.uint64), []
+        for _ in range(size):
+            own = base.copy()
+            at = rng.choice(60, rng.integers(0, 12), replace=False)
+            own[at] = rng.integers(0, 2**63, len(at))
+            sets.append(np.unique(own))
+            rows.append((family, len(rows), bytearray(sets[-1].tobytes())))
+        for i in range(size):
+            for j in range(i):
+                shared = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * shared >= 80 * (len(sets[i]) + len(sets[j]) - shared):
+                    want.join(len(rows) - size + i, len(rows) - size + j)
+    table = spark.createDataFrame(rows, "family bigint, node bigint, shingles binary").repartition(5)
+    links, found = [(r.a, r.b) for r in forest.links_together(table, 80).collect()], Union()
+    for a, b in links:
+        found.join(a, b)
+    assert [found.root(n) for n in range(len(rows))] == [want.root(n) for n in range(len(rows))]
+    assert len(links) == len(rows) - len({want.root(n) for n in range(len(rows))})
+    assert forest.links_together(table.limit(0), 80).count() == 0
+
+
+def test_small_families_move_once(spark, monkeypatch):
+    """No pair of a small family is looked up in the table of sets."""
+    from codesieve.llm import forest
+
+    looked_at, confirmed = [], forest.confirmed
+    monkeypatch.setattr(forest, "confirmed", lambda pairs, *rest: (looked_at.append(pairs.count()), confirmed(pairs, *rest))[1])
+    rng, base, rows = random.Random(5), prose(77, 200).split(), []
+    for i in range(40):
+        own = list(base)
+        for at in rng.sample(range(10, 190, 9), rng.randint(3, 7)):
+            own[at] = f"w{at}"
+        rows.append((i, " ".join(own)))
+    found = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85).collect()}
+    assert [found[i] for i in range(40)] == [c for _, c in brute_near(rows, 3, 85)] and len(set(found.values())) < 40 and sum(looked_at) == 0
