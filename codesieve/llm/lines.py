@@ -13,10 +13,10 @@ from pyspark.sql.functions import pandas_udf
 
 from codesieve.llm.common import bitmap, in_bitmap, mixed, shingle_hashes, some_rows, stored
 from codesieve.llm.components import components
-from codesieve.llm.forest import links_between
+from codesieve.llm.forest import TOGETHER, counted, links_between, links_together
 
 SHINGLE, BANDS, ROWS, PERCENT = 8, 12, 4, 80
-_BLOCK = 1 << 17  # characters signed together
+_BLOCK = 1 << 16  # characters signed together
 _UNIT = 1 << 15  # lines that a task combines before it hands them on
 _NO_ID = 2**63 - 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -58,11 +58,15 @@ def band_keys(lines: list[str], width: int = SHINGLE, bands: int = BANDS, rows:
             stop += 1
         hashes, begins = _windows(lines[at:stop], width)
         short = (hashes >> np.uint64(32)).astype(np.uint32)
-        for band in range(bands):
-            key = np.full(len(begins), band + 1, np.uint64) * _GOLD
-            for f in factors[band * rows:(band + 1) * rows]:
-                key = mixed(key * _GOLD + np.minimum.reduceat((short ^ (f >> np.uint32(7))) * f, begins).astype(np.uint64))
-            out[at:stop, band] = key
+        least, some = np.empty((bands * rows, len(begins)), np.uint32), np.empty_like(short)
+        for f, of in zip(factors, least, strict=True):
+            np.bitwise_xor(short, f >> np.uint32(7), out=some)
+            np.multiply(some, f, out=some)
+            np.minimum.reduceat(some, begins, out=of)
+        key = np.repeat(np.arange(1, bands + 1, dtype=np.uint64) * _GOLD, len(begins)).reshape(bands, -1)
+        for row in range(rows):
+            key = mixed(key * _GOLD + least[row::rows])
+        out[at:stop] = key.T
         at = stop
     return out
 
@@ -70,7 +74,13 @@ def band_keys(lines: list[str], width: int = SHINGLE, bands: int = BANDS, rows:
 def _in_bands(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lines that share a key, each paired with the key's first line and with the one before it: pairs grow with the lines, not with the
     square of a key's. The order is another one for each key. Also each key with its first line. All lines of a key lie in one component
-    of these pairs, also across units; what the pairs leave apart is compared by :func:`links_between`."""
+    of these pairs, also across units, and all lines of a component are compared."""
+    order = np.argsort(keys)
+    keys, ids = keys[order], ids[order]
+    last = np.concatenate([keys[1:] != keys[:-1], [True]]) if len(keys) else np.empty(0, bool)
+    alone = last & np.concatenate([[True], last[:-1]]) if len(keys) else last
+    single = keys[alone], ids[alone]  # most keys: no pairs
+    keys, ids = keys[~alone], ids[~alone]
     order = np.lexsort((mixed(ids ^ keys), keys))
     keys, ids = keys[order], ids[order]
     fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])]) if len(keys) else np.empty(0, bool)
@@ -79,7 +89,7 @@ def _in_bands(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     at = np.flatnonzero(~first)
     head = np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))[at] if len(at) else at
     a, b = np.concatenate([ids[at - 1], ids[head]]), np.concatenate([ids[at], ids[at]])
-    return a, b, keys[first], ids[first]
+    return a, b, np.concatenate([single[0], keys[first]]), np.concatenate([single[1], ids[first]])
 
 
 _PARTS = "kind int, bucket int, a binary, b binary, c binary, d binary"
@@ -178,7 +188,7 @@ def _unpack_places(batches):
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line, text) of the lines in ``wanted(line)``, read again from the documents."""
+    """``wanted(line, ...)`` with the lines' ``text``, read again from the documents."""
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "line"))
 
     def scan(batches):
@@ -192,7 +202,7 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             ids = np.fromiter(seen, np.uint64, len(seen)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(seen.values()), pa.string())], ["line", "text"])
 
-    return docs.select("text").mapInArrow(scan, "line bigint, text string").join(wanted, "line", "left_semi").dropDuplicates(["line"])
+    return docs.select("text").mapInArrow(scan, "line bigint, text string").join(wanted, "line").dropDuplicates(["line"])
 
 
 def _shingle_sets(lines: list[str], width: int) -> dict[str, np.ndarray]:
@@ -228,10 +238,10 @@ def _similar(width: int, percent: int):
 
 def _open_families(families: DataFrame, known: DataFrame) -> DataFrame:
     """(node, family, part) of the lines of families in which lines may be similar that no link joins yet; a part is a component of the links that
-    are known. Families in one part are settled, and so are those of two lines: their pair has been looked at."""
-    found = families.withColumnRenamed("component", "family").join(known.withColumnRenamed("component", "part"), "node", "left")
+    are known. Families in one part are settled."""
+    found = families.join(known.withColumnRenamed("component", "part"), "node", "left")
     found = stored(found.withColumn("part", F.coalesce("part", "node")), "line-families")
-    left = found.groupBy("family").agg(F.count("*").alias("n"), F.min("part").alias("first"), F.max("part").alias("last")).filter("n > 2 AND first <> last")
+    left = found.groupBy("family").agg(F.min("part").alias("first"), F.max("part").alias("last")).filter("first <> last")
     return found.join(left.select("family"), "family", "left_semi")
 
 
@@ -241,9 +251,9 @@ def repeated_lines(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, ro
 
     Tasks first combine their own lines: a line's first place, a key's first line. What they hand on is packed into one row for
     each bucket, so a line that fills a third of the corpus arrives once from each task. Lines with a common band key are
-    paired with the key's first line and with the line before, and these pairs are compared exactly. Components of all pairs, similar or not, are families,
-    and a family holds all lines of its keys. What its similar pairs leave apart is linked exactly on the shingle sets (:func:`links_between`); a line in a
-    link belongs to its component.
+    paired with the key's first line and with the line before. Components of all pairs, similar or not, are families, and a family holds all lines of its keys.
+    The lines of a family are linked exactly on their shingle sets (:func:`links_together`). In families of more than TOGETHER lines the pairs are compared first, and
+    what similar ones leave apart is linked by :func:`links_between`; a line in a link belongs to its component.
     """
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = stored(docs.mapInArrow(_parts(buckets, width, bands, rows), _PARTS), "line-parts")
@@ -251,19 +261,24 @@ def repeated_lines(docs: DataFrame, width: int = SHINGLE, bands: int = BANDS, ro
     places = stored(of(0).groupBy("bucket").applyInPandas(_merge_places, "line bigint, doc bigint, at bigint, number int, first boolean"), "line-places")
     found = of(1).groupBy("bucket").applyInPandas(_merge_keys, "a bigint, b bigint")
     pairs = stored(found.union(of(2).select("a", "b").mapInPandas(_unpack_pairs, "a bigint, b bigint")).distinct(), "line-pairs")
-    wanted = pairs.select(F.col("a").alias("line")).union(pairs.select(F.col("b").alias("line"))).distinct()
-    texts = stored(_line_texts(docs, wanted), "line-texts")
-    left, right = texts.select(F.col("line").alias("a"), F.col("text").alias("left")), texts.select(F.col("line").alias("b"), F.col("text").alias("right"))
+    families = stored(counted(components(pairs).withColumnRenamed("component", "family")), "families")
+    texts = stored(_line_texts(docs, families.withColumnRenamed("node", "line")), "line-texts")
+    few, many = texts.filter(F.col("n") <= TOGETHER), texts.filter(F.col("n") > TOGETHER)
+    left, right = many.select(F.col("line").alias("a"), F.col("text").alias("left")), many.select(F.col("line").alias("b"), F.col("text").alias("right"))
+
+    def read(own):
+        return list(map(_shingle_sets(own, width).__getitem__, own))
 
     def confirm(found):  # written, so that no stage holds the workers of two Python steps
         return stored(found.join(left, "a").join(right, "b").filter(_similar(width, percent)("left", "right")).select("a", "b"), "line-links")
 
     # texts travel, which are shorter than their sets
+    together = stored(links_together(few.select("family", F.col("line").alias("node"), F.col("text").alias("shingles")), percent, read), "line-links")
     known = confirm(pairs)
     links = links_between(
-        _open_families(components(pairs), components(known)), texts.select(F.col("line").alias("set_id"), F.col("text").alias("shingles")), percent, confirm,
-        read=lambda own: list(map(_shingle_sets(own, width).__getitem__, own)))
-    members = components(known.union(links)).withColumnRenamed("node", "line").join(places.filter("first"), "line")
+        _open_families(families.filter(F.col("n") > TOGETHER).select("node", "family"), components(known)),
+        many.select(F.col("line").alias("set_id"), F.col("text").alias("shingles")), percent, confirm, read=read)
+    members = components(together.union(known).union(links)).withColumnRenamed("node", "line").join(places.filter("first"), "line")
     members = stored(members.select("component", F.struct("doc", "at", "number").alias("place")), "line-members")
     kept = members.groupBy("component").agg(F.min("place").alias("kept"))
     others = members.join(kept, "component").filter("place <> kept").select("place.doc", "place.at", "place.number")

@@ -434,3 +434,17 @@ def test_small_families_move_once(spark, monkeypatch):
         rows.append((i, " ".join(own)))
     found = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85).collect()}
     assert [found[i] for i in range(40)] == [c for _, c in brute_near(rows, 3, 85)] and len(set(found.values())) < 40 and sum(looked_at) == 0
+
+
+def test_line_dedup_moves_no_texts(spark, tmp_path):
+    """The query joins decisions to ids and line counts, not to texts."""
+    from codesieve.llm import lines_query
+
+    spark.createDataFrame([(1, "a line of text\nanother line"), (2, "a line of text"), (3, None), (4, "")], "doc_id bigint, text string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    found = lines_query.query(spark, str(tmp_path))
+    assert [tuple(r) for r in found.orderBy("doc_id").collect()] == [(1, 2, 2, None), (2, 1, 0, [0]), (3, 0, 0, None), (4, 1, 1, None)]
+    plan = found._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().head()
+    assert not any(plan.output().apply(i).name() == "text" for i in range(plan.output().size()))
