@@ -32,16 +32,25 @@ def shared_folder(spark: SparkSession) -> str:
 ARROW_ROWS = 1000
 
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> str:
+    """From now on this session hands ARROW_ROWS rows at most to Python at once. Returns how many it were."""
+    rows = spark.conf.get(_BATCH_ROWS)
+    if not 0 < int(rows) <= ARROW_ROWS:
+        spark.conf.set(_BATCH_ROWS, str(ARROW_ROWS))
+    return rows
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: later plans start there, and a lost executor costs nothing."""
-    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    path, rows = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}", spark.conf.get(key)
-    if not 0 < int(rows) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    spark = df.sparkSession
+    path, rows = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}", small_batches(spark)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(key, rows)
+        spark.conf.set(_BATCH_ROWS, rows)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,8 @@
 
 A stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again as the next one's ``docs``. All but
 the last return the columns of ``documents``. Nulls, empty texts, repeated rows and empty tables are handled as the operators say;
-further columns pass through.
+further columns pass through. Stages whose result is computed by Python while its caller writes it keep the session's batches small
+(:func:`codesieve.llm.common.small_batches`), also after them: by default a batch is all texts of a task, held several times.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codesieve.llm.common import stored
+from codesieve.llm.common import small_batches, stored
 from codesieve.llm.forest import near_duplicates
 from codesieve.llm.langid import identify
 from codesieve.llm.langid_query import held_out
@@ -31,11 +32,13 @@ def _unpacked(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; those without a letter, and those that fit two languages alike, go."""
+    small_batches(spark)
     return _unpacked(identify(_packed(docs), docs.filter(~held_out())).filter(~F.col("ambiguous")), docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal or similar lines the first stays. Documents all of whose lines are found elsewhere go; ``n_chars`` follows the text."""
+    small_batches(spark)
     left = dedupe_lines(_packed(docs))
     changed = F.col("n_dropped") > 0
     left = left.filter(~(changed & ~F.col("text").rlike(r"\S")))

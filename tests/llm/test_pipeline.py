@@ -101,3 +101,22 @@ def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "copy"]
     assert corpus_pipeline.ORACLE_SQL is None and out.count() > 100
+
+
+def test_stages_keep_batches_small(spark):
+    """What a caller writes of a stage, too, gets to Python in batches of bounded rows."""
+    from codesieve.llm.common import ARROW_ROWS
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, docs = spark.conf.get(key), spark.range(1).selectExpr("id AS doc_id", "'ka lo' AS text", "'ka' AS lang", "'a' AS source", "5L AS n_chars")
+    try:
+        for stage in (corpus_pipeline.identified, corpus_pipeline.without_repeated_lines):
+            for rows in ("10000", "0"):
+                spark.conf.set(key, rows)
+                stage(spark, docs, "")
+                assert int(spark.conf.get(key)) == ARROW_ROWS
+        spark.conf.set(key, "10")
+        corpus_pipeline.identified(spark, docs, "")
+        assert spark.conf.get(key) == "10"
+    finally:
+        spark.conf.set(key, before)
