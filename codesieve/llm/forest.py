@@ -253,13 +253,24 @@ def _differences(percent: int, read):
     return run
 
 
-def _prefixes(frequencies, percent: int, least: str, wanted=None):
-    """Of each difference its rarest shingles: so many that it shares one of them with that of every similar set whose excess is ``least`` or more, if the
-    excesses add up to more than 0 and both keep one order of all shingles. ``ahead`` counts a shingle and those behind it. ``wanted`` is a
-    bitmap of the keys that count."""
+_RECORD = np.dtype([("at", "u8"), ("node", "i8"), ("part", "i8"), ("excess", "i8"), ("ahead", "i8"), ("flags", "u1")])
+_ASKS, _ASKED, _HOME, _MIDDLE = 1, 2, 4, 8
+_DEALT = 256  # differences, about, whose shingles are in a bucket
+_HOT = 1 << 13  # differences that hold a shingle, about, whose askers are in one bucket
+_PAIRED = 1 << 20  # pairs looked at together
+
+
+def _prefixes(frequencies, percent: int, buckets: int, hot: int = _HOT):
+    """Of each difference its rarest shingles: so many that it shares one of them with that of every similar set whose excess is known to be so much or
+    more, if the excesses add up to more than 0 and both keep one order of all shingles. A set outside the middle asks with those for ``of_all``, and every set is asked by those
+    for ``of_asked``, which are the first of them. ``ahead`` counts a shingle and those behind it.
+
+    The shingles are packed, a row for each bucket of (cluster, shingle), ``at``. If very many differences hold a shingle, those that ask with it are dealt
+    to several places, and those that are asked by it are in each of these."""
 
     def run(batches):
         for batch in batches:
+            dealt = []
             for first in range(0, len(batch), 256):
                 part = batch.iloc[first:first + 256]
                 sets = _numbers(part["delta"].to_list())
@@ -267,17 +278,58 @@ def _prefixes(frequencies, percent: int, least: str, wanted=None):
                 every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
                 order = np.lexsort((every, frequencies.value[_cells(every)], owner))
                 at = np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                excess = part["excess"].to_numpy()
-                common = np.maximum(-(-(excess + part[least].to_numpy()) // (2 * (100 + percent))), sizes - part["lost"].to_numpy())
-                kept = at < (sizes - np.maximum(common, 1) + 1)[owner]
-                keys, at, owner = every[order[kept]], at[kept], owner[kept]
-                if wanted is not None:
-                    hit = in_bitmap(wanted.value, keys)
-                    keys, at, owner = keys[hit], at[hit], owner[hit]
-                yield pd.DataFrame({
-                    "family": part["family"].to_numpy()[owner], "key": keys.view(np.int64), "node": part["node"].to_numpy()[owner],
-                    "part": part["part"].to_numpy()[owner], "home": part["home"].to_numpy()[owner],
-                    "middle": part["middle"].to_numpy()[owner], "excess": excess[owner], "ahead": sizes[owner] - at})
+                excess, middle, node = part["excess"].to_numpy(), part["middle"].to_numpy(bool), part["node"].to_numpy()
+                wide = {}
+                for least in ("of_all", "of_asked"):
+                    common = np.maximum(-(-(excess + part[least].to_numpy()) // (2 * (100 + percent))), sizes - part["lost"].to_numpy())
+                    wide[least] = sizes - np.maximum(common, 1) + 1
+                asks, asked = ~middle[owner] & (at < wide["of_all"][owner]), at < wide["of_asked"][owner]
+                kept = np.flatnonzero(asks | asked)
+                keys, own = every[order[kept]], owner[kept]
+                places = 1 + frequencies.value[_cells(keys)] // hot
+                again = np.repeat(np.arange(len(kept)), places)
+                place = np.arange(len(again)) - np.repeat(np.cumsum(places) - places, places)
+                kept, keys, own, places = kept[again], keys[again], own[again], places[again]
+                asks = asks[kept] & ((mixed(node[own].view(np.uint64)) % places.astype(np.uint64)).astype(np.int64) == place)
+                out = np.empty(len(kept), _RECORD)
+                out["at"] = mixed(mixed(part["family"].to_numpy().view(np.uint64)[own] + np.uint64(_GOLD) * place.astype(np.uint64)) ^ keys)
+                out["node"], out["part"], out["excess"], out["ahead"] = node[own], part["part"].to_numpy()[own], excess[own], sizes[own] - at[kept]
+                out["flags"] = _ASKS * asks + _ASKED * asked[kept] + _HOME * part["home"].to_numpy(bool)[own] + _MIDDLE * middle[own]
+                dealt.append(out[asks | asked[kept]])
+            records = np.concatenate(dealt) if dealt else np.empty(0, _RECORD)
+            bucket = (records["at"] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            records, bucket = records[order], bucket[order]
+            cuts = np.flatnonzero(np.diff(bucket)) + 1
+            pieces = np.split(np.arange(len(records)), cuts) if len(records) else []
+            yield pd.DataFrame({"bucket": [bucket[x[0]] for x in pieces], "records": [records[x].tobytes() for x in pieces]}).astype({"bucket": "int64"})
+
+    return run
+
+
+def _asking_pairs(percent: int):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of sets of different parts, one asking the other by a shingle behind which both have enough left. A pair outside the middle is asked once."""
+        records = np.frombuffer(b"".join(group["records"]), _RECORD)
+        records = records[np.argsort(records["at"], kind="stable")]
+        asking, asked = (records[records["flags"] & flag > 0] for flag in (_ASKS, _ASKED))
+        begins = np.searchsorted(asked["at"], asking["at"])
+        counts = np.searchsorted(asked["at"], asking["at"], "right") - begins
+        out = [pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})]
+        for some in np.split(np.arange(len(asking)), np.flatnonzero(np.diff(np.cumsum(counts) // _PAIRED)) + 1):
+            x = np.repeat(some, counts[some])
+            y = np.arange(len(x)) - np.repeat(np.cumsum(counts[some]) - counts[some], counts[some]) + begins[x]
+            for name, wanted in (
+                ("part", lambda i, j: i != j),
+                ("ahead", lambda i, j: np.minimum(i, j) * (2 * (100 + percent)) >= asking["excess"][x] + asked["excess"][y]),
+                ("flags", lambda i, j: (i | j) & _HOME > 0),
+                ("node", lambda i, j: (asked["flags"][y] & _MIDDLE > 0) | (i < j)),
+            ):
+                hit = wanted(asking[name][x], asked[name][y])
+                x, y = x[hit], y[hit]
+            a, b = asking["node"][x], asked["node"][y]
+            out.append(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates())
+        return pd.concat(out, ignore_index=True).drop_duplicates()
 
     return run
 
@@ -365,9 +417,9 @@ def links_between(families: DataFrame, sets: DataFrame | None, percent: int, con
 
     - the set of the least excess is similar to all whose excess is at most its own with the sign turned. Any two sets whose excesses
       add up to 0 or less are among these. No pair is looked at for that;
-    - every other link asks for shingles that both differences share. These are joined on (cluster, shingle), rarest first: a difference
+    - every other link asks for shingles that both differences share. These meet in buckets of (cluster, shingle), rarest first: a difference
       takes part with so many that a pair with enough in common meets, and behind the first one both must have enough left. Near copies that lie
-      below the similarity share nearly all of the centre, but hardly any of their differences.
+      below the similarity share nearly all of the centre, but hardly any of their differences. Tasks pack what they deal out by bucket.
 
     The parts that the first step joins are the middle of the cluster; every set outside is asked against all of other parts.
     """
@@ -394,16 +446,9 @@ def links_between(families: DataFrame, sets: DataFrame | None, percent: int, con
     rows = stored(rows, "differences")
 
     frequencies = spark.sparkContext.broadcast(_frequencies(rows.select(F.col("delta").alias("shingles")), _numbers))
-    schema = "family bigint, key bigint, node bigint, part bigint, home boolean, middle boolean, excess bigint, ahead bigint"
-    asked = stored(rows.filter("NOT middle").mapInPandas(_prefixes(frequencies, percent, "of_all"), schema).drop("middle"), "asked")
-    wanted = spark.sparkContext.broadcast(bitmap(asked, "key"))
-    there = stored(rows.mapInPandas(_prefixes(frequencies, percent, "of_asked", wanted), schema), "there")
-    there = there.select("family", "key", "middle", *[F.col(c).alias(f"other_{c}") for c in ("node", "part", "home", "excess", "ahead")])
-    enough = F.least("ahead", "other_ahead") * (2 * (100 + percent)) >= F.col("excess") + F.col("other_excess")
-    # a pair outside the middle is asked once
-    apart = (F.col("part") != F.col("other_part")) & (F.col("home") | F.col("other_home")) & (F.col("middle") | (F.col("node") < F.col("other_node")))
-    pairs = asked.join(there, ["family", "key"]).filter(enough & apart)
-    pairs = stored(pairs.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct(), "pairs-apart")
+    dealt = rows.mapInPandas(_prefixes(frequencies, percent, rows.count() // _DEALT + 1), "bucket bigint, records binary")
+    pairs = dealt.groupBy("bucket").applyInPandas(_asking_pairs(percent), "a bigint, b bigint")
+    pairs = stored(pairs.distinct(), "pairs-apart")
     return plain.union(confirm(pairs))
 
 

@@ -448,3 +448,34 @@ def test_line_dedup_moves_no_texts(spark, tmp_path):
     while plan.nodeName() != "Join":
         plan = plan.children().head()
     assert not any(plan.output().apply(i).name() == "text" for i in range(plan.output().size()))
+
+
+def test_shingles_are_dealt_in_few_rows():
+    """What a large family asks for travels packed, a row for each batch and bucket; shingles that many hold are dealt out, and no pair is lost."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from codesieve.llm import forest
+
+    rng, percent = random.Random(12), 80
+    core = [rng.getrandbits(63) for _ in range(60)]
+    sets = [np.array(sorted({*rng.sample(core, rng.randint(45, 60)), *(rng.getrandbits(63) for _ in range(rng.randint(0, 9)))}), np.uint64) for _ in range(90)]
+    sizes = np.array([len(x) for x in sets])
+    excess = (100 + percent) * sizes - (100 - percent) * sizes  # told from an empty centre
+    rows = pd.DataFrame({
+        "family": 7, "node": np.arange(90), "part": np.arange(90) // 2, "home": True, "excess": excess, "lost": sizes * (100 - percent) // 100,
+        "delta": [x.tobytes() for x in sets], "middle": np.arange(90) < 10, "of_all": excess.min(), "of_asked": excess[10:].min()})
+    common = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
+    similar = 100 * common >= percent * (sizes[:, None] + sizes - common)
+    want = {(i, j) for i, j in zip(*np.nonzero(similar), strict=True) if i < j and j >= 10 and i // 2 != j // 2}
+    assert len(want) > 50
+    frequencies = SimpleNamespace(value=np.bincount(forest._cells(np.concatenate(sets)), minlength=forest._CELLS))
+    found = []
+    for hot in (1 << 13, 16, 1):
+        dealt = list(forest._prefixes(frequencies, percent, 3, hot)([rows.iloc[:50], rows.iloc[50:], rows.iloc[:0]]))
+        assert [len(x) for x in dealt] == [3, 3, 0]
+        pairs = [forest._asking_pairs(percent)(group) for _, group in pd.concat(dealt).groupby("bucket")]
+        found.append({(r.a, r.b) for part in pairs for r in part.itertuples()})
+    assert found[0] == found[1] == found[2] >= want
+    assert all(i // 2 != j // 2 and j >= 10 for i, j in found[0])
