@@ -35,3 +35,13 @@ def paged(rows: DataFrame, keys: list[str], value: str, size: int, folder: str)
         F.min("place").alias("place"), F.array_sort(F.collect_list(F.struct("place", value))).alias("values"))
     return pages.select(
         *keys, "page", (F.col("place") + 1).alias("first"), F.col(f"values.{value}").alias("values"), F.size("values").cast("long").alias("n"))
+
+
+def sorted_pieces(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, piece, values) of ``rows(keys, value)``: each group's distinct values in order, cut where a range of the sorted rows ends; pieces count up with
+    the values. A null value is left out.
+
+    Rows are dealt out by range, so a group of any size is split over tasks, and what a task gathers is its range. Equal rows meet there.
+    """
+    ranged = rows.select(*keys, value).repartitionByRange(*keys, value).distinct().withColumn("piece", F.spark_partition_id())
+    return ranged.groupBy(*keys, "piece").agg(F.array_sort(F.collect_list(value)).alias("values"))

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codesieve.operators.dependencies import SCOPES
+from codesieve.operators.paging import sorted_pieces
+
 
 def nested_file_results(results: DataFrame) -> DataFrame:
     """One record per analysed file: issues, metrics, suggestions, scores, time."""
@@ -87,20 +90,28 @@ def nested_repository_results(rollup: DataFrame, dependencies: DataFrame, summar
     """One record per repository: counts, languages, scores, dependencies by scope, summary.
 
     File results stay in their own table, keyed by repository: a record that held them all would not
-    be bounded.
+    be bounded. A repository's packages are one value of the record. They reach its task as sorted pieces, in Spark's compact
+    arrays, and meet the repository's numbers in the aggregate that puts them together: no set of packages is held,
+    and no join behind the aggregate copies the lists again.
     """
-    scopes = dependencies.groupBy("repo").agg(*[
-        F.array_sort(F.collect_set(F.when(F.col("scope") == s, F.col("package")))).alias(s)
-        for s in ("direct", "dev", "optional")])
-    none = F.array().cast("array<string>")
+    # rows of one repository, should it come twice, are records of their own
+    small = rollup.join(summaries, "repo", "left").withColumn("copy", F.row_number().over(Window.partitionBy("repo").orderBy(F.lit(1))))
+    pieces = sorted_pieces(dependencies, ["repo", "scope"], "package").join(small.select("repo", "copy"), "repo")
+    record = F.struct(*small.columns).alias("record")
+    rows = small.select("repo", "copy", record).unionByName(pieces, allowMissingColumns=True)
+
+    def packages(scope: str) -> Column:
+        own = F.array_sort(F.collect_list(F.when(F.col("scope") == scope, F.struct("piece", "values"))))
+        return F.flatten(F.transform(own, lambda p: p["values"])).alias(scope)
+
     return (
-        rollup.join(scopes, "repo", "left").join(summaries, "repo", "left")
+        rows.groupBy("repo", "copy").agg(F.first("record", ignorenulls=True).alias("r"), *[packages(s) for s in SCOPES])
         .select(
-            F.col("repo").alias("repository"), "total_files", "analyzed_files", "languages",
-            F.struct(F.col("security_score").alias("security"), F.col("quality_score").alias("quality"),
-                     F.col("performance_score").alias("performance")).alias("overall_scores"),
-            F.struct(*[F.coalesce(s, none).alias(s) for s in ("direct", "dev", "optional")]).alias("dependencies"),
-            "summary",
+            F.col("repo").alias("repository"), "r.total_files", "r.analyzed_files", "r.languages",
+            F.struct(F.col("r.security_score").alias("security"), F.col("r.quality_score").alias("quality"),
+                     F.col("r.performance_score").alias("performance")).alias("overall_scores"),
+            F.struct(*SCOPES).alias("dependencies"),
+            "r.summary",
             F.current_timestamp().alias("timestamp"),
         )
     )

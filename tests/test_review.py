@@ -201,6 +201,26 @@ def test_digests_and_reports(spark, results, tmp_path):
     assert record.overall_scores.quality == 86.5
 
 
+def test_records_are_put_together_from_sorted_pieces(spark):
+    """Packages reach a record's task sorted, no set of them is held there, and no join stands above the lists."""
+    given = [(f"r{k % 3}", ("direct", "dev", "other")[k % 7 % 3], f"p{k * 7919 % 6000:05d}") for k in range(9000)]
+    given += [("r0", "direct", None), (None, "direct", "lost"), ("r9", "direct", "lost"), ("r1", None, "lost")]
+    found = spark.createDataFrame(given, "repo string, scope string, package string")
+    numbers = ["total_files", "analyzed_files", *[f"{c}_score" for c in ("security", "quality", "performance")]]
+    rollup = spark.createDataFrame([(r, n, {"go": n}) for n, r in enumerate(["r0", "r1", "r2", "none", None, "r2"])], "repo string, n bigint, languages map<string, bigint>")
+    rollup = rollup.select("repo", *[F.col("n").alias(c) for c in numbers], "languages")
+    summaries = spark.createDataFrame([(r, (r,)) for r in ("r0", "r1", "none")], "repo string, summary struct<of: string>")
+    records = nested_repository_results(rollup, found, summaries)
+    got = sorted(((r.repository, r.total_files, r.languages, r.summary and r.summary.of, *r.dependencies) for r in records.collect()), key=lambda r: r[1])
+    want = []
+    for n, repo in enumerate(["r0", "r1", "r2", "none", None, "r2"]):
+        lists = [sorted({p for r, s, p in given if repo is not None and (r, s) == (repo, scope) and p is not None}) for scope in ("direct", "dev", "optional")]
+        want.append((repo, n, {"go": n}, repo if repo in ("r0", "r1", "none") else None, *lists))
+    assert got == want
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and plan.index("collect_list") < plan.index("Join")
+
+
 def test_write_and_stream(spark, corpus_of, results, tmp_path):
     write_file_results(results, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2

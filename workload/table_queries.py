@@ -8,6 +8,7 @@ from codesieve.functions import levels
 from codesieve.operators import catalog, dependencies, imports
 from codesieve.operators.rollups import repository_rollup, summary
 from codesieve.plans import digests
+from codesieve.plans.materialize import materialize
 from codesieve.plans.review import manifest_files, prepared_files, review
 from codesieve.sources import linters, listings, repo_config, run_log
 from codesieve.sources.files import with_text
@@ -206,8 +207,10 @@ def _(spark, sf):
       coalesce(optional, '') AS optional, total_issues, coalesce(n, 0) AS total_dependencies, most_common_language, requires_attention
     FROM rollup LEFT JOIN scoped USING (repo) LEFT JOIN counted USING (repo)"""))
 def _(spark, sf):
-    rollup = repository_rollup(review(corpus.source_files(spark, sf)))
-    found = dependencies.repository_dependencies(manifest_files(_source_manifests(spark, sf)))
+    # both are read twice, by the record and by the summary: written, the files are reviewed once and the manifests read once
+    folder = corpus.scratch(spark, "records")
+    rollup = materialize(repository_rollup(review(corpus.source_files(spark, sf))), folder, "rollup")
+    found = materialize(dependencies.repository_dependencies(manifest_files(_source_manifests(spark, sf))), folder, "packages")
     record = nested_repository_results(rollup, found, summary(rollup, found))
     counts = F.transform(F.array_sort(F.map_entries("languages")), lambda e: F.concat(e.key, F.lit("="), e.value))
     return record.select(
