@@ -50,32 +50,56 @@ def windows(ids: np.ndarray, opening: int) -> tuple[np.ndarray, np.ndarray, np.n
     return padded[at], np.where(mask, padded[at + 1], 0), mask
 
 
-_LATER = np.triu(np.ones((WINDOW, WINDOW), bool), 1)
-_GAP = np.maximum(np.arange(WINDOW)[:, None] - np.arange(WINDOW), 0)
+_LATER = np.triu(np.ones((WINDOW, WINDOW), bool), 1)[CONTEXT:]
+_GAP = np.maximum(np.arange(WINDOW)[:, None] - np.arange(WINDOW), 0)[CONTEXT:]
+_PLACE = np.where(_LATER, WINDOW, _GAP)  # a later key is behind the last distance
+_JOINED = ("query", "key", "value", "skip")
+
+
+def _sums(rows: np.ndarray) -> np.ndarray:
+    """The sum of each row, as a product."""
+    return rows @ np.ones(rows.shape[1], rows.dtype)
 
 
 def _forward(p: dict[str, np.ndarray], inputs: np.ndarray):
-    """Queries and keys are clipped to 4 and distances to 10, so that no exponential overflows and none need be shifted."""
-    x = p["embedding"][inputs]
-    q, k, v, skip = np.split(x @ np.concatenate([p["query"], p["key"], p["value"], p["skip"]], axis=1), 4, axis=2)
-    scores = (np.clip(q, -4, 4) * x.dtype.type(WIDTH**-0.5)) @ np.clip(k, -4, 4).transpose(0, 2, 1)
-    scores += np.where(_LATER, x.dtype.type(-1e9), np.clip(p["distance"], -10, 10)[_GAP])
-    weights = np.exp(scores, out=scores)
-    # one product gives the weighted sum and, by a column of ones, the sum of the weights
-    summed = weights @ np.concatenate([v, np.ones_like(v[..., :1])], axis=2)
-    total = summed[..., WIDTH:]
-    hidden = np.tanh(summed[..., :WIDTH] / total + skip + p["hidden"])
-    return x, q, k, v, weights, total, hidden
+    """Hidden values of the last STRIDE positions of each window, and what they are made of. No other position is scored or has a gradient of its own, so
+    the first ones are keys and values only. What all windows do alike is one product of flat rows.
+
+    Queries and keys are clipped to 4 and distances to 10, so that no exponential overflows and none need be shifted.
+    """
+    n, kind = len(inputs), p["embedding"].dtype
+    x = p["embedding"].take(inputs.ravel(), axis=0)
+    joined = np.concatenate([p[name] for name in _JOINED], axis=1)
+    # queries and keys, clipped together, and the rest
+    clipped, rest = ((x @ joined[:, at:at + 2 * WIDTH]).reshape(n, WINDOW, 2 * WIDTH) for at in (0, 2 * WIDTH))
+    np.clip(clipped, -4, 4, out=clipped)
+    q, k, v, skip = clipped[:, CONTEXT:, :WIDTH], clipped[:, :, WIDTH:], rest[:, :, :WIDTH], rest[:, CONTEXT:, WIDTH:]
+    weights = q @ k.transpose(0, 2, 1)
+    weights *= kind.type(WIDTH**-0.5)
+    weights += np.append(np.clip(p["distance"], -10, 10), kind.type(-1e9)).take(_PLACE)
+    np.exp(weights, out=weights)
+    inverse = (1 / _sums(weights.reshape(-1, WINDOW))).reshape(n, STRIDE, 1)
+    summed = weights @ v
+    summed *= inverse
+    hidden = summed + skip
+    hidden += p["hidden"]
+    np.tanh(hidden, out=hidden)
+    return x, joined, clipped, q, k, v, weights, inverse, summed, hidden
+
+
+def _logits(p: dict[str, np.ndarray], hidden: np.ndarray) -> np.ndarray:
+    logits = hidden.reshape(-1, WIDTH) @ p["out"]
+    logits += p["bias"]
+    return logits
 
 
 def log_probabilities(p: dict[str, np.ndarray], vocabulary: Vocabulary, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log probability of the last STRIDE targets of each window."""
-    hidden = _forward(p, inputs)[-1][:, CONTEXT:]
     targets = targets[:, CONTEXT:]
-    logits = hidden @ p["out"] + p["bias"]
-    right = np.take_along_axis(logits, vocabulary.classes[targets][..., None], 2)[..., 0]
-    total = np.exp(logits, out=logits) @ np.ones(CLASSES, logits.dtype)
-    return right - np.log(total) + vocabulary.in_class[targets]
+    logits = _logits(p, _forward(p, inputs)[-1])
+    right = logits.ravel().take(np.arange(0, logits.size, CLASSES) + vocabulary.classes.take(targets.ravel()))
+    right -= np.log(_sums(np.exp(logits, out=logits)))
+    return right.reshape(targets.shape) + vocabulary.in_class.take(targets)
 
 
 def bounded(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -84,58 +108,88 @@ def bounded(p: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 
 def gradients(p: dict[str, np.ndarray], vocabulary: Vocabulary, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray):
-    """Mean loss and its gradients; that of the embedding as rows for ``inputs``."""
-    x, q, k, v, weights, total, hidden = _forward(p, inputs)
-    attention = weights / total
-    logits = hidden @ p["out"] + p["bias"]
-    logits -= logits.max(axis=2, keepdims=True)
-    share = np.exp(logits)
-    share /= share.sum(axis=2, keepdims=True)
-    wanted = vocabulary.classes[targets][..., None]
-    n = max(mask.sum(), 1)
-    loss = -np.log(np.take_along_axis(share, wanted, 2)[..., 0] + 1e-30)[mask].sum() / n
-    d_logits = share
-    np.put_along_axis(d_logits, wanted, np.take_along_axis(d_logits, wanted, 2) - 1, 2)
-    d_logits *= (mask / n).astype(np.float32)[..., None]
-    flat = lambda a: a.reshape(-1, a.shape[-1])
-    g = {"out": flat(hidden).T @ flat(d_logits), "bias": flat(d_logits).sum(axis=0)}
-    d_sum = (d_logits @ p["out"].T) * (1 - hidden**2)
-    g["hidden"] = flat(d_sum).sum(axis=0)
-    g["skip"] = flat(x).T @ flat(d_sum)
-    d_attention = d_sum @ v.transpose(0, 2, 1)
-    d_v = attention.transpose(0, 2, 1) @ d_sum
-    d_scores = attention * (d_attention - (d_attention * attention).sum(axis=2, keepdims=True))
-    within = np.abs(p["distance"]) < 10
-    g["distance"] = np.bincount(_GAP.ravel(), weights=np.where(_LATER, 0, d_scores.sum(axis=0)).ravel(), minlength=WINDOW).astype(np.float32) * within
-    d_scores = d_scores * x.dtype.type(WIDTH**-0.5)
-    d_q = d_scores @ np.clip(k, -4, 4) * (np.abs(q) < 4)
-    d_k = d_scores.transpose(0, 2, 1) @ np.clip(q, -4, 4) * (np.abs(k) < 4)
-    d_x = d_sum @ p["skip"].T
-    for name, d in (("query", d_q), ("key", d_k), ("value", d_v)):
-        g[name] = flat(x).T @ flat(d)
-        d_x += d @ p[name].T
-    return float(loss), g, d_x
+    """Mean loss and its gradients; that of the embedding as rows for ``inputs``. Only the last STRIDE positions of a window may be in ``mask``."""
+    x, joined, clipped, q, k, v, weights, inverse, summed, hidden = _forward(p, inputs)
+    n, kind = len(inputs), x.dtype
+    rows = hidden.reshape(-1, WIDTH)
+    logits = _logits(p, hidden)
+    if np.abs(p["out"]).sum(axis=0).max() + np.abs(p["bias"]).max() > 80:  # hidden values lie within 1: below that no exponential overflows
+        logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    total = _sums(logits)
+    chosen = mask[:, CONTEXT:].ravel()
+    weight = chosen * kind.type(1 / max(np.count_nonzero(chosen), 1))
+    wanted = np.arange(0, logits.size, CLASSES) + vocabulary.classes.take(targets[:, CONTEXT:].ravel())
+    flat = logits.ravel()
+    loss = -(np.log(flat.take(wanted) / total + 1e-30) @ weight)
+    # shares less the wanted class's one, by weight
+    logits *= (weight / total)[:, None]
+    flat[wanted] -= weight
+    ones = np.ones(len(rows), kind)
+    g = {"out": rows.T @ logits, "bias": ones @ logits}
+    d_sum = logits @ p["out"].T
+    d_sum *= 1 - rows * rows
+    g["hidden"] = ones @ d_sum
+    along = _sums(d_sum * summed.reshape(-1, WIDTH)).reshape(n, STRIDE, 1)
+    d_sum = d_sum.reshape(n, STRIDE, WIDTH)
+    weights *= inverse
+    d_scores = d_sum @ v.transpose(0, 2, 1)
+    d_scores -= along
+    d_scores *= weights  # nothing where a key comes later
+    by_place = ones[:n] @ d_scores.reshape(n, -1)
+    g["distance"] = np.bincount(_GAP.ravel(), weights=by_place, minlength=WINDOW).astype(np.float32) * (np.abs(p["distance"]) < 10)
+    d_scores *= kind.type(WIDTH**-0.5)
+    d_made = np.empty((n, WINDOW, 4 * WIDTH), kind)
+    d_made[:, :CONTEXT] = 0
+    np.matmul(d_scores, k, out=d_made[:, CONTEXT:, :WIDTH])
+    np.matmul(d_scores.transpose(0, 2, 1), q, out=d_made[:, :, WIDTH:2 * WIDTH])
+    if max(clipped.max(), -clipped.min()) >= 4:
+        d_made[:, :, :2 * WIDTH] *= np.abs(clipped) < 4
+    np.matmul(weights.transpose(0, 2, 1), d_sum, out=d_made[:, :, 2 * WIDTH:3 * WIDTH])
+    d_made[:, CONTEXT:, 3 * WIDTH:] = d_sum
+    d_made = d_made.reshape(-1, 4 * WIDTH)
+    d_joined = x.T @ d_made
+    g |= {name: d_joined[:, i * WIDTH:(i + 1) * WIDTH] for i, name in enumerate(_JOINED)}
+    return float(loss), g, (d_made @ joined.T).reshape(n, WINDOW, WIDTH)
 
 
 class Trainer:
-    """Adagrad from given parameters; what it changed, and how often each embedding row was used."""
+    """Adagrad from given parameters; what it changed, and how often each embedding row was used. All but the embedding lies in one vector,
+    of which ``p`` has views."""
 
     def __init__(self, p: dict[str, np.ndarray], vocabulary: Vocabulary, rate: float = 0.3):
-        self.p, self.vocabulary, self.rate = {k: v.copy() for k, v in p.items()}, vocabulary, rate
-        self.seen = {k: np.full(v.shape, 1e-4, np.float32) for k, v in p.items()}
+        self.vocabulary, self.rate = vocabulary, rate
+        self.names = [name for name in p if name != "embedding"]
+        self.dense = np.concatenate([p[name].ravel() for name in self.names])
+        ends = np.cumsum([p[name].size for name in self.names])
+        parts = np.split(self.dense, ends[:-1])
+        self.p = {"embedding": p["embedding"].copy()} | {name: part.reshape(p[name].shape) for name, part in zip(self.names, parts, strict=True)}
+        self.seen, self.seen_dense = np.full(p["embedding"].shape, 1e-4, np.float32), np.full(self.dense.shape, 1e-4, np.float32)
         self.used = np.zeros(len(p["embedding"]), np.int64)
+        self.kind = np.uint16 if len(p["embedding"]) <= 1 << 16 else np.int64
         self.steps = 0
 
     def step(self, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray) -> float:
         loss, g, d_x = gradients(self.p, self.vocabulary, inputs, targets, mask)
-        for name, d in g.items():
-            self.seen[name] += d * d
-            self.p[name] -= self.rate * d / np.sqrt(self.seen[name])
-        rows, at, counts = np.unique(inputs, return_inverse=True, return_counts=True)
-        d = np.zeros((len(rows), WIDTH), np.float32)
-        np.add.at(d, at.ravel(), d_x.reshape(-1, WIDTH))
-        self.seen["embedding"][rows] += d * d
-        self.p["embedding"][rows] -= self.rate * d / np.sqrt(self.seen["embedding"][rows])
-        self.used[rows] += counts
+        d = np.concatenate([g[name].ravel() for name in self.names])
+        self.seen_dense += d * d
+        d *= self.rate
+        d /= np.sqrt(self.seen_dense)
+        self.dense -= d
+        # rows of one id lie together and are summed there; ids of two bytes are sorted by digits
+        ids = inputs.ravel().astype(self.kind)
+        order = np.argsort(ids, kind="stable")
+        ids = ids.take(order)
+        edges = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]])
+        first = edges[:-1]
+        rows = ids.take(first).astype(np.int64)
+        d = np.add.reduceat(d_x.reshape(-1, WIDTH).take(order, axis=0), first, axis=0)
+        seen = self.seen.take(rows, axis=0)
+        seen += d * d
+        self.seen[rows] = seen
+        d *= self.rate
+        d /= np.sqrt(seen, out=seen)
+        self.p["embedding"][rows] -= d
+        self.used[rows] += edges[1:] - first
         self.steps += 1
         return loss

@@ -18,7 +18,7 @@ from codesieve.llm.token_trees import PATTERN, VOCABULARY, encoding
 
 _UNIT_WORDS, _UNIT_DOCS = 4_000_000, 8192  # what a task combines before it hands it on
 _CACHE = 400_000  # words whose subwords a worker keeps
-_BATCH = 256  # windows scored together
+_BATCH = 128  # windows scored together
 _STEP = 32  # windows of a training step
 _PART = 1 << 17  # subwords of a text that are cut into windows at once
 _ROUND = 4  # of so many texts one is for the first round of training
@@ -35,6 +35,19 @@ def _windows(sequence: np.ndarray, opening: int):
         yield made
 
 
+class _Places(dict):
+    """Words to places; a word that is looked up for the first time gets the next one, and is noted in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self)
+        self.new.append(word)
+        return at
+
+
 class Subwords:
     """Words to hashes and subword ids, by a cache of arrays. Each word is one piece, behind a space."""
 
@@ -45,7 +58,7 @@ class Subwords:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = _Places()
         self.flat_size = 0
         self.hashes, self.starts, self.sizes, self.flat = (np.empty(1024, k) for k in (np.uint64, np.int64, np.int64, np.int32))
 
@@ -53,26 +66,27 @@ class Subwords:
         return self.piece(b" " + word)
 
     def _room(self, words: int, pieces: int) -> None:
-        """Arrays grow to twice their size when they are full."""
-        while len(self.index) + words > len(self.hashes):
+        """Arrays grow to twice their size when they are too small for so many words, and more subwords."""
+        while words > len(self.hashes):
             self.hashes, self.starts, self.sizes = (np.concatenate([x, np.empty_like(x)]) for x in (self.hashes, self.starts, self.sizes))
         while self.flat_size + pieces > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
 
     def positions(self, tokens: list[bytes]) -> np.ndarray:
-        index = self.index
-        if new := list(dict.fromkeys(w for w in tokens if w not in index)):
+        index, first = self.index, len(self.index)
+        at = np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
+        if new := index.new:
             own = [self.piece(b" " + w) for w in new]
             sizes = np.fromiter(map(len, own), np.int64, len(own))
             ends = self.flat_size + np.cumsum(sizes)
-            self._room(len(new), int(sizes.sum()))
-            first, last = len(index), len(index) + len(new)
+            last = len(index)
+            self._room(last, int(sizes.sum()))
             self.hashes[first:last] = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
             self.sizes[first:last], self.starts[first:last] = sizes, ends - sizes
             self.flat[self.flat_size:ends[-1]] = np.fromiter(chain.from_iterable(own), np.int32, int(sizes.sum()))
             self.flat_size = int(ends[-1])
-            index.update(zip(new, range(first, last), strict=True))
-        return np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
+            index.new = []
+        return at
 
     def sequence(self, at: np.ndarray) -> np.ndarray:
         """Subword ids of the words at these positions, in a row."""
