@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from itertools import chain
 
 import numpy as np
@@ -113,50 +112,68 @@ def _bucketed(keys: np.ndarray, buckets: int):
         yield int(bucket[piece[0]]), piece
 
 
-_LEARNED = "kind int, bucket int, a binary, b binary, n bigint"
+_LEARNED = "kind int, bucket int, a binary, b binary, n bigint, at bigint, ids binary"
 
 
 def _learn(vocabulary, buckets: int):
-    """What a task sees of the training texts. Kinds: 0 word hashes and counts, 1 subword ids and counts, 3 texts."""
+    """What a task sees of the training texts. Kinds: 0 word hashes and counts, 1 subword ids and counts, 2 a text's subword ids and its end, 3 texts."""
 
     def run(batches):
         sub = subwords(vocabulary.value)
-        counts, seen, texts = Counter(), 0, 0
+        kind = _id_kind(sub)
+        counts, seen, texts = np.zeros(0, np.int64), 0, 0  # of words, by their place in sub
+        positions, held = [], 0
         pieces = np.zeros(sub.end + 1, np.int64)
+        names = [c.split()[0] for c in _LEARNED.split(", ")]
+
+        def count():
+            nonlocal counts, seen, positions, held
+            if positions:
+                added = np.bincount(np.concatenate(positions), minlength=len(counts))
+                added[:len(counts)] += counts
+                counts, seen, positions, held = added, seen + held, [], 0
 
         def flush():
-            out = []
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, counts), np.uint64, len(counts))
-            n = np.fromiter(counts.values(), np.int64, len(counts))
-            for bucket, at in _bucketed(hashes, buckets):
-                out.append((0, bucket, hashes[at].tobytes(), n[at].tobytes(), len(at)))
-            own = [sub.ids(word) for word in counts]
-            sizes = np.fromiter(map(len, own), np.int64, len(own))
-            used = np.fromiter(chain.from_iterable(own), np.int64, int(sizes.sum()))
-            pieces[:] += np.bincount(used, weights=np.repeat(n, sizes), minlength=len(pieces)).astype(np.int64)
-            return out
+            nonlocal counts, seen
+            count()
+            used = np.flatnonzero(counts)
+            hashes, n = sub.hashes[used], counts[used]
+            pieces[:] += np.bincount(sub.sequence(used), weights=np.repeat(n, sub.sizes[used]), minlength=len(pieces)).astype(np.int64)
+            counts, seen = np.zeros(0, np.int64), 0
+            return [(0, bucket, hashes[at].tobytes(), n[at].tobytes(), len(at), None, None) for bucket, at in _bucketed(hashes, buckets)]
 
-        frame = lambda out: pd.DataFrame(out, columns=["kind", "bucket", "a", "b", "n"])
         for batch in batches:
+            ids = []
             for text in batch["text"]:
-                tokens = words(text)
-                counts.update(tokens)
-                seen, texts = seen + len(tokens), texts + 1
+                if len(sub.index) > _CACHE:
+                    yield pd.DataFrame(flush(), columns=names)
+                    sub.clear()
+                own = sub.positions(words(text))
+                ids.append(np.append(sub.sequence(own), sub.end).astype(kind).tobytes())
+                positions.append(own)
+                held, texts = held + len(own), texts + 1
+                if held >= _UNIT_WORDS // 8:
+                    count()
                 if seen >= _UNIT_WORDS:
-                    yield frame(flush())
-                    counts, seen = Counter(), 0
+                    yield pd.DataFrame(flush(), columns=names)
+            yield pd.DataFrame({"kind": 2, "bucket": None, "a": None, "b": None, "n": None, "at": batch["at"], "ids": ids}, columns=names)
         out = flush()
         pieces[sub.end] += texts
         used = np.flatnonzero(pieces)
         for chunk in np.unique(used // _SPLIT):
             own = used[used // _SPLIT == chunk]
-            out.append((1, int(chunk), own.tobytes(), pieces[own].tobytes(), len(own)))
-        out.append((3, 0, b"", b"", texts))
-        yield frame(out)
+            out.append((1, int(chunk), own.tobytes(), pieces[own].tobytes(), len(own), None, None))
+        out.append((3, 0, b"", b"", texts, None, None))
+        yield pd.DataFrame(out, columns=names)
 
     return run
 
 
+def _id_kind(sub: Subwords) -> type:
+    """What a stored id takes: two bytes where all fit."""
+    return np.uint16 if sub.end < 1 << 16 else np.int32
+
+
 def _whole(rows: pd.Series, kind) -> np.ndarray:
     return np.frombuffer(b"".join(rows), kind)
 
@@ -182,7 +199,7 @@ _DENSE = ("query", "key", "value", "skip", "distance", "hidden", "out", "bias")
 
 
 def _train_task(vocabulary, parameters, model_vocabulary):
-    """Training on all windows of a task's texts, from the shared parameters; yields weighted changes."""
+    """Training on all windows of a task's texts, given by their stored ``ids`` or as ``text``, from the shared parameters; yields weighted changes."""
 
     def run(batches):
         sub = subwords(vocabulary.value)
@@ -197,11 +214,17 @@ def _train_task(vocabulary, parameters, model_vocabulary):
                 trainer.step(inputs[at:at + _STEP], targets[at:at + _STEP], mask[at:at + _STEP])
             held, size = [(inputs[last:], targets[last:], mask[last:])], size - last
 
-        for batch in batches:
+        def sequences(batch):
+            if "ids" in batch:
+                yield from (np.frombuffer(ids, _id_kind(sub)).astype(np.int64) for ids in batch["ids"])
+                return
             for text in batch["text"]:
                 if len(sub.index) > _CACHE:
                     sub.clear()
-                sequence = np.append(sub.sequence(sub.positions(words(text))), sub.end)
+                yield np.append(sub.sequence(sub.positions(words(text))), sub.end)
+
+        for batch in batches:
+            for sequence in sequences(batch):
                 for made in _windows(sequence, sub.end + 1):
                     held.append(made)
                     size += len(made[0])
@@ -230,14 +253,14 @@ def _add_changes(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _train(texts: DataFrame, vocabulary, model_vocabulary) -> dict[str, np.ndarray]:
-    """Two rounds: tasks train on their own of ``texts(at, text)`` (a quarter, then the others), each text in one of them, and their changes are averaged, an embedding row by
+    """Two rounds: tasks train on their own of ``texts(at, ids)`` (a quarter, then the others), each text in one of them, and their changes are averaged, an embedding row by
     how often each task met it. What reaches the driver is as large as the model."""
     context = texts.sparkSession.sparkContext
     p = attention.initial(model_vocabulary.value)
     first = F.pmod("at", F.lit(_ROUND)) == 0
     for part in (first, ~first):
         shared = context.broadcast(p)
-        changes = texts.filter(part).select("text").mapInPandas(_train_task(vocabulary, shared, model_vocabulary), _CHANGES).groupBy("piece", "salt").applyInPandas(
+        changes = texts.filter(part).select("ids").mapInPandas(_train_task(vocabulary, shared, model_vocabulary), _CHANGES).groupBy("piece", "salt").applyInPandas(
             _add_changes, _CHANGES).groupBy("piece").applyInPandas(_add_changes, _CHANGES).collect()
         p = {k: v.copy() for k, v in p.items()}
         for piece, _, weights, change in changes:
@@ -264,6 +287,18 @@ def _score(vocabulary, parameters, model_vocabulary, frequent, buckets: int):
     def run(batches):
         sub = subwords(vocabulary.value)
         common, logs = frequent.value
+        places, known = np.empty(0, np.int64), 0  # of the words in sub: their place among the frequent ones, -1 for others
+
+        def place_of(at: np.ndarray) -> np.ndarray:
+            nonlocal places, known
+            if known < (last := len(sub.index)):
+                if last > len(places):
+                    places = np.concatenate([places, np.empty(len(sub.hashes) - len(places), np.int64)])
+                new = sub.hashes[known:last]
+                found = np.minimum(np.searchsorted(common, new), max(len(common) - 1, 0))
+                places[known:last], known = np.where(common[found] == new, found, -1) if len(common) else -1, last
+            return places.take(at)
+
         task = TaskContext.get().partitionId() << 24
         unit, docs, seen, rare = 0, [], 0, []
         pending: list = []  # (row of docs, windows) waiting for the model
@@ -301,14 +336,14 @@ def _score(vocabulary, parameters, model_vocabulary, frequent, buckets: int):
                 tokens = words(text)
                 if len(sub.index) > _CACHE:
                     sub.clear()
+                    known = 0
                 positions = sub.positions(tokens)
-                hashes = sub.hashes[positions]
-                place = np.minimum(np.searchsorted(common, hashes), max(len(common) - 1, 0))
-                is_common = common[place] == hashes if len(common) else np.zeros(len(hashes), bool)
+                place = place_of(positions)
+                is_common = place >= 0
                 sequence = np.append(sub.sequence(positions), sub.end)
                 docs.append({"doc_id": None if pd.isna(doc_id) else int(doc_id), "at": int(at), "n_tokens": len(tokens) + 1, "known": int(is_common.sum()),
                              "base": float(logs[place[is_common]].sum()) if len(common) else 0.0, "score": 0.0})
-                rare.append(np.unique(hashes[~is_common], return_counts=True))
+                rare.append(np.unique(sub.hashes[positions[~is_common]], return_counts=True))
                 for made in _windows(sequence, sub.end + 1):
                     pending.append((len(docs) - 1, made))
                     if sum(len(w[0]) for _, w in pending) >= 2 * _BATCH:
@@ -357,8 +392,8 @@ def score_texts(docs: DataFrame, training, vocabulary: str = VOCABULARY) -> Data
     log10 probability of the text's subwords and its end under a causal attention model (:mod:`codesieve.llm.attention`): windows
     of 24 subwords that overlap by 6, each token scored once.
 
-    All training texts count: their words, subwords, and all their windows, each trained on once. Counts are packed by bucket of
-    the word's hash. Words that make more than 1 in 65,536 of all are that many at most; they are sent to all tasks and looked up where
+    All training texts count: their words, subwords, and all their windows, each trained on once, from the subword ids that the pass over the
+    words keeps in the shared folder. Counts are packed by bucket of the word's hash. Words that make more than 1 in 65,536 of all are that many at most; they are sent to all tasks and looked up where
     the text is read, so no word is common enough to make a bucket heavy. The other words of some thousand texts go to their bucket
     together, and come back as sums by text.
 
@@ -371,7 +406,7 @@ def score_texts(docs: DataFrame, training, vocabulary: str = VOCABULARY) -> Data
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", F.xxhash64("doc_id", F.xxhash64("text")).alias("at"), "text", F.coalesce(training, F.lit(False)).alias("training"))
     training_texts = rows.filter("training").select("at", "text")
-    learned = stored(training_texts.select("text").mapInPandas(_learn(shared, buckets), _LEARNED), "learned")
+    learned = stored(training_texts.mapInPandas(_learn(shared, buckets), _LEARNED), "learned")
     of = lambda kind: learned.filter(F.col("kind") == kind)
     counts = stored(of(0).groupBy("bucket").applyInPandas(_merge_counts(np.uint64), _COUNTS), "word-counts")
     texts = of(3).agg(F.sum("n")).first()[0] or 0
@@ -395,7 +430,7 @@ def score_texts(docs: DataFrame, training, vocabulary: str = VOCABULARY) -> Data
         pieces[np.frombuffer(r["keys"], np.int64)] = np.frombuffer(r["counts"], np.int64)
     opens = np.array([sub.encode.decode_single_token_bytes(i)[:1] == b" " for i in range(sub.end)] + [True])
     model_vocabulary = spark.sparkContext.broadcast(attention.Vocabulary(pieces, opens))
-    parameters = spark.sparkContext.broadcast(_train(training_texts, shared, model_vocabulary))
+    parameters = spark.sparkContext.broadcast(_train(of(2).select("at", "ids"), shared, model_vocabulary))
 
     scored = stored(rows.select("doc_id", "at", "text").mapInPandas(_score(shared, parameters, model_vocabulary, frequent, buckets), _SCORED), "scored")
     rest = scored.filter("kind = 1").select("unit", F.col("bucket").alias("of"), "keys", "runs", "docs", "times")

@@ -11,6 +11,7 @@ from types import SimpleNamespace
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from codesieve.llm import attention, lm, token_trees
@@ -264,6 +265,54 @@ def test_all_subwords_are_trained_on(encode, monkeypatch):
     assert seen == want
 
 
+def test_training_reads_the_ids_of_the_first_pass(encode, monkeypatch):
+    """The first pass cuts each training text into subwords once and keeps them; training sees the windows that the texts themselves give."""
+    monkeypatch.setattr(lm, "_CACHE", 300)  # so that counts outlive the words they belong to
+    monkeypatch.setattr(lm, "_UNIT_WORDS", 2000)
+    monkeypatch.setattr(lm.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    texts = ["", "one", "two three", prose(11, 200), None, prose(12, 3000), "the " * 5000, prose(13, 900)]
+    with open(token_trees.VOCABULARY, "rb") as f:
+        held = SimpleNamespace(value=f.read())
+    batches = [pd.DataFrame({"at": [(1 << 62) + n for n in range(k, k + 4)], "text": texts[k:k + 4]}) for k in (0, 4)]
+    found = pd.concat(lm._learn(held, 3)(iter(batches)))
+    kept, kind = found[found["kind"] == 2], lm._id_kind(lm.subwords(held.value))
+    words = [(t or "").lower().encode().split() for t in texts]
+    want = [[i for w in own for i in encode._encode_single_piece(b" " + w)] + [encode.n_vocab] for own in words]
+    assert kept["at"].tolist() == [(1 << 62) + n for n in range(len(texts))] and [np.frombuffer(x, kind).tolist() for x in kept["ids"]] == want
+
+    def counted(kind, key):
+        out = Counter()
+        for r in found[found["kind"] == kind].itertuples():
+            out.update(dict(zip(np.frombuffer(r.a, key).tolist(), np.frombuffer(r.b, np.int64).tolist(), strict=True)))
+        return out
+
+    assert counted(1, np.int64) == Counter(i for ids in want for i in ids) and found[found["kind"] == 3]["n"].tolist() == [len(texts)]
+    assert counted(0, np.uint64) == Counter(xxhash.xxh3_64_intdigest(w) for own in words for w in own)
+    vocabulary = SimpleNamespace(value=attention.Vocabulary(np.ones(encode.n_vocab + 1, np.int64), np.arange(encode.n_vocab + 1) % 2 == 0))
+    parameters, steps = SimpleNamespace(value=attention.initial(vocabulary.value)), []
+    monkeypatch.setattr(attention.Trainer, "step", lambda self, *given: steps.append([x.tolist() for x in given]))
+    for batch in (kept[["ids"]], pd.DataFrame({"text": texts})):
+        list(lm._train_task(held, parameters, vocabulary)([batch]))
+    assert steps[:len(steps) // 2] == steps[len(steps) // 2:] and steps
+
+
+def test_steps_spend_nothing_on_positions_without_a_target(small_model):
+    """Only scored positions have hidden values; a step changes the parameters as the gradients say."""
+    p, vocabulary = small_model
+    inputs, targets, mask = attention.windows(np.random.default_rng(6).integers(0, 500, 200), 500)
+    assert attention._forward(p, inputs)[-1].shape == (len(inputs), attention.STRIDE, attention.WIDTH)
+    loss, g, d_x = attention.gradients(p, vocabulary, inputs, targets, mask)
+    assert loss == pytest.approx(-attention.log_probabilities(p, vocabulary, inputs, targets)[mask[:, attention.CONTEXT:]].mean()
+                                 + vocabulary.in_class[targets[mask]].mean(), rel=1e-5)
+    trainer = attention.Trainer(p, vocabulary)
+    trainer.step(inputs, targets, mask)
+    rows = np.zeros(p["embedding"].shape)
+    np.add.at(rows, inputs.ravel(), d_x.reshape(-1, attention.WIDTH))
+    for name, d in {**g, "embedding": rows}.items():
+        assert np.allclose(trainer.p[name], p[name] - 0.3 * d / np.sqrt(1e-4 + d * d), atol=1e-4), name
+    assert np.array_equal(trainer.used, np.bincount(inputs.ravel(), minlength=501))
+
+
 def brute_base(rows):
     tokens = {i: (text or "").encode().lower().split() + [None] for i, (_, text, _) in enumerate(rows)}
     counts = Counter(t for i, (_, _, training) in enumerate(rows) if training for t in tokens[i])
